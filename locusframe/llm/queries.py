@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_id, licenses, line_dedup, quality, token_counts
+from . import decontaminate, language_id, licenses, line_dedup, packing, quality, secrets, token_counts, warc
 
 QUERIES = {
+    "op2_secret_scan": secrets.op2_secret_scan,
     "op3_quality_rules": quality.op3_quality_rules,
     "op4_license_scan": licenses.op4_license_scan,
     "op5_token_counts": token_counts.op5_token_counts,
     "op6_line_dedup": line_dedup.op6_line_dedup,
     "op7_language_id": language_id.op7_language_id,
+    "op8_warc": warc.op8_warc,
+    "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op10_decontamination": decontaminate.op10_decontamination,
 }
 
 SQL = {
+    "op2_secret_scan": secrets.OP2_SQL,
     "op3_quality_rules": quality.OP3_SQL,
     "op6_line_dedup": line_dedup.OP6_SQL,
+    "op8_warc": warc.OP8_SQL,
     "op10_decontamination": decontaminate.OP10_SQL,
 }
