@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_id, licenses, line_dedup, packing, quality, secrets, token_counts, warc
+from . import decontaminate, jaccard_join, language_id, licenses, line_dedup, packing, quality, secrets, token_counts, warc
 
 QUERIES = {
+    "op1_ngram_jaccard_join": jaccard_join.op1_ngram_jaccard_join,
     "op2_secret_scan": secrets.op2_secret_scan,
     "op3_quality_rules": quality.op3_quality_rules,
     "op4_license_scan": licenses.op4_license_scan,
