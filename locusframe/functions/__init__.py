@@ -1 +1 @@
-
+"""Column expressions: sequences, coordinates and scores."""
