@@ -208,7 +208,7 @@ def support(segments: DataFrame, hints: DataFrame, width: int = BIN) -> DataFram
         ((F.col("type_r") == F.col("type")) & (F.col("start_r") == F.col("start")) & (F.col("end_r") == F.col("end")))
         | ((F.col("type_r") == F.concat("type", F.lit("part"))) & (F.col("start_r") >= F.col("start")) & (F.col("end_r") <= F.col("end")))
     )
-    sums = met.where(fits).groupBy("seq", "strand", "type", "start", "end").agg(F.sum("mult").cast("long").alias("support"))
+    sums = met.where(fits).groupBy("seq", "strand", "type", "start", "end").agg(F.sum("mult_r").cast("long").alias("support"))
     return segments.join(sums, ["seq", "strand", "type", "start", "end"], "left").withColumn("support", F.coalesce("support", F.lit(0)).cast("long"))
 
 
