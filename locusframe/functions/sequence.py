@@ -45,11 +45,20 @@ def subsequence(seq: Column | str, start: Column | str, end: Column | str) -> Co
     return F.substring(_col(seq), _col(start).cast("int"), (_col(end) - _col(start) + 1).cast("int"))
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once: inside a lambda an expression is computed for each element."""
+    return F.transform(F.array(value), use)[0]
+
+
+def pieces(seq: Column | str, size: int) -> Column:
+    """The sequence cut into parts of ``size``; the last may be shorter."""
+    return F.regexp_extract_all(_col(seq), F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+
+
 def codons(seq: Column | str, frame: int = 0) -> Column:
     """Whole codons from ``frame`` on, in upper case."""
     text = F.upper(F.substring(_col(seq), F.lit(frame + 1), F.length(_col(seq))))
-    n = F.floor(F.length(text) / 3).cast("int")
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(text, i * 3 + 1, F.lit(3)))).otherwise(F.array().cast("array<string>"))
+    return F.regexp_extract_all(text, F.lit("(?s).{3}"), F.lit(0))
 
 
 def translate(seq: Column | str, frame: int = 0, table: int = 1) -> Column:
@@ -85,11 +94,15 @@ def longest_orf(seq: Column | str, table: int = 1) -> Column:
     return F.struct((-top["rank"]).alias("frame"), top["start"].alias("start"), top["n"].alias("codons"))
 
 
-def kmers(seq: Column | str, k: int, step: int = 1) -> Column:
+def kmers(seq: Column | str, k: int | Column, step: int = 1) -> Column:
     """All windows of ``k`` letters, ``step`` apart."""
+    size = F.lit(k) if isinstance(k, int) else k
+
+    def windows(letters):
+        return F.transform(F.sequence(F.lit(0), F.size(letters) - size, F.lit(step)), lambda i: F.array_join(F.slice(letters, i + 1, size), ""))
+
     s = _col(seq)
-    last = F.length(s) - k
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last, F.lit(step)), lambda i: F.substring(s, i + 1, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    return F.when(F.length(s) >= size, let(F.split(s, ""), windows)).otherwise(F.array().cast("array<string>"))
 
 
 def kmer_number(kmer: Column | str) -> Column:

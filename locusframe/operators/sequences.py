@@ -17,9 +17,8 @@ def composition(sequences: DataFrame) -> DataFrame:
 
 def windowed_gc(sequences: DataFrame, size: int) -> DataFrame:
     """``seq, start, gc`` of consecutive windows."""
-    at = F.sequence(F.lit(0), F.greatest(F.length("bases") - 1, F.lit(0)), F.lit(size))
-    rows = sequences.where("length(bases) > 0").select("seq", "bases", F.explode(at).alias("_at"))
-    return rows.select("seq", (F.col("_at") + 1).cast("long").alias("start"), S.gc_content(F.substring("bases", F.col("_at") + 1, F.lit(size))).alias("gc"))
+    rows = sequences.select("seq", F.posexplode(S.pieces("bases", size)).alias("i", "part"))
+    return rows.select("seq", (F.col("i").cast("long") * size + 1).alias("start"), S.gc_content("part").alias("gc"))
 
 
 def gc_class(gc: DataFrame, centres: list[float]) -> DataFrame:
@@ -50,8 +49,7 @@ def repetitive(sequences: DataFrame, largest: int = 10, least: int = 3, times: i
     more than ``times`` times make up at least half (three quarters for k up to 5) of all."""
     ks = F.explode(F.array(*[F.lit(k) for k in range(least, largest + 1)]))
     rows = sequences.select("seq", "bases", ks.alias("k"))
-    windows = F.transform(F.sequence(F.lit(0), F.length("bases") - F.col("k")), lambda i: F.substring("bases", i + 1, F.col("k")))
-    kmers = rows.where("length(bases) >= k").select("seq", "k", F.explode(windows).alias("kmer"))
+    kmers = rows.where("length(bases) >= k").select("seq", "k", F.explode(S.kmers("bases", F.col("k"))).alias("kmer"))
     counts = kmers.groupBy("seq", "k", "kmer").agg(F.count(F.lit(1)).alias("n"))
     shares = counts.groupBy("seq", "k").agg((F.sum(F.when(F.col("n") > times, F.col("n")).otherwise(0)) / F.sum("n")).alias("share"))
     hit = shares.where(F.col("share") >= F.when(F.col("k") > 5, 0.5).otherwise(0.75))
@@ -95,6 +93,9 @@ def region(sequences: DataFrame, regions: DataFrame) -> DataFrame:
 
 def chunked(sequences: DataFrame, size: int, overlap: int = 0) -> DataFrame:
     """``seq, offset, bases``: sequences as chunks of ``size`` (0-based offsets) for storage and piecewise work."""
+    if overlap == 0:
+        rows = sequences.select("seq", F.posexplode(S.pieces("bases", size)).alias("i", "bases"))
+        return rows.select("seq", (F.col("i").cast("long") * size).alias("offset"), "bases")
     step = size - overlap
     at = F.sequence(F.lit(0), F.greatest(F.length("bases") - 1 - overlap, F.lit(0)), F.lit(step))
     return sequences.select("seq", F.explode(at).alias("offset"), "bases").select("seq", F.col("offset").cast("long").alias("offset"), F.substring("bases", F.col("offset") + 1, F.lit(size)).alias("bases"))
@@ -141,8 +142,10 @@ def orf_begins(sequences: DataFrame, table: int = 1) -> DataFrame:
     """``seq, frame, start, end`` (1-based) of the stretches without a stop codon in the forward frames."""
     stops = [c for c, aa in S.codon_table(table).items() if aa == "*"]
     frames = sequences.select("seq", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("frame"), F.upper("bases").alias("b"))
-    n = F.floor((F.length("b") - F.col("frame")) / 3).cast("int")
-    at = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.substring("b", F.col("frame") + i * 3 + 1, F.lit(3)).isin(stops))
+    cut = F.regexp_extract_all(F.substring("b", F.col("frame") + 1, F.length("b")), F.lit("(?s).{3}"), F.lit(0))
+    frames = frames.select("seq", "frame", cut.alias("c"))
+    n = F.size("c")
+    at = F.filter(F.transform("c", lambda x, i: F.when(x.isin(stops), i)), lambda i: i.isNotNull())
     edges = F.concat(F.array(F.lit(-1)), at, F.array(n))
     rows = frames.select("seq", "frame", edges.alias("e")).select("seq", "frame", F.explode(F.zip_with(F.slice("e", F.lit(1), F.size("e") - 1), F.slice("e", F.lit(2), F.size("e") - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("x"))
     return rows.select("seq", "frame", ((F.col("x.a") + 1) * 3 + F.col("frame") + 1).cast("long").alias("start"), (F.col("x.b") * 3 + F.col("frame")).cast("long").alias("end")).where("start <= end")
