@@ -29,3 +29,29 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables that :func:`written` made, once nothing reads them any more."""
+    for df in tables:
+        paths = {f.rpartition("/")[0] for f in df.inputFiles()}
+        spark = df.sparkSession
+        for p in paths:
+            path = spark._jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Session settings for Arrow batches: default value, and value here.
+_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8m")}
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``; from here on the session's Arrow batches hold fewer rows and bytes, as texts can be long.
+
+    Sizes that the session has set itself stay.
+    """
+    conf = df.sparkSession.conf
+    for key, (usual, own) in _BATCHES.items():
+        if conf.get(key, usual) == usual:
+            conf.set(key, own)
+    return df

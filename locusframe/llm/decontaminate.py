@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text
+from ._store import small_batches
 
 #: Characters of window text in one automaton; its nodes take some 50 bytes each.
 BLOCK_CHARS = 4_000_000
@@ -147,7 +148,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
     """
     items = benchmark.where("item_id is not null").select(F.col("item_id").cast("string").alias("item_id"), "text").orderBy("item_id", "text")
     none = F.array().cast("array<bigint>")
-    out = docs.select(
+    out = small_batches(docs).select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("lf_row"),
         F.col("text").alias("lf_text"),
         F.lit(0).cast("long").alias("lf_n_words"),

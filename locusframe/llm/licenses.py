@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text
+from ._store import small_batches
 
 #: Fixed values of the contract.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
@@ -164,7 +165,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     places of words.  Ids may be null or repeat; each row has its own result.  On an empty table the
     result is empty.  Other columns are not read.
     """
-    templates = index(*license_frequencies(docs, text_col))
+    templates = index(*license_frequencies(small_batches(docs), text_col))
     rows = docs.select(F.col(id_col).alias("lf_id"), F.col(text_col).alias("lf_text"))
     schema = f"lf_id {dict(rows.dtypes)['lf_id']}, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double, places array<struct<label:string,first_word:bigint,n_words:bigint,coverage:double>>"
     return rows.mapInArrow(_scan(docs.sparkSession.sparkContext.broadcast(templates)), schema).withColumnRenamed("lf_id", id_col)

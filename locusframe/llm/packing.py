@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text
+from ._store import small_batches
 
 CAPACITY = 2048
 #: Rows in a shard, on average; a shard leaves about one bin of each source part empty.
@@ -107,7 +108,7 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def measured(docs: DataFrame) -> DataFrame:
     """``doc_id, source, length, cluster`` of documents: words between white space, and a hash of the
     lower-cased words in order, so that copies which differ in white space or case are one cluster."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text")
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text")
     return rows.mapInArrow(_measured, "doc_id bigint, source string, length bigint, cluster bigint")
 
 

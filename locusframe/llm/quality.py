@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text
+from ._store import small_batches
 
 #: Fixed values of the contract.
 SYMBOLS = b"#*$%&|<>"
@@ -145,7 +146,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     word characters.  Null or empty text has no words and so fails the base rule.  Ids may be null or
     repeated; each row has its own result.  Other columns are not read.
     """
-    rows = docs.select(F.col(id_col).alias("lf_id"), F.col(text_col).alias("lf_text"))
+    rows = small_batches(docs).select(F.col(id_col).alias("lf_id"), F.col(text_col).alias("lf_text"))
     measured = rows.mapInArrow(_measure, _SCHEMA.format(kind=dict(rows.dtypes)["lf_id"]))
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     lost = 100 * F.col("lost_chars") > MAX_LOST_PERCENT * F.col("word_chars")
@@ -159,12 +160,11 @@ def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """
     key = F.xxhash64(text_col)
     verdict = quality(docs.withColumn("lf_key", F.struct(F.col(id_col).alias("i"), key.alias("k"))), "lf_key", text_col)
-    verdict = verdict.where("kept").select(F.col("lf_key.i").alias("lf_i"), F.col("lf_key.k").alias("lf_k"), F.transform("failed_lines", lambda x: x).alias("lf_gone")).dropDuplicates(["lf_i", "lf_k"])
+    verdict = verdict.where("kept").select(F.col("lf_key.i").alias("lf_i"), F.col("lf_key.k").alias("lf_k"), F.col("failed_lines").alias("lf_gone")).dropDuplicates(["lf_i", "lf_k"])
     keyed = docs.withColumns({"lf_i": F.col(id_col), "lf_k": key})
     joined = keyed.join(verdict, keyed.lf_i.eqNullSafe(verdict.lf_i) & (keyed.lf_k == verdict.lf_k)).drop(keyed.lf_i, keyed.lf_k, verdict.lf_i, verdict.lf_k)
-    lines = F.split(text_col, "\n", -1)
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "lf_gone")
-    return joined.withColumn(text_col, F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")).select(*docs.columns)
+    left = F.transform(F.array(F.split(text_col, "\n", -1)), lambda p: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(p) - 1), F.col("lf_gone")), lambda i: F.get(p, i)), "\n"))[0]
+    return joined.withColumn(text_col, left).select(*docs.columns)
 
 
 def op3_quality_rules(spark, sf_dir: str) -> DataFrame:

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._store import small_batches
+
 #: Fixed value: the public pre-token pattern of byte-level BPE vocabularies of this family.
 PRE_TOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 def _unsettled() -> str:
@@ -141,7 +143,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     """
     frequent, special = frequent_lengths(tokenizer_path)
     table = docs.sparkSession.sparkContext.broadcast(frequent)
-    rows = docs.select(F.col(id_col).alias("lf_id"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"), F.col(text_col).alias("lf_text"))
+    rows = small_batches(docs).select(F.col(id_col).alias("lf_id"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"), F.col(text_col).alias("lf_text"))
     schema = f"lf_id {dict(docs.dtypes)[id_col]}, n_bytes bigint, n_tokens bigint"
     counted = rows.mapInArrow(_count(tokenizer_path, table, special), schema)
     return counted.select(F.col("lf_id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
