@@ -2,33 +2,41 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 PARTS = "slot int, salt bigint, cells binary"
-SLOT_CELLS = 4096
+SLOT_CELLS = 16384
 #: Arrays merged in one task.
 FAN = 64
 
 
+def _packed(cells: np.ndarray) -> bytes:
+    return zlib.compress(cells.tobytes(), 1)
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(raw), np.int64)
+
+
 def parts(cells: np.ndarray) -> pa.RecordBatch:
-    """One task's array (int64) as rows of ``SLOT_CELLS`` cells."""
-    slots = len(cells) // SLOT_CELLS
-    task = TaskContext.get().partitionId()
-    rows = [cells[i * SLOT_CELLS : (i + 1) * SLOT_CELLS].tobytes() for i in range(slots)]
-    return pa.RecordBatch.from_arrays([pa.array(range(slots), pa.int32()), pa.array([task // FAN] * slots, pa.int64()), pa.array(rows, pa.binary())], ["slot", "salt", "cells"])
+    """One task's array (int64) as rows of up to ``SLOT_CELLS`` compressed cells; empty slots are left out."""
+    salt = TaskContext.get().partitionId() // FAN
+    slots = [(i // SLOT_CELLS, _packed(own)) for i in range(0, len(cells), SLOT_CELLS) if (own := cells[i : i + SLOT_CELLS]).any()]
+    return pa.RecordBatch.from_arrays([pa.array([s for s, _ in slots], pa.int32()), pa.array([salt] * len(slots), pa.int64()), pa.array([c for _, c in slots], pa.binary())], ["slot", "salt", "cells"])
 
 
 def _merge(bits: bool):
     def run(table):
-        cells = np.zeros(SLOT_CELLS, np.int64)
+        cells: np.ndarray | int = 0
         for raw in table.column("cells"):
-            own = np.frombuffer(raw.as_py(), np.int64)
+            own = _unpacked(raw.as_py())
             cells = cells | own if bits else cells + own
-        return pa.table({"slot": table.column("slot").slice(0, 1), "salt": pa.array([table.column("salt")[0].as_py() // FAN], pa.int64()), "cells": pa.array([cells.tobytes()], pa.binary())})
+        return pa.table({"slot": table.column("slot").slice(0, 1), "salt": pa.array([table.column("salt")[0].as_py() // FAN], pa.int64()), "cells": pa.array([_packed(cells)], pa.binary())})
 
     return run
 
@@ -46,9 +54,9 @@ def merged(df: DataFrame, n_tasks: int, size: int, bits: bool = False) -> np.nda
             break
     out = np.zeros(size, np.int64)
     for r in df.collect():
-        at = r["slot"] * SLOT_CELLS
-        own = np.frombuffer(r["cells"], np.int64)
-        out[at : at + SLOT_CELLS] = out[at : at + SLOT_CELLS] | own if bits else out[at : at + SLOT_CELLS] + own
+        own = _unpacked(r["cells"])
+        part = out[r["slot"] * SLOT_CELLS :][: len(own)]
+        part[:] = part | own if bits else part + own
     return out
 
 

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import written
+from ._store import dropped, written
 
 
-def _pointed(edges: DataFrame, centre: str) -> DataFrame:
-    """``edges`` (``u, v``) with ``m``, the least node of each ``u``'s star."""
+def _pointed(edges: DataFrame, centre: str) -> tuple[DataFrame, DataFrame]:
+    """``edges`` (``u, v``) with ``m``, the least node of each ``u``'s star; and the table of those."""
     least = written(edges.groupBy("u").agg(F.min("v").alias("m")), f"components-{centre}")
     # the table of least nodes is read, not aggregated, below the join: hot centres can be split
-    return edges.join(least, "u").withColumn("m", F.least("m", "u"))
+    return edges.join(least, "u").withColumn("m", F.least("m", "u")), least
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -25,12 +25,15 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     before = None
     for _ in range(max_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _pointed(both, "large").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        star, least = _pointed(both, "large")
+        large = star.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = written(large, "components-stars")
+        dropped(edges, least)
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")
-        star = _pointed(down, "small")
+        star, least = _pointed(down, "small")
         small = star.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(star.select("u", F.col("m").alias("v")))
         edges = written(small.distinct(), "components-edges")
+        dropped(large, least)
         seen = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if seen == before:
             break

@@ -27,16 +27,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _bins, _text
-from ._store import written
+from ._store import dropped, small_batches, written
 from .components import components
 
 SHINGLE_WORDS, PERCENT = 4, 85
-#: Counters of the sketch that orders shingles, and bits of the filter of wanted documents.
-SKETCH_BITS, FILTER_BITS = 20, 24
+#: Counters of the sketch that orders shingles, bits of the filter of wanted documents and classes,
+#: and of that of shingles which several classes have.
+SKETCH_BITS, FILTER_BITS, TOKEN_BITS = 22, 24, 26
 #: Members of a family in one block.
 BLOCK = 256
+#: Up to so many candidate pairs across families are broadcast to the sets, more are shuffled.
+BROADCAST_PAIRS = 20_000
 #: A class follows a pivot only if they share at least this percentage of its prefix.
-FOLLOW_PERCENT = 10
+FOLLOW_PERCENT = 25
 _U = np.uint64
 
 
@@ -73,11 +76,15 @@ def _sketch(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(1 << SKETCH_BITS, np.int64)
         shift = _U(64 - SKETCH_BITS)
+        waiting: list[np.ndarray] = []
         for batch in batches:
             for part in _text.chunks(batch.column(0), _text.NOT_SPACE):
-                sets = [s for s in shingle_sets(part, size) if len(s)]
-                if sets:
-                    cells += np.bincount((np.concatenate(sets) >> shift).astype(np.int64), minlength=len(cells))
+                waiting += [(s >> shift).astype(np.int32) for s in shingle_sets(part, size)]
+                if len(waiting) >= 4000:
+                    np.add.at(cells, np.concatenate(waiting), 1)
+                    waiting = []
+        if waiting:
+            np.add.at(cells, np.concatenate(waiting), 1)
         yield _bins.parts(cells)
 
     return run
@@ -102,29 +109,68 @@ def _prefixes(broadcast, size: int, percent: int):
     return run
 
 
-def _filter_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    bits = np.zeros(1 << FILTER_BITS, bool)
-    for batch in batches:
-        bits[_bit_of(batch.column(0).to_numpy(zero_copy_only=False))] = True
-    yield _bins.parts(np.packbits(bits).view(np.int64))
+def _bit_of(ids: np.ndarray, width: int) -> np.ndarray:
+    return (_text.mix(ids.astype(np.int64).view(_U)) >> _U(64 - width)).astype(np.int64)
+
+
+def bit_filter(ids: DataFrame, width: int) -> np.ndarray:
+    """A bit for the hash of each id in the one column of ``ids``: what has none isn't there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(1 << (width - 3), np.uint8)
+        for batch in batches:
+            at = _bit_of(batch.column(0).to_numpy(zero_copy_only=False), width)
+            np.bitwise_or.at(bits, at >> 3, np.uint8(128) >> (at & 7).astype(np.uint8))
+        yield _bins.parts(bits.view(np.int64))
+
+    return _bins.merged(ids.mapInArrow(run, _bins.PARTS), _bins.tasks_of(ids), (1 << width) // 64, bits=True)
+
+
+def _has_bit(cells: np.ndarray, ids: np.ndarray, width: int) -> np.ndarray:
+    at = _bit_of(ids, width)
+    return (cells.view(np.uint8)[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+
 
+def _with_bit(broadcast):
+    """Rows whose ``token`` the filter has."""
 
-def _bit_of(ids: np.ndarray) -> np.ndarray:
-    return (_text.mix(ids.astype(np.int64).view(_U)) >> _U(64 - FILTER_BITS)).astype(np.int64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_has_bit(broadcast.value, batch.column("token").to_numpy(zero_copy_only=False), TOKEN_BITS)))
+
+    return run
+
+
+def _repeated(broadcast):
+    """Entries of the shingles that the filter has: the others are surely a single class's."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens = batch.column("tokens")
+            sizes = np.diff(np.asarray(tokens.offsets))
+            flat = np.asarray(tokens.flatten())
+            keep = np.flatnonzero(_has_bit(broadcast.value, flat, TOKEN_BITS))
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            pos = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            own = pa.array(row[keep])
+            yield pa.RecordBatch.from_arrays([pa.array(flat[keep], pa.int64()), batch.column("cid").take(own), batch.column("n").take(own), pa.array(pos[keep], pa.int32())], ["token", "cid", "n", "pos"])
+
+    return run
 
 
-def _sets(broadcast, size: int):
-    """Sets of the documents whose bit is in the filter; others aren't shingled."""
+def _sets(documents, classes, size: int):
+    """Sets of the documents whose bit is in the filter, if their class's is too; others aren't shingled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(broadcast.value.view(np.uint8)).view(bool)
         for batch in batches:
-            wanted = bits[_bit_of(batch.column(0).to_numpy(zero_copy_only=False))]
+            wanted = _has_bit(documents.value, batch.column(0).to_numpy(zero_copy_only=False), FILTER_BITS)
             if not wanted.any():
                 continue
             for part in _text.chunks(batch.column(1).filter(pa.array(wanted)), _text.NOT_SPACE):
                 sets = [s for s in shingle_sets(part, size) if len(s)]
-                yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["cid", "n", "shingles"])
+                ids = np.array([set_id(s) for s in sets], np.int64)
+                own = np.flatnonzero(_has_bit(classes.value, ids, FILTER_BITS))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array([len(sets[i]) for i in own], pa.int64()), pa.array([sets[i].tobytes() for i in own], pa.binary())], ["cid", "n", "shingles"])
 
     return run
 
@@ -226,15 +272,17 @@ def jaccard_join(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = PERC
     their own that share the name.  Other columns are not read.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     texts = rows.select("text")
     cells = _bins.merged(texts.mapInArrow(_sketch(size), _bins.PARTS), _bins.tasks_of(texts), 1 << SKETCH_BITS)
     rank = spark.sparkContext.broadcast(np.rint(64 * np.log2(1.0 + cells)).astype(_U))
     prefixes = written(rows.mapInArrow(_prefixes(rank, size, percent), "doc_id bigint, cid bigint, n bigint, tokens array<bigint>"), "jaccard-prefixes")
     named = prefixes.where("doc_id is not null and cid is not null")
 
-    entries = named.select("cid", "n", F.posexplode("tokens").alias("pos", "token"))
-    listed = written(entries.groupBy("token").agg(F.min("cid").alias("first"), F.max("cid").alias("last")).where("first < last").drop("last"), "jaccard-lists")
+    tokens = named.select("cid", F.explode("tokens").alias("token")).groupBy("token").agg(F.min("cid").alias("first"), F.max("cid").alias("last"))
+    listed = written(tokens.where("first < last").drop("last"), "jaccard-lists")
+    repeated = spark.sparkContext.broadcast(bit_filter(listed.select("token"), TOKEN_BITS))
+    entries = named.select("cid", "n", "tokens").mapInArrow(_repeated(repeated), "token bigint, cid bigint, n bigint, pos int")
     lists = written(entries.join(listed, "token").groupBy("token", "cid", "n", "pos", "first").agg(F.lit(1).alias("one")).drop("one"), "jaccard-entries")
 
     votes = lists.groupBy("cid", "first", "n").agg(F.count(F.lit(1)).alias("votes"))
@@ -243,20 +291,24 @@ def jaccard_join(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = PERC
     pivot = written(pivot.select("cid", F.when(enough, -F.col("best.back")).otherwise(F.col("cid")).alias("pivot")), "jaccard-pivots")
     lead = pivot.join(pivot.select(F.col("cid").alias("pivot"), F.col("pivot").alias("lead")), "pivot", "left")
     family = written(lead.select("cid", F.coalesce("lead", "pivot").alias("lead")), "jaccard-families")
+    dropped(listed, pivot)
 
     pairs = _across(lists, family, percent)
     followers = family.where("cid <> lead")
     wanted = followers.select("cid").unionByName(followers.select(F.col("lead").alias("cid"))).unionByName(pairs.select(F.col("a").alias("cid"))).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
     home = written(named.groupBy("cid").agg(F.min("doc_id").alias("doc_id")), "jaccard-classes")
-    wanted_docs = home.join(wanted, "cid", "left_semi").select("doc_id")
-    bits = _bins.merged(wanted_docs.mapInArrow(_filter_bits, _bins.PARTS), _bins.tasks_of(wanted_docs), (1 << FILTER_BITS) // 64, bits=True)
-    chosen = rows.where("doc_id is not null").mapInArrow(_sets(spark.sparkContext.broadcast(bits), size), "cid bigint, n bigint, shingles binary")
-    sets = written(chosen.join(wanted, "cid", "left_semi").dropDuplicates(["cid"]), "jaccard-sets")
+    wanted = written(home.join(wanted, "cid", "left_semi"), "jaccard-wanted")
+    documents, chosen = (spark.sparkContext.broadcast(bit_filter(wanted.select(c), FILTER_BITS)) for c in ("doc_id", "cid"))
+    # what the filters let through besides is harmless, and so are documents whose rows repeat
+    sets = written(rows.where("doc_id is not null").mapInArrow(_sets(documents, chosen, size), "cid bigint, n bigint, shingles binary"), "jaccard-sets")
 
     inside = _inside(sets, family, percent)
-    leads = sets.select(F.col("cid").alias("b"), F.col("shingles").alias("other_shingles"))
-    across = pairs.join(sets.select(F.col("cid").alias("a"), "shingles"), "a").join(leads, "b").mapInArrow(_verified(percent), "a bigint, b bigint")
-    across = written(across, "jaccard-across")
+    few = F.broadcast if pairs.count() <= BROADCAST_PAIRS else lambda df: df
+    own = sets.select(F.col("cid").alias("a"), "shingles").join(few(pairs), "a")
+    others = sets.select(F.col("cid").alias("b"), F.col("shingles").alias("other_shingles")).join(few(pairs.select("b").distinct()), "b", "left_semi")
+    across = own.join(others, "b").mapInArrow(_verified(percent), "a bigint, b bigint")
+    across = written(across.distinct(), "jaccard-across")
+    dropped(sets, wanted, pairs, family, lists)
 
     edges = inside.select(F.col("cid").alias("u"), F.col("least").alias("v")).unionByName(across.select(F.col("a").alias("u"), F.col("b").alias("v")))
     counts = inside.select("cid", "links").unionByName(across.select(F.col("a").alias("cid"), F.lit(1).cast("long").alias("links"))).unionByName(across.select(F.col("b").alias("cid"), F.lit(1).cast("long").alias("links")))
@@ -268,6 +320,7 @@ def jaccard_join(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = PERC
         home.join(by_class, "cid", "left").join(n_links, "cid", "left").select("cid", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")),
         "jaccard-result",
     )
+    dropped(inside, across, home, named_component)
     return prefixes.join(classes, "cid", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")
     )
@@ -276,19 +329,37 @@ def jaccard_join(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = PERC
 def _across(lists: DataFrame, family: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs ``a, b`` of different families, each formed in the first list that both are in."""
     owned = written(lists.drop("first").join(family, "cid"), "jaccard-owned")
-    mixed = written(owned.groupBy("token").agg(F.min("lead").alias("one"), F.max("lead").alias("two")).where("one < two").select("token"), "jaccard-mixed")
-    by_class = owned.join(mixed, "token").groupBy("cid", "n", "lead").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("own"))
-    entry = by_class.select("cid", "n", "lead", "own", F.posexplode("own").alias("at", "here"))
-    entry = written(entry.select("cid", "n", "lead", F.col("here.pos").alias("pos"), F.col("here.token").alias("token"), F.transform(F.slice("own", F.lit(1), F.col("at")), lambda x: x["token"]).alias("before")), "jaccard-index")
+    bounds = owned.groupBy("token").agg(F.min("lead").alias("one"), F.max("lead").alias("two"), F.min("n").alias("lo"), F.max("n").alias("hi")).where("one < two").select("token", "lo", "hi")
+    mixed = written(bounds, "jaccard-mixed")
+    found = owned.sparkSession.sparkContext.broadcast(bit_filter(mixed.select("token"), TOKEN_BITS))
+    owned_mixed = owned.mapInArrow(_with_bit(found), owned.schema).join(mixed, "token")
+    by_class = owned_mixed.groupBy("cid", "n", "lead").agg(F.array_sort(F.collect_list(F.struct("pos", "token", "lo", "hi"))).alias("own"))
+    entry = by_class.select("cid", "n", "lead", F.transform("own", lambda e: e["token"]).alias("own"), F.posexplode("own").alias("at", "here"))
+    entry = entry.select("cid", "n", "lead", F.col("here.pos").alias("pos"), F.col("here.token").alias("token"), "own", "at", F.greatest("here.lo", F.ceil(F.col("n") * percent / 100)).alias("lo"), F.least("here.hi", F.floor(F.col("n") * 100 / percent)).alias("hi"))
+
+    def beyond(n):
+        return F.ceil(n * percent / 100) - 1
+
+    def enough(n, m, shared):
+        # shared shingles are in both prefixes, or beyond that of the set whose prefix ends first
+        return (100 + percent) * (shared + F.greatest(beyond(n), beyond(m))) >= percent * (n + m)
+
+    # a list is skipped by classes that no size in it lets reach the threshold
+    n, most = F.col("n"), F.size("own")
+    near = F.when(F.col("lo") <= n, enough(n, F.col("lo"), most)).otherwise(False) | F.when(F.col("hi") >= n, enough(n, F.col("hi"), most)).otherwise(False) | ((F.col("lo") > n) & enough(n, F.col("lo"), most)) | ((F.col("hi") < n) & enough(n, F.col("hi"), most))
+    entry = written(entry.where((F.col("lo") <= F.col("hi")) & near).drop("lo", "hi"), "jaccard-index")
     x, y = entry.alias("x"), entry.alias("y")
     smaller = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.cid") < F.col("y.cid")))
     left = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
     reach = (100 * F.col("x.n") >= percent * F.col("y.n")) & ((100 + percent) * left >= percent * (F.col("x.n") + F.col("y.n")))
-    first = ~F.arrays_overlap("x.before", "y.before")
+    first = ~F.arrays_overlap(F.slice("x.own", F.lit(1), F.col("x.at")), F.slice("y.own", F.lit(1), F.col("y.at")))
+    count = enough(F.col("x.n"), F.col("y.n"), F.size(F.array_intersect("x.own", "y.own")))
     # a pivot that follows another is also a member of its own family, where it has met its followers
     apart = (F.col("x.lead") != F.col("y.lead")) & (F.col("x.lead") != F.col("y.cid")) & (F.col("y.lead") != F.col("x.cid"))
-    joined = x.join(y, (F.col("x.token") == F.col("y.token")) & apart & smaller & reach & first)
-    return written(joined.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")), "jaccard-pairs")
+    joined = x.join(y, (F.col("x.token") == F.col("y.token")) & apart & smaller & reach & first & count)
+    pairs = written(joined.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")), "jaccard-pairs")
+    dropped(owned, mixed, entry)
+    return pairs
 
 
 def _inside(sets: DataFrame, family: DataFrame, percent: int) -> DataFrame:
@@ -297,13 +368,17 @@ def _inside(sets: DataFrame, family: DataFrame, percent: int) -> DataFrame:
     # a class that is followed is a member of its own family, whichever it follows itself
     member = family.where("cid <> lead").unionByName(followed.select(F.col("lead").alias("cid"), "lead"))
     own = sets.join(member, "cid")
-    other = sets.select(F.col("cid").alias("lead"), F.col("shingles").alias("lead_shingles"))
-    different = written(own.join(other, "lead").mapInArrow(_differences, "cid bigint, lead bigint, n bigint, lead_n bigint, removed array<int>, added array<bigint>"), "jaccard-differences")
+    # the pivots' side is the same exchange of sets by class as the one below the members' side
+    lead = sets.alias("p")
+    met = own.join(lead, F.col("lead") == F.col("p.cid")).select(own["cid"], "lead", own["n"], own["shingles"], F.col("p.n").alias("lead_n"), F.col("p.shingles").alias("lead_shingles"))
+    different = written(met.mapInArrow(_differences, "cid bigint, lead bigint, n bigint, lead_n bigint, removed array<int>, added array<bigint>"), "jaccard-differences")
     size = written(different.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "jaccard-sizes")
     placed = different.join(size, "lead").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks").cast("long")).cast("int"))
     dealt = placed.withColumn("mate", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"left": F.least("block", "mate"), "right": F.greatest("block", "mate")})
     kind = "cid bigint, least bigint, links bigint"
-    return written(dealt.groupBy("lead", "left", "right").applyInArrow(_linked(percent), kind), "jaccard-inside")
+    links = written(dealt.groupBy("lead", "left", "right").applyInArrow(_linked(percent), kind), "jaccard-inside")
+    dropped(different, size)
+    return links
 
 
 def op1_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
