@@ -22,10 +22,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _text
+from ._store import small_batches
 
 ORDER = 3
-#: Training bound: texts a language, and code points a text.  Longer texts aren't trained on.
-TRAIN_DOCS, TRAIN_CHARS = 300, 20_000
+#: Training bound: languages (the most frequent), texts a language, and code points a text.  Longer
+#: texts aren't trained on.
+TRAIN_LANGS, TRAIN_DOCS, TRAIN_CHARS = 64, 300, 20_000
 UNDETERMINED = "und"
 _LETTER = regex.compile(r"\p{L}")
 _FEED = 0x0A
@@ -173,15 +175,22 @@ def _predict(broadcast):
     return run
 
 
-def training_sample(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_chars: int = TRAIN_CHARS) -> DataFrame:
-    """``lang, text`` of at most ``train_docs`` texts a language, chosen by a hash of ``doc_id``.
+def training_sample(docs: DataFrame, langs: int = TRAIN_LANGS, train_docs: int = TRAIN_DOCS, train_chars: int = TRAIN_CHARS) -> DataFrame:
+    """``lang, text`` of at most ``train_docs`` texts of each of the ``langs`` most frequent languages.
 
-    Only documents whose crc32 of ``doc_id`` (as text) is not 1 modulo 3.  The ranks are limited
-    before the shuffle, so a language with most of the rows sends no more than the others.
+    Only documents whose crc32 of ``doc_id`` (as text) is not 1 modulo 3; those of the smallest hashes
+    of ``doc_id``.  A hash bound that lets about four times as many pass, from the language's count, goes
+    before the ranking, so that no task ranks more than that, however large the corpus is.
     """
     usable = docs.where("doc_id is not null and lang is not null and text is not null and crc32(cast(cast(doc_id as string) as binary)) % 3 <> 1").where(F.length("text").between(1, train_chars))
-    by = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
-    return usable.select("lang", "doc_id", "text").withColumn("lf_rank", F.row_number().over(by)).where(F.col("lf_rank") <= train_docs).select("lang", "text")
+    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(langs).collect()
+    if not counts:
+        return usable.select("lang", "text").limit(0)
+    bound = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(2**63 - 1, int(2**63 * min(1.0, 4 * train_docs / r["n"]))))])
+    chance = F.xxhash64("doc_id").bitwiseAND(F.lit(2**63 - 1))
+    chosen = usable.select("lang", "doc_id", "text", chance.alias("lf_chance")).where(F.col("lf_chance") <= F.try_element_at(bound, F.col("lang")))
+    by = Window.partitionBy("lang").orderBy("lf_chance", "doc_id", "text")
+    return chosen.withColumn("lf_rank", F.row_number().over(by)).where(F.col("lf_rank") <= train_docs).select("lang", "text")
 
 
 def identify(docs: DataFrame, sample: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -195,7 +204,7 @@ def identify(docs: DataFrame, sample: DataFrame, id_col: str = "doc_id", text_co
     texts: dict[str, list[bytes]] = {}
     for r in sample.orderBy("lang", "text").collect():
         texts.setdefault(r["lang"], []).append(r["text"].encode())
-    rows = docs.select(F.col(id_col).alias("lf_id"), F.col(text_col).alias("lf_text"))
+    rows = small_batches(docs).select(F.col(id_col).alias("lf_id"), F.col(text_col).alias("lf_text"))
     kind = dict(rows.dtypes)["lf_id"]
     if not texts:
         return rows.select(F.col("lf_id").alias(id_col), F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("bits_per_byte"))
