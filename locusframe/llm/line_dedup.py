@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._store import small_batches, written
+
 #: Fixed values of the contract: white space stripped from both ends of a line.
 STRIP = b"\x20\x09\x0a\x0b\x0c\x0d"
 _LINES = "doc_id bigint, row_key bigint, h1 bigint, h2 bigint, pos int"
@@ -80,7 +82,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> Data
     for no key.  Repeated rows of a ``doc_id`` are one document and each is cleaned.  Other columns,
     whatever their names, pass through; only the three ``lf_`` columns are replaced.
     """
-    shared = shared_lines(docs, min_chars, min_docs)
+    # as a table, so that the join's hot lines can be split over tasks
+    shared = written(shared_lines(small_batches(docs), min_chars, min_docs), "shared-lines")
     lines = _rows(docs).mapInArrow(_keyed_lines(min_chars, False), _LINES)
     drops = (
         lines.join(shared, ["h1", "h2"])
@@ -92,14 +95,15 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> Data
     left = out.withColumns({"lf_doc": F.col("doc_id").cast("long"), "lf_key": F.xxhash64("text")})
     text = F.coalesce("text", F.lit(""))
     parts = F.split(text, "\n", -1)
-    kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "lf_drop")
+    # the lines are bound to a variable of their own, else they would be split again for each line kept
+    kept = F.transform(F.array(parts), lambda p: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(p) - 1), F.col("lf_drop")), lambda i: F.get(p, i)), "\n"))[0]
     return (
         left.join(drops, ["lf_doc", "lf_key"], "left")
         .withColumns(
             {
                 "lf_n_lines": F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + F.lit(1).cast("long"),
                 "lf_n_dropped": F.coalesce(F.size("lf_drop"), F.lit(0)).cast("long"),
-                "lf_kept": F.when(F.col("lf_drop").isNull(), text).otherwise(F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n")),
+                "lf_kept": F.when(F.col("lf_drop").isNull(), text).otherwise(kept),
             }
         )
         .select(*out.columns, "lf_kept", "lf_n_lines", "lf_n_dropped")
