@@ -49,7 +49,7 @@ def parsed(hints: DataFrame, attributes: str = "attributes") -> DataFrame:
         {
             "type": type_name("type"),
             "grp": pick("group", "grp"),
-            "priority": F.coalesce(F.regexp_extract(pick("priority", "pri"), r"^\s*(-?\d+)", 1).try_cast("int") if hasattr(F.col("x"), "try_cast") else pick("priority", "pri").cast("int"), F.lit(-1)),
+            "priority": F.coalesce(F.regexp_extract(pick("priority", "pri"), r"^\s*(-?\d+)", 1).try_cast("int"), F.lit(-1)),
             "mult": F.coalesce(F.nullif(F.regexp_extract(a, r"mult=(\d+)", 1), F.lit("")).cast("int"), F.lit(1)),
             "esource": reduce(lambda x, y: F.coalesce(x, y), [F.nullif(F.regexp_extract(a, rf"{k}=([A-Za-z]+)", 1), F.lit("")) for k in ("source", "src")]),
         }

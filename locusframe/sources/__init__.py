@@ -1 +1,26 @@
+"""Readers and writers of genome file formats, as DataFrames.
 
+Readers split files by record where the format allows it, so that large files are shared by many
+tasks, and have fixed schemas.
+"""
+
+from .readers import (
+    read_bedgraph,
+    read_config,
+    read_fasta,
+    read_genbank,
+    read_gff,
+    read_gtf,
+    read_maf,
+    read_newick,
+    read_profile,
+    read_psl,
+    read_sam,
+    read_wiggle,
+)
+from .writers import write_bed12, write_bedgraph, write_fasta, write_genbank, write_gff, write_gtf, write_wiggle
+
+__all__ = [
+    "read_bedgraph", "read_config", "read_fasta", "read_genbank", "read_gff", "read_gtf", "read_maf", "read_newick", "read_profile", "read_psl", "read_sam", "read_wiggle",
+    "write_bed12", "write_bedgraph", "write_fasta", "write_genbank", "write_gff", "write_gtf", "write_wiggle",
+]
