@@ -144,6 +144,8 @@ def path_logp(model: Model, x: np.ndarray, path: list[tuple[int, int, int]], ext
     sums, total = _tables(model, x, extra), 0.0
     lengths = model.lengths(max((e - b + 1 for b, e, _ in path), default=1))
     for i, (b, e, s) in enumerate(path):
+        if e - b >= len(lengths[s]):
+            return -np.inf
         total += (model.start[s] if i == 0 else model.step[path[i - 1][2], s]) + lengths[s][e - b] + sums[e + 1, s] - sums[b, s]
     return float(total)
 
