@@ -261,3 +261,34 @@ def attach_hints(features: DataFrame, hints: DataFrame) -> DataFrame:
     best = hints.groupBy(*key).agg(F.sum("mult").cast("long").alias("mult"), F.array_join(F.array_sort(F.collect_set("esource")), ",").alias("sources"))
     out = features.join(best, key, "full_outer")
     return out.withColumn("has_feature", F.col("feature_id").isNotNull())
+
+
+#: Fixed value: what of a signal hint's bases is mandatory, as read on its strand.
+SIGNAL_BASES = {"start": ("ATG",), "stop": ("TAA", "TAG", "TGA"), "dss": ("GT", "GC"), "ass": ("AG",)}
+
+
+def consistent_with_sequence(hints: DataFrame, sequences: DataFrame) -> DataFrame:
+    """``hints`` with ``consistent``: signals have their bases, introns their splice sites; null if the
+    type has no such rule.  Without a strand either strand will do."""
+    from ..functions.sequence import reverse_complement, splice_motif, subsequence
+
+    rows = hints.join(sequences.select("seq", F.col("bases").alias("_b")), "seq")
+    own = F.upper(F.when(F.col("end") - F.col("start") < 3, subsequence("_b", "start", "end")).otherwise(F.lit("")))
+    back = reverse_complement(own)
+
+    def on(forward: Column, reverse: Column, wanted: tuple[str, ...]) -> Column:
+        plus, minus = forward.isin(*wanted), reverse.isin(*wanted)
+        return F.when(F.col("strand") == "+", plus).when(F.col("strand") == "-", minus).otherwise(plus | minus)
+
+    rule = F.when(F.col("type") == "intron", on(splice_motif("_b", "start", "end"), reverse_complement(splice_motif("_b", "start", "end")), ("GTAG", "GCAG", "ATAC")))
+    for kind, wanted in SIGNAL_BASES.items():
+        rule = rule.when(F.col("type") == kind, on(own, back, wanted))
+    return rows.withColumn("consistent", rule).drop("_b")
+
+
+def hinted_splice_sites(introns: DataFrame) -> DataFrame:
+    """``seq, type, start, end, strand, mult``: the splice sites that intron hints imply, collapsed."""
+    left = F.struct(F.when(F.col("strand") == "-", "ass").otherwise("dss").alias("type"), (F.col("start") - 1).alias("start"))
+    right = F.struct(F.when(F.col("strand") == "-", "dss").otherwise("ass").alias("type"), (F.col("end") + 1).alias("start"))
+    rows = introns.where("strand in ('+', '-')").select("seq", "strand", "mult", F.explode(F.array(left, right)).alias("s"))
+    return rows.groupBy("seq", "s.type", "s.start", "strand").agg(F.sum("mult").cast("long").alias("mult")).withColumn("end", F.col("start"))

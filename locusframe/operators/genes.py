@@ -278,3 +278,18 @@ def packed_chunks(clusters: DataFrame, size: int) -> DataFrame:
 
     got = running_sum(clusters.withColumn("_all", F.lit(0)), ["_all"], "cluster", ["cluster"], "n", "_sum", CHUNK)
     return got.withColumn("chunk", F.floor((F.col("_sum") - F.col("n")) / size).cast("long")).drop("_all", "_sum")
+
+
+def within(transcripts: DataFrame, regions: DataFrame, inside: bool = True) -> DataFrame:
+    """Transcripts (``tid, seq, start, end``) that lie wholly in a region, or overlap none with ``inside=False``."""
+    from .intervals import contained_join
+
+    if inside:
+        return transcripts.join(contained_join(transcripts.select("tid", "seq", "start", "end"), regions).select("tid").distinct(), "tid", "left_semi")
+    return transcripts.join(overlap_join(transcripts.select("tid", "seq", "start", "end"), regions).select("tid").distinct(), "tid", "left_anti")
+
+
+def unique_peptides(peptides: DataFrame) -> DataFrame:
+    """``peptide, header, mult``: each peptide (``peptide, header, ord``) with its first header and how often that one has it."""
+    first = peptides.groupBy("peptide").agg(F.min(F.struct("ord", "header")).alias("_f")).select("peptide", F.col("_f.header").alias("header"))
+    return peptides.join(first, ["peptide", "header"]).groupBy("peptide", "header").agg(F.count(F.lit(1)).alias("mult"))

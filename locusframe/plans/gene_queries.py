@@ -248,3 +248,22 @@ def identity_dedup(spark, sf_dir):
     pairs = G.cooccurrence(t).withColumn("identity", (F.col("a") * 31 + F.col("b")) % 100 / 100.0)
     found = connected(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")))
     return G.dedup_by_identity(t.select("item").distinct(), pairs.join(found.withColumnRenamed("node", "a"), "a"))
+
+
+@query("complete_in_region", f"""with {_TX}, r as (select s_suppkey as seq, 800 as lo, 2400 as hi from supplier) select tid from tx join r using (seq) where lo <= s and e <= hi""")
+def complete_in_region(spark, sf_dir):
+    r = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("seq"), F.lit(800).cast("long").alias("start"), F.lit(2400).cast("long").alias("end"))
+    return G.within(transcripts(spark, sf_dir), r).select("tid")
+
+
+@query("outside_regions", f"""with {_TX}, r as (select s_suppkey as seq, 800 as lo, 2400 as hi from supplier) select tid from tx where not exists (select 1 from r where r.seq = tx.seq and lo <= e and s <= hi)""")
+def outside_regions(spark, sf_dir):
+    r = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("seq"), F.lit(800).cast("long").alias("start"), F.lit(2400).cast("long").alias("end"))
+    return G.within(transcripts(spark, sf_dir), r, False).select("tid")
+
+
+@query("unique_peptides", """with p as (select o_custkey::varchar as peptide, o_orderpriority as header, o_orderkey as ord from orders), f as (select peptide, arg_min(header, ord) as header from p group by peptide)
+select peptide, header, count(*) as mult from p join f using (peptide, header) group by all""")
+def unique_peptides(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    return G.unique_peptides(o.select(F.col("o_custkey").cast("string").alias("peptide"), F.col("o_orderpriority").alias("header"), F.col("o_orderkey").alias("ord")))

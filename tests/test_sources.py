@@ -101,3 +101,24 @@ def test_bed12(spark, tmp_path):
     S.write_bed12(s, str(tmp_path / "b"))
     assert [r.value for r in spark.read.text(str(tmp_path / "b")).collect()] == ["c\t0\t30\tt\t0\t+\t5\t30\t0\t3\t5,5,10,\t0,5,20,"]
     assert F.col is not None
+
+
+def test_genome_store(spark, tmp_path):
+    from locusframe.sources.store import GenomeStore, dimension
+
+    store = GenomeStore(spark, str(tmp_path / "store"))
+    bases = "ACGTTGCA" * 30
+    store.load_genome("fly", spark.createDataFrame([("c1", bases), ("c2", "AC")], "seq string, bases string"), 50)
+    store.load_genome("man", spark.createDataFrame([("c1", "GG")], "seq string, bases string"), 50)
+    hints = S.read_gff(spark, put(tmp_path, "s.gff", "c1\tb\tintron\t5\t90\t1\t+\t.\tsrc=E\nc1\tb\tintron\t5\t90\t1\t+\t.\tsrc=E\nc9\tb\texon\t1\t2\t1\t+\t.\tsrc=E"))
+    store.load_hints("fly", hints)
+    regions = spark.createDataFrame([(1, "c1", 45, 160), (2, "c2", 1, 2), (3, "c1", 100, 100)], "rid int, seq string, start bigint, end bigint")
+    assert {r.rid: r.bases for r in store.bases("fly", regions).collect()} == {1: bases[44:160], 2: "AC", 3: bases[99]}
+    assert [r.rid_r for r in store.hints("fly", regions).collect()] == [1]
+    assert store.hints("fly", regions, "end_in_range").count() == 1
+    assert [(r.species, r.seq) for r in store.orphan_sequences().collect()] == [("fly", "c9")]
+    store.delete("man")
+    assert store.species() == ["fly"]
+    known = dimension(spark.createDataFrame([("b",), ("a",), ("b",)], "name string"), "name")
+    more = dimension(spark.createDataFrame([("0",), ("a",)], "name string"), "name", known)
+    assert sorted(map(tuple, more.collect())) == [("0", 3), ("a", 1), ("b", 2)]
