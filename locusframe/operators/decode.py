@@ -245,20 +245,29 @@ def accurate_paths(segments: DataFrame, bonus: float = 0.0, cost: float = 0.5) -
     ``segments``: ``seq string, start, end, posterior``; an exon weighs ``length * (posterior - cost) + bonus``.
     Overlapping stretches are independent, so each is a group.
     """
-    from .graphs import longest_path
+    from bisect import bisect_left
+
     from .intervals import clustered
 
     stretches = clustered(segments.groupBy("seq", "start", "end").agg(F.max("posterior").alias("posterior")), ("seq",), out="_s")
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["start", "end"]).reset_index(drop=True)
-        weight = (frame["end"] - frame["start"] + 1) * (frame["posterior"] - cost) + bonus
-        n = len(frame)
-        edges = [(0, i + 1, float(weight[i])) for i in range(n)] + [(i + 1, n + 1, 0.0) for i in range(n)] + [(0, n + 1, 0.0)]
-        edges += [(i + 1, j + 1, float(weight[j])) for i in range(n) for j in range(i + 1, n) if frame["start"][j] > frame["end"][i]]
-        _, path = longest_path(n + 2, sorted(edges), 0, n + 1)
-        kept = [i - 1 for i in path if 1 <= i <= n]
-        return pd.DataFrame({"seq": frame["seq"][kept], "start": frame["start"][kept], "end": frame["end"][kept], "weight": weight[kept]})
+        frame = frame.sort_values(["end", "start"]).reset_index(drop=True)
+        weight = ((frame["end"] - frame["start"] + 1) * (frame["posterior"] - cost) + bonus).tolist()
+        ends, starts = frame["end"].tolist(), frame["start"].tolist()
+        best, take = [0.0], []
+        for i, w in enumerate(weight):
+            before = best[bisect_left(ends, starts[i], 0, i)]
+            take.append(before + w > best[-1])
+            best.append(max(best[-1], before + w))
+        kept, i = [], len(weight) - 1
+        while i >= 0:
+            if take[i]:
+                kept.append(i)
+                i = bisect_left(ends, starts[i], 0, i) - 1
+            else:
+                i -= 1
+        return pd.DataFrame({"seq": frame["seq"][kept], "start": frame["start"][kept], "end": frame["end"][kept], "weight": [weight[i] for i in kept]})
 
     return stretches.groupBy("seq", "_s").applyInPandas(run, "seq string, start bigint, end bigint, weight double")
 

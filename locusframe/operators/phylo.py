@@ -133,7 +133,7 @@ def _codon_branches(omega: float, kappa: float, lengths: tuple[float, ...]) -> t
 
 
 #: Grid and prior of omega.
-OMEGAS = tuple(np.round(np.exp(np.linspace(np.log(0.05), np.log(3.0), 15)), 6).tolist())
+OMEGAS = tuple(np.round(np.exp(np.linspace(np.log(0.05), np.log(3.0), 8)), 6).tolist())
 
 
 def column_scores(columns: DataFrame, tree: Tree, kappa: float = 4.0) -> DataFrame:

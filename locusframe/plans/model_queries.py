@@ -17,15 +17,18 @@ TREE = parse_newick("((a:0.2,b:0.3):0.1,(c:0.15,d:0.4):0.2);")
 
 
 def alignment(spark, sf_dir):
-    """Four documents are the rows of a block of a hundred columns; c's become gaps."""
-    rows = sequences(spark, sf_dir).where("length(bases) >= 100")
+    """Four documents are the rows of a block, padded to the longest; c's become gaps."""
+    from pyspark.sql import Window
+
+    wide = F.max(F.length("bases")).over(Window.partitionBy(F.floor(F.col("seq") / 4)))
+    rows = sequences(spark, sf_dir).withColumn("wide", wide).where("wide > 0")
     return rows.select(
         F.floor(F.col("seq") / 4).alias("block"), F.element_at(F.array(*[F.lit(x) for x in "abcd"]), (F.col("seq") % 4 + 1).cast("int")).alias("species"), F.col("seq").cast("string").alias("seq"), (F.col("seq") * 10).alias("start"),
-        F.lit(100).cast("long").alias("size"), F.when(F.col("seq") % 2 == 0, "+").otherwise("-").alias("strand"), F.lit(20000).cast("long").alias("src_size"), F.translate(F.substring("bases", 1, 100), "c", "-").alias("text"),
+        F.lit(100).cast("long").alias("size"), F.when(F.col("seq") % 2 == 0, "+").otherwise("-").alias("strand"), F.lit(20000).cast("long").alias("src_size"), F.translate(F.expr("rpad(bases, wide, '-')"), "c", "-").alias("text"),
     )
 
 
-ALN = f"{SEQ}, aln as (select seq // 4 as block, (array['a','b','c','d'])[seq % 4 + 1] as species, translate(substring(bases, 1, 100), 'c', '-') as text, seq, seq * 10 as start, case seq % 2 when 0 then '+' else '-' end as strand from sequences where length(bases) >= 100), cells as (select block, species, i - 1 as i, substring(text, i::int, 1) as c from (select *, unnest(range(1, 101)) as i from aln))"
+ALN = f"{SEQ}, aln as (select seq // 4 as block, (array['a','b','c','d'])[seq % 4 + 1] as species, translate(rpad(bases, wide::int, '-'), 'c', '-') as text, seq, seq * 10 as start, case seq % 2 when 0 then '+' else '-' end as strand from (select *, max(length(bases)) over (partition by seq // 4) as wide from sequences) where wide > 0), cells as (select block, species, i - 1 as i, substring(text, i::int, 1) as c from (select *, unnest(range(1, length(text) + 1)) as i from aln))"
 
 
 @query("column_conservation", f"""with {ALN}, c as (select block, i, upper(c) as c, count(*) as n from cells where upper(c) in ('A', 'C', 'G', 'T') group by all), t as (select block, i, sum(n) as t, sum(n * log2(n)) as s from c group by block, i)
@@ -80,8 +83,8 @@ def decoded_segments(spark, sf_dir):
 
 @query("accurate_paths")
 def accurate_paths(spark, sf_dir):
-    s = intervals(spark, sf_dir).where("strand = '+'").select(F.col("seq").cast("string").alias("seq"), "start", "end", ((F.col("id") % 97 + 1) / 100.0).alias("posterior"))
-    return D.accurate_paths(s.groupBy("seq", "start", "end").agg(F.max("posterior").alias("posterior")).where("start % 20 < 4 and end - start < 12"))
+    s = intervals(spark, sf_dir).select(F.concat("seq", "strand").alias("seq"), "start", "end", ((F.col("id") % 97 + 1) / 100.0).alias("posterior"))
+    return D.accurate_paths(s)
 
 
 @query("exon_candidates", f"""with {SEQ}, cod as (select seq, i, upper(substring(bases, i::int, 3)) as c from (select seq, bases, unnest(range(1, length(bases) - 1)) as i from sequences)),

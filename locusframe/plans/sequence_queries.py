@@ -78,20 +78,28 @@ def orf_stretches(spark, sf_dir):
 @query("longest_orf", f"with {_STOPS}, s as (select seq, frame, (a + 1) * 3 + frame + 1 as start, b - a - 1 as codons from stretch where b - a - 1 > 0) select seq, frame, start, codons from (select *, row_number() over (partition by seq order by codons desc, frame, start) as r from s) where r = 1")
 def longest_orf(spark, sf_dir):
     o = S.longest_orf("bases")
-    return sequences(spark, sf_dir).select("seq", o.alias("o")).where("o.codons > 0").select("seq", "o.frame", F.col("o.start").cast("int").alias("start"), "o.codons")
+    return sequences(spark, sf_dir).select("seq", o.alias("o")).where("o.codons > 0").select("seq", "o.frame", F.col("o.start").cast("long").alias("start"), F.col("o.codons").cast("long").alias("codons"))
 
 
-@query("kmer_numbers", f"with {SEQ} select seq, list_sum([(strpos('ACGT', upper(substring(bases, i, 1))) - 1) * pow(4, 8 - i) for i in range(1, 9)])::bigint as code from sequences where length(bases) >= 8")
+_SITES = f"{SEQ}, sites as (select seq * 1000000 + k as id, substring(bases, (k * 8 + 1)::int, 8) as b from (select seq, bases, unnest(range(length(bases) // 8)) as k from sequences)), cells as (select id, i - 1 as pos, upper(substring(b, i::int, 1)) as letter from (select *, unnest(range(1, 9)) as i from sites)), c as (select pos, letter, count(*) as n from cells group by all), t as (select pos, sum(n) as total from c group by pos)"
+
+
+def sites(spark, sf_dir):
+    """``id, bases``: the sequences cut into sites of eight bases."""
+    rows = sequences(spark, sf_dir).select("seq", F.posexplode(S.pieces("bases", 8)).alias("k", "bases")).where("length(bases) = 8")
+    return rows.select((F.col("seq") * 1000000 + F.col("k")).alias("id"), "bases")
+
+
+@query("kmer_numbers", f"with {_SITES} select id, sum((strpos('ACGT', letter) - 1) * pow(4, 7 - pos))::bigint as code from cells group by id")
 def kmer_numbers(spark, sf_dir):
-    return sequences(spark, sf_dir).where("length(bases) >= 8").select("seq", S.kmer_number(F.substring("bases", 1, 8)).alias("code"))
+    return sites(spark, sf_dir).select("id", S.kmer_number("bases").alias("code"))
 
 
-@query("repetitive_kmers", f"""with {SEQ}, s as (select * from sequences where length(bases) between 1 and 400), km as (select seq, k, substring(bases, i::int + 1, k::int) as kmer from (select seq, bases, k, unnest(range(0, length(bases) - k + 1)) as i from s, (select unnest(range(3, 9)) as k))),
+@query("repetitive_kmers", f"""with {SEQ}, s as (select * from sequences), km as (select seq, k, substring(bases, i::int + 1, k::int) as kmer from (select seq, bases, k, unnest(range(0, length(bases) - k + 1)) as i from s, (select unnest(range(3, 9)) as k))),
 c as (select seq, k, kmer, count(*) as n from km group by all), sh as (select seq, k, sum(case when n > 2 then n else 0 end) / sum(n)::double as share from c group by seq, k)
 select seq, k::int as k, round(share, 9) as share from (select *, row_number() over (partition by seq order by k desc) as r from sh where share >= case when k > 5 then 0.5 else 0.75 end) where r = 1""")
 def repetitive_kmers(spark, sf_dir):
-    s = sequences(spark, sf_dir).where("length(bases) between 1 and 400")
-    return Q.repetitive(s, 8, 3, 2).withColumn("share", F.round("share", 9))
+    return Q.repetitive(sequences(spark, sf_dir), 8, 3, 2).withColumn("share", F.round("share", 9))
 
 
 _LETTERS = "select seq, i, substring(bases, i::int, 1) as c from (select seq, bases, unnest(range(1, length(bases) + 1)) as i from masked)"
@@ -153,18 +161,16 @@ def chunked_fetch(spark, sf_dir):
     return Q.fetch_chunks(Q.chunked(sequences(spark, sf_dir), 100), r)
 
 
-@query("position_weights", f"""with {SEQ}, p as (select i - 1 as pos, upper(substring(bases, i::int, 1)) as letter from (select bases, unnest(range(1, 9)) as i from sequences where length(bases) >= 8)), c as (select pos, letter, count(*) as n from p group by all), t as (select pos, sum(n) as total from c group by pos)
+@query("position_weights", f"""with {_SITES}
 select pos::int as pos, l.letter, round(ln((coalesce(n, 0) + 1.0) / (total + 4.0)), 9) as logp from t cross join (values ('A'), ('C'), ('G'), ('T')) l(letter) left join c using (pos, letter)""")
 def position_weights(spark, sf_dir):
-    sites = sequences(spark, sf_dir).where("length(bases) >= 8").select(F.substring("bases", 1, 8).alias("bases"))
-    return Q.position_weights(sites).withColumn("logp", F.round("logp", 9))
+    return Q.position_weights(sites(spark, sf_dir)).withColumn("logp", F.round("logp", 9))
 
 
-@query("weight_scores", f"""with {SEQ}, p as (select seq, i - 1 as pos, upper(substring(bases, i::int, 1)) as letter from (select seq, bases, unnest(range(1, 9)) as i from sequences where length(bases) >= 8)), c as (select pos, letter, count(*) as n from p group by all), t as (select pos, sum(n) as total from c group by pos)
-select seq as id, round(sum(ln((n + 1.0) / (total + 4.0))), 6) as score from p join c using (pos, letter) join t using (pos) group by seq""")
+@query("weight_scores", f"with {_SITES} select id, round(sum(ln((n + 1.0) / (total + 4.0))), 6) as score from cells join c using (pos, letter) join t using (pos) group by id")
 def weight_scores(spark, sf_dir):
-    sites = sequences(spark, sf_dir).where("length(bases) >= 8").select(F.col("seq").alias("id"), F.substring("bases", 1, 8).alias("bases"))
-    return Q.weight_scores(sites, Q.position_weights(sites)).withColumn("score", F.round("score", 6))
+    s = sites(spark, sf_dir)
+    return Q.weight_scores(s, Q.position_weights(s)).withColumn("score", F.round("score", 6))
 
 
 @query("markov_scores", f"""with {SEQ}, k as (select seq, upper(substring(bases, i::int, 4)) as kmer from (select seq, bases, unnest(range(1, length(bases) - 2)) as i from sequences)), c as (select kmer, count(*) as n from k group by kmer), t as (select kmer[1:3] as context, sum(n) as total from c group by 1)
@@ -174,10 +180,10 @@ def markov_scores(spark, sf_dir):
     return Q.markov_scores(s, Q.markov_model(Q.kmer_counts(s, 4)), 3).withColumn("score", F.round("score", 4))
 
 
-@query("splice_motifs", f"with {SEQ}, m as (select seq, upper(substring(bases, 11, 2) || substring(bases, 59, 2)) as motif from sequences where length(bases) >= 60) select seq, motif, case when motif like '%GTAG%' then '+' when reverse(translate(motif, 'ACGT', 'TGCA')) like '%GTAG%' then '-' end as strand from m")
+@query("splice_motifs", f"with {SEQ}, m as (select seq, upper(substring(bases, 3, 2) || substring(bases, length(bases) - 3, 2)) as motif from sequences where length(bases) >= 8) select seq, motif, case when motif like '%GTAG%' then '+' when reverse(translate(motif, 'ACGT', 'TGCA')) like '%GTAG%' then '-' end as strand from m")
 def splice_motifs(spark, sf_dir):
-    m = S.splice_motif("bases", F.lit(11), F.lit(60))
-    return sequences(spark, sf_dir).where("length(bases) >= 60").select("seq", m.alias("motif")).withColumn("strand", S.motif_strand("motif"))
+    m = S.splice_motif("bases", F.lit(3), F.length("bases") - 2)
+    return sequences(spark, sf_dir).where("length(bases) >= 8").select("seq", m.alias("motif")).withColumn("strand", S.motif_strand("motif"))
 
 
 @query("exon_parts", f'with {IV}, w as (select id, s, e, (e - s + 1) // 5 as w from iv), p as (select id, i, s + i * w as a, case when i = 4 then e else s + (i + 1) * w - 1 end as b from w, (select unnest(range(5)) as i)) select id, a as start, b as "end", count(*) as n from p where a <= b group by all')
@@ -209,10 +215,10 @@ def faded_bonus(spark, sf_dir):
     return intervals(spark, sf_dir).select("id", F.round(scores.faded_bonus(F.lit(1.5), "start", "end", F.col("start") + 2), 9).alias("bonus"))
 
 
-@query("clean_headers", "select doc_id as seq, 'seq' || doc_id as name, regexp_replace(left(text, 40), '[^A-Za-z0-9]+', '_', 'g') as header from documents where text is not null")
+@query("clean_headers", "select doc_id as seq, 'seq' || doc_id as name, md5(regexp_replace(text, '[^A-Za-z0-9]+', '_', 'g')) as header from documents where text is not null")
 def clean_headers(spark, sf_dir):
     d = table(spark, sf_dir, "documents").where("text is not null")
-    return d.select(F.col("doc_id").alias("seq"), F.concat(F.lit("seq"), F.col("doc_id").cast("string")).alias("name"), F.regexp_replace(F.substring("text", 1, 40), "[^A-Za-z0-9]+", "_").alias("header"))
+    return d.select(F.col("doc_id").alias("seq"), F.concat(F.lit("seq"), F.col("doc_id").cast("string")).alias("name"), F.md5(F.regexp_replace("text", "[^A-Za-z0-9]+", "_")).alias("header"))
 
 
 @query("merged_masks", f"with {_TWO}, m as (select seq, md5(string_agg(case when x between 'a' and 'z' or y between 'a' and 'z' then lower(x) else x end, '' order by i)) as digest from (select seq, i, substring(a, i::int, 1) as x, substring(b, i::int, 1) as y from (select *, unnest(range(1, length(a) + 1)) as i from two)) group by seq) select seq, digest from m")

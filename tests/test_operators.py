@@ -238,6 +238,11 @@ def test_graphs(spark):
     assert graphs.strong_components(12, directed) == [min(j for j in range(12) if j in reach[i] and i in reach[j]) for i in range(12)]
 
 
+def test_longest_path():
+    edges = [(0, 1, 2.0), (0, 2, 5.0), (1, 3, 4.0), (2, 3, 0.5), (3, 4, -1.0), (0, 4, 4.0)]
+    assert graphs.longest_path(5, edges, 0, 4) == (5.0, [0, 1, 3, 4])
+
+
 def test_signal_windows_cross_blocks(spark):
     rng = random.Random(6)
     value = {p: rng.randrange(9) for p in rng.sample(range(500), 300)}
