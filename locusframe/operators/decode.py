@@ -269,7 +269,8 @@ def accurate_paths(segments: DataFrame, bonus: float = 0.0, cost: float = 0.5) -
                 i -= 1
         return pd.DataFrame({"seq": frame["seq"][kept], "start": frame["start"][kept], "end": frame["end"][kept], "weight": [weight[i] for i in kept]})
 
-    return stretches.groupBy("seq", "_s").applyInPandas(run, "seq string, start bigint, end bigint, weight double")
+    # stretches are disjoint, so neighbouring ones can share a group and its cost
+    return stretches.groupBy("seq", F.floor(F.col("_s") / 256)).applyInPandas(run, "seq string, start bigint, end bigint, weight double")
 
 
 def trained(sequences: DataFrame, labels: DataFrame, states: list[str], pseudo: float = 1.0) -> Model:

@@ -149,7 +149,8 @@ def limited_tracks(segments: DataFrame, tracks: int) -> DataFrame:
                 keep.append(r.Index)
         return frame.loc[keep][schema.names]
 
-    return stretches.groupBy("seq", "_stretch").applyInPandas(accept, schema)
+    # stretches are disjoint, so neighbouring ones can share a group and its cost
+    return stretches.groupBy("seq", F.floor(F.col("_stretch") / 256)).applyInPandas(accept, schema)
 
 
 def combined_transcripts(parts: DataFrame) -> DataFrame:
