@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 _U = np.uint64
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 #: Byte classes: words between white space, and words of letters, digits and non-ASCII.
 NOT_SPACE = np.ones(256, bool)
@@ -109,6 +109,8 @@ def chunks(column: pa.Array, word_bytes: np.ndarray, size: int = CHUNK_BYTES) ->
         end = np.flatnonzero(ends) + 1
         yield Words(lo, hi, buf, row_start, row_end, start, end, np.searchsorted(start, row_start), np.searchsorted(start, row_end))
         lo = hi
+    del column, data, offsets, raw, off
+    pa.default_memory_pool().release_unused()
 
 
 def code_point_prefix(buf: np.ndarray) -> np.ndarray:

@@ -154,23 +154,19 @@ def _predict(broadcast):
         model: Model = broadcast.value
         for batch in batches:
             texts = batch.column(1)
-            for part in _text.chunks(texts, _text.NOT_SPACE, 1 << 19):
+            langs, scores, costs = [], [], []
+            for part in _text.chunks(texts, _text.NOT_SPACE):
                 bits = code_lengths(model, part)
-                order = np.argsort(bits, axis=1, kind="stable")
-                best = order[:, 0]
+                best = np.argmin(bits, axis=1)
                 odds = np.exp2(-np.minimum(bits - bits.min(axis=1, keepdims=True), 1000))
-                score = 1 / odds.sum(axis=1)
                 n_bytes = part.row_end - part.row_start
-                known = [_LETTER.search(texts[part.lo + r].as_py() or "") is not None for r in range(part.hi - part.lo)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(part.lo, part.hi - part.lo),
-                        pa.array([model.langs[b] if k else UNDETERMINED for b, k in zip(best, known, strict=True)]),
-                        pa.array(np.where(known, score, 0.0)),
-                        pa.array(np.where(known, bits.min(axis=1) / np.maximum(n_bytes, 1), 0.0)),
-                    ],
-                    ["lf_id", "lang_pred", "score", "bits_per_byte"],
-                )
+                known = np.array([_LETTER.search(texts[part.lo + r].as_py() or "") is not None for r in range(part.hi - part.lo)])
+                langs += [model.langs[b] if k else UNDETERMINED for b, k in zip(best, known, strict=True)]
+                scores.append(np.where(known, 1 / odds.sum(axis=1), 0.0))
+                costs.append(np.where(known, bits.min(axis=1) / np.maximum(n_bytes, 1), 0.0))
+            # one result a batch: the id column, which may hold whole rows, is passed on as it is
+            none = [np.zeros(0)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(np.concatenate(scores or none)), pa.array(np.concatenate(costs or none))], ["lf_id", "lang_pred", "score", "bits_per_byte"])
 
     return run
 

@@ -2,7 +2,7 @@
 too much of their text are rejected.
 
 Everything is per row, so nothing is shuffled.  Within a task one numpy pass judges the lines of
-about a megabyte of texts at a time.
+a quarter of a megabyte of texts at a time.
 """
 
 from __future__ import annotations
