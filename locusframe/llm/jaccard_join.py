@@ -92,15 +92,14 @@ def _sketch(size: int):
 
 def _prefixes(broadcast, size: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank = broadcast.value
-        shift, low = _U(64 - SKETCH_BITS), _U(16)
+        rank, shift = broadcast.value, _U(64 - SKETCH_BITS)
         for batch in batches:
             for part in _text.chunks(batch.column(1), _text.NOT_SPACE):
                 counts, ids, tokens = [], [], []
                 for s in shingle_sets(part, size):
                     counts.append(len(s))
                     ids.append(set_id(s) if len(s) else None)
-                    order = np.argsort((rank[(s >> shift).astype(np.int64)] << _U(48)) | (s & _U((1 << 48) - 1)), kind="stable")
+                    order = np.argsort((rank[(s >> shift).astype(np.int64)].astype(_U) << _U(48)) | (s & _U((1 << 48) - 1)), kind="stable")
                     tokens.append(s[order[: prefix_length(len(s), percent)]].view(np.int64))
                 offsets = np.concatenate([[0], np.cumsum([len(t) for t in tokens])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(tokens) if tokens else np.zeros(0, np.int64)))
@@ -275,7 +274,7 @@ def jaccard_join(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = PERC
     rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     texts = rows.select("text")
     cells = _bins.merged(texts.mapInArrow(_sketch(size), _bins.PARTS), _bins.tasks_of(texts), 1 << SKETCH_BITS)
-    rank = spark.sparkContext.broadcast(np.rint(64 * np.log2(1.0 + cells)).astype(_U))
+    rank = spark.sparkContext.broadcast(np.rint(64 * np.log2(1.0 + cells)).astype(np.uint16))
     prefixes = written(rows.mapInArrow(_prefixes(rank, size, percent), "doc_id bigint, cid bigint, n bigint, tokens array<bigint>"), "jaccard-prefixes")
     named = prefixes.where("doc_id is not null and cid is not null")
 
@@ -384,3 +383,23 @@ def _inside(sets: DataFrame, family: DataFrame, percent: int) -> DataFrame:
 def op1_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
     """``doc_id, n_shingles, component_id, n_links`` for every document."""
     return jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+OP1_SQL = r"""
+with recursive words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
+), shingles as (
+  select distinct doc_id, array_to_string(w[i : i + 3], ' ') as g from (select doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) as i from words where len(w) > 0)
+), sets as (
+  select doc_id, count(*) as n, md5(string_agg(g, chr(10) order by g)) as own from shingles group by doc_id
+), shared as (
+  select a.doc_id as a, b.doc_id as b, count(*) as n from shingles a join shingles b on a.g = b.g and a.doc_id <> b.doc_id group by all
+), links as (
+  select a, b, y.own as other, x.own <> y.own as unlike from shared join sets x on x.doc_id = a join sets y on y.doc_id = b where 100 * shared.n >= 85 * (x.n + y.n - shared.n)
+), reach as (
+  select a as node, b as r from links union select reach.node, links.b from reach join links on links.a = reach.r
+), components as (select node, least(node, min(r)) as component from reach group by node),
+counts as (select a, count(distinct other) filter (where unlike) as n_links from links group by a)
+select words.doc_id, coalesce(n, 0) as n_shingles, coalesce(component, words.doc_id) as component_id, coalesce(n_links, 0) as n_links
+from words left join sets using (doc_id) left join components on node = words.doc_id left join counts on a = words.doc_id
+"""

@@ -18,6 +18,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op1_ngram_jaccard_join": jaccard_join.OP1_SQL,
     "op2_secret_scan": secrets.OP2_SQL,
     "op3_quality_rules": quality.OP3_SQL,
     "op6_line_dedup": line_dedup.OP6_SQL,

@@ -53,6 +53,16 @@ def test_repeats_nulls_and_empty(spark):
     assert jaccard_join.jaccard_join(frame(spark, []).limit(0)).count() == 0
 
 
+def test_sql_agrees(spark):
+    import duckdb
+
+    c = duckdb.connect()
+    c.execute("create table documents (doc_id bigint, text varchar)")
+    c.executemany("insert into documents values (?, ?)", messy())
+    got = c.sql(jaccard_join.OP1_SQL).select("doc_id", "n_shingles", "component_id", "n_links").fetchall()
+    assert {r[0]: r[1:] for r in got} == jaccard_components(messy())
+
+
 def test_prefix_is_long_enough():
     for n in range(1, 300):
         least = -(-85 * n // 100)
