@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _bins, _text
@@ -325,6 +325,25 @@ def jaccard_join(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = PERC
     )
 
 
+def _enough(n: Column, m: Column, shared: Column, percent: int) -> Column:
+    """Whether sets of ``n`` and ``m`` shingles with ``shared`` ones in both prefixes can link."""
+    # other shared shingles are beyond the prefix that ends first
+    beyond = F.ceil(F.greatest(n, m) * percent / 100) - 1
+    return (100 + percent) * (shared + beyond) >= percent * (n + m)
+
+
+def _near(n: Column, lo: Column, hi: Column, shared: Column, percent: int) -> Column:
+    """Whether :func:`_enough` holds for any size from ``lo`` to ``hi``.
+
+    Up to ``n`` the least size is best.  Above, sizes with the same ``c = ceil(m percent / 100)`` differ
+    only on the right side, so the least of them is best, and that of ``c`` beats that of ``c - 1``: the
+    left side grows by ``100 + percent``, and the right by less, as the two are under ``100 / percent + 1``
+    apart.  So the best size is the least one with the ``c`` of ``hi``, or the lower end if that is greater.
+    """
+    least = F.floor((F.ceil(hi * percent / 100) - 1) * 100 / percent) + 1
+    return ((lo <= n) & _enough(n, lo, shared, percent)) | ((hi >= n) & _enough(n, F.greatest(n, lo, least), shared, percent))
+
+
 def _across(lists: DataFrame, family: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs ``a, b`` of different families, each formed in the first list that both are in."""
     owned = written(lists.drop("first").join(family, "cid"), "jaccard-owned")
@@ -336,23 +355,15 @@ def _across(lists: DataFrame, family: DataFrame, percent: int) -> DataFrame:
     entry = by_class.select("cid", "n", "lead", F.transform("own", lambda e: e["token"]).alias("own"), F.posexplode("own").alias("at", "here"))
     entry = entry.select("cid", "n", "lead", F.col("here.pos").alias("pos"), F.col("here.token").alias("token"), "own", "at", F.greatest("here.lo", F.ceil(F.col("n") * percent / 100)).alias("lo"), F.least("here.hi", F.floor(F.col("n") * 100 / percent)).alias("hi"))
 
-    def beyond(n):
-        return F.ceil(n * percent / 100) - 1
-
-    def enough(n, m, shared):
-        # shared shingles are in both prefixes, or beyond that of the set whose prefix ends first
-        return (100 + percent) * (shared + F.greatest(beyond(n), beyond(m))) >= percent * (n + m)
-
     # a list is skipped by classes that no size in it lets reach the threshold
-    n, most = F.col("n"), F.size("own")
-    near = F.when(F.col("lo") <= n, enough(n, F.col("lo"), most)).otherwise(False) | F.when(F.col("hi") >= n, enough(n, F.col("hi"), most)).otherwise(False) | ((F.col("lo") > n) & enough(n, F.col("lo"), most)) | ((F.col("hi") < n) & enough(n, F.col("hi"), most))
+    near = _near(F.col("n"), F.col("lo"), F.col("hi"), F.size("own"), percent)
     entry = written(entry.where((F.col("lo") <= F.col("hi")) & near).drop("lo", "hi"), "jaccard-index")
     x, y = entry.alias("x"), entry.alias("y")
     smaller = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.cid") < F.col("y.cid")))
     left = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
     reach = (100 * F.col("x.n") >= percent * F.col("y.n")) & ((100 + percent) * left >= percent * (F.col("x.n") + F.col("y.n")))
     first = ~F.arrays_overlap(F.slice("x.own", F.lit(1), F.col("x.at")), F.slice("y.own", F.lit(1), F.col("y.at")))
-    count = enough(F.col("x.n"), F.col("y.n"), F.size(F.array_intersect("x.own", "y.own")))
+    count = _enough(F.col("x.n"), F.col("y.n"), F.size(F.array_intersect("x.own", "y.own")), percent)
     # a pivot that follows another is also a member of its own family, where it has met its followers
     apart = (F.col("x.lead") != F.col("y.lead")) & (F.col("x.lead") != F.col("y.cid")) & (F.col("y.lead") != F.col("x.cid"))
     joined = x.join(y, (F.col("x.token") == F.col("y.token")) & apart & smaller & reach & first & count)

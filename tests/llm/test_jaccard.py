@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from locusframe.llm import jaccard_join
 from locusframe.llm.components import components
@@ -73,3 +74,23 @@ def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (7, 7), (None, 3)]
     got = {r.node: r.component for r in components(spark.createDataFrame(chain, "u bigint, v bigint")).collect()}
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 102: 100}
+
+
+def test_lists_are_skipped_only_if_no_size_can_link(spark):
+    n, lo, hi, shared = (F.col(c) for c in ("n", "lo", "hi", "shared"))
+    ends = spark.range(1, 41).toDF("n").join(spark.range(1, 41).toDF("lo")).join(spark.range(1, 41).toDF("hi"), F.col("lo") <= F.col("hi")).join(spark.range(0, 6).toDF("shared"))
+    for percent in (15, 50, 80, 85, 100):
+        one = F.exists(F.sequence(lo, hi), lambda m: (100 + percent) * (shared + F.ceil(F.greatest(n, m) * percent / 100) - 1) >= percent * (n + m))
+        assert ends.where(jaccard_join._near(n, lo, hi, shared, percent) != one).count() == 0
+
+
+def test_link_through_a_list_whose_largest_size_cannot_link(spark):
+    """17 of 20 shingles shared, in a list with a set of 20, and one side follows another pivot."""
+    rows, number = [], 0
+    for k in range(40):
+        w, z, own = ([f"{c}{k}x{j}" for j in range(n)] for c, n in (("w", 20), ("z", 19), ("o", 3)))
+        rows += [(number, " ".join([own[0], *w])), (number + 1, " ".join(w + own[1:])), (number + 2, " ".join(w[:4] + z)), (number + 3, " ".join([own[0], *w[:3]]))]
+        # long texts make all other shingles of the four more frequent than the one in the list
+        rows += [(number + 4 + j, " ".join(w[1:] + [f"p{k}x{j}x{i}" for i in range(200)] + w[1:4] + z)) for j in range(4)]
+        number += 8
+    assert result(spark, rows) == jaccard_components(rows)
