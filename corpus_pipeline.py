@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from locusframe.llm import decontaminate, jaccard_join, language_id, line_dedup, packing
 from locusframe.llm._store import written
 
+#: Near duplicates share this percentage of their shingles of so many words.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
 #: A text whose language is less probable than this is rejected, as are texts without letters.
 MIN_LANGUAGE_SCORE = 0.5
 
@@ -33,7 +35,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document, that of the smallest ``doc_id``, of each group of near duplicates."""
-    found = jaccard_join.jaccard_join(docs.select("doc_id", "text"))
+    found = jaccard_join.jaccard_join(docs.select("doc_id", "text"), size=NEAR_WORDS, percent=NEAR_PERCENT)
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 

@@ -103,6 +103,23 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     assert {i: sum(r.n_tokens for r in packed if r.doc_id == i) for i in want} == {i: len(t.split()) for i, t in want.items()}
 
 
+def test_near_duplicates_at_five_words_and_80_percent(spark):
+    rng = random.Random(8)
+    rows = []
+    for k in range(0, 400, 10):
+        base = words_of(rng, 104, 10**6).split()
+        rows += [(k, " ".join(base)), (k + 1, " ".join(base + words_of(rng, 20, 10**6).split())), (k + 2, " ".join(base[: rng.randrange(80, 104)]))]
+        for j in range(3, 6):
+            copy = list(base)
+            for _ in range(rng.randrange(1, 4)):
+                copy[rng.randrange(len(copy))] = f"z{rng.randrange(10**6)}"
+            rows.append((k + j, " ".join(copy)))
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    want = {i for i, (_, first, _) in jaccard_components(rows, 5, 80).items() if first == i}
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == want
+    assert not {1, 11, 21} & want and want != {i for i, (_, first, _) in jaccard_components(rows).items() if first == i}
+
+
 def test_every_contract_has_a_query():
     assert [n.split("_")[0] for n in QUERIES] == [f"op{k}" for k in range(1, 11)]
     assert set(SQL) <= set(QUERIES)
