@@ -1,10 +1,10 @@
 """Best-fit packing of documents into training sequences, with conflicts.
 
-Documents are dealt by hash into shards of about ``SHARD_ROWS`` rows, whatever the size of the
+Pieces of documents are dealt by hash into shards of about ``SHARD_ROWS``, whatever the size of the
 corpus, and each shard is packed by itself: longest first, into the fullest bin that still has room.
 Bins are kept in the order of their residual space and carry bitmaps of the sources and duplicate
 clusters they hold; the search starts at the tightest bin that fits and goes on to the next one until
-it meets a bin without a conflict.
+it meets a bin without a conflict.  A duplicate cluster is a component of near copies.
 """
 
 import math
@@ -13,14 +13,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _text
-from ._store import small_batches
+from ._store import small_batches, written
+from .jaccard_join import jaccard_join
 
 CAPACITY = 2048
-#: Rows in a shard, on average; a shard leaves about one bin of each source part empty.
+#: A cluster's documents are linked if they share this percentage of their shingles of so many words.
+CLUSTER_WORDS, CLUSTER_PERCENT = 5, 80
+#: Pieces in a shard, on average; a shard leaves about one bin of each source part empty.
 SHARD_ROWS = 4000
 _OUT = "doc_id bigint, piece int, first_token bigint, n_tokens bigint, shard bigint, bin int, offset bigint"
 
@@ -70,8 +73,12 @@ def _pack(capacity: int):
     return run
 
 
-def pack(items: DataFrame, n_items: int, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """Bins for ``items`` (``doc_id, length, source, cluster``), whose count is ``n_items``.
+def _pieces(capacity: int) -> Column:
+    return F.greatest(F.ceil(F.col("length").cast("long") / capacity), F.lit(1))
+
+
+def pack(items: DataFrame, n_pieces: int, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """Bins for ``items`` (``doc_id, length, source, cluster``), which are cut into ``n_pieces``.
 
     A row per piece: ``doc_id, piece, first_token, n_tokens, shard, bin, offset``; a bin is named by
     shard and number.  Items over ``capacity`` are cut into full pieces and a rest.  Two pieces of
@@ -79,7 +86,7 @@ def pack(items: DataFrame, n_items: int, capacity: int = CAPACITY, shard_rows: i
     a cluster.  Null lengths count as 0; items of length 0 get a place like any other.  Repeated rows
     are items of their own; a null ``doc_id`` is packed too.
     """
-    shards = max(1, math.ceil(n_items / shard_rows))
+    shards = max(1, math.ceil(n_pieces / shard_rows))
     length = F.greatest(F.coalesce(F.col("length").cast("long"), F.lit(0)), F.lit(0))
     rows = items.select(F.col("doc_id").cast("long").alias("doc_id"), length.alias("whole"), F.col("source").cast("string").alias("source"), F.col("cluster").cast("long").alias("cluster"))
     rows = rows.withColumn("row_key", F.xxhash64("doc_id", "whole", "source", "cluster"))
@@ -93,28 +100,27 @@ def pack(items: DataFrame, n_items: int, capacity: int = CAPACITY, shard_rows: i
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in _text.chunks(batch.column(2), _text.NOT_SPACE):
-            rows = part.hi - part.lo
-            h = part.hashes(lower=True)
-            weight = _text.mix(h + (np.arange(len(h)) - np.repeat(part.first, part.last - part.first)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-            sums = np.zeros(len(h) + 1, np.uint64)
-            np.cumsum(weight, out=sums[1:])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(part.lo, rows), batch.column(1).slice(part.lo, rows), pa.array(part.last - part.first, pa.int64()), pa.array((sums[part.last] - sums[part.first]).astype(np.int64), pa.int64())],
-                ["doc_id", "source", "length", "cluster"],
-            )
+        for part in _text.chunks(batch.column(3), _text.NOT_SPACE):
+            rows = [batch.column(k).slice(part.lo, part.hi - part.lo) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([*rows, pa.array(part.last - part.first, pa.int64())], ["doc_id", "source", "lf_key", "length"])
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """``doc_id, source, length, cluster`` of documents: words between white space, and a hash of the
-    lower-cased words in order, so that copies which differ in white space or case are one cluster."""
+    """``doc_id, source, length, cluster`` of documents: words between white space, and the component of
+    near copies (:func:`jaccard_join`) that the text is in.  A text without words is a cluster of its own."""
     rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text")
-    return rows.mapInArrow(_measured, "doc_id bigint, source string, length bigint, cluster bigint")
+    # every row takes part, null and repeated doc_ids too: a key is shared by equal rows only
+    rows = rows.withColumn("lf_key", F.xxhash64("doc_id", "source", "text", F.col("doc_id").isNull(), F.col("source").isNull()))
+    found = jaccard_join(rows.select(F.col("lf_key").alias("doc_id"), "text"), CLUSTER_WORDS, CLUSTER_PERCENT)
+    clusters = found.groupBy(F.col("doc_id").alias("lf_key")).agg(F.min("component_id").alias("cluster"))
+    lengths = rows.select("doc_id", "source", "lf_key", "text").mapInArrow(_measured, "doc_id bigint, source string, lf_key bigint, length bigint")
+    return lengths.join(clusters, "lf_key").select("doc_id", "source", "length", "cluster")
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """:func:`pack` over whole documents."""
-    return pack(measured(docs), docs.count(), capacity)
+    items = written(measured(docs), "packing-items")
+    return pack(items, items.agg(F.sum(_pieces(capacity))).first()[0] or 0, capacity)
 
 
 def op9_best_fit_packing(spark, sf_dir: str) -> DataFrame:

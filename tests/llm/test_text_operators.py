@@ -292,6 +292,25 @@ def test_packing(spark):
     assert packing.pack_documents(docs.limit(0)).count() == 0
 
 
+def test_packing_keeps_near_copies_apart(spark):
+    rng = random.Random(6)
+    base = words_of(rng, 100, 10**6).split()
+    rows = [(i, " ".join([*base[: 9 * i], f"z{i}", *base[9 * i + 1 :]]), f"s{i}") for i in range(8)]
+    rows += [(None, " ".join([*base, "tail"]), "null"), (10, words_of(rng, 50, 10**6), "a"), (11, words_of(rng, 50, 10**6), "b")]
+    rows += [(20 + i, (None, "", " \n")[i], f"e{i}") for i in range(3)]
+    got = packing.pack_documents(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()
+    bins = {r.doc_id: r.bin for r in got}
+    assert len(got) == 14 and len({r.shard for r in got}) == 1
+    assert len({bins[i] for i in (*range(8), None)}) == 9
+    assert bins[20] == bins[21] == bins[22] and bins[10] == bins[11]
+
+
+def test_shards_are_of_pieces(spark):
+    long = spark.createDataFrame([(1, "w " * 9000, "s")], "doc_id bigint, text string, source string")
+    got = packing.pack_documents(long, 1).groupBy("shard").count().collect()
+    assert len(got) == 3 and sum(r["count"] for r in got) == 9000
+
+
 def test_empty_tables(spark):
     docs = frame(spark, []).limit(0)
     assert line_dedup.dedup_lines(docs).count() == quality.quality(docs).count() == secrets.scan(docs).count() == 0
