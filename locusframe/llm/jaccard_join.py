@@ -7,23 +7,28 @@ Exact: two documents link when their sets of word shingles have a Jaccard simila
    shingle among the first ``n - ceil(t n) + 1`` of either, so only these prefixes are indexed.
 2. Index lists with a single class are dropped.  Each class takes as its pivot the class that leads
    most of its lists, and pivots of pivots lead families of highly similar sets.
-3. A family's answers are derived from its pivot's: a member is stored as its difference from the
-   pivot, and ``|S & T| = |P| - |Ds| - |Dt| + |Ds & Dt| + |As & At|`` for removed D and added A.
-   Large families are cut into blocks, and block pairs whose set sizes can't link are skipped.
-4. Lists that mix families are joined for pairs across families.  A pair is formed only in the
-   first list it shares, and positions there skip those whose remaining shingles are too few.
-   The pairs that are left are verified on whole sets.
+3. A pivot's answers are its overlaps with the members of its family, ``|P & T| = |P| - |Dt|``, where a
+   member T is stored as its difference from the pivot: Dt removed and At added.  A follower S derives
+   its own from them: ``|S & T| = |P & T| - |Ds| + |Ds & Dt| + |As & At|``.  The sizes of the differences
+   alone bound this from both sides.  Members stand in blocks by the size of their differences, and
+   blocks whose bounds decide are answered as a whole, so pairs are formed only between blocks that
+   stay open.  Of those, only the shared differences are counted.
+4. Lists that mix families are joined for pairs across families.  A list is cut into blocks by set
+   size and position, and a block meets only those blocks of its list whose sizes and remaining
+   shingles let some pair link; the others are skipped before any pair is formed.  A pair is formed only
+   in the first list it shares.  The pairs that are left are verified on whole sets.
 
 Shingles are 64-bit hashes, and a class is named by a 64-bit hash of its set.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _bins, _text
@@ -34,8 +39,10 @@ SHINGLE_WORDS, PERCENT = 4, 85
 #: Counters of the sketch that orders shingles, bits of the filter of wanted documents and classes,
 #: and of that of shingles which several classes have.
 SKETCH_BITS, FILTER_BITS, TOKEN_BITS = 22, 24, 26
-#: Members of a family in one block.
+#: Members of a family in one block, about.
 BLOCK = 256
+#: Bands of set sizes in a list: so many within the range of sizes that can link.
+BANDS = 8
 #: Up to so many candidate pairs across families are broadcast to the sets, more are shuffled.
 BROADCAST_PAIRS = 20_000
 #: A class follows a pivot only if they share at least this percentage of its prefix.
@@ -43,48 +50,53 @@ FOLLOW_PERCENT = 25
 _U = np.uint64
 
 
-def shingle_sets(part: _text.Words, size: int) -> Iterator[np.ndarray]:
-    """The sorted set of shingle hashes of each row; a shorter text is one shingle as a whole."""
+def shingle_windows(part: _text.Words, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle hashes of all rows and the rows they are of; a shorter text is one shingle as a whole."""
     h = part.hashes(lower=True)
-    n = len(h)
-    whole = np.zeros(max(0, n - size + 1), _U)
+    words = part.last - part.first
+    row = np.repeat(np.arange(len(words)), words)
+    n = max(0, len(h) - size + 1)
+    values = np.zeros(n, _U)
     for k in range(size):
-        whole = _text.mix(whole + h[k : k + len(whole)])
-    for first, last in zip(part.first.tolist(), part.last.tolist(), strict=True):
-        if last - first >= size:
-            yield np.unique(whole[first : last - size + 1])
-        elif last > first:
-            one = np.full(1, last - first, _U)
-            for k in range(first, last):
-                one = _text.mix(one * _U(3) + h[k : k + 1])
-            yield one
-        else:
-            yield h[:0]
+        values = _text.mix(values + h[k : k + n])
+    inside = row[:n] == row[len(row) - n :]
+    short = np.flatnonzero((words > 0) & (words < size))
+    one = words[short].astype(_U)
+    for k in range(size - 1):
+        has = np.flatnonzero(words[short] > k)
+        one[has] = _text.mix(one[has] * _U(3) + h[part.first[short[has]] + k])
+    return np.concatenate([values[inside], one]), np.concatenate([row[:n][inside], short])
 
 
-def set_id(shingles: np.ndarray) -> int:
-    """A 64-bit name of the set."""
-    return int(_text.mix(_text.mix(shingles + _U(0x5851F42D4C957F2D)).sum(dtype=_U).reshape(1) + _U(len(shingles))).astype(np.int64)[0])
+def shingle_sets(part: _text.Words, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingle hashes, sorted inside each row, and the offsets of the rows."""
+    values, row = shingle_windows(part, size)
+    order = np.lexsort((values, row))
+    values, row = values[order], row[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (values[1:] != values[:-1]) | (row[1:] != row[:-1])
+    return values[new], np.searchsorted(row[new], np.arange(part.hi - part.lo + 1))
 
 
-def prefix_length(n: int, percent: int) -> int:
-    """Shingles of a set of ``n`` that the index needs: ``n - ceil(n percent / 100) + 1``."""
-    return n - -(-n * percent // 100) + 1 if n else 0
+def set_ids(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """A 64-bit name of each row's set; that of an empty set means nothing."""
+    sums = np.zeros(len(values) + 1, _U)
+    np.cumsum(_text.mix(values + _U(0x5851F42D4C957F2D)), out=sums[1:])
+    return _text.mix(_text.mix(sums[offsets[1:]] - sums[offsets[:-1]]) + np.diff(offsets).astype(_U)).view(np.int64)
+
+
+def prefix_length(n, percent: int):
+    """Shingles of a set of ``n`` (a number or an array) that the index needs: ``n - ceil(n percent / 100) + 1``, none of an empty set."""
+    return (n - -(-n * percent // 100) + 1) * (n > 0)
 
 
 def _sketch(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(1 << SKETCH_BITS, np.int64)
         shift = _U(64 - SKETCH_BITS)
-        waiting: list[np.ndarray] = []
         for batch in batches:
             for part in _text.chunks(batch.column(0), _text.NOT_SPACE):
-                waiting += [(s >> shift).astype(np.int32) for s in shingle_sets(part, size)]
-                if len(waiting) >= 4000:
-                    np.add.at(cells, np.concatenate(waiting), 1)
-                    waiting = []
-        if waiting:
-            np.add.at(cells, np.concatenate(waiting), 1)
+                np.add.at(cells, (shingle_windows(part, size)[0] >> shift).astype(np.int64), 1)
         yield _bins.parts(cells)
 
     return run
@@ -95,15 +107,16 @@ def _prefixes(broadcast, size: int, percent: int):
         rank, shift = broadcast.value, _U(64 - SKETCH_BITS)
         for batch in batches:
             for part in _text.chunks(batch.column(1), _text.NOT_SPACE):
-                counts, ids, tokens = [], [], []
-                for s in shingle_sets(part, size):
-                    counts.append(len(s))
-                    ids.append(set_id(s) if len(s) else None)
-                    order = np.argsort((rank[(s >> shift).astype(np.int64)].astype(_U) << _U(48)) | (s & _U((1 << 48) - 1)), kind="stable")
-                    tokens.append(s[order[: prefix_length(len(s), percent)]].view(np.int64))
-                offsets = np.concatenate([[0], np.cumsum([len(t) for t in tokens])]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(tokens) if tokens else np.zeros(0, np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.lo, part.hi - part.lo), pa.array(ids, pa.int64()), pa.array(counts, pa.int64()), lists], ["doc_id", "cid", "n", "tokens"])
+                values, offsets = shingle_sets(part, size)
+                n = np.diff(offsets)
+                row = np.repeat(np.arange(len(n)), n)
+                key = (rank[(values >> shift).astype(np.int64)].astype(_U) << _U(48)) | (values & _U((1 << 48) - 1))
+                ordered = values[np.lexsort((key, row))]
+                length = prefix_length(n, percent)
+                tokens = ordered[np.arange(len(row)) - offsets[row] < length[row]].view(np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32)), pa.array(tokens))
+                ids = pa.array(set_ids(values, offsets), pa.int64(), mask=n == 0)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.lo, part.hi - part.lo), ids, pa.array(n, pa.int64()), lists], ["doc_id", "cid", "n", "tokens"])
 
     return run
 
@@ -166,10 +179,11 @@ def _sets(documents, classes, size: int):
             if not wanted.any():
                 continue
             for part in _text.chunks(batch.column(1).filter(pa.array(wanted)), _text.NOT_SPACE):
-                sets = [s for s in shingle_sets(part, size) if len(s)]
-                ids = np.array([set_id(s) for s in sets], np.int64)
-                own = np.flatnonzero(_has_bit(classes.value, ids, FILTER_BITS))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array([len(sets[i]) for i in own], pa.int64()), pa.array([sets[i].tobytes() for i in own], pa.binary())], ["cid", "n", "shingles"])
+                values, offsets = shingle_sets(part, size)
+                ids, n = set_ids(values, offsets), np.diff(offsets)
+                own = np.flatnonzero((n > 0) & _has_bit(classes.value, ids, FILTER_BITS))
+                sets = [values[offsets[i] : offsets[i + 1]].tobytes() for i in own.tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[own], pa.int64()), pa.array(n[own], pa.int64()), pa.array(sets, pa.binary())], ["cid", "n", "shingles"])
 
     return run
 
@@ -213,18 +227,13 @@ def _shared_counts(lists: pa.ChunkedArray) -> np.ndarray:
 
 
 def _linked(percent: int):
-    """Links inside a pair of blocks: each member's number of them, and the least member it reaches."""
+    """Links of a pair of blocks, by the shared differences: each member's number of them, and the least member it reaches."""
 
     def run(table):
         if table.num_rows > 1:
             _, first = np.unique(table.column("cid").to_numpy(), return_index=True)
             table = table.take(pa.array(first))
         cid, n, block = (table.column(c).to_numpy() for c in ("cid", "n", "block"))
-        empty = pa.table({"cid": pa.array([], pa.int64()), "least": pa.array([], pa.int64()), "links": pa.array([], pa.int64())})
-        low = {b: (n[block == b].min(), n[block == b].max()) for b in np.unique(block)}
-        ranges = list(low.values())
-        if len(ranges) == 2 and (100 * ranges[0][1] < percent * ranges[1][0] or 100 * ranges[1][1] < percent * ranges[0][0]):
-            return empty
         gone = np.array([len(x) for x in table.column("removed")], np.int64)
         shared = _shared_counts(table.column("removed")) + _shared_counts(table.column("added"))
         both = table.column("lead_n").to_numpy()[0] - gone[:, None] - gone[None, :] + np.rint(shared).astype(np.int64)
@@ -357,8 +366,10 @@ def _across(lists: DataFrame, family: DataFrame, percent: int) -> DataFrame:
 
     # a list is skipped by classes that no size in it lets reach the threshold
     near = _near(F.col("n"), F.col("lo"), F.col("hi"), F.size("own"), percent)
-    entry = written(entry.where((F.col("lo") <= F.col("hi")) & near).drop("lo", "hi"), "jaccard-index")
-    x, y = entry.alias("x"), entry.alias("y")
+    entry = entry.where((F.col("lo") <= F.col("hi")) & near).drop("lo", "hi").withColumns(_block(percent))
+    entry = written(entry, "jaccard-index")
+    x = entry.join(_meeting(entry, percent), ["token", "band", "place"]).alias("x")
+    y = entry.alias("y")
     smaller = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.cid") < F.col("y.cid")))
     left = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
     reach = (100 * F.col("x.n") >= percent * F.col("y.n")) & ((100 + percent) * left >= percent * (F.col("x.n") + F.col("y.n")))
@@ -366,14 +377,40 @@ def _across(lists: DataFrame, family: DataFrame, percent: int) -> DataFrame:
     count = _enough(F.col("x.n"), F.col("y.n"), F.size(F.array_intersect("x.own", "y.own")), percent)
     # a pivot that follows another is also a member of its own family, where it has met its followers
     apart = (F.col("x.lead") != F.col("y.lead")) & (F.col("x.lead") != F.col("y.cid")) & (F.col("y.lead") != F.col("x.cid"))
-    joined = x.join(y, (F.col("x.token") == F.col("y.token")) & apart & smaller & reach & first & count)
+    block = (F.col("x.token") == F.col("y.token")) & (F.col("x.band_y") == F.col("y.band")) & (F.col("x.place_y") == F.col("y.place"))
+    joined = x.join(y, block & apart & smaller & reach & first & count)
     pairs = written(joined.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")), "jaccard-pairs")
     dropped(owned, mixed, entry)
     return pairs
 
 
+def _step(percent: int) -> float:
+    return math.log(1 + max(1, 100 - percent) / (100 * BANDS))
+
+
+def _block(percent: int) -> dict[str, Column]:
+    """The block of an entry in its list: a band of sizes, and a place, positions by powers of two."""
+    return {"band": F.floor(F.log(F.col("n")) / _step(percent)).cast("int"), "place": F.floor(F.log2(F.col("pos") + F.lit(1))).cast("int")}
+
+
+def _meeting(entry: DataFrame, percent: int) -> DataFrame:
+    """``token, band, place, band_y, place_y``: the blocks of a list that may hold a pair that links.
+
+    A block is described by its least and largest size and by the most shingles that an entry of it
+    has left, itself included.  The second block holds the larger set.
+    """
+    block = entry.groupBy("token", "band", "place").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("n") - F.col("pos")).alias("room"))
+    # bands of sizes that can link are so many apart at most; one more for rounding
+    reach = math.ceil(-math.log(max(1, percent) / 100) / _step(percent)) + 1
+    x = block.withColumn("band_y", F.explode(F.sequence(F.col("band"), F.col("band") + F.lit(reach))))
+    y = block.select("token", F.col("band").alias("band_y"), F.col("place").alias("place_y"), F.col("lo").alias("lo_y"), F.col("hi").alias("hi_y"), F.col("room").alias("room_y"))
+    sizes = (F.col("lo") <= F.col("hi_y")) & (100 * F.col("hi") >= percent * F.col("lo_y"))
+    left = (100 + percent) * F.least("room", "room_y") >= percent * (F.col("lo") + F.greatest("lo", "lo_y"))
+    return x.join(y, ["token", "band_y"]).where(sizes & left).select("token", "band", "place", "band_y", "place_y")
+
+
 def _inside(sets: DataFrame, family: DataFrame, percent: int) -> DataFrame:
-    """``cid, least, links`` of members of families, from their differences to the pivot."""
+    """``cid, least, links`` of members of families, derived from the pivot's answers."""
     followed = family.where("cid <> lead").select("lead").distinct()
     # a class that is followed is a member of its own family, whichever it follows itself
     member = family.where("cid <> lead").unionByName(followed.select(F.col("lead").alias("cid"), "lead"))
@@ -381,16 +418,57 @@ def _inside(sets: DataFrame, family: DataFrame, percent: int) -> DataFrame:
     # the pivots' side is the same exchange of sets by class as the one below the members' side
     lead = sets.alias("p")
     met = own.join(lead, F.col("lead") == F.col("p.cid")).select(own["cid"], "lead", own["n"], own["shingles"], F.col("p.n").alias("lead_n"), F.col("p.shingles").alias("lead_shingles"))
-    different = written(met.mapInArrow(_differences, "cid bigint, lead bigint, n bigint, lead_n bigint, removed array<int>, added array<bigint>"), "jaccard-differences")
-    size = written(different.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "jaccard-sizes")
-    placed = different.join(size, "lead").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks").cast("long")).cast("int"))
-    dealt = placed.withColumn("mate", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"left": F.least("block", "mate"), "right": F.greatest("block", "mate")})
-    kind = "cid bigint, least bigint, links bigint"
-    links = written(dealt.groupBy("lead", "left", "right").applyInArrow(_linked(percent), kind), "jaccard-inside")
-    dropped(different, size)
+    different = met.mapInArrow(_differences, "cid bigint, lead bigint, n bigint, lead_n bigint, removed array<int>, added array<bigint>")
+    different = written(different.withColumns({"gone": F.size("removed"), "came": F.size("added")}), "jaccard-differences")
+
+    far = F.col("gone") + F.col("came")
+    at = different.groupBy("lead", far.alias("far")).agg(F.count(F.lit(1)).alias("n"))
+    # a row for each size of a difference, which no number of members adds to
+    before = F.sum("n").over(Window.partitionBy("lead").orderBy("far")) - F.col("n")
+    at = written(at.select("lead", "far", F.floor(before / BLOCK).alias("begin"), F.ceil(F.col("n") / BLOCK).alias("parts")), "jaccard-sizes")
+    placed = different.withColumn("far", far).join(at, ["lead", "far"]).withColumn("block", (F.col("begin") + F.pmod(F.xxhash64("cid"), F.col("parts"))).cast("int"))
+    placed = written(placed.drop("far", "begin", "parts"), "jaccard-blocks")
+    dropped(different, at)
+
+    decided = written(_decided(placed, percent), "jaccard-decided")
+    sides = decided.where("sure").select("lead", F.col("left").alias("block"), F.col("right").alias("mate"), F.col("right_members").alias("members"), F.col("right_least").alias("least"))
+    sides = sides.unionByName(decided.where("sure and left <> right").select("lead", F.col("right").alias("block"), F.col("left").alias("mate"), F.col("left_members").alias("members"), F.col("left_least").alias("least")))
+    whole = sides.groupBy("lead", "block").agg(F.sum(F.col("members") - (F.col("block") == F.col("mate")).cast("long")).alias("links"), F.min("least").alias("least")).where("links > 0")
+    # rows of a document may repeat: a member counts once
+    members = placed.select("cid", "lead", "block").distinct()
+    derived = members.join(whole, ["lead", "block"]).select("cid", "least", "links")
+    tied = decided.where("sure and left <> right").select(F.col("left_least").alias("cid"), F.col("right_least").alias("least"), F.lit(0).cast("long").alias("links"))
+
+    open_pairs = decided.where("not sure").select("lead", "left", "right", F.explode(F.array_distinct(F.array("left", "right"))).alias("block"))
+    counted = placed.drop("gone", "came").join(open_pairs, ["lead", "block"]).groupBy("lead", "left", "right").applyInArrow(_linked(percent), "cid bigint, least bigint, links bigint")
+    links = written(derived.unionByName(tied).unionByName(counted), "jaccard-inside")
+    dropped(placed, decided)
     return links
 
 
+def _decided(placed: DataFrame, percent: int) -> DataFrame:
+    """Pairs of blocks of a family that may link: ``sure`` if all of their members do."""
+    block = placed.groupBy("lead", "block").agg(
+        F.countDistinct("cid").alias("members"), F.min("cid").alias("least"), F.max("lead_n").alias("lead_n"), F.min("gone").alias("gone_lo"), F.max("gone").alias("gone_hi"), F.min("came").alias("came_lo"), F.max("came").alias("came_hi")
+    )
+    block = written(block, "jaccard-block-bounds")
+    x, y = block.alias("x"), block.alias("y")
+    c = F.col
+
+    def links(shared: Column, gone: Column, came: Column) -> Column:
+        return (100 + percent) * shared >= percent * (2 * c("x.lead_n") - gone + came)
+
+    # at least what neither removed is shared; at most what the one with more removed has left, and all that the one with less added
+    gone, came = c("x.gone_hi") + c("y.gone_hi"), c("x.came_hi") + c("y.came_hi")
+    sure = links(c("x.lead_n") - gone, gone, came)
+    most = c("x.lead_n") - F.greatest("x.gone_lo", "y.gone_lo") + F.least("x.came_hi", "y.came_hi")
+    may = links(most, gone, c("x.came_lo") + c("y.came_lo"))
+    pairs = x.join(y, (c("x.lead") == c("y.lead")) & (c("x.block") <= c("y.block"))).where(may | sure)
+    return pairs.select(
+        "x.lead", c("x.block").alias("left"), c("y.block").alias("right"), c("x.members").alias("left_members"), c("y.members").alias("right_members"), c("x.least").alias("left_least"), c("y.least").alias("right_least"), sure.alias("sure")
+    )
+
+
 def op1_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
     """``doc_id, n_shingles, component_id, n_links`` for every document."""
     return jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -17,10 +17,11 @@ def test_messy(spark):
     assert result(spark, messy()) == jaccard_components(messy())
 
 
-@pytest.mark.parametrize("block", [4, 256])
-def test_groups_chains_and_passages(spark, monkeypatch, block):
-    """Near copies that don't all link, chains, shared passages and sets of unlike sizes."""
+@pytest.mark.parametrize(("block", "few"), [(4, -1), (256, 20_000)])
+def test_groups_chains_and_passages(spark, monkeypatch, block, few):
+    """Near copies that don't all link, chains, shared passages and sets of unlike sizes, with candidate pairs shuffled or broadcast."""
     monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "BROADCAST_PAIRS", few)
     rng = random.Random(11)
     rows, number = [], 0
     passage = words_of(rng, 30, 10**6)
