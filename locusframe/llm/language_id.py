@@ -5,9 +5,10 @@ texts, frozen after training.  A byte's code length is that of its longest known
 escapes (method C, with exclusion) down to an order below 0 where all bytes are alike.  A text's
 language is the one whose tree codes the whole text in the fewest bits.
 
-Frozen statistics make the code lengths a table: a row per known context, a column per byte class.
-Rows of longer contexts that no language knows are those of their suffix, so a whole text is scored
-by two array look-ups a byte.
+Spark counts the byte grams of the training texts; the driver and the workers only hold the sums.  A
+tree is sorted arrays: for each order the known grams and contexts with their counts.  What a context
+excludes is the bytes of its longer context, so the counts that are left after an escape are two more
+numbers a context, and code lengths of many grams are found by binary search.
 """
 
 from __future__ import annotations
@@ -25,133 +26,114 @@ from . import _text
 from ._store import small_batches
 
 ORDER = 3
-#: Training bound: languages (the most frequent), texts a language, and code points a text.  Longer
-#: texts aren't trained on.
-TRAIN_LANGS, TRAIN_DOCS, TRAIN_CHARS = 64, 300, 20_000
+#: Training bound: texts and code points a language, and code points of all languages together.  Every
+#: language is learned.  Texts are whole, but for the last one of a language, which is cut where the
+#: language's share ends.  A code point is at most four bytes, and a byte adds at most one gram, so a
+#: model has under 16 million grams at 12 bytes.
+TRAIN_DOCS, TRAIN_CHARS, TOTAL_CHARS = 300, 400_000, 4_000_000
 UNDETERMINED = "und"
 _LETTER = regex.compile(r"\p{L}")
 _FEED = 0x0A
+_U = np.uint32
 
 
 @dataclass
-class Model:
-    """``symbol``: class of each byte; ``row``: table row of each context of classes; ``bits[row, class, language]``."""
-
-    langs: list[str]
-    symbol: np.ndarray
-    row: np.ndarray
-    bits: np.ndarray
-
-
-def _symbols(texts: dict[str, list[bytes]]) -> np.ndarray:
-    """Classes of bytes: 0 for bytes in no training text, else 1, 2, ... by value; A-Z count as a-z."""
-    seen = np.zeros(256, bool)
-    seen[_FEED] = True
-    for docs in texts.values():
-        for doc in docs:
-            seen[_text.LOWER[np.frombuffer(doc, np.uint8)]] = True
-    return np.where(seen, np.cumsum(seen), 0)[_text.LOWER]
-
-
-def _counts(docs: list[bytes], symbol: np.ndarray, size: int) -> list[dict[int, np.ndarray]]:
-    """For each order, counts of the next class by context; a context is a number in base ``size``."""
-    out: list[dict[int, np.ndarray]] = []
-    lead = np.full(ORDER, symbol[_FEED])
-    codes = [np.concatenate([lead, symbol[np.frombuffer(d, np.uint8)]]).astype(np.int64) for d in docs if d]
-    for order in range(ORDER + 1):
-        grams = []
-        for c in codes:
-            g = np.zeros(len(c) - ORDER, np.int64)
-            for k in range(ORDER - order, ORDER + 1):
-                g = g * size + c[k : k + len(g)]
-            grams.append(g)
-        table: dict[int, np.ndarray] = {}
-        if grams:
-            values, n = np.unique(np.concatenate(grams), return_counts=True)
-            context = values // size
-            for ctx, a, b in zip(*(x.tolist() for x in (np.unique(context), np.searchsorted(context, np.unique(context)), np.searchsorted(context, np.unique(context), "right"))), strict=True):
-                row = np.zeros(size, np.int64)
-                row[values[a:b] % size] = n[a:b]
-                table[ctx] = row
-        out.append(table)
-    return out
+class Tree:
+    """One language.  Per order: ``grams`` (context and byte) with ``counts``; ``contexts`` with the counts
+    and kinds ``total, kinds`` of their bytes, and ``less``: what those bytes count in the next shorter context."""
+
+    grams: list[np.ndarray]
+    counts: list[np.ndarray]
+    contexts: list[np.ndarray]
+    total: list[np.ndarray]
+    kinds: list[np.ndarray]
+    less: list[np.ndarray]
 
 
-def _bits(context: int, order: int, tables: list[dict[int, np.ndarray]], size: int, weight: np.ndarray) -> np.ndarray:
-    """Code lengths of all classes after ``context`` (escape method C with exclusion).
+def grams_of(part: _text.Words) -> np.ndarray:
+    """For each byte of the rows, the number of the ``ORDER`` bytes before it and itself; A-Z count as a-z.
 
-    Class 0 stands for bytes never trained on; below order 0 each byte value is alike, and
-    ``weight`` has the byte values of each class.
+    A text starts after line feeds.
     """
-    left = np.ones(size, bool)
-    cost = np.zeros(size)
-    escaped = 0.0
-    while order >= 0:
-        row = tables[order].get(context)
-        if row is not None:
-            row = np.where(left, row, 0)
-            n, kinds = int(row.sum()), int((row > 0).sum())
-            if n:
-                known = row > 0
-                cost[known] = escaped - np.log2(row[known] / (n + kinds))
-                left &= ~known
-                escaped -= np.log2(kinds / (n + kinds))
-        order -= 1
-        context %= size ** max(order, 0)
-    cost[left] = escaped + np.log2(max(1, weight[left].sum()))
-    return cost
-
-
-def train(texts: dict[str, list[bytes]]) -> Model:
-    """Frozen code length tables of all languages."""
-    langs = sorted(texts)
-    symbol = _symbols(texts)
-    size = int(symbol.max()) + 1
-    weight = np.bincount(symbol, minlength=size)
-    weight[0] = max(weight[0], 1)
-    tables = [_counts(texts[lang], symbol, size) for lang in langs]
-    rows: dict[tuple[int, int], int] = {}
-    for order in range(ORDER + 1):
-        for context in sorted({c for t in tables for c in t[order]}):
-            rows[order, context] = len(rows)
-    rows.setdefault((0, 0), len(rows))
-    bits = np.empty((len(rows), size, len(langs)), np.float32)
-    for (order, context), at in rows.items():
-        for k, table in enumerate(tables):
-            bits[at, :, k] = _bits(context, order, table, size, weight)
-    row = np.full(1, rows[0, 0], np.int32)
-    for order in range(1, ORDER + 1):
-        row = np.tile(row, size)
-        for (k, context), at in rows.items():
-            if k == order:
-                row[context] = at
-    return Model(langs, symbol, row, bits)
-
-
-def code_lengths(model: Model, part: _text.Words) -> np.ndarray:
-    """Bits of each whole row under each language; a text starts after line feeds."""
-    size = model.bits.shape[1]
-    sym = model.symbol[part.buf].astype(np.int64)
-    feed = int(model.symbol[_FEED])
-    n = len(sym)
-    context = np.zeros(n, np.int64)
+    buf = _text.LOWER[part.buf].astype(_U)
+    n = len(buf)
     since = np.arange(n) - np.repeat(part.row_start, part.row_end - part.row_start)
+    out = np.zeros(n, _U)
     for back in range(ORDER, 0, -1):
-        before = np.full(n, feed, np.int64)
-        before[back:] = sym[:-back] if back < n else before[back:]
-        before[since < back] = feed
-        context = context * size + before
-    out = np.zeros((part.hi - part.lo, len(model.langs)))
-    if n:
-        cost = model.bits[model.row[context], sym].astype(np.float64)
-        has = np.flatnonzero(part.row_end > part.row_start)
-        out[has] = np.add.reduceat(cost, part.row_start[has], axis=0)
+        before = np.full(n, _FEED, _U)
+        before[back:] = buf[:-back] if back < n else before[back:]
+        before[since < back] = _FEED
+        out = (out << _U(8)) | before
+    return (out << _U(8)) | buf
+
+
+def _at(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each wanted key is among sorted keys, and whether it is there."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
+
+
+def tree(grams: np.ndarray, counts: np.ndarray) -> Tree:
+    """The tree of the sorted grams of the longest order: shorter orders are their sums."""
+    by_order = [(grams, counts.astype(np.int64))]
+    for order in range(ORDER - 1, -1, -1):
+        shorter, own = np.unique(by_order[0][0] & _U((1 << (8 * (order + 1))) - 1), return_inverse=True)
+        by_order.insert(0, (shorter, np.bincount(own, by_order[0][1], len(shorter)).astype(np.int64)))
+    out = Tree([], [], [], [], [], [])
+    for order, (own, n) in enumerate(by_order):
+        context, row = np.unique(own >> _U(8), return_inverse=True)
+        size = len(context)
+        less = np.zeros(len(own), np.int64)
+        if order:
+            less = out.counts[-1][_at(out.grams[-1], own & _U((1 << (8 * order)) - 1))[0]]
+        for kept, value in zip((out.grams, out.counts, out.contexts, out.total, out.kinds, out.less), (own, n, context, np.bincount(row, n, size), np.bincount(row, minlength=size), np.bincount(row, less, size)), strict=True):
+            kept.append(value if value.dtype == _U else value.astype(np.int32))
+    return out
+
+
+def code_lengths_of_grams(model: Tree, grams: np.ndarray) -> np.ndarray:
+    """Bits of the last byte of each gram after the bytes before it."""
+    bits = np.zeros(len(grams))
+    open_ = np.arange(len(grams))
+    # what the next longer context excludes: counts, and kinds
+    less, fewer = np.zeros(len(grams)), np.zeros(len(grams))
+    for order in range(ORDER, -1, -1):
+        own = grams[open_] & _U((1 << (8 * (order + 1))) - 1 if order < 3 else 0xFFFFFFFF)
+        where, known = _at(model.contexts[order], own >> _U(8))
+        if not len(model.contexts[order]):
+            continue
+        n = np.where(known, model.total[order][where] - less[open_], 0)
+        kinds = np.where(known, model.kinds[order][where] - fewer[open_], 0)
+        at, has = _at(model.grams[order], own)
+        found = np.flatnonzero(has)
+        bits[open_[found]] -= np.log2(model.counts[order][at[found]] / (n[found] + kinds[found]))
+        escape = np.flatnonzero(~has & (n > 0))
+        bits[open_[escape]] -= np.log2(kinds[escape] / (n[escape] + kinds[escape]))
+        seen = open_[known]
+        less[seen], fewer[seen] = model.less[order][where[known]], model.kinds[order][where[known]]
+        open_ = open_[~has]
+    left = 256 - (model.kinds[0][0] if len(model.kinds[0]) else 0)
+    bits[open_] += np.log2(max(1, left))
+    return bits
+
+
+def code_lengths(model: dict[str, Tree], part: _text.Words) -> np.ndarray:
+    """Bits of each whole row under each language."""
+    out = np.zeros((part.hi - part.lo, len(model)))
+    grams, place = np.unique(grams_of(part), return_inverse=True)
+    has = np.flatnonzero(part.row_end > part.row_start)
+    if len(has):
+        for k, own in enumerate(model.values()):
+            out[has, k] = np.add.reduceat(code_lengths_of_grams(own, grams)[place], part.row_start[has])
     return out
 
 
 def _predict(broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Model = broadcast.value
+        model = broadcast.value
+        names = list(model)
         for batch in batches:
             texts = batch.column(1)
             langs, scores, costs = [], [], []
@@ -161,7 +143,7 @@ def _predict(broadcast):
                 odds = np.exp2(-np.minimum(bits - bits.min(axis=1, keepdims=True), 1000))
                 n_bytes = part.row_end - part.row_start
                 known = np.array([_LETTER.search(texts[part.lo + r].as_py() or "") is not None for r in range(part.hi - part.lo)])
-                langs += [model.langs[b] if k else UNDETERMINED for b, k in zip(best, known, strict=True)]
+                langs += [names[b] if k else UNDETERMINED for b, k in zip(best, known, strict=True)]
                 scores.append(np.where(known, 1 / odds.sum(axis=1), 0.0))
                 costs.append(np.where(known, bits.min(axis=1) / np.maximum(n_bytes, 1), 0.0))
             # one result a batch: the id column, which may hold whole rows, is passed on as it is
@@ -171,41 +153,75 @@ def _predict(broadcast):
     return run
 
 
-def training_sample(docs: DataFrame, langs: int = TRAIN_LANGS, train_docs: int = TRAIN_DOCS, train_chars: int = TRAIN_CHARS) -> DataFrame:
-    """``lang, text`` of at most ``train_docs`` texts of each of the ``langs`` most frequent languages.
+def training_sample(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_chars: int = TRAIN_CHARS, total_chars: int = TOTAL_CHARS) -> DataFrame:
+    """``lang, text``: training texts of every language.
+
+    Only documents whose crc32 of ``doc_id`` (as text) is not 1 modulo 3, with a ``lang`` and a text that
+    isn't empty.  A language's texts come in the order of a hash of ``doc_id``: at most ``train_docs``,
+    and ``train_chars`` code points, or its equal share of ``total_chars`` if that is less (but one at
+    least); the text in which that ends is cut there.  So each language has a text, however long all of
+    its texts are.
 
-    Only documents whose crc32 of ``doc_id`` (as text) is not 1 modulo 3; those of the smallest hashes
-    of ``doc_id``.  A hash bound that lets about four times as many pass, from the language's count, goes
-    before the ranking, so that no task ranks more than that, however large the corpus is.
+    A hash bound that lets about four times as many pass, from the language's count, goes before the
+    ranking, so that no task ranks more than that, however large the corpus is.
     """
-    usable = docs.where("doc_id is not null and lang is not null and text is not null and crc32(cast(cast(doc_id as string) as binary)) % 3 <> 1").where(F.length("text").between(1, train_chars))
-    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(langs).collect()
-    if not counts:
-        return usable.select("lang", "text").limit(0)
-    bound = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(2**63 - 1, int(2**63 * min(1.0, 4 * train_docs / r["n"]))))])
+    usable = docs.where("doc_id is not null and lang is not null and text <> '' and crc32(cast(cast(doc_id as string) as binary)) % 3 <> 1")
+    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    n_langs = counts.count()
+    most = max(1, min(train_chars, total_chars // max(1, n_langs)))
     chance = F.xxhash64("doc_id").bitwiseAND(F.lit(2**63 - 1))
-    chosen = usable.select("lang", "doc_id", "text", chance.alias("lf_chance")).where(F.col("lf_chance") <= F.try_element_at(bound, F.col("lang")))
+    bound = F.least(F.lit(1.0), F.lit(4.0 * train_docs) / F.col("n"))
+    rows = usable.select("lang", "doc_id", "text", chance.alias("lf_chance"))
+    chosen = rows.join(F.broadcast(counts) if n_langs <= 10_000 else counts, "lang").where(F.col("lf_chance") / F.lit(2.0**63) <= bound)
     by = Window.partitionBy("lang").orderBy("lf_chance", "doc_id", "text")
-    return chosen.withColumn("lf_rank", F.row_number().over(by)).where(F.col("lf_rank") <= train_docs).select("lang", "text")
+    ranked = chosen.withColumns({"lf_rank": F.row_number().over(by), "lf_to": F.sum(F.length("text").cast("long")).over(by.rowsBetween(Window.unboundedPreceding, 0))})
+    room = (F.lit(most) - F.col("lf_to") + F.length("text")).cast("int")
+    return ranked.where((F.col("lf_rank") <= train_docs) & (room > 0)).select("lang", F.substring("text", F.lit(1), room).alias("text"))
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Grams of the rows of a batch with their counts, by language."""
+    for batch in batches:
+        names = batch.column(0).dictionary_encode()
+        code = np.asarray(names.indices, np.int64)
+        for part in _text.chunks(batch.column(1), _text.NOT_SPACE):
+            lang = np.repeat(code[part.lo : part.hi], part.row_end - part.row_start)
+            key, n = np.unique((lang << 32) | grams_of(part).astype(np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([names.dictionary.take(pa.array(key >> 32)), pa.array(key & 0xFFFFFFFF), pa.array(n, pa.int64())], ["lang", "gram", "n"])
+
+
+def train(sample: DataFrame) -> dict[str, Tree]:
+    """The tree of each language in ``sample`` (``lang, text``), in the order of their names.
+
+    Only the sums of the grams come here, at most one for each byte of the sample.
+    """
+    grams = sample.select("lang", "text").mapInArrow(_counted, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    table = grams.toArrow()
+    names = table.column("lang").combine_chunks().dictionary_encode()
+    code, gram, n = np.asarray(names.indices), table.column("gram").to_numpy().astype(_U), table.column("n").to_numpy()
+    out = {}
+    for lang, k in sorted((x, k) for k, x in enumerate(names.dictionary.to_pylist())):
+        own = np.flatnonzero(code == k)
+        own = own[np.argsort(gram[own])]
+        out[lang] = tree(gram[own], n[own])
+    return out
 
 
 def identify(docs: DataFrame, sample: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, lang_pred, score, bits_per_byte`` for every row, by trees trained on ``sample``.
 
-    ``sample`` (``lang, text``) comes to the driver, so it must be bounded, as
-    :func:`training_sample` is.  ``lang_pred`` is ``und`` with score 0 where the text is null, has no
-    letter, or nothing was learned; ties go to the language that sorts first.  ``score`` is the
-    probability of the language given the text and equal priors.  Ids may be null or repeat.
+    The model is broadcast, so ``sample`` (``lang, text``) must be bounded, as :func:`training_sample` is.
+    ``lang_pred`` is ``und`` with score 0 where the text is null, has no letter, or nothing was
+    learned; ties go to the language that sorts first.  ``score`` is the probability of the language
+    given the text and equal priors.  Ids may be null or repeat, and only the two named columns are read.
     """
-    texts: dict[str, list[bytes]] = {}
-    for r in sample.orderBy("lang", "text").collect():
-        texts.setdefault(r["lang"], []).append(r["text"].encode())
+    model = train(sample)
     rows = small_batches(docs).select(F.col(id_col).alias("lf_id"), F.col(text_col).alias("lf_text"))
-    kind = dict(rows.dtypes)["lf_id"]
-    if not texts:
+    kind = rows.schema["lf_id"].dataType.simpleString()
+    if not model:
         return rows.select(F.col("lf_id").alias(id_col), F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("bits_per_byte"))
-    model = docs.sparkSession.sparkContext.broadcast(train(texts))
-    return rows.mapInArrow(_predict(model), f"lf_id {kind}, lang_pred string, score double, bits_per_byte double").withColumnRenamed("lf_id", id_col)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return rows.mapInArrow(_predict(shared), f"lf_id {kind}, lang_pred string, score double, bits_per_byte double").withColumnRenamed("lf_id", id_col)
 
 
 def op7_language_id(spark, sf_dir: str) -> DataFrame:

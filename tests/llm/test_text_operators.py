@@ -1,12 +1,16 @@
 import hashlib
+import math
 import random
 import zlib
+from collections import Counter, defaultdict
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from locusframe.llm import decontaminate, language_id, licenses, line_dedup, packing, quality, secrets, token_counts
+from locusframe.llm import _text, decontaminate, language_id, licenses, line_dedup, packing, quality, secrets, token_counts
 
 from .helpers import ALNUM, SPACED, TO_LOWER, frame, messy, words_of
 
@@ -183,57 +187,67 @@ def test_contamination_matches_brute_force(spark, monkeypatch, block):
     assert decontaminate.contamination(docs, bench.limit(0)).where("lf_n_hit > 0").count() == 0
 
 
-def code_length(text: bytes, tables, model, lang):
-    """Bits of one text, byte by byte, straight from the counts."""
-    size, bits = model.bits.shape[1], 0.0
-    weight = __import__("numpy").bincount(model.symbol, minlength=size)
-    weight[0] = max(weight[0], 1)
-    seen = [int(model.symbol[10])] * language_id.ORDER
-    for b in text:
-        s = int(model.symbol[b])
+def code_length(text: bytes, learned: list[bytes], order=3):
+    """Bits of one text, byte by byte, straight from the training texts."""
+    counts = defaultdict(Counter)
+    lower = lambda t: b"\n" * order + bytes(b + 32 if 65 <= b <= 90 else b for b in t)
+    for own in map(lower, learned):
+        for k in range(order, len(own)):
+            for o in range(order + 1):
+                counts[own[k - o : k]][own[k]] += 1
+    bits, text = 0.0, lower(text)
+    for k in range(order, len(text)):
         out: set = set()
-        for order in range(language_id.ORDER, -1, -1):
-            context = 0
-            for x in seen[len(seen) - order :]:
-                context = context * size + x
-            row = tables[lang][order].get(context)
-            if row is None:
-                continue
-            live = {k: int(c) for k, c in enumerate(row) if c and k not in out}
+        for o in range(order, -1, -1):
+            live = {s: c for s, c in counts[text[k - o : k]].items() if s not in out}
             if not live:
                 continue
             n, d = sum(live.values()), len(live)
-            if s in live:
-                bits -= __import__("math").log2(live[s] / (n + d))
+            if text[k] in live:
+                bits -= math.log2(live[text[k]] / (n + d))
                 break
-            bits -= __import__("math").log2(d / (n + d))
+            bits -= math.log2(d / (n + d))
             out |= set(live)
         else:
-            bits += __import__("math").log2(max(1, sum(int(weight[k]) for k in range(size) if k not in out)))
-        seen.append(s)
+            bits += math.log2(256 - len(out))
     return bits
 
 
-def test_language_code_lengths_and_accuracy(spark):
-    import numpy as np
-    import pyarrow as pa
+def make_text(rng, lang, n):
+    parts = {"l0": ["the", "ing", "and", "er"], "l1": ["sch", "ung", "der", "ein"], "l2": ["que", "eau", "les", "ié"]}
+    return " ".join("".join(rng.choices(parts[lang], k=rng.randrange(1, 4))) for _ in range(n))
 
-    from locusframe.llm import _text
 
+def test_language_code_lengths_and_ties(spark):
     rng = random.Random(2)
-    parts = {"l0": ["the", "ing", "and", "er"], "l1": ["sch", "ung", "der", "ein"], "l2": ["que", "eau", "les", "ié"]}
-    make = lambda lang, n: " ".join("".join(rng.choices(parts[lang], k=rng.randrange(1, 4))) for _ in range(n))
-    texts = {lang: [make(lang, 40).encode() for _ in range(4)] for lang in parts}
-    model = language_id.train(texts)
-    size = model.bits.shape[1]
-    tables = {lang: language_id._counts(texts[lang], model.symbol, size) for lang in parts}
-    probes = [make("l1", 6), "Zß!", "", "the", make("l2", 12).upper()]
+    texts = {lang: [make_text(rng, lang, 40) for _ in range(4)] for lang in ("l0", "l1", "l2")}
+    texts["l9"] = texts["l2"]
+    sample = spark.createDataFrame([(k, t) for k, v in texts.items() for t in v], "lang string, text string")
+    model = language_id.train(sample)
+    long = make_text(rng, "l0", 60_000)
+    probes = [make_text(rng, "l1", 6), "Zß!", "", "the", make_text(rng, "l2", 12).upper(), "\x00ÿ中", "q"]
     part = next(_text.chunks(pa.array(probes), _text.NOT_SPACE))
-    got = language_id.code_lengths(model, part)
-    want = [[code_length(t.encode(), tables, model, lang) for lang in sorted(parts)] for t in probes]
-    assert np.allclose(got, want, rtol=1e-4, atol=1e-2)
-
-    rows = [(i, make("l" + str(i % 3), 30), "l" + str(i % 3), "s", 1) for i in range(90)] + [(200, None, "l0", None, None), (201, "123 ²", "l1", None, None), (202, "", None, None, None), (None, "schung der", None, None, None)]
+    want = [[code_length(t.encode(), [x.encode() for x in texts[lang]]) for lang in sorted(texts)] for t in probes]
+    assert list(model) == sorted(texts) and np.allclose(language_id.code_lengths(model, part), want, rtol=1e-9, atol=1e-9)
+    rows = [*enumerate(probes), (50, long), (51, None), (0, probes[0])]
+    got = language_id.identify(frame(spark, rows), sample).collect()
+    assert language_id.identify(frame(spark, rows), sample).columns == ["doc_id", "lang_pred", "score", "bits_per_byte"] and len(got) == len(rows)
+    by = {r.doc_id: r for r in got}
+    odds = {i: 1 / sum(2.0 ** (min(w) - x) for x in w) for i, w in enumerate(want)}
+    for i, t in enumerate(probes):
+        letters = any(c.isalpha() for c in t)
+        # l9 learned what l2 did: the tie goes to l2
+        assert by[i].lang_pred == (sorted(texts)[want[i].index(min(want[i]))] if letters else "und")
+        assert abs(by[i].score - (odds[i] if letters else 0)) < 1e-9
+    assert by[4].lang_pred == "l2" and abs(by[4].score - 0.5) < 1e-6
+    assert by[50].lang_pred == "l0" and by[50].score > 0.999
+    whole = code_length(long.encode(), [x.encode() for x in texts["l0"]]) / len(long)
+    assert abs(by[50].bits_per_byte - whole) < 1e-6
+
+
+def test_languages_of_documents(spark):
+    rng = random.Random(2)
+    rows = [(i, make_text(rng, "l" + str(i % 3), 30), "l" + str(i % 3), "s", 1) for i in range(90)] + [(200, None, "l0", None, None), (201, "123 ²", "l1", None, None), (202, "", None, None, None), (None, "schung der", None, None, None)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
     sample = language_id.training_sample(docs)
     assert max(r["count"] for r in sample.groupBy("lang").count().collect()) <= language_id.TRAIN_DOCS
@@ -242,9 +256,22 @@ def test_language_code_lengths_and_accuracy(spark):
     assert all(found[i].lang_pred == "l" + str(i % 3) for i in held)
     assert [found[i].lang_pred for i in (200, 201, 202)] == ["und"] * 3 and found[200].score == 0
     assert found[None].lang_pred == "l1"
-    small = language_id.training_sample(docs, langs=1, train_docs=2)
-    assert small.count() == 2 and small.select("lang").distinct().count() == 1
     assert {r.lang_pred for r in language_id.identify(docs, sample.limit(0)).collect()} == {"und"}
+    # texts beyond a language's share are cut, and no language goes without
+    few = language_id.training_sample(docs, train_docs=2, train_chars=10**6, total_chars=300).groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).collect()
+    assert {r.lang for r in few} == {"l0", "l1", "l2"} and all(r.n <= 2 and r.chars == 100 for r in few)
+
+
+def test_every_language_is_learned(spark):
+    """More languages than any fixed number, one of them with a single very long text."""
+    rng = random.Random(7)
+    own = {f"x{k:03d}": ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=4)) for _ in range(6)] for k in range(90)}
+    ids = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 3 != 1]
+    rows = [(ids.pop(), " ".join(rng.choices(v, k=60 if k != "x050" else 30_000)), k) for k, v in own.items()]
+    probes = [(10_000 + j, " ".join(rng.choices(v, k=12)), None) for j, v in enumerate(own.values())]
+    docs = spark.createDataFrame(rows + probes, "doc_id bigint, text string, lang string")
+    found = {r.doc_id: r.lang_pred for r in language_id.identify(docs, language_id.training_sample(docs)).collect()}
+    assert [found[10_000 + j] for j in range(len(own))] == list(own)
 
 
 def test_language_sample_leaves_held_out_documents_out(spark):
