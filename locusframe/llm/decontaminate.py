@@ -1,17 +1,24 @@
 """Benchmark decontamination: one Aho-Corasick automaton over the windows of all benchmark items.
 
-Items are cut into windows of consecutive words.  Windows are strings of normalised words with a
-space on either side, so that an occurrence of the string is an occurrence of the words.  Each text
-is normalised and scanned once per automaton, and matches are mapped back to the original text.
-
-The automaton is built from at most ``BLOCK_CHARS`` characters of windows.  A larger benchmark is
-cut into blocks of that size which are scanned one after the other, so what a worker holds is bounded.
+Items are cut into windows of consecutive normalised words.  Spark forms the distinct windows with the
+items they are of; a window is a sequence of word numbers, and the automaton runs over numbers.  A
+number is written in two digits, so that no state has more ways on than the root of the vocabulary's
+size.  Each text's words are numbered, scanned once, and matches are mapped back to the original text.
+
+Words are 64-bit hashes.  An automaton takes at most some 870 bytes a window in a worker (measured on
+windows with few common beginnings: 19 nodes of 32 bytes and their edges), so one of
+``BLOCK_WINDOWS`` takes up to 220 MB.  A benchmark of more windows than that is scanned for one block
+of windows after the other, each scan in a job of its own, so that neither a worker nor the driver
+holds more than a block.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -20,84 +27,104 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text
-from ._store import small_batches
+from ._store import dropped, small_batches, written
 
-#: Characters of window text in one automaton; its nodes take some 50 bytes each.
-BLOCK_CHARS = 4_000_000
-#: A byte outside words becomes a space, A-Z become lower case.
-_NORMAL = bytes(b + 32 if 0x41 <= b <= 0x5A else b if _text.ALNUM_CASED[b] else 0x20 for b in range(256))
+#: Windows in one automaton, about: windows are dealt to blocks by hash.
+BLOCK_WINDOWS = 250_000
 
 
-def normal_words(text: str | None) -> list[bytes]:
-    """Words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the text with A-Z in lower case, as UTF-8."""
-    return (text or "").encode().translate(_NORMAL).split()
+@dataclass
+class Block:
+    """Sorted hashes of the words of some windows; each window's words as numbers, and its items."""
 
+    words: np.ndarray
+    numbers: np.ndarray
+    offsets: np.ndarray
+    items: list[str]
+    own_items: np.ndarray
+    item_offsets: np.ndarray
 
-def windows(text: str | None, size: int) -> set[bytes]:
-    """All runs of ``size`` consecutive words; a shorter text that has words is one window."""
-    words = normal_words(text)
-    if not words:
-        return set()
-    return {b" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))}
+    def digits(self, numbers: np.ndarray) -> list[int]:
+        """Two digits for each number, of ranges of their own; zeros for -1."""
+        base = math.isqrt(len(self.words)) + 1
+        out = np.zeros((len(numbers), 2), np.int32)
+        known = numbers >= 0
+        out[known, 0], out[known, 1] = 1 + numbers[known] // base, 1 + base + numbers[known] % base
+        return out.ravel().tolist()
 
 
-def _blocks(items: DataFrame, size: int) -> Iterator[list[tuple[bytes, list[str]]]]:
-    """Windows with the ids of their items, streamed to the driver and cut into blocks of bounded size."""
-    block: dict[bytes, list[str]] = {}
-    chars = 0
-    for row in items.toLocalIterator():
-        for w in windows(row["text"], size):
-            if w in block:
-                block[w].append(row["item_id"])
-                continue
-            if chars and chars + len(w) > BLOCK_CHARS:
-                yield sorted(block.items())
-                block, chars = {}, 0
-            block[w] = [row["item_id"]]
-            chars += len(w)
-    if block:
-        yield sorted(block.items())
+def _windows(size: int):
+    """All runs of ``size`` consecutive words of each item; a shorter text that has words is one window."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _text.chunks(batch.column(1), _text.ALNUM_CASED):
+                h = part.hashes(lower=True).view(np.int64)
+                n = part.last - part.first
+                count = np.where(n > 0, np.maximum(n - size + 1, 1), 0)
+                row = np.repeat(np.arange(len(n)), count)
+                start = part.first[row] + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+                length = np.minimum(n[row], size)
+                offsets = np.concatenate([[0], np.cumsum(length)])
+                flat = h[np.repeat(start - offsets[:-1], length) + np.arange(offsets[-1])]
+                words = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat, pa.int64()))
+                yield pa.RecordBatch.from_arrays([words, batch.column(0).take(pa.array(row + part.lo))], ["words", "item"])
+
+    return run
+
+
+def benchmark_windows(benchmark: DataFrame, window: int) -> DataFrame:
+    """``words, items``: each distinct window as hashes of words, with the sorted ids of its items."""
+    items = benchmark.where("item_id is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
+    found = items.mapInArrow(_windows(window), "words array<bigint>, item string")
+    return found.groupBy("words").agg(F.array_sort(F.collect_set("item")).alias("items"))
+
+
+def _block(table: pa.Table) -> Block:
+    words, items = (table.column(c).combine_chunks() for c in ("words", "items"))
+    known, numbers = np.unique(np.asarray(words.flatten()), return_inverse=True)
+    names = items.flatten().dictionary_encode()
+    return Block(known, numbers.astype(np.int32), np.asarray(words.offsets), names.dictionary.to_pylist(), np.asarray(names.indices), np.asarray(items.offsets))
 
 
 @lru_cache(maxsize=1)
 def _automaton(key: str):
     import ahocorasick
 
-    found = ahocorasick.Automaton()
-    for n, (window, ids) in enumerate(_automaton.source.value):
-        found.add_word(f" {window.decode('latin-1')} ", (window.count(b" ") + 1, tuple(ids)))
+    block = _automaton.source.value
+    found = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+    digits, at = block.digits(block.numbers), (2 * block.offsets).tolist()
+    for n, (a, b) in enumerate(zip(at, at[1:], strict=False)):
+        found.add_word(tuple(digits[a:b]), n)
     found.make_automaton()
     return found
 
 
-def _scan(block, key: str):
+def _scan(broadcast, key: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _automaton.source = block
-        automaton = _automaton(key)
+        _automaton.source = broadcast
+        automaton, block = _automaton(key), broadcast.value
         for batch in batches:
-            texts = batch.column("lf_text")
-            starts, ends, items = batch.column("lf_from").to_pylist(), batch.column("lf_to").to_pylist(), batch.column("lf_items").to_pylist()
-            counts = batch.column("lf_n_words").to_pylist()
-            for i, value in enumerate(texts.cast(pa.large_binary())):
-                words = (value.as_py() or b"").translate(_NORMAL).split()
-                counts[i] = len(words)
-                if not words:
-                    continue
-                plain = b" " + b" ".join(words) + b" "
-                hits = list(automaton.iter(plain.decode("latin-1")))
-                if hits:
-                    spaces = np.flatnonzero(np.frombuffer(plain, np.uint8) == 0x20)
-                    last = np.searchsorted(spaces, [end for end, _ in hits])
-                    own = set(items[i])
-                    for stop, (_, (length, ids)) in zip(last.tolist(), hits, strict=True):
-                        starts[i].append(stop - length)
-                        ends[i].append(stop)
-                        own.update(ids)
-                    items[i] = sorted(own)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("lf_row"), texts, pa.array(counts, pa.int64()), pa.array(starts, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))],
-                ["lf_row", "lf_text", "lf_n_words", "lf_from", "lf_to", "lf_items"],
-            )
+            for part in _text.chunks(batch.column("lf_text"), _text.ALNUM_CASED):
+                rows = part.hi - part.lo
+                own = batch.slice(part.lo, rows)
+                starts, ends, items = (own.column(c).to_pylist() for c in ("lf_from", "lf_to", "lf_items"))
+                h = part.hashes(lower=True).view(np.int64)
+                at = np.minimum(np.searchsorted(block.words, h), len(block.words) - 1)
+                number = np.where(block.words[at] == h, at, -1)
+                # what is no word of a window stands between rows
+                stream, first = tuple(block.digits(np.insert(number, part.first[1:], -1))), part.first + np.arange(rows)
+                for stop, n in automaton.iter(stream) if stream else ():
+                    r = int(np.searchsorted(first, stop // 2, "right")) - 1
+                    last = stop // 2 - int(first[r]) + 1
+                    starts[r].append(last - int(block.offsets[n + 1] - block.offsets[n]))
+                    ends[r].append(last)
+                    items[r] += [block.items[i] for i in block.own_items[block.item_offsets[n] : block.item_offsets[n + 1]]]
+                items = [sorted(set(x)) for x in items]
+                yield pa.RecordBatch.from_arrays(
+                    [own.column("lf_row"), own.column("lf_text"), pa.array(part.last - part.first, pa.int64()), pa.array(starts, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))],
+                    ["lf_row", "lf_text", "lf_n_words", "lf_from", "lf_to", "lf_items"],
+                )
 
     return run
 
@@ -144,9 +171,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
 
     Null or empty text has no words.  Items without words, and null texts in the benchmark, have no
     windows; an empty benchmark hits nothing; equal items are all reported.  Null item ids are
-    skipped.  Repeated rows give a result each; other columns ride along inside ``lf_row``.
+    skipped.  Repeated rows and null ids give a result each; other columns, whatever their names, ride
+    along inside ``lf_row``.
     """
-    items = benchmark.where("item_id is not null").select(F.col("item_id").cast("string").alias("item_id"), "text").orderBy("item_id", "text")
+    table = written(benchmark_windows(benchmark, window), "benchmark-windows")
+    blocks = max(1, -(-table.count() // BLOCK_WINDOWS))
     none = F.array().cast("array<bigint>")
     out = small_batches(docs).select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("lf_row"),
@@ -157,12 +186,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
         F.array().cast("array<string>").alias("lf_items"),
     )
     schema = out.schema
-    blocks = list(_blocks(items, window)) or [[]]
-    for block in blocks:
-        if not block:
-            block = [(b"\x00", [])]
-        key = hashlib.sha256(repr(block).encode()).hexdigest()
-        out = out.mapInArrow(_scan(docs.sparkSession.sparkContext.broadcast(block), key), schema)
+    for b in range(blocks):
+        block = _block(table.where(F.pmod(F.xxhash64("words"), F.lit(blocks)) == b).toArrow())
+        if not len(block.words):
+            # nothing to find: a window of two words that no text has
+            block = Block(np.zeros(1, np.int64), np.zeros(2, np.int32), np.array([0, 2]), [], np.zeros(0, np.int32), np.zeros(2, np.int64))
+        scanned = out.mapInArrow(_scan(docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex), schema)
+        out = written(scanned, "benchmark-scanned") if b + 1 < blocks else scanned
+    dropped(table)
     row_type = schema["lf_row"].dataType.simpleString()
     return out.mapInArrow(
         _finish,

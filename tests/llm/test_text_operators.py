@@ -154,37 +154,60 @@ def test_token_cache_is_bounded(monkeypatch):
 
 
 def brute_contamination(rows, items, size=10):
-    found = {}
+    found, windows = {}, defaultdict(set)
     split = lambda t: ALNUM.findall((t or "").translate(TO_LOWER))
+    for item, t in items:
+        v = split(t)
+        n = min(size, len(v))
+        for k in range(len(v) - n + 1 if v else 0):
+            windows[tuple(v[k : k + n])].add(str(item))
     for i, text in rows:
         w, hit, ids = split(text), set(), set()
-        for item, t in items:
-            v = split(t)
-            n = min(size, len(v))
-            for k in range(len(v) - n + 1 if v else 0):
-                for p in range(len(w) - n + 1):
-                    if w[p : p + n] == v[k : k + n]:
-                        hit |= set(range(p, p + n))
-                        ids.add(str(item))
+        for n in {len(x) for x in windows}:
+            for p in range(len(w) - n + 1):
+                if own := windows.get(tuple(w[p : p + n])):
+                    hit |= set(range(p, p + n))
+                    ids |= own
         found[i] = (len(w), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest())
     return found
 
 
-@pytest.mark.parametrize("block", [4_000_000, 150])
+@pytest.mark.parametrize("block", [250_000, 5])
 def test_contamination_matches_brute_force(spark, monkeypatch, block):
-    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", block)
+    monkeypatch.setattr(decontaminate, "BLOCK_WINDOWS", block)
     rng = random.Random(9)
-    items = [(1, words_of(rng, 14, 10**6)), (10, words_of(rng, 10, 10**6)), (2, "Tiny item"), (3, ""), (4, None), (5, "Ünï Code ß"), (6, words_of(rng, 14, 10**6))]
+    items = [(1, words_of(rng, 14, 10**6)), (10, words_of(rng, 10, 10**6)), (2, "Tiny item"), (3, ""), (4, None), (5, "Ünï Code ß"), (6, words_of(rng, 14, 10**6)), (None, "tail"), (7, "Tiny item"), (8, "item y")]
     a = items[0][1].split()
-    rows = [r for r in messy() if r[0] != 50] + [(80, "start " + " ".join(a[2:13]).upper() + " end"), (81, "x tiny,  ITEM y tiny-item"), (82, items[1][1] + ". " + items[6][1]), (83, "ünï code ß Ünï Code"), (84, "tinyitem tiny items")]
+    long = " ".join([words_of(rng, 40_000, 10**6), *a[1:12], words_of(rng, 40_000, 10**6), "tiny item"])
+    rows = messy() + [(80, "start " + " ".join(a[2:13]).upper() + " end"), (81, "x tiny,  ITEM y tiny-item"), (82, items[1][1] + ". " + items[6][1]), (83, "ünï code ß Ünï Code"), (84, "tinyitem tiny items"), (85, long), (None, " ".join(a)), (86, "x tiny"), (87, "item y")]
+    rows += [rows[-9], rows[-4]]
     docs = frame(spark, rows)
     bench = spark.createDataFrame([(i, t, 1) for i, t in items], "item_id bigint, text string, n_words int")
     got = decontaminate.contamination(docs, bench).collect()
-    assert {r.lf_row.doc_id: (r.lf_n_words, r.lf_n_hit, r.lf_n_items, r.lf_items_sha256) for r in got} == brute_contamination(rows, items)
+    want = brute_contamination(rows, [x for x in items if x[0] is not None])
+    assert len(got) == len(rows) and got[0].lf_row.asDict().keys() == {c for c in docs.columns if c != "text"}
+    for r in got:
+        assert (r.lf_n_words, r.lf_n_hit, r.lf_n_items, r.lf_items_sha256) == want[r.lf_row.doc_id]
     spans = {r.lf_row.doc_id: r.lf_spans for r in got}
     text = dict(rows)[80]
     assert [text[s.start : s.end].lower() for s in spans[80]] == [" ".join(a[2:13])]
+    assert [long[s.start : s.end] for s in spans[85]] == [" ".join(a[1:12]), "tiny item"]
     assert decontaminate.contamination(docs, bench.limit(0)).where("lf_n_hit > 0").count() == 0
+    assert decontaminate.contamination(docs.limit(0), bench).count() == 0
+
+
+def decontaminate_windows(text, size=10):
+    w = ALNUM.findall(text)
+    return {" ".join(w[k : k + size]) for k in range(len(w) - size + 1)}
+
+
+def test_contamination_by_a_benchmark_beyond_four_million_characters(spark):
+    rng = random.Random(10)
+    items = [(i, words_of(rng, 100, 10**7)) for i in range(1000)]
+    assert sum(len(w) for _, t in items for w in decontaminate_windows(t)) > 4_000_000
+    rows = [(i, words_of(rng, 50, 10**7) + " " + " ".join(items[9 * i][1].split()[30:45])) for i in range(100)] + [(200, words_of(rng, 3000, 10**7))]
+    got = decontaminate.contamination(frame(spark, rows), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    assert {r.lf_row.doc_id: (r.lf_n_hit, r.lf_items) for r in got} == {i: (15, [str(9 * i)]) for i in range(100)} | {200: (0, [])}
 
 
 def code_length(text: bytes, learned: list[bytes], order=3):
