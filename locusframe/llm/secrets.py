@@ -2,8 +2,8 @@
 
 Spans of secrets are found per text.  The hash of every candidate value is aggregated by distinct
 repositories and owners over the whole corpus, which separates widely copied examples from values
-that one owner has, which look live.  Bare mixed tokens, which no rule catches by themselves, become
-spans only if a single owner has them.
+that one owner has in few places, which look live.  Values of base spans that look live get a span of
+their own, and bare mixed tokens, which no rule catches by themselves, become spans if they look live.
 """
 
 from __future__ import annotations
@@ -22,10 +22,13 @@ KINDS = (
 )
 #: The method's own kind: a long token of digits and letters of both cases.
 BARE = ("bare", r"[A-Za-z0-9+/_-]{20,}", 0, 20)
-#: A value of so many owners or more is a widely copied example.
-COPIED_OWNERS = 3
+#: And that of the value of a base span that looks live.
+LIVE = "live"
+#: A value of so many owners, or in so many repositories whoever owns them, is a widely copied example.
+#: A value looks live if a single owner has it and it isn't widely copied.
+COPIED_OWNERS, COPIED_REPOS = 3, 10
 
-_SPAN = "array<struct<start:bigint,kind_no:int,end:bigint,kind:string,hash:string>>"
+_SPAN = "array<struct<start:bigint,kind_no:int,end:bigint,kind:string,hash:string,value_start:bigint>>"
 
 
 def _found(text: Column, number: int, kind: str, pattern: str, group: int, least: int) -> Column:
@@ -45,7 +48,9 @@ def _found(text: Column, number: int, kind: str, pattern: str, group: int, least
     spans = F.transform(
         F.arrays_zip(starts.alias("s"), whole.alias("m"), value.alias("v")),
         lambda x: F.struct(
-            x["s"].alias("start"), F.lit(number).alias("kind_no"), (x["s"] + F.char_length(x["m"])).alias("end"), F.lit(kind).alias("kind"), x["v"].alias("hash")
+            x["s"].alias("start"), F.lit(number).alias("kind_no"), (x["s"] + F.char_length(x["m"])).alias("end"), F.lit(kind).alias("kind"), x["v"].alias("hash"),
+            # a value stands at the end of its match
+            (x["s"] + F.char_length(x["m"]) - F.char_length(x["v"])).alias("value_start"),
         ),
     )
     kept = F.transform(F.filter(spans, lambda x: F.char_length(x["hash"]) >= least), lambda x: x.withField("hash", F.sha2(x["hash"], 256)))
@@ -66,14 +71,15 @@ def _string(spans: Column) -> Column:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source") -> DataFrame:
     """One row per row of ``docs``: ``id_col``, ``base`` and ``added`` spans, ``n_live``, ``n_copied``.
 
-    Spans are ``start, kind_no, end, kind, hash`` with code point offsets, end exclusive, ``hash`` the
-    value's SHA-256.  ``n_live`` counts spans whose value has a single owner, ``n_copied`` those whose
-    value at least ``COPIED_OWNERS`` owners have.  ``added`` are bare tokens outside base spans that
-    look live.
+    Spans are ``start, kind_no, end, kind, hash, value_start`` with code point offsets, end exclusive,
+    ``hash`` the value's SHA-256.  A value is copied if at least ``COPIED_OWNERS`` owners or
+    ``COPIED_REPOS`` repositories have it, and live if it isn't copied and has one owner.  ``n_live``
+    and ``n_copied`` count the candidates with such values.  ``added`` are the values of live base
+    spans, as kind ``live``, and live bare tokens outside base spans.
 
     Null or empty text: no spans.  Null repositories and owners each count as one.  Repeated rows
-    count once as repositories and get a result each; rows that share an id with other texts are kept
-    apart by a hash of the text.  Columns besides the four named ones are not read.
+    count once as repositories and get a result each; rows that share an id, null or not, with other
+    texts are kept apart by a hash of the text.  Columns besides the four named ones are not read.
     """
     text = F.coalesce(F.col("lf_text"), F.lit(""))
     rows = docs.select(
@@ -89,15 +95,23 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_c
     frequency = owned.groupBy("hash", "lf_owner").agg(F.count(F.lit(1)).alias("n")).groupBy("hash").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("n").alias("n_repos"))
     # as a table, so that the join's hot values can be split over tasks
     frequency = written(frequency, "secret-owners")
-    judged = each.withColumn("hash", F.col("span.hash")).join(frequency, "hash").select("lf_id", "lf_key", F.struct("span.*", "n_owners").alias("span"))
+    copied = (F.col("n_owners") >= COPIED_OWNERS) | (F.col("n_repos") >= COPIED_REPOS)
+    judged = each.withColumn("hash", F.col("span.hash")).join(frequency, "hash").select("lf_id", "lf_key", F.struct("span.*", copied.alias("copied"), (~copied & (F.col("n_owners") == 1)).alias("live")).alias("span"))
     by_row = judged.groupBy("lf_id", "lf_key").agg(F.collect_set("span").alias("spans"))
-    plain = lambda s: F.struct(s["start"].alias("start"), s["kind_no"].alias("kind_no"), s["end"].alias("end"), s["kind"].alias("kind"), s["hash"].alias("hash"))
+
+    def marked(s: Column) -> Column:
+        bare = s["kind"] == BARE[0]
+        return F.struct(
+            s["value_start"].alias("start"), F.when(bare, s["kind_no"]).otherwise(len(KINDS) + 1).alias("kind_no"), s["end"].alias("end"), F.when(bare, s["kind"]).otherwise(LIVE).alias("kind"), s["hash"].alias("hash"), s["value_start"].alias("value_start")
+        )
+
     by_row = by_row.select(
         F.col("lf_id").alias("r_id"),
         F.col("lf_key").alias("r_key"),
-        F.transform(F.filter("spans", lambda s: (s["kind"] == BARE[0]) & (s["n_owners"] == 1)), plain).alias("added"),
-        F.size(F.filter("spans", lambda s: s["n_owners"] == 1)).cast("long").alias("n_live"),
-        F.size(F.filter("spans", lambda s: s["n_owners"] >= COPIED_OWNERS)).cast("long").alias("n_copied"),
+        # kinds that overlap, such as an assigned hexadecimal value, have the same value
+        F.array_distinct(F.transform(F.filter("spans", lambda s: s["live"]), marked)).alias("added"),
+        F.size(F.filter("spans", lambda s: s["live"])).cast("long").alias("n_live"),
+        F.size(F.filter("spans", lambda s: s["copied"])).cast("long").alias("n_copied"),
     )
     out = base.join(by_row, F.col("lf_id").eqNullSafe(F.col("r_id")) & (F.col("lf_key") == F.col("r_key")), "left")
     zero = F.lit(0).cast("long")
@@ -121,6 +135,7 @@ _SQL_ASSIGN = "([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][e
 def _sql_kind(number: int, kind: str, pattern: str, group: int, least: int, more: str = "") -> str:
     return rf"""
   select doc_id, {number} as kind_no, '{kind}' as kind, source,
+    length(v[i]) as vn,
     (list_sum([length(x) for x in p[1:i]]) + coalesce(list_sum([length(x) for x in m[1:i-1]]), 0))::bigint as s, length(m[i]) as n, v[i] as value
   from (select *, unnest(range(1, len(m) + 1)) as i from (
     select doc_id, source, regexp_extract_all(text, '{pattern}') as m, regexp_extract_all(text, '{pattern}', {group}) as v, string_split_regex(text, '{pattern}') as p
@@ -134,16 +149,20 @@ with base as ({" union all ".join(_sql_kind(n, k, _SQL_ASSIGN if k == "assign" e
 ), outside as (
   select * from bare b where not exists (select 1 from base a where a.doc_id = b.doc_id and a.s <= b.s and b.s + b.n <= a.s + a.n)
 ), everything as (select * from base union all select * from outside),
-owners as (select value, count(distinct coalesce(source, '')) as n_owners from everything group by value),
+owners as (select value, count(distinct coalesce(source, '')) as n_owners, count(distinct (coalesce(source, ''), doc_id)) as n_repos from everything group by value),
 judged as (
-  select e.*, n_owners, e.kind || ':' || s::varchar || ':' || (s + n)::varchar as span from everything e join owners using (value)
-), by_doc as (
+  select e.*, n_owners >= {COPIED_OWNERS} or n_repos >= {COPIED_REPOS} as copied, n_owners = 1 and n_repos < {COPIED_REPOS} as live from everything e join owners using (value)
+), spans as (
+  select doc_id, kind, kind_no, s, s + n as e from judged where kind <> 'bare' or live
+  union select doc_id, '{LIVE}', {len(KINDS) + 1}, s + n - vn, s + n from judged where kind <> 'bare' and live
+), named as (select *, kind || ':' || s::varchar || ':' || e::varchar as span from spans
+), by_span as (
+  select doc_id, string_agg(span, ',' order by s, kind_no) filter (where kind_no < {len(KINDS)}) as base, string_agg(span, ',' order by s, kind_no) as spans from named group by doc_id
+), by_kind as (
   select doc_id, count(*) filter (where kind = 'assign') as n_assign, count(*) filter (where kind = 'access') as n_access, count(*) filter (where kind = 'hex') as n_hex,
-    coalesce(string_agg(span, ',' order by s, kind_no) filter (where kind <> 'bare'), '') as base,
-    coalesce(string_agg(span, ',' order by s, kind_no) filter (where kind <> 'bare' or n_owners = 1), '') as spans,
-    count(*) filter (where n_owners = 1) as n_live, count(*) filter (where n_owners >= {COPIED_OWNERS}) as n_copied
+    count(*) filter (where live) as n_live, count(*) filter (where copied) as n_copied
   from judged group by doc_id
-)
+), by_doc as (select * from by_kind left join by_span using (doc_id))
 select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex,
   sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans, coalesce(n_live, 0) as n_live, coalesce(n_copied, 0) as n_copied
 from documents left join by_doc using (doc_id)

@@ -82,6 +82,29 @@ def test_secrets_match_sql_and_live_values(spark):
     same(got, oracle(unique, None).sql(secrets.OP2_SQL))
 
 
+def test_widely_copied_and_live_values(spark):
+    """A value of three owners, one in ten repositories of one owner, one of two owners, and live ones."""
+    of = {"manyowners1": ["a", "b", "c"], "manyrepos12": ["a"] * 10, "twoowners12": ["a", "b"], "live1234567": ["a"] * 9, "once1234567": ["z"]}
+    rows = [(100 * k + j, f"é password={v} end", "en", owner) for k, (v, owners) in enumerate(of.items()) for j, owner in enumerate(owners)]
+    got = {r.doc_id: r for r in secrets.scan(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")).collect()}
+    judged = {v: {(tuple((s.kind, s.start, s.end) for s in got[100 * k + j].added), got[100 * k + j].n_live, got[100 * k + j].n_copied) for j in range(len(owners))} for k, (v, owners) in enumerate(of.items())}
+    live = ((("live", 11, 22),), 1, 0)
+    assert judged == {"manyowners1": {((), 0, 1)}, "manyrepos12": {((), 0, 1)}, "twoowners12": {((), 0, 0)}, "live1234567": {live}, "once1234567": {live}}
+    # with repositories of their own, ten documents of one repository are one place
+    docs = spark.createDataFrame([(i, "password=manyrepos12", "repo", "a") for i in range(10)], "doc_id bigint, text string, repo string, source string")
+    assert {r.n_live for r in secrets.scan(docs, repo_col="repo").collect()} == {1}
+
+
+def test_secrets_in_long_texts_nulls_and_repeated_ids(spark):
+    filler = "word é " * 60_000
+    rows = [(1, filler + "token: abcdef123456"), (None, "secret=nullid12"), (None, None), (3, "secret=first123"), (3, "secret=second12"), *messy()]
+    got = secrets.scan(frame(spark, rows)).collect()
+    spans = sorted((r.doc_id or -1, [(s.kind, s.start, s.end) for s in r.base]) for r in got if r.base)
+    at = len(filler)
+    assert spans == [(-1, [("assign", 0, 15)]), (1, [("assign", at, at + 19)]), (3, [("assign", 0, 15)]), (3, [("assign", 0, 15)])]
+    assert len(got) == len(rows) and {s.hash for r in got if r.doc_id == 3 for s in r.added} == {hashlib.sha256(x).hexdigest() for x in (b"first123", b"second12")}
+
+
 def test_repeated_rows_of_secrets(spark):
     found = secrets.scan(frame(spark, SECRETS)).where("doc_id = 7").collect()
     assert len(found) == 2 and found[0].added == found[1].added
