@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from locusframe.llm import _text, decontaminate, language_id, licenses, line_dedup, packing, quality, secrets, token_counts
 
+from locusframe.llm.license_texts import PASSAGES
+
 from .helpers import ALNUM, SPACED, TO_LOWER, frame, messy, words_of
 
 SECRETS = [
@@ -110,28 +112,40 @@ def test_repeated_rows_of_secrets(spark):
     assert len(found) == 2 and found[0].added == found[1].added
 
 
-def brute_license(rows, templates):
+def brute_license(rows):
+    """Every passage laid at every place that has its key phrase."""
+    words = {k: ALNUM.findall((t or "").translate(TO_LOWER)) for k, (_, t) in enumerate(rows)}
+    frequency = Counter(w for own in words.values() for w in set(own))
+    idf = lambda w: math.log((len(rows) + 1) / (frequency[w] + 1)) + 1e-6
     out = []
-    for i, text in rows:
-        w = ALNUM.findall((text or "").translate(TO_LOWER))
+    for k, (i, _) in enumerate(rows):
+        w = words[k]
+        where = defaultdict(list)
+        for p, x in enumerate(w):
+            where[x].append(p)
         labels, best = set(), 0.0
-        for t in templates:
-            for d in range(-len(t.words), len(w)):
-                at = [0 <= d + k < len(w) and w[d + k] == t.words[k] for k in range(len(t.words))]
-                if sum(at[k] for k in t.anchors) >= min(2, len(t.anchors)) and all(at[t.key[0] : t.key[1]]):
-                    share = sum(x for x, y in zip(t.weight, at, strict=True) if y) / t.weight.sum()
+        for label, phrase, text in PASSAGES:
+            body, key = ALNUM.findall(text.translate(TO_LOWER)), phrase.split()
+            a = next(q for q in range(len(body)) if body[q : q + len(key)] == key)
+            for p in where[key[0]]:
+                if w[p : p + len(key)] == key:
+                    d = p - a
+                    share = sum(idf(x) for q, x in enumerate(body) if 0 <= d + q < len(w) and w[d + q] == x) / sum(map(idf, body))
                     if share >= licenses.MIN_COVERAGE:
-                        labels.add(t.label)
+                        labels.add(label)
                         best = max(best, min(1.0, share))
-        base = [(k, label) for p, label in licenses.BASE for k in range(len(w)) if w[k : k + len(p.split())] == p.split()]
-        names = {x for _, x in base}
-        at = sorted(k for k, _ in base)
+        base = [(p, label) for phrase, label in licenses.BASE for p in where[phrase.split()[0]] if w[p : p + len(phrase.split())] == phrase.split()]
+        names, at = {x for _, x in base}, sorted(p for p, _ in base)
         out.append((i, len(w), len(at), at[0] if at else None, at[-1] if at else None, ",".join(sorted(names)), ",".join(sorted(names | labels)), round(best, 9)))
-    return sorted(out)
+    return sorted(out, key=repr)
 
 
-def test_licenses_match_brute_force(spark):
-    rows = [r for r in messy() if r[0] not in (50, 51)] + [
+def test_licenses_match_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(licenses, "STRETCH", 1000)
+    rng = random.Random(12)
+    whole = " ".join(text for _, _, text in PASSAGES)
+    spoilt = " ".join(w if rng.random() < 0.8 else "other" for w in whole.split())
+    rows = messy() + [
         (80, "Released under the MIT License."),
         (81, "Licensed under the Apache\nLicense, Version 2.0. And again: the apache license"),
         (82, "This work is licensed under the GNU General Public License, version 3."),
@@ -139,13 +153,22 @@ def test_licenses_match_brute_force(spark):
         (84, "mit License mit license general public-license"),
         (85, "mozilla public licenses mit  licensed"),
         (86, "permission is hereby granted, free of charge, to any person"),
+        (87, whole),
+        (88, spoilt),
+        (89, words_of(rng, 5000) + " " + whole + " mit license " * 2000 + words_of(rng, 999) + " released under the mit license"),
+        (90, "Licensed under CC BY-NC 4.0."),
+        (91, "license mit public general " * 50),
+        (None, "the mit license"),
+        (87, whole),
     ]
     docs = frame(spark, rows)
     frequency, n = licenses.license_frequencies(docs)
     assert n == len(rows) and frequency["mit"] == sum("mit" in ALNUM.findall((t or "").translate(TO_LOWER)) for _, t in rows)
-    got = licenses.license_scan(docs).drop("places").collect()
-    assert sorted((*r[:-1], round(r.score, 9)) for r in got) == brute_license(rows, licenses.index(frequency, n))
-    assert licenses.license_scan(docs.limit(0)).count() == 0
+    got = licenses.license_scan(docs)
+    assert got.columns[0] == "doc_id" and licenses.license_scan(docs.limit(0)).count() == 0
+    want = brute_license(rows)
+    assert sorted(((*r[:-2], round(r.score, 9)) for r in got.collect()), key=repr) == want
+    assert {label for label, _, _ in PASSAGES} <= set(next(r[6] for r in want if r[0] == 87).split(","))
 
 
 @pytest.fixture(scope="module")
