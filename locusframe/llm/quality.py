@@ -7,7 +7,6 @@ a quarter of a megabyte of texts at a time.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,27 +20,29 @@ from ._store import small_batches
 #: Fixed values of the contract.
 SYMBOLS = b"#*$%&|<>"
 WINDOW, MIN_WORDS, MAX_REPEAT_PERCENT = 5, 10, 20
-#: Line rules: a line fails if symbols exceed this share of its word characters (punctuation), if it
-#: has this many separators and one for each so many words (navigation), if it is upper-case text, a
-#: repeat of an earlier line, or has a boilerplate phrase.
-MAX_SYMBOL_PERCENT, MIN_SEPARATORS, WORDS_A_SEPARATOR = 10, 3, 5
+#: Line rules.  Punctuation: a line fails if symbols exceed this share of its word characters, if it has
+#: at least so many exclamation and question marks and over one for two words, or if so many words or
+#: more stand in it without one mark that ends or divides sentences.
+MAX_SYMBOL_PERCENT, MIN_SHOUTS, WORDS_A_SHOUT, MIN_UNMARKED_WORDS = 10, 3, 2, 20
+SENTENCE_MARKS = ".!?:;…。！？"
+#: Navigation: this many separators and one for each so many words.  Upper-case text: so many letters and share.
+SEPARATORS, MIN_SEPARATORS, WORDS_A_SEPARATOR = "|>»·•›→", 3, 5
 MIN_UPPER, UPPER_PERCENT = 20, 70
+#: Boilerplate: one of these phrases in a line of so many words at most.  Repeats of earlier lines fail too.
+MAX_BOILERPLATE_WORDS = 20
 BOILERPLATE = (
-    "accept cookies",
-    "all rights reserved",
-    "cookie policy",
-    "enable javascript",
-    "lorem ipsum",
-    "privacy policy",
-    "read more",
-    "sign up for",
-    "subscribe to our",
-    "terms of use",
-)
+    # English
+    "accept all cookies", "accept cookies", "all rights reserved", "cookie policy", "cookie settings", "enable javascript", "lorem ipsum", "powered by", "privacy policy", "read more", "share this", "sign up for", "skip to content", "subscribe to our", "terms of service", "terms of use",
+    # German
+    "alle rechte vorbehalten", "cookies akzeptieren", "datenschutzerklärung", "impressum", "javascript aktivieren", "mehr lesen", "newsletter abonnieren", "nutzungsbedingungen", "zum inhalt springen",
+    # French
+    "abonnez-vous", "accepter les cookies", "activer javascript", "aller au contenu", "conditions d'utilisation", "lire la suite", "mentions légales", "politique de confidentialité", "tous droits réservés",
+    # Spanish
+    "aceptar cookies", "aceptar las cookies", "aviso legal", "habilitar javascript", "ir al contenido", "leer más", "política de privacidad", "suscríbete", "todos los derechos reservados", "términos de uso",
+)
 #: A document is rejected if its failing lines hold more than this share of its word characters.
 MAX_LOST_PERCENT = 50
 
-_BOILERPLATE = re.compile("|".join(map(re.escape, BOILERPLATE)).encode())
 _UPPER = np.array([0x41 <= b <= 0x5A for b in range(256)])
 _LETTER = _UPPER | np.array([0x61 <= b <= 0x7A for b in range(256)])
 _SYMBOL = np.array([b in SYMBOLS for b in range(256)])
@@ -54,6 +55,32 @@ def _sums(mask: np.ndarray) -> np.ndarray:
     return out
 
 
+def _marks(buf: np.ndarray, characters: str) -> np.ndarray:
+    """For each byte, whether one of the characters starts there."""
+    out = np.zeros(len(buf), bool)
+    for c in characters:
+        raw = c.encode()
+        own = buf == raw[0]
+        for k, b in enumerate(raw[1:], 1):
+            own[: len(buf) - k] &= buf[k:] == b
+            own[max(0, len(buf) - k) :] = False
+        out |= own
+    return out
+
+
+def _with_phrase(text: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Lines that hold a boilerplate phrase; lines come in order."""
+    out = np.zeros(len(start), bool)
+    for phrase in BOILERPLATE:
+        raw = phrase.encode()
+        at = text.find(raw)
+        while at >= 0:
+            line = int(np.searchsorted(start, at, "right")) - 1
+            out[line] |= at + len(raw) <= end[line]
+            at = text.find(raw, at + 1)
+    return out
+
+
 def _in_repeats(part: _text.Words, hashes: np.ndarray, row_of_word: np.ndarray) -> np.ndarray:
     """Words inside windows of five that occur twice or more in their row."""
     n = len(hashes)
@@ -100,8 +127,8 @@ def _judged(part: _text.Words) -> tuple[np.ndarray, ...]:
     words = np.searchsorted(part.start, end) - np.searchsorted(part.start, start)
     chars, marks = inside[end] - inside[start], symbols[end] - symbols[start]
     upper, letters = _sums(_UPPER[buf]), _sums(_LETTER[buf])
-    pipes = _sums((buf == 0x7C) | (buf == 0x3E))
-    n_upper, n_letters, n_pipes = upper[end] - upper[start], letters[end] - letters[start], pipes[end] - pipes[start]
+    n_upper, n_letters = upper[end] - upper[start], letters[end] - letters[start]
+    n_separators, n_shouts, n_ends = (sums[end] - sums[start] for sums in (_sums(_marks(buf, c)) for c in (SEPARATORS, "!?", SENTENCE_MARKS)))
 
     up, down = _text._power_tables(len(buf) + 1)
     sums = np.zeros(len(buf) + 1, np.uint64)
@@ -114,13 +141,11 @@ def _judged(part: _text.Words) -> tuple[np.ndarray, ...]:
     dup[has] = True
     dup[has[first]] = False
 
-    bad = (100 * marks > MAX_SYMBOL_PERCENT * chars) | ((n_pipes >= MIN_SEPARATORS) & (WORDS_A_SEPARATOR * n_pipes >= words))
+    bad = (100 * marks > MAX_SYMBOL_PERCENT * chars) | ((n_shouts >= MIN_SHOUTS) & (WORDS_A_SHOUT * n_shouts > words)) | ((words >= MIN_UNMARKED_WORDS) & (n_ends == 0))
+    bad |= (n_separators >= MIN_SEPARATORS) & (WORDS_A_SEPARATOR * n_separators >= words)
     bad |= (n_upper >= MIN_UPPER) & (100 * n_upper > UPPER_PERCENT * n_letters)
     bad |= dup
-    text = _text.LOWER[buf].tobytes()
-    for m in _BOILERPLATE.finditer(text):
-        line = np.flatnonzero((start <= m.start()) & (m.end() <= end))
-        bad[line] = True
+    bad |= (words <= MAX_BOILERPLATE_WORDS) & _with_phrase(_text.LOWER[buf].tobytes(), start, end)
     bad &= words > 0
     number = np.arange(len(row)) - np.searchsorted(row, np.arange(rows))[row]
     failed = [number[bad & (row == r)] for r in range(rows)] if bad.any() and rows < 64 else np.split(number[bad], np.searchsorted(row[bad], np.arange(1, rows)))
@@ -180,14 +205,15 @@ with lines as (
         from (select doc_id, string_split(coalesce(text, ''), chr(10)) as l from documents))
 ), judged as (
   select *, len(w) as words, coalesce(length(array_to_string(w, '')), 0)::bigint as chars,
-    len(regexp_extract_all(line, '[#*$%&|<>]')) as marks, len(regexp_extract_all(line, '[|>]')) as pipes,
+    len(regexp_extract_all(line, '[#*$%&|<>]')) as marks, len(regexp_extract_all(line, '[{SEPARATORS}]')) as separators, len(regexp_extract_all(line, '[!?]')) as shouts, len(regexp_extract_all(line, '[{SENTENCE_MARKS}]')) as ends,
     len(regexp_extract_all(line, '[A-Z]')) as uppers, len(regexp_extract_all(line, '[A-Za-z]')) as letters,
     row_number() over (partition by doc_id, line order by pos) > 1 and len(w) > 0 as dup,
-    regexp_matches(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{"|".join(BOILERPLATE)}') as boiler
+    regexp_matches(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{"|".join(BOILERPLATE).replace("'", "''")}') as phrase
   from lines
 ), failed as (
-  select *, words > 0 and (100 * marks > {MAX_SYMBOL_PERCENT} * chars or (pipes >= {MIN_SEPARATORS} and {WORDS_A_SEPARATOR} * pipes >= words)
-    or (uppers >= {MIN_UPPER} and 100 * uppers > {UPPER_PERCENT} * letters) or dup or boiler) as bad from judged
+  select *, words > 0 and (100 * marks > {MAX_SYMBOL_PERCENT} * chars or (separators >= {MIN_SEPARATORS} and {WORDS_A_SEPARATOR} * separators >= words)
+    or (shouts >= {MIN_SHOUTS} and {WORDS_A_SHOUT} * shouts > words) or (words >= {MIN_UNMARKED_WORDS} and ends = 0)
+    or (uppers >= {MIN_UPPER} and 100 * uppers > {UPPER_PERCENT} * letters) or dup or (phrase and words <= {MAX_BOILERPLATE_WORDS})) as bad from judged
 ), by_line as (
   select doc_id, coalesce(sum(chars), 0)::bigint as word_chars, sum(marks)::bigint as n_symbols, count(*) filter (where dup) as n_dup_lines,
     coalesce(sum(chars) filter (where bad), 0)::bigint as lost_chars
