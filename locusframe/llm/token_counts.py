@@ -23,8 +23,10 @@ from ._store import small_batches
 
 #: Fixed value: the public pre-token pattern of byte-level BPE vocabularies of this family.
 PRE_TOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
 def _unsettled() -> str:
-    """A pattern of the characters that Unicode versions may class differently: texts with one are encoded whole.
+    """A pattern of the characters that Unicode versions may class differently.
 
     These are the BMP's code points that this Python has as unassigned, and everything above the BMP.
     """
@@ -77,6 +79,27 @@ def frequent_lengths(tokenizer_path: str) -> tuple[dict[str, int], list[str]]:
     return dict(zip(words, counts, strict=True)), special
 
 
+def settled(text: str, unsettled: re.Pattern) -> Iterator[tuple[str, bool]]:
+    """``text`` in pieces, those with an unsettled character marked.
+
+    A marked piece is the run without plain white space around the character, with all white space
+    before it.  A pre-token has white space at its begin only, so none crosses the ends of a piece.
+    """
+    at = 0
+    while m := unsettled.search(text, at):
+        begin, end = m.start(), m.end()
+        while begin > at and text[begin - 1] not in " \n\r\t":
+            begin -= 1
+        while begin > at and text[begin - 1].isspace():
+            begin -= 1
+        while end < len(text) and text[end] not in " \n\r\t":
+            end += 1
+        yield text[at:begin], False
+        yield text[begin:end], True
+        at = end
+    yield text[at:], False
+
+
 @lru_cache(maxsize=4)
 def _worker(tokenizer_path: str):
     import regex
@@ -117,16 +140,17 @@ def _count(tokenizer_path: str, table, special: list[str]):
             out = []
             for value in batch.column(batch.num_columns - 1):
                 text, n = value.as_py() or "", 0
-                if not text.isascii() and unsettled.search(text):
-                    out.append(len(tokenizer.encode(text, add_special_tokens=False).ids))
-                    continue
                 if cut is not None and cut.search(text):
                     parts = cut.split(text)
                     n = len(parts) - 1
                 else:
                     parts = (text,)
                 for part in parts:
-                    n += sum(map(get, words(part)))
+                    if part.isascii():
+                        n += sum(map(get, words(part)))
+                        continue
+                    for piece, odd in settled(part, unsettled):
+                        n += len(tokenizer.encode(piece, add_special_tokens=False).ids) if odd else sum(map(get, words(piece)))
                 out.append(n)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.int64())], [*batch.schema.names[:-1], "n_tokens"])
 
@@ -137,8 +161,9 @@ def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     """``id_col, n_bytes, n_tokens, over_limit`` for every row of ``docs``.
 
     ``n_tokens`` equals the tokenizer's count without begin and end tokens; the special strings of
-    the vocabulary count as one token each, as the library does by default.  Null or empty text: 0
-    bytes, 0 tokens.  Null or repeated ids and repeated rows: one result per row.  Other columns are
+    the vocabulary count as one token each, as the library does by default.  Words with characters that
+    Unicode versions may class differently are encoded by the library, the rest of their text by
+    look-up.  Null or empty text: 0 bytes, 0 tokens.  An empty table gives an empty result.  Null or repeated ids and repeated rows: one result per row.  Other columns are
     not read.  ``tokenizer_path`` must exist on every executor.
     """
     frequent, special = frequent_lengths(tokenizer_path)

@@ -61,13 +61,21 @@ def test_line_dedup_higher_threshold(spark):
 
 
 def test_quality_matches_sql(spark):
-    rows = messy() + [(70, "a b c d e f g\na b c d e f g\nx"), (71, "| a | b | c | d |\ntext that stays here with more words than that and a line. " * 3), (72, "SHOUTING WORDS THAT ARE ALL UPPER CASE LETTERS\n$$$ ### &&&"), (73, "please accept cookies\n" + words_of(random.Random(1), 40)), (74, "\n\n"), (75, "x\n\ny\n")]
+    rows = messy() + [(70, "a b c d e f g\na b c d e f g\nx"), (71, "| a | b | c | d |\ntext that stays here with more words than that and a line. " * 3), (72, "SHOUTING WORDS THAT ARE ALL UPPER CASE LETTERS\n$$$ ### &&&"), (73, "please accept cookies\n" + words_of(random.Random(1), 40) + "."), (74, "\n\n"), (75, "x\n\ny\n")]
+    rows += [(80, "Start » Seite · Mehr • x\nEin Satz, der bleibt, mit ein paar Worten mehr als die Zeile davor."), (81, "so viel! wirklich! ja!? nein!\n" + "Un texte tout à fait simple avec une fin. " * 3), (82, words_of(random.Random(2), 25) + "\nEin Satz. Noch einer."), (83, words_of(random.Random(3), 25) + "。"), (84, "Mentions légales\nTODOS los derechos reservados.\nLeer más…\nImpressum\n" + "Una línea normal con su punto final y más palabras. " * 4), (85, words_of(random.Random(4), 30) + ". read more here"), (86, "all rights re"), (87, "served"), (None, "a null id"), (None, None)]
     got = quality.quality(frame(spark, rows)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lost_chars", "base_failed", "kept")
-    same(got, oracle(rows, None).sql(quality.OP3_SQL))
+    same(got.where("doc_id is not null"), oracle([r for r in rows if r[0] is not None], None).sql(quality.OP3_SQL))
+    assert sorted(r.n_words for r in got.where("doc_id is null").collect()) == [0, 3]
     by = {r.doc_id: r for r in quality.quality(frame(spark, rows)).collect()}
     assert by[73].failed_lines == [0] and by[73].kept and not by[72].kept
-    cleaned = {r.doc_id: r.text for r in quality.clean(frame(spark, rows)).collect()}
-    assert cleaned[73] == rows[-3][1].split("\n")[1]
+    assert [by[i].failed_lines for i in (80, 81, 82, 83, 84, 85)] == [[0], [0], [0], [], [0, 1, 2, 3], []]
+    again = next(r for r in rows if r[0] == 73)
+    docs = frame(spark, [*rows, again])
+    cleaned = quality.clean(docs)
+    assert cleaned.columns == docs.columns
+    text = [(r.doc_id, r.text) for r in cleaned.collect()]
+    assert dict(text)[73] == next(t for i, t in rows if i == 73).split("\n")[1] and text.count((85, rows[-5][1])) == 1
+    assert sum(i == 73 for i, _ in text) == 2
 
 
 def test_secrets_match_sql_and_live_values(spark):
@@ -183,12 +191,23 @@ def test_token_counts_equal_the_library(spark, tokenizer_path):
     rng = random.Random(3)
     letters = [chr(c) for c in [*range(0x180), 0x2003, 0x2028, 0x3000, 0x4E2D, 0x1F600, 0x323B0, 0x0558]] + ["'s", "  ", "<|endoftext|>", "\n\n", " 12"]
     rows = messy() + [(100 + i, "".join(rng.choices(letters, k=rng.randrange(60)))) for i in range(400)]
+    rows += [(600 + i, "".join(rng.choices([*letters[-8:], "\x1c", "\u180e", "\u0085", " a", "b ", "\U0001f600", "\u0558", "1"], k=12))) for i in range(400)]
     got = {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in token_counts.token_counts(frame(spark, rows), tokenizer_path).collect()}
     for i, text in rows:
         n = len(library.encode(text or "", add_special_tokens=False).ids)
         assert got[i] == (len((text or "").encode()), n, n > 1024)
 
 
+def test_words_with_unsettled_characters_are_cut_out(spark, tokenizer_path, monkeypatch):
+    import re
+
+    odd = re.compile(token_counts._unsettled())
+    text = "plain words here \u00a0 é\U0001f600x more, and\n\n\U0001f600 end"
+    assert list(token_counts.settled(text, odd)) == [("plain words here", False), (" \u00a0 é\U0001f600x", True), (" more, and", False), ("\n\n\U0001f600", True), (" end", False)]
+    assert token_counts.token_counts(frame(spark, []).limit(0), tokenizer_path).count() == 0
+    assert [r.n_tokens for r in token_counts.token_counts(frame(spark, [(None, "one two"), (None, None)]), tokenizer_path).collect()] == [2, 0]
+
+
 def test_token_cache_is_bounded(monkeypatch):
     monkeypatch.setattr(token_counts, "CACHE_ENTRIES", 3)
 
