@@ -2,9 +2,12 @@
 
 ``df.write.format("warc")`` writes a gzip member per record.  ``spark.read.format("warc")`` cuts the
 files into byte ranges: a task scans its range for gzip magic, takes as members those candidates
-whose decoded start is a WARC header with a length, and owns the records that start inside the range,
-reading past its end to finish the last one.  Files are reached through Arrow's file systems, so any
-store that Arrow knows will do, and executors share nothing but that store.
+whose decoded start is a WARC header, and owns the records that start inside the range, reading past
+its end to finish the last one.  Files are reached through Arrow's file systems, so any store that
+Arrow knows will do, and executors share nothing but that store.
+
+The reader takes any record type and id, header names in any case, folded header lines, texts that
+aren't UTF-8 (undecodable bytes become U+FFFD), and records without digests.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
@@ -27,12 +30,17 @@ from ._store import shared_dir, written
 #: Payloads shorter than this are never written as revisits.
 MIN_REVISIT_BYTES = 1000
 SPLIT_BYTES = 16 << 20
+PAGE_URN = "urn:page:"
 _MAGIC = b"\x1f\x8b\x08"
 _READ = 1 << 18
 _BATCH_BYTES, _BATCH_ROWS = 8 << 20, 2000
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-SCHEMA = "page_id bigint, url string, record_type string, refers_to bigint, payload_bytes bigint, payload_digest string, payload binary"
-_ARROW = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())])
+SCHEMA = "record_id string, url string, record_type string, refers_to string, payload_bytes bigint, payload_digest string, payload binary, digest_ok boolean"
+_ARROW = pa.schema(
+    [("record_id", pa.string()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary()), ("digest_ok", pa.bool_())]
+)
+_HEAD = re.compile(rb"WARC/\d\.\d[ \t]*\r?\n")
+_END = re.compile(rb"\r?\n\r?\n")
 
 
 def _store(path: str):
@@ -47,37 +55,74 @@ def record_bytes(row: dict) -> bytes:
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {row['payload_bytes']}\r\n\r\n".encode()
     revisit = row["record_type"] == "revisit"
     block = http if revisit else http + (row["payload"] or b"")
-    name = lambda n: f"<urn:page:{'' if n is None else n}>"
-    lines = ["WARC/1.1", f"WARC-Type: {row['record_type']}", f"WARC-Record-ID: {name(row['page_id'])}", "WARC-Date: 1970-01-01T00:00:00Z"]
+    lines = ["WARC/1.1", f"WARC-Type: {row['record_type']}", f"WARC-Record-ID: <{row['record_id'] or ''}>", "WARC-Date: 1970-01-01T00:00:00Z"]
     if row["url"] is not None:
         lines.append("WARC-Target-URI: " + row["url"].replace("\r", "%0D").replace("\n", "%0A"))
     lines.append(f"WARC-Payload-Digest: sha1:{digest}")
     if revisit:
-        lines += [f"WARC-Profile: {_PROFILE}", f"WARC-Refers-To: {name(row['refers_to'])}"]
+        lines += [f"WARC-Profile: {_PROFILE}", f"WARC-Refers-To: <{row['refers_to'] or ''}>"]
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     packer = zlib.compressobj(6, zlib.DEFLATED, 31)
     return packer.compress("\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + packer.flush()
 
 
+def header_fields(head: bytes) -> dict[str, str]:
+    """Fields of header lines, names in lower case; a line that begins with white space goes on with the last one."""
+    out: dict[str, str] = {}
+    name = ""
+    for line in head.decode("utf-8", "replace").splitlines()[1:]:
+        if line[:1] in (" ", "\t"):
+            if name:
+                out[name] += " " + line.strip()
+        elif ":" in line:
+            name, value = line.split(":", 1)
+            name = name.strip().lower()
+            out[name] = value.strip()
+    return out
+
+
+def digest_hex(value: str | None) -> str | None:
+    """The hexadecimal SHA-1 of a digest field in base 32 or base 16; None for other kinds and forms."""
+    kind, _, code = (value or "").partition(":")
+    if kind.strip().lower() not in ("sha1", "sha-1"):
+        return None
+    code = code.strip()
+    if re.fullmatch(r"[0-9A-Fa-f]{40}", code):
+        return code.lower()
+    return base64.b32decode(code.upper()).hex() if re.fullmatch(r"[A-Za-z2-7]{32}", code) else None
+
+
 def parse_record(raw: bytes) -> dict:
-    """The columns of one decoded record."""
-    head, _, rest = raw.partition(b"\r\n\r\n")
-    fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
-    http, _, payload = rest[: int(fields["Content-Length"])].partition(b"\r\n\r\n")
-    number = lambda key: int(n) if key in fields and (n := fields[key].removeprefix("<urn:page:").removesuffix(">")) else None
-    digest = base64.b32decode(fields["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
-    revisit = fields["WARC-Type"] == "revisit"
-    if not revisit and hashlib.sha1(payload).hexdigest() != digest:
-        raise ValueError(f"payload of {fields['WARC-Record-ID']} doesn't have its digest")
-    length = re.search(rb"(?i)^Content-Length: *(\d+)", http, re.M)
+    """The columns of one decoded record.
+
+    The payload is the block, without its HTTP header where it is an HTTP message; a revisit has none,
+    and its ``payload_bytes`` are those that its HTTP header says, if any.  Without a SHA-1 in the record
+    ``payload_digest`` is computed from the payload (null for a revisit).  ``digest_ok`` tells whether the
+    record's digest is that of its payload, null if there is nothing to compare.
+    """
+    end = _END.search(raw)
+    head, rest = (raw[: end.start()], raw[end.end() :]) if end else (raw, b"")
+    fields = header_fields(head)
+    size = fields.get("content-length", "")
+    block = rest[: int(size)] if size.isdigit() else rest
+    kind = fields.get("warc-type", "").lower()
+    http, payload = b"", block
+    if "application/http" in fields.get("content-type", "").lower() and (cut := _END.search(block)):
+        http, payload = block[: cut.start()], block[cut.end() :]
+    revisit = kind == "revisit"
+    said = digest_hex(fields.get("warc-payload-digest"))
+    own = None if revisit else hashlib.sha1(payload).hexdigest()
+    length = header_fields(http).get("content-length", "") if revisit else ""
+    plain = lambda key: x.removeprefix("<").removesuffix(">") or None if (x := fields.get(key)) is not None else None
     return {
-        "page_id": number("WARC-Record-ID"),
-        "url": fields.get("WARC-Target-URI"),
-        "record_type": fields["WARC-Type"],
-        "refers_to": number("WARC-Refers-To"),
-        "payload_bytes": int(length[1]) if length else len(payload),
-        "payload_digest": digest,
+        "record_id": plain("warc-record-id"),
+        "url": plain("warc-target-uri"),
+        "record_type": kind,
+        "refers_to": plain("warc-refers-to"),
+        "payload_bytes": int(length) if length.isdigit() else None if revisit else len(payload),
+        "payload_digest": said or own,
         "payload": None if revisit else payload,
+        "digest_ok": said == own if said and own else None,
     }
 
 
@@ -93,7 +138,7 @@ def _member(f, at: int) -> tuple[bytes, int] | None:
             out += decoder.decompress(data)
             taken += len(data)
             if not checked and (len(out) >= 4096 or decoder.eof):
-                if not re.match(rb"WARC/1\.\d\r\n(?:[!-~]+:[^\r\n]*\r\n)*?Content-Length: \d+\r\n", out):
+                if not _HEAD.match(out):
                     return None
                 checked = True
     except zlib.error:
@@ -213,9 +258,9 @@ class WarcDataSource(DataSource):
 def deduplicated(pages: DataFrame) -> DataFrame:
     """``pages`` as records: of equal payloads of ``MIN_REVISIT_BYTES`` or more, the largest ``page_id`` is the response.
 
-    Null html is an empty payload.  Repeated rows of the response are responses too.  A null
-    ``page_id`` is a revisit if its payload has a response with an id, else a response.  Null urls
-    are left out of the record.  Other columns aren't read.
+    Records are named ``urn:page:`` and the ``page_id``.  Null html is an empty payload.  Repeated rows of
+    the response are responses too.  A null ``page_id`` is a revisit if its payload has a response
+    with an id, else a response.  Null urls are left out of the record.  Other columns aren't read.
     """
     payload = F.coalesce("html", F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload"), F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha1(payload).alias("payload_digest"))
@@ -224,16 +269,22 @@ def deduplicated(pages: DataFrame) -> DataFrame:
     newest = written(newest, "warc-newest")
     revisit = F.col("newest").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("newest"))
     return rows.join(newest, "payload_digest", "left").select(
-        "page_id",
+        F.concat(F.lit(PAGE_URN), F.coalesce(F.col("page_id").cast("string"), F.lit(""))).alias("record_id"),
         "url",
         F.when(revisit, "revisit").otherwise("response").alias("record_type"),
-        F.when(revisit, F.col("newest")).alias("refers_to"),
+        F.when(revisit, F.concat(F.lit(PAGE_URN), F.col("newest").cast("string"))).alias("refers_to"),
         "payload_bytes",
         "payload_digest",
         F.when(~revisit, F.col("payload")).alias("payload"),
+        F.lit(None).cast("boolean").alias("digest_ok"),
     )
 
 
+def page_number(name: str) -> Column:
+    """The ``page_id`` that a record's name stands for; null for names that aren't of a page."""
+    return F.regexp_extract(name, f"^{PAGE_URN}(-?[0-9]+)$", 1).try_cast("long")
+
+
 def write_archives(records: DataFrame, path: str) -> None:
     """Write records (columns of ``SCHEMA``) as ``.warc.gz`` files under ``path``, a new folder."""
     records.sparkSession.dataSource.register(WarcDataSource)
@@ -250,7 +301,8 @@ def op8_warc(spark, sf_dir: str) -> DataFrame:
     """Archives all pages, then returns what the archives say of each."""
     path = f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
     write_archives(deduplicated(spark.read.parquet(f"{sf_dir}/pages.parquet")), path)
-    return read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    found = read_archives(spark, path)
+    return found.select(page_number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page_number("refers_to").alias("refers_to"))
 
 
 OP8_SQL = f"""

@@ -1,3 +1,4 @@
+import gzip
 import hashlib
 import io
 import random
@@ -23,28 +24,71 @@ def test_round_trip_in_splits_of_any_size(spark, tmp_path):
     pages, rows = pages_frame(spark)
     path = f"file://{tmp_path}/w"
     warc.write_archives(warc.deduplicated(pages.repartition(3)), path)
+    number = lambda x: int(x.removeprefix("urn:page:") or -1)
     want = sorted((i if i is not None else -1, hashlib.sha1((h or "").encode()).hexdigest(), len((h or "").encode())) for i, _, h in rows)
     for split in (500, 7_001, 1 << 24):
         got = warc.read_archives(spark, path, split).collect()
-        assert sorted((r.page_id if r.page_id is not None else -1, r.payload_digest, r.payload_bytes) for r in got) == want
-    kinds = {(r.page_id, r.record_type, r.refers_to) for r in got if r.page_id is None or r.page_id < 10}
-    assert kinds == {(1, "revisit", 9), (2, "revisit", 9), (9, "response", None), (None, "revisit", 9), (3, "response", None), (4, "response", None), (5, "response", None), (6, "response", None)}
-    texts = {r.page_id: r.payload.decode() for r in got if r.record_type == "response"}
+        assert sorted((number(r.record_id), r.payload_digest, r.payload_bytes) for r in got) == want
+        assert {r.digest_ok for r in got if r.record_type == "response"} == {True}
+    kinds = {(number(r.record_id), r.record_type, r.refers_to and number(r.refers_to)) for r in got if number(r.record_id) < 10}
+    assert kinds == {(1, "revisit", 9), (2, "revisit", 9), (9, "response", None), (-1, "revisit", 9), (3, "response", None), (4, "response", None), (5, "response", None), (6, "response", None)}
+    texts = {number(r.record_id): r.payload.decode() for r in got if r.record_type == "response"}
     assert all(texts[i] == (h or "") for i, _, h in rows if i is not None and i not in (1, 2))
-    assert {r.url for r in got if r.page_id == 2} == {"http://b%0D%0Ax"}
+    assert {r.url for r in got if number(r.record_id) == 2} == {"http://b%0D%0Ax"}
+
+
+def test_payloads_beyond_one_read_and_one_batch(spark, tmp_path):
+    pages = [(i, random.Random(i).randbytes(400_000 + 1_500_000 * i).hex()) for i in range(4)] + [(10, "z" * 3_000_000)]
+    path = f"file://{tmp_path}/large"
+    warc.write_archives(warc.deduplicated(spark.createDataFrame([(i, "u", h) for i, h in pages], "page_id bigint, url string, html string").coalesce(1)), path)
+    for split in (1_000_000, 1 << 24):
+        got = warc.read_archives(spark, path, split).collect()
+        assert {(int(r.record_id[9:]), hashlib.sha1(r.payload).hexdigest(), r.payload_bytes, r.digest_ok) for r in got} == {(i, hashlib.sha1(h.encode()).hexdigest(), len(h), True) for i, h in pages}
 
 
 def test_reader_rejects_magic_that_starts_no_record():
-    row = {"page_id": 1, "url": "u", "record_type": "response", "refers_to": None, "payload_bytes": 3, "payload": b"abc", "payload_digest": hashlib.sha1(b"abc").hexdigest()}
+    row = {"record_id": "urn:page:1", "url": "u", "record_type": "response", "refers_to": None, "payload_bytes": 3, "payload": b"abc", "payload_digest": hashlib.sha1(b"abc").hexdigest()}
     packer = zlib.compressobj(6, zlib.DEFLATED, 31)
     other = packer.compress(b"not a record " * 50) + packer.flush()
-    raw = b"\x1f\x8b\x08junk" + warc.record_bytes(row) + other + warc.record_bytes(row | {"page_id": 2}) + b"\x1f\x8b\x08"
-    read = lambda a, b: [warc.parse_record(x)["page_id"] for x in warc.records_from(io.BytesIO(raw), a, b)]
+    raw = b"\x1f\x8b\x08junk" + warc.record_bytes(row) + other + warc.record_bytes(row | {"record_id": "urn:page:2"}) + b"\x1f\x8b\x08"
+    read = lambda a, b: [int(warc.parse_record(x)["record_id"][-1]) for x in warc.records_from(io.BytesIO(raw), a, b)]
     assert read(0, len(raw)) == [1, 2]
     for cut in range(0, len(raw), 13):
         assert read(0, cut) + read(cut, len(raw)) == [1, 2]
 
 
+def test_archives_of_others(spark, tmp_path):
+    """Records as crawlers write them: other types and ids, no digests, other forms of digests, folded and oddly cased headers."""
+    sha1 = hashlib.sha1(b"<html>\xff</html>").hexdigest()
+    http = b"HTTP/1.1 200 OK\r\nContent-type:text/html\r\n\r\n<html>\xff</html>"
+
+    def record(*lines, block=b"", feed=b"\r\n"):
+        head = [b"WARC/1.0", *(x.encode("latin-1") for x in lines), b"content-LENGTH:" + str(len(block)).encode()]
+        return feed.join(head) + feed * 2 + block + feed * 2
+
+    records = [
+        record("WARC-Type: warcinfo", "WARC-Record-ID: <urn:uuid:0001>", "Content-Type: application/warc-fields", block=b"software: x\r\nformat: WARC\r\n"),
+        record("WARC-Type: request", "WARC-Record-ID: <urn:uuid:0002>", "WARC-Target-URI: <http://a/>", "Content-Type: application/http; msgtype=request", block=b"GET / HTTP/1.1\r\nHost: a\r\n\r\n"),
+        record("warc-type:response", "WARC-RECORD-ID:<urn:uuid:0003>", "WARC-Target-URI: http://a/", "X-Long: a", "  folded", "WARC-Payload-Digest: sha1:" + sha1.upper(), "Content-Type: application/http; msgtype=response", block=http),
+        record("WARC-Type: response", "WARC-Record-ID: <urn:uuid:0004>", "WARC-Payload-Digest: sha1:AAAA", "X-Odd: \xe9\xff", "Content-Type: application/http", block=http),
+        record("WARC-Type: response", "WARC-Record-ID: <urn:uuid:0005>", "WARC-Payload-Digest: sha1:" + "0" * 40, "Content-Type: application/http", block=http),
+        record("WARC-Type: metadata", "WARC-Record-ID: <urn:uuid:0006>", "WARC-Refers-To: <urn:uuid:0003>", block=b"fetchTimeMs: 3", feed=b"\n"),
+        record("WARC-Type: revisit", "WARC-Record-ID: <urn:uuid:0007>", "WARC-Refers-To: <urn:uuid:0003>", "Content-Type: application/http"),
+        record("WARC-Type: resource", "X-Pad: " + "p" * 9000, "WARC-Record-ID: <urn:uuid:0008>", "WARC-Payload-Digest: sha256:00", block=b"x" * 600_000),
+    ]
+    folder = tmp_path / "foreign"
+    folder.mkdir()
+    (folder / "a.warc.gz").write_bytes(b"".join(gzip.compress(r) for r in records))
+    for split in (97, 1 << 24):
+        got = {int(r.record_id[-1]): r for r in warc.read_archives(spark, f"file://{folder}", split).collect()}
+        assert [got[k].record_type for k in range(1, 9)] == ["warcinfo", "request", "response", "response", "response", "metadata", "revisit", "resource"]
+        assert [got[k].digest_ok for k in range(1, 9)] == [None, None, True, None, False, None, None, None]
+        assert got[3].payload == got[4].payload == b"<html>\xff</html>" and got[3].payload_digest == got[4].payload_digest == sha1 and got[5].payload_digest == "0" * 40
+        assert got[2].url == "http://a/" and got[2].payload == b"" and got[1].payload.startswith(b"software")
+        assert got[6].refers_to == got[7].refers_to == "urn:uuid:0003" and got[7].payload is None and got[7].payload_bytes is None and got[8].payload_bytes == 600_000
+    assert {r.n for r in warc.read_archives(spark, f"file://{folder}").select(warc.page_number("record_id").alias("n")).collect()} == {None}
+
+
 def test_empty_pages(spark, tmp_path):
     pages, _ = pages_frame(spark)
     path = f"file://{tmp_path}/none"
