@@ -361,15 +361,22 @@ def _across(lists: DataFrame, family: DataFrame, percent: int) -> DataFrame:
     found = owned.sparkSession.sparkContext.broadcast(bit_filter(mixed.select("token"), TOKEN_BITS))
     owned_mixed = owned.mapInArrow(_with_bit(found), owned.schema).join(mixed, "token")
     by_class = owned_mixed.groupBy("cid", "n", "lead").agg(F.array_sort(F.collect_list(F.struct("pos", "token", "lo", "hi"))).alias("own"))
-    entry = by_class.select("cid", "n", "lead", F.transform("own", lambda e: e["token"]).alias("own"), F.posexplode("own").alias("at", "here"))
-    entry = entry.select("cid", "n", "lead", F.col("here.pos").alias("pos"), F.col("here.token").alias("token"), "own", "at", F.greatest("here.lo", F.ceil(F.col("n") * percent / 100)).alias("lo"), F.least("here.hi", F.floor(F.col("n") * 100 / percent)).alias("hi"))
+    by_class = written(by_class.select("*", F.transform("own", lambda e: F.xxhash64(e["token"], *_block(F.col("n"), e["pos"], percent).values())).alias("spots")), "jaccard-index")
 
     # a list is skipped by classes that no size in it lets reach the threshold
-    near = _near(F.col("n"), F.col("lo"), F.col("hi"), F.size("own"), percent)
-    entry = entry.where((F.col("lo") <= F.col("hi")) & near).drop("lo", "hi").withColumns(_block(percent))
-    entry = written(entry, "jaccard-index")
-    x = entry.join(_meeting(entry, percent), ["token", "band", "place"]).alias("x")
-    y = entry.alias("y")
+    lo, hi = F.greatest("here.lo", F.ceil(F.col("n") * percent / 100)), F.least("here.hi", F.floor(F.col("n") * 100 / percent))
+    open_list = (lo <= hi) & _near(F.col("n"), lo, hi, F.size("own"), percent)
+    place = F.col("here.pos").alias("pos"), F.col("here.token").alias("token")
+    entry = by_class.select("n", "own", F.explode("own").alias("here")).where(open_list).select("n", *place).withColumns(_block(F.col("n"), F.col("pos"), percent))
+    meeting = written(_meeting(entry, percent), "jaccard-meeting")
+    spot = lambda *key: F.xxhash64(*key).alias("spot")
+    spots = meeting.select(spot("token", "band", "place")).unionByName(meeting.select(spot("token", "band_y", "place_y"))).distinct()
+    met = entry.sparkSession.sparkContext.broadcast(bit_filter(spots, TOKEN_BITS))
+    kept = by_class.mapInArrow(_meeting_spots(met), "cid bigint, n bigint, lead bigint, own array<struct<pos:int,token:bigint,lo:bigint,hi:bigint>>, keep array<int>")
+    kept = kept.select("cid", "n", "lead", "own", F.explode("keep").alias("at")).withColumn("here", F.get("own", F.col("at"))).where(open_list)
+    kept = kept.select("cid", "n", "lead", *place, F.transform("own", lambda e: e["token"]).alias("own"), "at").withColumns(_block(F.col("n"), F.col("pos"), percent))
+    x = kept.join(meeting, ["token", "band", "place"]).alias("x")
+    y = kept.alias("y")
     smaller = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.cid") < F.col("y.cid")))
     left = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
     reach = (100 * F.col("x.n") >= percent * F.col("y.n")) & ((100 + percent) * left >= percent * (F.col("x.n") + F.col("y.n")))
@@ -380,7 +387,7 @@ def _across(lists: DataFrame, family: DataFrame, percent: int) -> DataFrame:
     block = (F.col("x.token") == F.col("y.token")) & (F.col("x.band_y") == F.col("y.band")) & (F.col("x.place_y") == F.col("y.place"))
     joined = x.join(y, block & apart & smaller & reach & first & count)
     pairs = written(joined.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")), "jaccard-pairs")
-    dropped(owned, mixed, entry)
+    dropped(owned, mixed, by_class, meeting)
     return pairs
 
 
@@ -388,9 +395,25 @@ def _step(percent: int) -> float:
     return math.log(1 + max(1, 100 - percent) / (100 * BANDS))
 
 
-def _block(percent: int) -> dict[str, Column]:
+def _block(n: Column, pos: Column, percent: int) -> dict[str, Column]:
     """The block of an entry in its list: a band of sizes, and a place, positions by powers of two."""
-    return {"band": F.floor(F.log(F.col("n")) / _step(percent)).cast("int"), "place": F.floor(F.log2(F.col("pos") + F.lit(1))).cast("int")}
+    return {"band": F.floor(F.log(n) / _step(percent)).cast("int"), "place": F.floor(F.log2(pos + F.lit(1))).cast("int")}
+
+
+def _meeting_spots(broadcast):
+    """Classes with ``keep``, the places in ``own`` of the entries whose block the filter has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spots = batch.column("spots")
+            sizes = np.diff(np.asarray(spots.offsets))
+            has = _has_bit(broadcast.value, np.asarray(spots.flatten()), TOKEN_BITS)
+            at = np.arange(len(has)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            ends = np.concatenate([[0], np.cumsum(has)])[np.concatenate([[0], np.cumsum(sizes)])]
+            keep = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(at[has], pa.int32()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("cid", "n", "lead", "own")), keep], ["cid", "n", "lead", "own", "keep"])
+
+    return run
 
 
 def _meeting(entry: DataFrame, percent: int) -> DataFrame:
