@@ -162,14 +162,20 @@ def evidence_weights(n: int, states: list[str], hints: pd.DataFrame, targets: di
 
 
 def decoded(sequences: DataFrame, model: Model, hints: DataFrame | None = None, targets: dict[str, list[str]] | None = None) -> DataFrame:
-    """Best paths of ``sequences`` (``seq string, bases``) as segments (1-based, inclusive)."""
+    """Best paths of ``sequences`` (``seq string, bases``) as segments (1-based, inclusive).
+
+    Rows that share a name are decoded each.
+    """
     grouped = sequences.select("seq", "bases").groupBy("seq")
 
     def segments(frame: pd.DataFrame, own: pd.DataFrame | None) -> pd.DataFrame:
-        x = encoded(frame["bases"].iloc[0])
+        return pd.concat([one(name, bases, own) for name, bases in zip(frame["seq"], frame["bases"], strict=True)])
+
+    def one(name: str, bases: str, own: pd.DataFrame | None) -> pd.DataFrame:
+        x = encoded(bases)
         extra = evidence_weights(len(x), model.states, own, targets or {}) if own is not None and len(own) else None
         logp, path = viterbi(model, x, extra)
-        return pd.DataFrame({"seq": frame["seq"].iloc[0], "begin": [b + 1 for b, _, _ in path], "end": [e + 1 for _, e, _ in path], "state": [model.states[s] for _, _, s in path], "logp": logp})
+        return pd.DataFrame({"seq": name, "begin": [b + 1 for b, _, _ in path], "end": [e + 1 for _, e, _ in path], "state": [model.states[s] for _, _, s in path], "logp": logp})
 
     if hints is None:
         return grouped.applyInPandas(lambda frame: segments(frame, None), SEGMENTS)
@@ -183,11 +189,13 @@ def sampled_paths(sequences: DataFrame, model: Model, n: int, seed: int = 1, lon
     import zlib
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        name, x = frame["seq"].iloc[0], encoded(frame["bases"].iloc[0])
-        tables, rows = forward(model, x, None, longest), []
-        for k in range(n):
-            rng = np.random.default_rng([seed, k, zlib.crc32(str(name).encode())])
-            rows += [(name, k, b + 1, e + 1, model.states[s]) for b, e, s in sampled(model, x, rng, None, longest, tables)]
+        rows = []
+        for name, bases in zip(frame["seq"], frame["bases"], strict=True):
+            x = encoded(bases)
+            tables = forward(model, x, None, longest)
+            for k in range(n):
+                rng = np.random.default_rng([seed, k, zlib.crc32(str(name).encode())])
+                rows += [(name, k, b + 1, e + 1, model.states[s]) for b, e, s in sampled(model, x, rng, None, longest, tables)]
         return pd.DataFrame(rows, columns=["seq", "sample", "begin", "end", "state"])
 
     return sequences.select("seq", "bases").groupBy("seq").applyInPandas(run, "seq string, sample bigint, begin bigint, end bigint, state string")

@@ -11,15 +11,19 @@ NEAR, MAX_UTR_DISTANCE = 20, 5000
 
 
 def exon_classes(predicted: DataFrame, annotated: DataFrame, near: int = NEAR, width: int = BIN) -> DataFrame:
-    """``predicted`` with ``class``: 4 exact, 3 both ends within ``near`` and one of them not equal,
-    2 one end equal, 1 overlap, 0 none; the best over annotated exons of the sequence and strand.
+    """``predicted`` with ``class``: 4 exact, 3 both ends within ``near``, 2 one end equal, 1 overlap,
+    0 none; the best over annotated exons of the sequence and strand.
 
-    An equal end counts even without overlap, as it is then an overlap by that base.
+    Ends within ``near`` count without overlap too.  An equal end is always an overlap, by that base at
+    least.  With the two sides swapped it gives the classes of annotated exons: those below 4 are false
+    negatives.
     """
-    one = predicted.select("seq", "strand", "start", "end").distinct()
+    one = predicted.select("seq", "strand", F.col("start").alias("_s"), F.col("end").alias("_e"), (F.col("start") - near).alias("start"), (F.col("end") + near).alias("end")).distinct()
     met = overlap_join(one, annotated.select("seq", "strand", "start", "end").distinct(), ("seq", "strand"), width)
+    met = met.drop("start", "end").withColumnsRenamed({"_s": "start", "_e": "end"})
+    overlap = (F.col("start") <= F.col("end_r")) & (F.col("start_r") <= F.col("end"))
     left, right = F.abs(F.col("start") - F.col("start_r")), F.abs(F.col("end") - F.col("end_r"))
-    kind = F.when((left == 0) & (right == 0), 4).when((left <= near) & (right <= near), 3).when((left == 0) | (right == 0), 2).otherwise(1)
+    kind = F.when((left == 0) & (right == 0), 4).when((left <= near) & (right <= near), 3).when((left == 0) | (right == 0), 2).when(overlap, 1).otherwise(0)
     best = met.groupBy("seq", "strand", "start", "end").agg(F.max(kind).alias("class"))
     return predicted.join(best, ["seq", "strand", "start", "end"], "left").withColumn("class", F.coalesce("class", F.lit(0)))
 

@@ -150,9 +150,25 @@ def weaker(t1: Column, s1: Column, e1: Column, t2: Column, s2: Column, e2: Colum
     return overlap & rule.when(t1 == "nonirpart", (t2 != "irpart") & inside).otherwise(False)
 
 
+def _close_ends(hints: DataFrame, other: DataFrame) -> DataFrame:
+    """Pairs of transcript end hints of one type and strand with near middles and no overlap, as an overlap join gives them."""
+    reach = max(TTS_DISTANCE, TSS_DISTANCE) + 1
+    side = lambda df: df.where(F.col("type").isin("tss", "tts")).withColumn("_cell", F.floor((F.col("start") + F.col("end")) / (2 * reach)))
+    a = side(hints).withColumn("_cell", F.explode(F.array(*[F.col("_cell") + d for d in (-1, 0, 1)])))
+    b = side(other).select(F.col("seq"), "_cell", *[F.col(c).alias(c + "_r") for c in other.columns if c != "seq"])
+    middle = F.floor(F.abs(F.col("start") + F.col("end") - F.col("start_r") - F.col("end_r")) / 2)
+    near = middle <= F.when(F.col("type") == "tts", TTS_DISTANCE).otherwise(TSS_DISTANCE)
+    apart = (F.col("start") > F.col("end_r")) | (F.col("start_r") > F.col("end"))
+    return a.join(b, ["seq", "_cell"]).where((F.col("type") == F.col("type_r")) & (F.col("strand") == F.col("strand_r")) & near & apart).drop("_cell")
+
+
 def hint_pairs(hints: DataFrame, other: DataFrame | None = None, width: int = BIN) -> DataFrame:
-    """Overlapping pairs of hints with ``compatible``, ``weaker`` (first than second) and ``strict``."""
-    met = overlap_join(hints, hints if other is None else other, ("seq",), width)
+    """Pairs of hints that can bear on each other, with ``compatible``, ``weaker`` (first than second) and ``strict``.
+
+    These are the overlapping ones, and tss or tts hints of one strand that are close without overlap.
+    """
+    other = hints if other is None else other
+    met = overlap_join(hints, other, ("seq",), width).unionByName(_close_ends(hints, other))
     c = F.col
     first = type_id(c("type")) <= type_id(c("type_r"))
     x = [c("type"), c("start"), c("end"), c("strand")]

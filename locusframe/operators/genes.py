@@ -6,6 +6,7 @@ a row per ``tid`` with ``gid, seq, strand, start, end``.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +16,10 @@ from .intervals import BIN, CHUNK, clustered, overlap_join
 MIN_CODING, ALMOST_IDENTICAL, SUBOPTIMAL = 102, 10, 0.94
 
 
+#: How far an incomplete left end reaches after a cluster, and up to how many transcripts in it.
+CLUSTER_SLACK, SMALL_CLUSTER = 5000, 300
+
+
 def chain(segments: DataFrame, types: tuple[str, ...] = ("CDS",)) -> DataFrame:
     """``tid, chain``: a transcript's segments of ``types`` as one comparable string."""
     own = segments.where(F.col("type").isin(*types))
@@ -53,9 +58,40 @@ def gene_clusters(exons: DataFrame, width: int = BIN) -> DataFrame:
     return connected(edges, exons.select(F.col("tid").alias("node"))).withColumnsRenamed({"node": "tid", "component": "gene"})
 
 
-def overlap_clusters(transcripts: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """Gene-set clusters: a transcript joins while it starts before the largest end so far (strictly)."""
-    return clustered(transcripts.withColumn("end", F.col("end") - 1), ("seq",), out="cluster", chunk=chunk).withColumn("end", F.col("end") + 1)
+def overlap_clusters(transcripts: DataFrame, chunk: int = CHUNK, slack: int = CLUSTER_SLACK, small: int = SMALL_CLUSTER) -> DataFrame:
+    """Gene-set clusters: a transcript joins while it starts before the largest end so far (strictly).
+
+    Where there is a column ``left_open``, a transcript whose left end is incomplete also joins if it
+    starts less than ``slack`` after that end and the cluster has under ``small`` transcripts so far.
+    ``cluster`` is the number, from 1, along the sequence of the first overlap cluster in it.  Of
+    transcripts equal in start and end an incomplete one comes first.
+    """
+    out = clustered(transcripts.withColumn("end", F.col("end") - 1), ("seq",), out="cluster", chunk=chunk).withColumn("end", F.col("end") + 1)
+    if "left_open" not in transcripts.columns:
+        return out
+    first = F.struct("start", "end", (~F.col("left_open")).alias("closed"))
+    units = out.groupBy("seq", "cluster").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("n"), F.min_by("left_open", first).alias("open"))
+    # a row for each overlap cluster; only runs of clusters that may join are walked through
+    along = Window.partitionBy("seq").orderBy("cluster")
+    link = F.coalesce(F.col("open") & (F.col("start") < F.lag("end").over(along) + slack), F.lit(False))
+    units = units.withColumn("link", link).withColumn("run", F.sum((~F.col("link")).cast("long")).over(along)).select("seq", "cluster", "n", "run")
+    single = units.groupBy("seq", "run").agg(F.count(F.lit(1)).alias("k"))
+    units = units.join(single, ["seq", "run"])
+
+    def walked(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("cluster")
+        head, size, heads = None, 0, []
+        for number, n in zip(frame["cluster"], frame["n"], strict=True):
+            if head is None or size >= small:
+                head, size = number, 0
+            size += n
+            heads.append(head)
+        return pd.DataFrame({"seq": frame["seq"], "cluster": frame["cluster"], "head": heads})
+
+    kinds = dict(units.dtypes)
+    schema = f"seq {kinds['seq']}, cluster {kinds['cluster']}, head {kinds['cluster']}"
+    heads = units.where("k = 1").select("seq", "cluster", F.col("cluster").alias("head")).unionByName(units.where("k > 1").groupBy("seq", "run").applyInPandas(walked, schema))
+    return out.join(heads, ["seq", "cluster"]).drop("cluster").withColumnRenamed("head", "cluster")
 
 
 def kept_transcripts(transcripts: DataFrame, min_coding: int = MIN_CODING, mean: float = 0.0, each: float = 0.0, strand: str | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
+from .intervals import overlap_join
 
 
 def composition(sequences: DataFrame) -> DataFrame:
@@ -101,10 +102,14 @@ def chunked(sequences: DataFrame, size: int, overlap: int = 0) -> DataFrame:
     return sequences.select("seq", F.explode(at).alias("offset"), "bases").select("seq", F.col("offset").cast("long").alias("offset"), F.substring("bases", F.col("offset") + 1, F.lit(size)).alias("bases"))
 
 
-def fetch_chunks(chunks: DataFrame, regions: DataFrame) -> DataFrame:
-    """Bases of regions (``rid, seq, start, end``, 1-based) from stored chunks, stitched by offset."""
+def fetch_chunks(chunks: DataFrame, regions: DataFrame, width: int = 1 << 16) -> DataFrame:
+    """Bases of regions (``rid, seq, start, end``, 1-based) from stored chunks, stitched by offset.
+
+    Regions and chunks meet by bins of ``width`` bases, so a long sequence is spread over its bins.
+    """
     lo = F.col("start") - 1
-    met = regions.join(chunks, "seq").where((F.col("offset") < F.col("end")) & (F.col("offset") + F.length("bases") > lo))
+    held = chunks.where("length(bases) > 0").select("seq", (F.col("offset") + 1).alias("start"), (F.col("offset") + F.length("bases")).alias("end"), "offset", "bases")
+    met = overlap_join(regions, held, ("seq",), width).withColumnsRenamed({"offset_r": "offset", "bases_r": "bases"}).drop("start_r", "end_r")
     from_ = F.greatest(lo - F.col("offset"), F.lit(0))
     to = F.least(F.col("end") - F.col("offset"), F.length("bases").cast("long"))
     part = met.select("rid", "offset", F.substring("bases", (from_ + 1).cast("int"), (to - from_).cast("int")).alias("part"))

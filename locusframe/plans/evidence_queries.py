@@ -27,12 +27,12 @@ def hint_collapse(spark, sf_dir):
     return E.collapsed(hints(spark, sf_dir)).drop("source").withColumn("score", F.round("score", 6))
 
 
-@query("hint_union_distinct", f"""with {HINTS}, stacked as (select *, 0 as file from hints where hint_id % 2 = 0 union all select *, 1 from hints where hint_id % 3 = 0)
+@query("hint_union_distinct", f"""with {HINTS}, stacked as (select *, 0 as file from hints where hint_id % 2 = 0 union all select *, 1 from hints where hint_id % 2 = 1 or hint_id % 3 = 0)
 select seq, type, s as start, e as "end", strand, min(file * 1000000000 + hint_id)::bigint as hint_id from stacked group by seq, type, s, e, strand""")
 def hint_union_distinct(spark, sf_dir):
     h = hints(spark, sf_dir)
     key = ["seq", "type", "start", "end", "strand"]
-    two = [h.where("hint_id % 2 = 0").select(*key, "hint_id"), h.where("hint_id % 3 = 0").select(*key, (F.col("hint_id") + 1000000000).alias("hint_id"))]
+    two = [h.where("hint_id % 2 = 0").select(*key, "hint_id"), h.where("hint_id % 2 = 1 or hint_id % 3 = 0").select(*key, (F.col("hint_id") + 1000000000).alias("hint_id"))]
     return E.union_distinct(two, key)
 
 

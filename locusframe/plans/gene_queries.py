@@ -27,14 +27,23 @@ def truth_and_prediction(spark, sf_dir):
     return s.where("tid % 2 = 0").select("seq", "strand", "start", "end"), s.where("tid % 2 = 1").select("id", "seq", "strand", "start", "end")
 
 
-@query("exon_class_eval", f"""with {EXONS}, best as (select p.seq, p.strand, p.s, p.e, max(case when t.s = p.s and t.e = p.e then 4 when abs(t.s - p.s) <= 20 and abs(t.e - p.e) <= 20 then 3 when t.s = p.s or t.e = p.e then 2 else 1 end) as class
-  from pred p join truth t on p.seq = t.seq and p.strand = t.strand and p.s <= t.e and t.s <= p.e group by all)
+@query("exon_class_eval", f"""with {EXONS}, best as (select p.seq, p.strand, p.s, p.e, max(case when t.s = p.s and t.e = p.e then 4 when abs(t.s - p.s) <= 20 and abs(t.e - p.e) <= 20 then 3 when t.s = p.s or t.e = p.e then 2 when p.s <= t.e and t.s <= p.e then 1 else 0 end) as class
+  from pred p join truth t on p.seq = t.seq and p.strand = t.strand group by all)
 select coalesce(class, 0) as class, count(*) as n from pred left join best using (seq, strand, s, e) group by 1""")
 def exon_class_eval(spark, sf_dir):
     truth, pred = truth_and_prediction(spark, sf_dir)
     return V.exon_classes(pred, truth, width=WIDTH).groupBy("class").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("exon_class_missed", f"""with {EXONS}, best as (select t.seq, t.strand, t.s, t.e, max(case when t.s = p.s and t.e = p.e then 4 when abs(t.s - p.s) <= 20 and abs(t.e - p.e) <= 20 then 3 when t.s = p.s or t.e = p.e then 2 when p.s <= t.e and t.s <= p.e then 1 else 0 end) as class
+  from truth t join pred p on p.seq = t.seq and p.strand = t.strand group by all)
+select coalesce(class, 0) as class, count(*) as n from truth left join best using (seq, strand, s, e) group by 1""")
+def exon_class_missed(spark, sf_dir):
+    """The annotated side: classes below 4 are false negatives."""
+    truth, pred = truth_and_prediction(spark, sf_dir)
+    return V.exon_classes(truth, pred, width=WIDTH).groupBy("class").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("nucleotide_eval", f"""with {EXONS}, p as (select distinct seq, strand, unnest(range(s, e + 1)) as pos from pred), t as (select distinct seq, strand, unnest(range(s, e + 1)) as pos from truth)
 select seq, strand, count(*) filter (where p.pos is not null and t.pos is not null) as tp, count(*) filter (where t.pos is null) as fp, count(*) filter (where p.pos is null) as fn
 from p full join t using (seq, strand, pos) group by seq, strand""")
@@ -149,6 +158,22 @@ def geneset_clusters(spark, sf_dir):
     return G.overlap_clusters(transcripts(spark, sf_dir), CHUNK).groupBy("seq", F.col("cluster").cast("long").alias("cluster")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("geneset_slack_clusters", f"""with recursive {_TX}, flagged as (select *, tid % 3 = 0 as open, case when s < max(e) over (partition by seq order by s, e, (tid % 3 <> 0)::int, tid rows between unbounded preceding and 1 preceding) then 0 else 1 end as fresh from tx),
+numbered as (select *, sum(fresh) over (partition by seq order by s, e, fresh desc rows unbounded preceding) as unit from flagged),
+units as (select seq, unit, min(s) as s, max(e) as e, count(*) as n, arg_min(open, (s, e, (not open)::int)) as open from numbered group by seq, unit),
+linked as (select *, coalesce(open and s < lag(e) over (partition by seq order by unit) + 40, false) as link from units),
+walk as (
+  select seq, unit, unit as cluster, n as size, n from linked where unit = 1
+  union all
+  select l.seq, l.unit, case when l.link and w.size < 8 then w.cluster else l.unit end, case when l.link and w.size < 8 then w.size + l.n else l.n end, l.n from walk w join linked l on l.seq = w.seq and l.unit = w.unit + 1
+)
+select seq, cluster::bigint as cluster, sum(n)::bigint as n from walk group by seq, cluster""")
+def geneset_slack_clusters(spark, sf_dir):
+    """Clusters in which an incomplete left end reaches further, sparse sequences first of all."""
+    t = transcripts(spark, sf_dir).withColumn("left_open", F.col("tid") % 3 == 0)
+    return G.overlap_clusters(t, CHUNK, slack=40, small=8).groupBy("seq", F.col("cluster").cast("long").alias("cluster")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("gene_clusters")
 def gene_clusters(spark, sf_dir):
     s = segments(spark, sf_dir).where("type = 'CDS'").select("tid", "seq", "strand", "start", "end", "frame")

@@ -144,21 +144,26 @@ def smoothed_lengths(spark, sf_dir):
     return Q.length_distribution(lengths, bandwidth=0.1).select("len", F.round("n", 6).alias("n"), F.round("prob", 9).alias("prob"))
 
 
-_REGION = "r as (select doc_id as seq, 11 + doc_id % 7 as s, 60 + doc_id % 90 as e, case doc_id % 2 when 0 then '+' else '-' end as strand from documents)"
+#: Ten regions a sequence, spread over all of it.
+_REGION = "r as (select seq, seq * 10 + k as rid, greatest(1, length(bases) * k // 10 + 1)::bigint as s, greatest(1, length(bases) * k // 10 + 1)::bigint + 60 + seq % 90 as e, case (seq + k) % 2 when 0 then '+' else '-' end as strand from sequences, (select unnest(range(10)) as k))"
 
 
-@query("region_extract", f"with {SEQ}, {_REGION}, c as (select seq, strand, substring(bases, s, e - s + 1) as bases from r join sequences using (seq)) select seq, case strand when '-' then {_RC} else bases end as bases from c")
+def spread_regions(sequences):
+    start = F.greatest(F.lit(1), F.floor(F.length("bases") * F.col("k") / 10) + 1).cast("long")
+    r = sequences.select("seq", "bases", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("k")).select("seq", "k", start.alias("start"))
+    return r.select((F.col("seq") * 10 + F.col("k")).alias("rid"), "seq", "start", (F.col("start") + 60 + F.col("seq") % 90).alias("end"), F.when((F.col("seq") + F.col("k")) % 2 == 0, "+").otherwise("-").alias("strand"))
+
+
+@query("region_extract", f"with {SEQ}, {_REGION}, c as (select rid, strand, substring(bases, s, e - s + 1) as bases from r join sequences using (seq)) select rid, case strand when '-' then {_RC} else bases end as bases from c")
 def region_extract(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq"))
-    r = d.select("seq", (11 + F.col("seq") % 7).alias("start"), (60 + F.col("seq") % 90).alias("end"), F.when(F.col("seq") % 2 == 0, "+").otherwise("-").alias("strand"))
-    return Q.region(sequences(spark, sf_dir), r).select("seq", "bases")
+    q = sequences(spark, sf_dir)
+    return Q.region(q, spread_regions(q)).select("rid", "bases")
 
 
-@query("chunked_fetch", f"with {SEQ}, {_REGION} select seq as rid, substring(bases, s, e * 4 - s + 1) as bases from r join sequences using (seq) where length(bases) >= s")
+@query("chunked_fetch", f"with {SEQ}, {_REGION} select rid, substring(bases, s, e + 200 - s + 1) as bases from r join sequences using (seq) where length(bases) >= s")
 def chunked_fetch(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq"))
-    r = d.select(F.col("seq").alias("rid"), "seq", (11 + F.col("seq") % 7).alias("start"), (4 * (60 + F.col("seq") % 90)).alias("end"))
-    return Q.fetch_chunks(Q.chunked(sequences(spark, sf_dir), 100), r)
+    q = sequences(spark, sf_dir)
+    return Q.fetch_chunks(Q.chunked(q, 100), spread_regions(q).withColumn("end", F.col("end") + 200).drop("strand"), 512)
 
 
 @query("position_weights", f"""with {_SITES}
@@ -215,9 +220,9 @@ def faded_bonus(spark, sf_dir):
     return intervals(spark, sf_dir).select("id", F.round(scores.faded_bonus(F.lit(1.5), "start", "end", F.col("start") + 2), 9).alias("bonus"))
 
 
-@query("clean_headers", "select doc_id as seq, 'seq' || doc_id as name, md5(regexp_replace(text, '[^A-Za-z0-9]+', '_', 'g')) as header from documents where text is not null")
+@query("clean_headers", "select doc_id as seq, 'seq' || doc_id as name, md5(regexp_replace(text, '[^A-Za-z0-9]+', '_', 'g')) as header from documents")
 def clean_headers(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("text is not null")
+    d = table(spark, sf_dir, "documents")
     return d.select(F.col("doc_id").alias("seq"), F.concat(F.lit("seq"), F.col("doc_id").cast("string")).alias("name"), F.md5(F.regexp_replace("text", "[^A-Za-z0-9]+", "_")).alias("header"))
 
 
