@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructType
 
 from . import _text
 from ._store import dropped, small_batches, written
@@ -194,11 +195,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
         scanned = out.mapInArrow(_scan(docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex), schema)
         out = written(scanned, "benchmark-scanned") if b + 1 < blocks else scanned
     dropped(table)
-    row_type = schema["lf_row"].dataType.simpleString()
-    return out.mapInArrow(
-        _finish,
-        f"lf_row {row_type}, lf_n_words bigint, lf_n_hit bigint, lf_items array<string>, lf_n_items bigint, lf_items_sha256 string, lf_spans array<struct<start:bigint,end:bigint>>",
-    )
+    found = StructType([schema["lf_row"]])
+    for name, kind in (("lf_n_words", "bigint"), ("lf_n_hit", "bigint"), ("lf_items", "array<string>"), ("lf_n_items", "bigint"), ("lf_items_sha256", "string"), ("lf_spans", "array<struct<start:bigint,end:bigint>>")):
+        found = found.add(name, DataType.fromDDL(kind))
+    return out.mapInArrow(_finish, found)
 
 
 def op10_decontamination(spark, sf_dir: str) -> DataFrame:

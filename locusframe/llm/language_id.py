@@ -21,6 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import _text
 from ._store import small_batches
@@ -217,11 +218,11 @@ def identify(docs: DataFrame, sample: DataFrame, id_col: str = "doc_id", text_co
     """
     model = train(sample)
     rows = small_batches(docs).select(F.col(id_col).alias("lf_id"), F.col(text_col).alias("lf_text"))
-    kind = rows.schema["lf_id"].dataType.simpleString()
     if not model:
         return rows.select(F.col("lf_id").alias(id_col), F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("bits_per_byte"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return rows.mapInArrow(_predict(shared), f"lf_id {kind}, lang_pred string, score double, bits_per_byte double").withColumnRenamed("lf_id", id_col)
+    schema = StructType([rows.schema["lf_id"]]).add("lang_pred", "string").add("score", "double").add("bits_per_byte", "double")
+    return rows.mapInArrow(_predict(shared), schema).withColumnRenamed("lf_id", id_col)
 
 
 def op7_language_id(spark, sf_dir: str) -> DataFrame:

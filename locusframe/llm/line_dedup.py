@@ -7,6 +7,7 @@ hashes only, the third brings each text together with the positions it loses.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,7 +29,6 @@ def _keyed_lines(min_chars: int, distinct: bool):
         for batch in batches:
             docs, keys = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
             rows, at, digests = [], [], []
-            size = 0
             for i, text in enumerate(batch.column(2).cast(pa.large_binary())):
                 raw = text.as_py()
                 if raw:
@@ -45,7 +45,6 @@ def _keyed_lines(min_chars: int, distinct: bool):
                         rows.append(i)
                         at.append(pos)
                         digests.append(digest)
-                    size += 1
                 if len(rows) >= 200_000 or i + 1 == len(batch):
                     pairs = np.frombuffer(b"".join(digests), ">i8").astype(np.int64).reshape(-1, 2)
                     own = np.array(rows, np.int64)
@@ -85,29 +84,21 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> Data
     # as a table, so that the join's hot lines can be split over tasks
     shared = written(shared_lines(small_batches(docs), min_chars, min_docs), "shared-lines")
     lines = _rows(docs).mapInArrow(_keyed_lines(min_chars, False), _LINES)
-    drops = (
-        lines.join(shared, ["h1", "h2"])
-        .where("doc_id <> home")
-        .groupBy(F.col("doc_id").alias("lf_doc"), F.col("row_key").alias("lf_key"))
-        .agg(F.collect_set("pos").alias("lf_drop"))
-    )
+    # names that no column of docs has
+    doc, key, gone = (f"lf_{x}_{uuid.uuid4().hex}" for x in ("doc", "key", "gone"))
+    drops = lines.join(shared, ["h1", "h2"]).where("doc_id <> home").groupBy(F.col("doc_id").alias(doc), F.col("row_key").alias(key)).agg(F.collect_set("pos").alias(gone))
     out = docs.drop("lf_kept", "lf_n_lines", "lf_n_dropped")
-    left = out.withColumns({"lf_doc": F.col("doc_id").cast("long"), "lf_key": F.xxhash64("text")})
+    left = out.withColumns({doc: F.col("doc_id").cast("long"), key: F.xxhash64("text")})
     text = F.coalesce("text", F.lit(""))
     parts = F.split(text, "\n", -1)
     # the lines are bound to a variable of their own, else they would be split again for each line kept
-    kept = F.transform(F.array(parts), lambda p: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(p) - 1), F.col("lf_drop")), lambda i: F.get(p, i)), "\n"))[0]
-    return (
-        left.join(drops, ["lf_doc", "lf_key"], "left")
-        .withColumns(
-            {
-                "lf_n_lines": F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + F.lit(1).cast("long"),
-                "lf_n_dropped": F.coalesce(F.size("lf_drop"), F.lit(0)).cast("long"),
-                "lf_kept": F.when(F.col("lf_drop").isNull(), text).otherwise(kept),
-            }
-        )
-        .select(*out.columns, "lf_kept", "lf_n_lines", "lf_n_dropped")
-    )
+    kept = F.transform(F.array(parts), lambda p: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(p) - 1), F.col(gone)), lambda i: F.get(p, i)), "\n"))[0]
+    new = {
+        "lf_kept": F.when(F.col(gone).isNull(), text).otherwise(kept),
+        "lf_n_lines": F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + F.lit(1).cast("long"),
+        "lf_n_dropped": F.coalesce(F.size(gone), F.lit(0)).cast("long"),
+    }
+    return left.join(drops, [doc, key], "left").select(*[F.col(f"`{c}`") for c in out.columns], *[c.alias(name) for name, c in new.items()])
 
 
 def op6_line_dedup(spark, sf_dir: str) -> DataFrame:

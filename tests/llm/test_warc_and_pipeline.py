@@ -165,3 +165,19 @@ def test_near_duplicates_at_five_words_and_80_percent(spark):
 def test_every_contract_has_a_query():
     assert [n.split("_")[0] for n in QUERIES] == [f"op{k}" for k in range(1, 11)]
     assert set(SQL) <= set(QUERIES)
+
+
+def test_stages_on_messy_and_empty_tables(spark, tmp_path):
+    rng = random.Random(3)
+    long, near = words_of(rng, 20_000, 10**6), words_of(rng, 120, 10**6)
+    rows = [(1, near), (1, near), (1, "quite another text under the same number"), (2, near + " end"), (None, near), (None, None), (3, None), (4, ""), (5, long), (6, long)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, 2, 3) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint, `a.b` int, lf_key int")
+    items = spark.createDataFrame([(1, words_of(rng, 20, 10**6))], "item_id bigint, text string")
+    items.write.parquet(f"{tmp_path}/benchmark.parquet")
+    left = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path))
+    assert sorted((r.doc_id or 0, (r.text or "")[:10]) for r in left.collect()) == sorted([(1, near[:10]), (1, "quite anot"), (0, near[:10]), (0, ""), (3, ""), (4, ""), (5, long[:10])])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        for table in (docs, docs.limit(0)):
+            out = stage(spark, table, str(tmp_path))
+            assert out.columns == docs.columns and (out.count() == 0) == (table is not docs)
+    assert corpus_pipeline.pack(spark, docs, "").select("doc_id").distinct().count() == 7 and corpus_pipeline.pack(spark, docs.limit(0), "").count() == 0
