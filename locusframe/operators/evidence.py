@@ -82,8 +82,13 @@ def _strands_differ(a: Column, b: Column) -> Column:
     return ((a == "+") & (b == "-")) | ((a == "-") & (b == "+"))
 
 
-def compatible(t1: Column, s1: Column, e1: Column, st1: Column, t2: Column, s2: Column, e2: Column, st2: Column) -> Column:
-    """Whether a gene structure can agree with both hints; the first has the smaller type index."""
+def compatible(t1: Column, s1: Column, e1: Column, st1: Column, t2: Column, s2: Column, e2: Column, st2: Column, own: Column | None = None) -> Column:
+    """Whether a gene structure can agree with both hints; the first has the smaller type index.
+
+    ``own`` is the strand of the hint that asks, which decides at what end a signal belongs: by default
+    that of the first.  It matters only where one of the two has no strand.
+    """
+    own = st1 if own is None else own
     overlap = (s1 <= e2) & (s2 <= e1)
     inside = (s2 <= s1) & (e1 <= e2)
     strict = (s2 < s1) & (e1 < e2)
@@ -99,22 +104,22 @@ def compatible(t1: Column, s1: Column, e1: Column, st1: Column, t2: Column, s2:
     same = equal | ~t1.isin("exon", "intron", "CDS", "UTR")
 
     # a start on + or a stop on - belongs to the left end of what is coding, the others to the right
-    left_end = F.when(t1 == "start", st1 == "+").otherwise(st1 == "-")
-    wrong_end = F.when(st1.isin("+", "-"), F.when(left_end, e1 >= e2).otherwise(s1 <= s2)).otherwise(False)
-    short = F.least(e1, e2) - F.greatest(s1, s2) + 1 < 3
+    left_end = F.when(t1 == "start", own == "+").otherwise(own == "-")
+    wrong_end = F.when(own.isin("+", "-"), F.when(left_end, s1 > s2).otherwise(e1 < e2)).otherwise(False)
+    short = (e1 < s2 + 2) | (s1 > e2 - 2)
     codon = F.when(t2.isin("intronpart", "intron", "irpart", "nonexonpart", "UTR", "UTRpart"), ~inside).when(t2.isin("CDS", "CDSpart"), ~(strict | wrong_end | ((t2 == "CDS") & short))).otherwise(True)
 
     # a dss on + or an ass on - stands at the left end of an intron
-    left_site = F.when(t1 == "dss", st1 == "+").otherwise(st1 == "-")
-    wrong_site = F.when(st1.isin("+", "-"), F.when(left_site, e1 >= e2).otherwise(s1 <= s2)).otherwise(False)
+    left_site = F.when(t1 == "dss", own == "+").otherwise(own == "-")
+    wrong_site = F.when(own.isin("+", "-"), F.when(left_site, s1 > s2).otherwise(e1 < e2)).otherwise(False)
     splice = F.when(t2.isin("irpart", "UTR", "UTRpart", "exonpart", "exon", "CDS", "CDSpart"), ~inside).when(t2.isin("intron", "intronpart"), ~(strict | wrong_site)).otherwise(True)
 
     to_left, to_right = F.greatest(s1 - s2, s2 - e1) <= UTR_MARGIN, F.greatest(e2 - e1, s1 - e2) <= UTR_MARGIN
-    left_utr = F.when(t1 == "tss", st1 == "+").otherwise(st1 == "-")
-    at_end = F.when(st1.isin("+", "-"), F.when(left_utr, to_left).otherwise(to_right)).otherwise(to_left | to_right)
+    left_utr = F.when(t1 == "tss", own == "+").otherwise(own == "-")
+    at_end = F.when(own.isin("+", "-"),F.when(left_utr, to_left).otherwise(to_right)).otherwise(to_left | to_right)
     utr_end = F.when(t2.isin("irpart", "intron", "intronpart", "nonexonpart", "CDS", "CDSpart"), ~inside).when(t2.isin("UTR", "UTRpart", "exon", "exonpart"), at_end).otherwise(True)
 
-    exonpart = F.when(t2.isin("intronpart", "intron", "irpart", "nonexonpart"), False).when(t2 == "exon", inside).when(t2 == "UTR", ~(contains & ~equal)).otherwise(True)
+    exonpart = F.when(t2.isin("intronpart", "intron", "irpart", "nonexonpart"), False).when(t2 == "exon", inside).when(t2 == "UTR", ~((s1 < s2) & (e1 > e2))).otherwise(True)
     exon = (
         F.when(t2.isin("intronpart", "intron", "irpart", "nonexonpart"), False)
         .when(t2.isin("CDS", "CDSpart", "UTRpart"), contains)
@@ -170,11 +175,14 @@ def hint_pairs(hints: DataFrame, other: DataFrame | None = None, width: int = BI
     other = hints if other is None else other
     met = overlap_join(hints, other, ("seq",), width).unionByName(_close_ends(hints, other))
     c = F.col
+    x, y = ("type", "start", "end", "strand"), ("type_r", "start_r", "end_r", "strand_r")
+    # the pair in the order of types, as columns, so that the rules stand in the plan once
     first = type_id(c("type")) <= type_id(c("type_r"))
-    x = [c("type"), c("start"), c("end"), c("strand")]
-    y = [c("type_r"), c("start_r"), c("end_r"), c("strand_r")]
+    ordered = {f"_a_{k}": F.when(first, c(k)).otherwise(c(r)) for k, r in zip(x, y, strict=True)} | {f"_b_{k}": F.when(first, c(r)).otherwise(c(k)) for k, r in zip(x, y, strict=True)}
     strict = ~((c("start") == c("start_r")) & (c("end") == c("end_r")))
-    return met.withColumns({"compatible": F.when(first, compatible(*x, *y)).otherwise(compatible(*y, *x)), "weaker": weaker(*x[:3], *y[:3]), "strict": strict})
+    fits = compatible(*[c(k) for k in ordered], own=c("strand"))
+    out = met.withColumns(ordered).withColumns({"compatible": fits, "weaker": weaker(*[c(k) for k in x[:3]], *[c(k) for k in y[:3]]), "strict": strict})
+    return out.drop(*ordered)
 
 
 def grouped(hints: DataFrame, key: str = "hint_id") -> DataFrame:

@@ -57,25 +57,78 @@ def hint_attributes(spark, sf_dir):
     return E.parsed(rows).select("hint_id", "grp", "priority", "mult", "esource")
 
 
-_RULE = """case
-  when a.strand <> b.strand and a.strand <> '.' and b.strand <> '.' then false
-  when a.type = b.type then (a.s = b.s and a.e = b.e) or a.type not in ('exon', 'intron', 'CDS')
-  when a.type = 'exonpart' then case b.type when 'intronpart' then false when 'intron' then false when 'exon' then b.s <= a.s and a.e <= b.e else true end
-  when a.type = 'exon' then case when b.type in ('intronpart', 'intron') then false when b.type in ('CDS', 'CDSpart', 'UTRpart') then a.s <= b.s and b.e <= a.e else true end
-  when a.type = 'intronpart' then case when b.type = 'intron' then b.s <= a.s and a.e <= b.e when b.type in ('CDS', 'CDSpart', 'UTRpart') then false else true end
-  when a.type = 'intron' then b.type not in ('CDS', 'CDSpart', 'UTRpart')
-  when a.type = 'CDS' then b.type = 'CDSpart' and a.s <= b.s and b.e <= a.e
+def typed_hints(spark, sf_dir):
+    """:func:`hints` with all 17 types dealt over them."""
+    return hints(spark, sf_dir).withColumn("type", F.element_at(F.array(*[F.lit(t) for t in E.TYPES]), (F.col("hint_id") % len(E.TYPES) + 1).cast("int")))
+
+
+_TYPES = "array['start','stop','ass','dss','tss','tts','exonpart','exon','intronpart','intron','irpart','CDS','CDSpart','UTR','UTRpart','nonexonpart','nonirpart']"
+TYPED = f"{HINTS}, typed as (select * replace (({_TYPES})[hint_id % 17 + 1] as type) from hints)"
+_SIGNAL = "in ('start', 'stop', 'ass', 'dss', 'tss', 'tts')"
+_ORDER = f"list_position({_TYPES}, {{}}.type)"
+
+
+def _rule(p: str, q: str) -> str:
+    """Whether overlapping hints of two types on one strand agree: ``p`` has the smaller type, ``a`` asks."""
+    within = f"{p}.s >= {q}.s and {p}.e <= {q}.e"
+    covers = f"{p}.s <= {q}.s and {p}.e >= {q}.e"
+
+    def wrong(left: str, right: str, margin: int = 0) -> str:
+        """A signal away from the end of ``q`` that it belongs to."""
+        late, early = f"{p}.s > {q}.s + {margin}", f"{p}.e < {q}.e - {margin}"
+        return f"""({late} and {early})
+      or (a.strand = '+' and (({p}.type = '{left}' and {late}) or ({p}.type = '{right}' and {early})))
+      or (a.strand = '-' and (({p}.type = '{left}' and {early}) or ({p}.type = '{right}' and {late})))"""
+
+    return f"""case
+  when {p}.type in ('start', 'stop') then case
+    when {q}.type in ('intronpart', 'intron', 'irpart', 'nonexonpart', 'UTR', 'UTRpart') then not ({within})
+    when {q}.type = 'CDSpart' then not ({wrong("start", "stop")})
+    when {q}.type = 'CDS' then not ({wrong("start", "stop")} or {p}.e < {q}.s + 2 or {p}.s > {q}.e - 2)
+    else true end
+  when {p}.type in ('ass', 'dss') then case
+    when {q}.type in ('irpart', 'UTR', 'UTRpart', 'exonpart', 'exon', 'CDS', 'CDSpart') then not ({within})
+    when {q}.type in ('intron', 'intronpart') then not ({wrong("dss", "ass")})
+    else true end
+  when {p}.type in ('tss', 'tts') then case
+    when {q}.type in ('irpart', 'intron', 'intronpart', 'nonexonpart', 'CDS', 'CDSpart') then not ({within})
+    when {q}.type in ('UTR', 'UTRpart', 'exon', 'exonpart') then not ({wrong("tss", "tts", 50)})
+    else true end
+  when {p}.type = 'exonpart' then case
+    when {q}.type in ('intronpart', 'intron', 'irpart', 'nonexonpart') then false
+    when {q}.type = 'exon' then {within}
+    when {q}.type = 'UTR' then not ({p}.s < {q}.s and {p}.e > {q}.e)
+    else true end
+  when {p}.type = 'exon' then case
+    when {q}.type in ('intronpart', 'intron', 'irpart', 'nonexonpart') then false
+    when {q}.type in ('CDS', 'CDSpart', 'UTRpart') then {covers}
+    when {q}.type = 'UTR' then ({p}.s = {q}.s and {p}.e >= {q}.e) or ({p}.e = {q}.e and {p}.s <= {q}.e)
+    else true end
+  when {p}.type = 'intronpart' and {q}.type = 'intron' then {within}
+  when {p}.type in ('intronpart', 'intron') then {q}.type not in ('irpart', 'CDS', 'CDSpart', 'UTR', 'UTRpart')
+  when {p}.type = 'irpart' then {q}.type = 'nonexonpart'
+  when {p}.type = 'CDS' then {q}.type = 'CDSpart' and {covers}
+  when {p}.type = 'UTR' then {q}.type = 'UTRpart' and {covers}
   else false end"""
-_SWAPPED = _RULE.replace("a.", "§.").replace("b.", "a.").replace("§.", "b.")
-_ORDER = "list_position(array['exonpart','exon','intronpart','intron','CDS','CDSpart','UTRpart'], {}.type)"
 
 
-@query("overlap_self_compat", f"""with {HINTS}, pairs as (select case when x <= y then ta else tb end as t1, case when x <= y then tb else ta end as t2, fits from (
-  select a.type as ta, b.type as tb, {_ORDER.format("a")} as x, {_ORDER.format("b")} as y, case when {_ORDER.format("a")} <= {_ORDER.format("b")} then {_RULE} else {_SWAPPED} end as fits
-  from hints a join hints b on a.seq = b.seq and a.hint_id < b.hint_id and a.s <= b.e and b.s <= a.e))
+_CLOSE = "(a.type = b.type and a.strand = b.strand and a.type in ('tss', 'tts') and abs(a.s + a.e - b.s - b.e) // 2 <= case a.type when 'tts' then 1000 else 0 end)"
+_MEET = f"a.seq = b.seq and ((a.s <= b.e and b.s <= a.e) or {_CLOSE})"
+_FITS = f"""case
+  when a.s > b.e or a.e < b.s then not {_CLOSE}
+  when a.strand <> b.strand and a.strand <> '.' and b.strand <> '.' then
+    (a.type {_SIGNAL} and b.type {_SIGNAL}) or (a.type {_SIGNAL} and (a.s < b.s or a.e > b.e)) or (b.type {_SIGNAL} and (a.s > b.s or a.e < b.e))
+  when a.type = b.type then (a.s = b.s and a.e = b.e) or a.type not in ('exon', 'intron', 'CDS', 'UTR')
+  when {_ORDER.format("a")} < {_ORDER.format("b")} then {_rule("a", "b")}
+  else {_rule("b", "a")} end"""
+
+
+@query("overlap_self_compat", f"""with {TYPED}, pairs as (select case when x <= y then ta else tb end as t1, case when x <= y then tb else ta end as t2, fits from (
+  select a.type as ta, b.type as tb, {_ORDER.format("a")} as x, {_ORDER.format("b")} as y, {_FITS} as fits
+  from typed a join typed b on a.hint_id < b.hint_id and {_MEET}))
 select t1, t2, count(*) filter (where fits) as compatible, count(*) filter (where not fits) as incompatible from pairs group by t1, t2""")
 def overlap_self_compat(spark, sf_dir):
-    h = hints(spark, sf_dir).select("hint_id", "seq", "type", "start", "end", "strand")
+    h = typed_hints(spark, sf_dir).select("hint_id", "seq", "type", "start", "end", "strand")
     p = E.hint_pairs(h, None, WIDTH).where("hint_id < hint_id_r")
     first = E.type_id(F.col("type")) <= E.type_id(F.col("type_r"))
     t1, t2 = F.when(first, F.col("type")).otherwise(F.col("type_r")), F.when(first, F.col("type_r")).otherwise(F.col("type"))
@@ -83,14 +136,15 @@ def overlap_self_compat(spark, sf_dir):
     return p.groupBy(t1.alias("t1"), t2.alias("t2")).agg(n(F.col("compatible"))("compatible"), n(~F.col("compatible"))("incompatible"))
 
 
-_WEAK = """a.s <= b.e and b.s <= a.e and case when a.type = b.type and a.s = b.s and a.e = b.e then true
-  when a.type = 'exonpart' then b.type in ('exon', 'exonpart') and b.s <= a.s and a.e <= b.e when a.type = 'intronpart' then b.type in ('intron', 'intronpart') and b.s <= a.s and a.e <= b.e
-  when a.type = 'CDSpart' then b.type in ('CDS', 'CDSpart') and b.s <= a.s and a.e <= b.e when a.type = 'UTRpart' then b.type = 'UTRpart' and b.s <= a.s and a.e <= b.e else false end"""
+_WEAK = f"""(a.s <= b.e and b.s <= a.e and ((a.type = b.type and a.s = b.s and a.e = b.e)
+  or (a.type = b.type and a.type {_SIGNAL} and a.s <= b.s and a.e >= b.e)
+  or (a.s >= b.s and a.e <= b.e and ((a.type = 'exonpart' and b.type in ('exon', 'exonpart')) or (a.type = 'intronpart' and b.type in ('intron', 'intronpart')) or (a.type = 'irpart' and b.type = 'irpart')
+    or (a.type = 'CDSpart' and b.type in ('CDS', 'CDSpart')) or (a.type = 'UTRpart' and b.type in ('UTR', 'UTRpart')) or (a.type = 'nonexonpart' and b.type = 'nonexonpart') or (a.type = 'nonirpart' and b.type <> 'irpart')))))"""
 
 
-@query("hint_dominance", f"with {HINTS} select a.hint_id, count(*) as stronger, count(*) filter (where a.s <> b.s or a.e <> b.e) as strictly from hints a join hints b on a.seq = b.seq and a.hint_id <> b.hint_id and {_WEAK} group by a.hint_id")
+@query("hint_dominance", f"with {TYPED} select a.hint_id, count(*) as stronger, count(*) filter (where a.s <> b.s or a.e <> b.e) as strictly from typed a join typed b on a.seq = b.seq and a.hint_id <> b.hint_id and {_WEAK} group by a.hint_id")
 def hint_dominance(spark, sf_dir):
-    h = hints(spark, sf_dir).select("hint_id", "seq", "type", "start", "end", "strand")
+    h = typed_hints(spark, sf_dir).select("hint_id", "seq", "type", "start", "end", "strand")
     p = E.hint_pairs(h, None, WIDTH).where("hint_id <> hint_id_r and weaker")
     return p.groupBy("hint_id").agg(F.count(F.lit(1)).alias("stronger"), F.sum(F.col("strict").cast("long")).alias("strictly"))
 
@@ -106,26 +160,26 @@ def genic_gaps(spark, sf_dir):
     return E.genic_gaps(E.grouped(hints(spark, sf_dir)))
 
 
-@query("group_relations", f"""with {HINTS}, ranges as (select seq, 'g:' || grp as gid, min(s) as s, max(e) as e, count(*) as n from hints group by seq, grp),
+@query("group_relations", f"""with {TYPED}, ranges as (select seq, 'g:' || grp as gid, min(s) as s, max(e) as e, count(*) as n from typed group by seq, grp),
 pairs as (select a.seq, a.gid, b.gid as gid_r, a.n, b.s < a.s or b.e > a.e as beyond from ranges a join ranges b on a.seq = b.seq and a.gid <> b.gid and a.s <= b.e and b.s <= a.e),
 met as (select a.seq, 'g:' || a.grp as gid, 'g:' || b.grp as gid_r, a.hint_id,
-    case when {_ORDER.format("a")} <= {_ORDER.format("b")} then {_RULE} else {_SWAPPED} end as fits, {_WEAK} as weak, a.s <> b.s or a.e <> b.e as strict
-  from hints a join hints b on a.seq = b.seq and a.grp <> b.grp and a.s <= b.e and b.s <= a.e),
+    {_FITS} as fits, {_WEAK} as weak, a.s <> b.s or a.e <> b.e as strict
+  from typed a join typed b on a.grp <> b.grp and {_MEET}),
 by_hint as (select seq, gid, gid_r, hint_id, bool_and(fits) as fits, bool_or(weak) as under, bool_or(weak and strict) as strictly from met group by all),
 by_group as (select seq, gid, gid_r, bool_and(fits) as fits, count(*) filter (where under) as under, bool_or(strictly) as strictly from by_hint group by all)
 select coalesce(fits, true) as compatible, coalesce(under = n and (strictly or beyond), false) as weaker, count(*) as n from pairs left join by_group using (seq, gid, gid_r) group by 1, 2""")
 def group_relations(spark, sf_dir):
-    return E.group_relations(E.grouped(hints(spark, sf_dir)), width=WIDTH).groupBy("compatible", "weaker").agg(F.count(F.lit(1)).alias("n"))
+    return E.group_relations(E.grouped(typed_hints(spark, sf_dir)), width=WIDTH).groupBy("compatible", "weaker").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("conformance", f"""with {HINTS}, met as (select a.hint_id, b.grp as gr, {_WEAK} as weak,
-    not (case when {_ORDER.format("a")} <= {_ORDER.format("b")} then {_RULE} else {_SWAPPED} end) and not (b.priority < a.priority) as bad,
+@query("conformance", f"""with {TYPED}, met as (select a.hint_id, b.grp as gr, {_WEAK} as weak,
+    not ({_FITS}) and not (b.priority < a.priority) as bad,
     case when a.type = 'intron' and b.type like '%part' then least(b.e - b.s + 1, a.e - a.s + 1) / (a.e - a.s + 1)::double else 1.0 end as share
-  from hints a join hints b on a.seq = b.seq and a.grp <> b.grp and a.s <= b.e and b.s <= a.e),
+  from typed a join typed b on a.grp <> b.grp and {_MEET}),
 by_group as (select hint_id, gr, max(weak::int) as supports, max(case when bad then share else 0.0 end) as against from met group by hint_id, gr)
 select hint_id, sum(supports)::bigint as support, round(sum(against), 6) as contradict from by_group group by hint_id""")
 def conformance(spark, sf_dir):
-    got = E.conformance_counts(E.grouped(hints(spark, sf_dir)), width=WIDTH)
+    got = E.conformance_counts(E.grouped(typed_hints(spark, sf_dir)), width=WIDTH)
     return got.withColumn("contradict", F.round("contradict", 6))
 
 

@@ -82,6 +82,9 @@ def test_rules_of_evidence(spark):
         ("exonpart", 5, 19, ".", "exon", 1, 10, "+", False), ("exon", 1, 10, "+", "intron", 10, 20, "+", False), ("exon", 1, 10, "+", "exon", 1, 10, "-", False),
         ("intronpart", 12, 15, ".", "intron", 10, 20, "-", True), ("tts", 1, 1, "+", "tts", 900, 900, "+", False), ("tts", 1, 1, "+", "tts", 1500, 1500, "+", True),
         ("irpart", 1, 9, ".", "nonexonpart", 3, 4, ".", True), ("CDS", 1, 30, "+", "CDSpart", 5, 9, "+", True), ("CDS", 1, 30, "+", "CDSpart", 25, 39, "+", False), ("exon", 1, 9, "+", "exon", 20, 30, "+", True),
+        # signals at both ends of what they belong to, or beyond them
+        ("start", 10, 12, "+", "CDSpart", 10, 12, "+", True), ("stop", 10, 12, "-", "CDSpart", 11, 12, "-", True), ("dss", 41, 42, "+", "intronpart", 41, 42, "+", True), ("ass", 40, 45, "+", "intron", 41, 44, "+", True),
+        ("stop", 40, 40, "+", "CDS", 10, 40, "+", False), ("start", 10, 12, "-", "CDS", 10, 40, "-", False), ("exonpart", 1, 12, ".", "UTR", 1, 10, "+", True), ("exonpart", 0, 12, ".", "UTR", 1, 10, "+", False),
     ]
     df = spark.createDataFrame(rows, "t1 string, s1 bigint, e1 bigint, d1 string, t2 string, s2 bigint, e2 bigint, d2 string, want boolean")
     c = F.col
