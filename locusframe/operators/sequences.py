@@ -30,8 +30,10 @@ def gc_class(gc: DataFrame, centres: list[float]) -> DataFrame:
 
 def kmer_counts(sequences: DataFrame, k: int, weight: str | None = None) -> DataFrame:
     """``kmer, n`` over all sequences; k-mers with other letters than ACGT are left out."""
-    rows = sequences.select(F.explode(S.kmers(F.upper("bases"), k)).alias("kmer"), *([weight] if weight else []))
-    return rows.where(F.col("kmer").rlike("^[ACGT]+$")).groupBy("kmer").agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("n"))
+    # a look-ahead matches at every base, and only where k clean letters follow
+    kmers = F.regexp_extract_all(F.upper("bases"), F.lit(f"(?=([ACGT]{{{k}}}))"), F.lit(1))
+    rows = sequences.select(F.explode(kmers).alias("kmer"), *([weight] if weight else []))
+    return rows.groupBy("kmer").agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("n"))
 
 
 def framed_kmer_counts(sequences: DataFrame, k: int) -> DataFrame:
@@ -86,10 +88,17 @@ def length_distribution(lengths: DataFrame, column: str = "len", bandwidth: floa
     return out.join(F.broadcast(total)).select("len", "n", (F.col("n") / F.col("total")).alias("prob"))
 
 
-def region(sequences: DataFrame, regions: DataFrame) -> DataFrame:
-    """``regions`` (``seq, start, end, strand``) with their ``bases`` as read on their strand."""
-    cut = regions.join(sequences.select("seq", F.col("bases").alias("_b")), "seq")
-    return cut.withColumn("bases", S.on_strand(S.subsequence("_b", "start", "end"), "strand")).drop("_b")
+def region(sequences: DataFrame, regions: DataFrame, chunk: int = 1 << 14) -> DataFrame:
+    """``regions`` (``seq, start, end, strand``) with their ``bases`` as read on their strand.
+
+    Sequences, of distinct names, are cut into chunks first, so one long sequence is shared by many
+    tasks.  Regions of unknown sequences are left out; what lies beyond a sequence is empty.
+    """
+    keyed = regions.withColumn("_rid", F.xxhash64(*regions.columns))
+    wanted = keyed.select(F.col("_rid").alias("rid"), "seq", "start", "end").distinct()
+    found = fetch_chunks(chunked(sequences, chunk), wanted, chunk).select(F.col("rid").alias("_rid"), F.col("bases").alias("_b"))
+    cut = keyed.join(sequences.select("seq").distinct(), "seq", "left_semi").join(found, "_rid", "left")
+    return cut.withColumn("bases", S.on_strand(F.coalesce("_b", F.lit("")), "strand")).drop("_rid", "_b")
 
 
 def chunked(sequences: DataFrame, size: int, overlap: int = 0) -> DataFrame:

@@ -52,11 +52,12 @@ def best_island(signal: DataFrame, threshold: float, gap: int = 0) -> DataFrame:
     return islands(signal, threshold, gap).groupBy("seq").agg(best).select("seq", "_b.*")
 
 
-def island_hints(signal: DataFrame, threshold: float = 0.4, margin: int = 20, width: int = 40, least: float = 0.4) -> DataFrame:
+def island_hints(signal: DataFrame, threshold: float = 0.4, margin: int = 20, width: int = 40, least: float = 0.4, bin_width: int = 1 << 10) -> DataFrame:
     """Evenly spaced hints inside islands: ``seq, start, end, score``.
 
     An island loses ``margin`` at both ends, is cut into ``int(length / width)`` pieces, at least one,
-    and each piece whose mean signal is above ``least`` is a hint.
+    and each piece whose mean signal is above ``least`` is a hint.  Positions and pieces, which are
+    under twice ``width`` long, meet by bins of ``bin_width``.
     """
     trimmed = islands(signal, threshold).select("seq", (F.col("start") + margin).alias("s"), (F.col("end") - margin).alias("e")).where("s <= e")
     n = F.greatest(F.floor((F.col("e") - F.col("s") + 1) / width), F.lit(1)).cast("int")
@@ -65,7 +66,7 @@ def island_hints(signal: DataFrame, threshold: float = 0.4, margin: int = 20, wi
     piece = piece.select("seq", (F.col("s") + F.floor(F.col("i") * size)).cast("long").alias("start"), (F.col("s") + F.floor((F.col("i") + 1) * size) - 1).cast("long").alias("end"))
     from .intervals import containing_points
 
-    met = containing_points(signal, piece)
+    met = containing_points(signal, piece, width=bin_width)
     return met.groupBy("seq", F.col("start_r").alias("start"), F.col("end_r").alias("end")).agg((F.sum("value") / (F.max("end_r") - F.max("start_r") + 1)).alias("score")).where(F.col("score") > least)
 
 

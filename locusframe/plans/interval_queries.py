@@ -108,10 +108,10 @@ def nested_removal(spark, sf_dir):
     return I.without_nested(intervals(spark, sf_dir), chunk=CHUNK).select("seq", "strand", "start", "end")
 
 
-@query("semi_overlap", f"with {IV}, a as (select * from iv where strand = '+'), b as (select * from iv where strand = '-') select id from a where exists (select 1 from b where a.seq = b.seq and a.s <= b.e and b.s <= a.e)")
+@query("semi_overlap", f"with {IV}, a as (select * from iv where strand <> '-'), b as (select * from iv where strand <> '+') select id from a where exists (select 1 from b where a.seq = b.seq and a.s <= b.e and b.s <= a.e)")
 def semi_overlap(spark, sf_dir):
     iv = intervals(spark, sf_dir)
-    return I.overlap_semi(iv.where("strand = '+'"), iv.where("strand = '-'"), width=WIDTH).select("id")
+    return I.overlap_semi(iv.where("strand <> '-'"), iv.where("strand <> '+'"), width=WIDTH).select("id")
 
 
 @query("anti_overlap", f"with {IV}, a as (select * from iv where strand = '+'), b as (select * from iv where strand = '-') select id from a where not exists (select 1 from b where a.seq = b.seq and a.s <= b.e and b.s <= a.e)")
@@ -171,7 +171,7 @@ pieces as (select seq, (s + floor(i * ((e - s + 1) / n::double)))::bigint as a,
 select p.seq, a as start, b as "end", round(sum(value) / (b - a + 1)::double, 9) as score from pieces p join dense d on d.seq = p.seq and pos between a and b group by p.seq, a, b having sum(value) / (b - a + 1)::double > 3.5""")
 def island_hints(spark, sf_dir):
     dense = G.spread(I.coverage(intervals(spark, sf_dir), chunk=CHUNK).withColumnRenamed("cov", "value"))
-    return G.island_hints(dense, 3, 5, 10, 3.5).withColumn("score", F.round("score", 9))
+    return G.island_hints(dense, 3, 5, 10, 3.5, WIDTH).withColumn("score", F.round("score", 9))
 
 
 @query("coverage_jumps", f"""with {IV}, events as (select seq, pos, sum(d) as d from (select seq, s as pos, 1 as d from iv union all select seq, e + 1, -1 from iv) group by seq, pos having sum(d) <> 0),

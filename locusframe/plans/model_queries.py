@@ -97,7 +97,7 @@ def exon_candidates(spark, sf_dir):
     c = sequences(spark, sf_dir).select("seq", F.posexplode(kmers(F.upper("bases"), 3)).alias("p", "c")).withColumn("p", F.col("p").cast("long") + 1)
     signals = c.where("c in ('AGA', 'GTA')").select("seq", F.when(F.col("c") == "AGA", F.col("p") + 2).otherwise(F.col("p") - 1).alias("pos"), F.when(F.col("c") == "AGA", "open").otherwise("close").alias("kind"), F.col("c").alias("name"), F.lit(1.0).alias("score"))
     stops = c.where("c in ('TAA', 'TAG', 'TGA')").select("seq", F.col("p").alias("pos"))
-    return D.exon_candidates(signals, stops, 30, 60, 1024).select("seq", "start", "end", "frame").distinct()
+    return D.exon_candidates(signals, stops, 30, 60, 64).select("seq", "start", "end", "frame").distinct()
 
 
 @query("fold_means")
