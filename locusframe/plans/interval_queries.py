@@ -114,10 +114,10 @@ def semi_overlap(spark, sf_dir):
     return I.overlap_semi(iv.where("strand <> '-'"), iv.where("strand <> '+'"), width=WIDTH).select("id")
 
 
-@query("anti_overlap", f"with {IV}, a as (select * from iv where strand = '+'), b as (select * from iv where strand = '-') select id from a where not exists (select 1 from b where a.seq = b.seq and a.s <= b.e and b.s <= a.e)")
+@query("anti_overlap", f"with {IV}, a as (select * from iv where strand <> '-'), b as (select * from iv where strand <> '+') select id from a where not exists (select 1 from b where a.seq = b.seq and a.s <= b.e and b.s <= a.e)")
 def anti_overlap(spark, sf_dir):
     iv = intervals(spark, sf_dir)
-    return I.overlap_anti(iv.where("strand = '+'"), iv.where("strand = '-'"), width=WIDTH).select("id")
+    return I.overlap_anti(iv.where("strand <> '-'"), iv.where("strand <> '+'"), width=WIDTH).select("id")
 
 
 @query("asof_next_boundary", f"with {IV}, marks as (select distinct seq, e as mark from iv where src = 'O') select id, (select min(mark) from marks m where m.seq = iv.seq and mark > iv.s) as next_mark from iv")
