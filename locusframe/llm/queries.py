@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard_join, language_id, licenses, line_dedup, packing, quality, secrets, token_counts, warc
+from . import decontaminate, filter_audit, jaccard_join, language_id, licenses, line_dedup, packing, quality, secrets, token_counts, warc
 
 QUERIES = {
     "op1_ngram_jaccard_join": jaccard_join.op1_ngram_jaccard_join,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_warc": warc.op8_warc,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op10_decontamination": decontaminate.op10_decontamination,
+    "op11_filter_audit": filter_audit.op11_filter_audit,
 }
 
 SQL = {
@@ -24,4 +25,5 @@ SQL = {
     "op6_line_dedup": line_dedup.OP6_SQL,
     "op8_warc": warc.OP8_SQL,
     "op10_decontamination": decontaminate.OP10_SQL,
+    "op11_filter_audit": filter_audit.OP11_SQL,
 }
