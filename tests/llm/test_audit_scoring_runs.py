@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from locusframe.llm import filter_audit
+from locusframe.llm import filter_audit, periodic_runs
 
 from .helpers import SPACED, frame, messy, words_of
 
@@ -78,3 +78,112 @@ def test_parity_sums_come_back_as_cells(spark):
         assert r["all"] == [sum(m == x[1] for x in own) for m in range(32)]
         assert r["good"] == [sum(m == x[1] and x[2] for x in own) for m in range(32)]
         assert r["toxic"] == [sum(m == x[1] and x[3] for x in own) for m in range(32)]
+
+
+def brute_runs(words, min_length=24, min_periods=3):
+    """Every period of every stretch, by definition."""
+
+    def smallest_period(w):
+        fail, k = [0], 0
+        for i in range(1, len(w)):
+            while k and w[i] != w[k]:
+                k = fail[k - 1]
+            k += w[i] == w[k]
+            fail.append(k)
+        return len(w) - fail[-1]
+
+    out = []
+    for q in range(1, len(words) // min_periods + 1):
+        i = 0
+        while i + q < len(words):
+            if words[i] != words[i + q]:
+                i += 1
+                continue
+            j = i
+            while j + q < len(words) and words[j] == words[j + q]:
+                j += 1
+            if j + q - i >= max(min_length, min_periods * q) and smallest_period(words[i : j + q]) == q:
+                out.append((i, j + q - i, q))
+            i = j + 1
+    return sorted(out)
+
+
+def planted_words(doc_id, text):
+    w = SPACED.findall(text or "")
+    h = zlib.crc32(str(doc_id).encode())
+    if doc_id is not None and h % 10 == 0 and w:
+        g = h // 10
+        a = g % len(w)
+        p = 1 + (len(w) - a) // (3 + g % 8)
+        w = [x if i < a else w[a + (i - a) % p] for i, x in enumerate(w)]
+    return w
+
+
+def collapsed_words(words, runs):
+    gone = {i for s, n, q in runs for i in range(s + q, s + n)}
+    return " ".join(w for i, w in enumerate(words) if i not in gone)
+
+
+def repetitive(rng):
+    """Words of a small alphabet with repeats at several scales."""
+    out = []
+    while len(out) < rng.randrange(1, 300):
+        kind = rng.randrange(4)
+        if kind == 0:
+            out += [rng.randrange(3) for _ in range(rng.randrange(1, 20))]
+        elif kind == 1:
+            unit = [rng.randrange(2) for _ in range(rng.randrange(1, 12))]
+            out += unit * rng.randrange(2, 8) + unit[: rng.randrange(len(unit))]
+        elif kind == 2 and out:
+            out += out[-rng.randrange(1, len(out) + 1) :]
+        else:
+            out += [rng.randrange(1000)]
+    return out
+
+
+@pytest.mark.parametrize("least, times", [(24, 3), (6, 2), (10, 4)])
+def test_runs_against_definition(least, times):
+    rng = random.Random(least)
+    some = 0
+    for _ in range(150):
+        words = repetitive(rng)
+        got = periodic_runs.runs_of(words, least, times)
+        assert got == brute_runs(words, least, times)
+        some += len(got)
+    assert some > 100
+
+
+def test_end_positions_keep_order():
+    rng = random.Random(1)
+    values = rng.sample(range(10**6), 5000)
+    own, plain = periodic_runs.EndPositions(values[0]), [values[0]]
+    for x in values[1:]:
+        before, after = own.add(x)
+        assert before == max((y for y in plain if y < x), default=-1) if len(plain) < 300 else True
+        assert after == min((y for y in plain if y > x), default=-1) if len(plain) < 300 else True
+        plain.append(x)
+    assert list(own) == sorted(values) and own.size == len(values)
+
+
+def test_op13_against_definition(spark, tmp_path):
+    rng = random.Random(9)
+    rows = [*messy()[:-5], (None, "a b " * 30), (50, "x " * 3000), (52, "a b c"), (52, "a b c")]
+    rows += [(100 + i, words_of(rng, rng.randrange(1, 200))) for i in range(100)]
+    rows += [(300 + i, " \t".join(f"W{x}é" for x in repetitive(rng)) + "\n") for i in range(40)]
+    frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    want = []
+    for i, t in rows:
+        w = planted_words(i, t)
+        runs = brute_runs(w)
+        best = max(runs, key=lambda r: (r[1] / r[2], -r[0], -r[2]), default=(None,) * 3)
+        sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+        want.append((i, len(runs), *best, 1000 * best[1] // best[2] if runs else None, sha("".join(f"{a},{b},{c}\n" for a, b, c in runs)), sha(collapsed_words(w, runs))))
+    got = [tuple(r) for r in periodic_runs.op13_periodic_runs(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert sum(r[1] > 0 for r in got) > 30
+
+
+def test_periodic_runs_of_nothing(spark):
+    assert periodic_runs.periodic_runs(frame(spark, [])).count() == 0
+    with pytest.raises(ValueError):
+        periodic_runs.periodic_runs(frame(spark, []), min_periods=1)
