@@ -138,7 +138,7 @@ def bit_filter(ids: DataFrame, width: int) -> np.ndarray:
     return _bins.merged(ids.mapInArrow(run, _bins.PARTS), _bins.tasks_of(ids), (1 << width) // 64, bits=True)
 
 
-def _has_bit(cells: np.ndarray, ids: np.ndarray, width: int) -> np.ndarray:
+def has_bit(cells: np.ndarray, ids: np.ndarray, width: int) -> np.ndarray:
     at = _bit_of(ids, width)
     return (cells.view(np.uint8)[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
 
@@ -148,7 +148,7 @@ def _with_bit(broadcast):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(_has_bit(broadcast.value, batch.column("token").to_numpy(zero_copy_only=False), TOKEN_BITS)))
+            yield batch.filter(pa.array(has_bit(broadcast.value, batch.column("token").to_numpy(zero_copy_only=False), TOKEN_BITS)))
 
     return run
 
@@ -161,7 +161,7 @@ def _repeated(broadcast):
             tokens = batch.column("tokens")
             sizes = np.diff(np.asarray(tokens.offsets))
             flat = np.asarray(tokens.flatten())
-            keep = np.flatnonzero(_has_bit(broadcast.value, flat, TOKEN_BITS))
+            keep = np.flatnonzero(has_bit(broadcast.value, flat, TOKEN_BITS))
             row = np.repeat(np.arange(len(sizes)), sizes)
             pos = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             own = pa.array(row[keep])
@@ -175,13 +175,13 @@ def _sets(documents, classes, size: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            wanted = _has_bit(documents.value, batch.column(0).to_numpy(zero_copy_only=False), FILTER_BITS)
+            wanted = has_bit(documents.value, batch.column(0).to_numpy(zero_copy_only=False), FILTER_BITS)
             if not wanted.any():
                 continue
             for part in _text.chunks(batch.column(1).filter(pa.array(wanted)), _text.NOT_SPACE):
                 values, offsets = shingle_sets(part, size)
                 ids, n = set_ids(values, offsets), np.diff(offsets)
-                own = np.flatnonzero((n > 0) & _has_bit(classes.value, ids, FILTER_BITS))
+                own = np.flatnonzero((n > 0) & has_bit(classes.value, ids, FILTER_BITS))
                 sets = [values[offsets[i] : offsets[i + 1]].tobytes() for i in own.tolist()]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[own], pa.int64()), pa.array(n[own], pa.int64()), pa.array(sets, pa.binary())], ["cid", "n", "shingles"])
 
@@ -407,7 +407,7 @@ def _meeting_spots(broadcast):
         for batch in batches:
             spots = batch.column("spots")
             sizes = np.diff(np.asarray(spots.offsets))
-            has = _has_bit(broadcast.value, np.asarray(spots.flatten()), TOKEN_BITS)
+            has = has_bit(broadcast.value, np.asarray(spots.flatten()), TOKEN_BITS)
             at = np.arange(len(has)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             ends = np.concatenate([[0], np.cumsum(has)])[np.concatenate([[0], np.cumsum(sizes)])]
             keep = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(at[has], pa.int32()))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, filter_audit, jaccard_join, language_id, licenses, line_dedup, packing, periodic_runs, quality, secrets, token_counts, warc
+from . import decontaminate, filter_audit, jaccard_join, language_id, licenses, line_dedup, lm_scores, packing, periodic_runs, quality, secrets, token_counts, warc
 
 QUERIES = {
     "op1_ngram_jaccard_join": jaccard_join.op1_ngram_jaccard_join,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op10_decontamination": decontaminate.op10_decontamination,
     "op11_filter_audit": filter_audit.op11_filter_audit,
+    "op12_lm_scoring": lm_scores.op12_lm_scoring,
     "op13_periodic_runs": periodic_runs.op13_periodic_runs,
 }
 

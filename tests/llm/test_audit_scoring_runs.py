@@ -1,5 +1,6 @@
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
@@ -7,9 +8,9 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from locusframe.llm import filter_audit, periodic_runs
+from locusframe.llm import filter_audit, lm_scores, periodic_runs
 
-from .helpers import SPACED, frame, messy, words_of
+from .helpers import SPACED, TO_LOWER, frame, messy, words_of
 
 LABEL_SCHEMA = "doc_id bigint, quality int, toxic int, part string, mask int"
 
@@ -187,3 +188,97 @@ def test_periodic_runs_of_nothing(spark):
     assert periodic_runs.periodic_runs(frame(spark, [])).count() == 0
     with pytest.raises(ValueError):
         periodic_runs.periodic_runs(frame(spark, []), min_periods=1)
+
+
+def brute_scores(rows, folds):
+    """The same model with dictionaries; also a function for its probabilities."""
+    texts = [(i, [*SPACED.findall((t or "").translate(TO_LOWER)), None]) for i, t in rows]
+    number = lambda i: zlib.crc32(str(i).encode())
+    test = lambda i: i is None or number(i) % 7 == 2
+    fold = lambda i: not test(i) and number(i) // 7 % folds == 0
+
+    def counted(chosen):
+        one, two = Counter(), Counter()
+        for i, w in texts:
+            if chosen(i):
+                one.update(w)
+                two.update(zip([None, *w], w, strict=False))
+        return one, two
+
+    (c1, c2), (e1, e2) = counted(lambda i: not test(i)), counted(lambda i: not test(i) and not fold(i))
+    n, v = sum(c1.values()), len(c1)
+
+    def parts(one, two, a, w):
+        total = max(sum(one.values()), 1)
+        return [two[a, w] / one[a] if one[a] else 0.0, one[w] / total, 1 / (v + 1)]
+
+    held = Counter()
+    for i, w in texts:
+        if fold(i):
+            held.update(zip([None, *w], w, strict=False))
+    total = max(sum(e1.values()), 1)
+    rows_ = [(e1[a].bit_length(), [e2[a, w] / e1[a] if e1[a] else 0.0, e1[w] / total, 1 / (v + 1)], k) for (a, w), k in held.items()]
+    shares = {}
+
+    def weights():
+        whole = [sum(s[k] for s in shares.values()) for k in range(3)]
+        out = {}
+        for b in range(lm_scores.BUCKETS):
+            s = list(shares.get(b, whole))
+            s = s if sum(s) else [1.0, 1.0, 1.0]
+            if b == 0:
+                s = [0.0, *s[1:]] if s[1] + s[2] else [0.0, 1.0, 1.0]
+            out[b] = [x / sum(s) for x in s]
+        return out
+
+    now, before = weights(), -math.inf
+    for _ in range(lm_scores.ROUNDS):
+        shares, ll = defaultdict(lambda: [0.0] * 3), 0.0
+        for b, p, k in rows_:
+            own = [x * y for x, y in zip(p, now[b], strict=True)]
+            ll += k * math.log(sum(own))
+            for j in range(3):
+                shares[b][j] += k * own[j] / sum(own)
+        now = weights()
+        if not rows_ or ll - before <= lm_scores.ENOUGH * abs(ll):
+            break
+        before = ll
+
+    def probability(a, w):
+        p = [c2[a, w] / c1[a] if c1[a] else 0.0, c1[w] / max(n, 1), 1 / (v + 1)]
+        return sum(x * y for x, y in zip(p, now[c1[a].bit_length()], strict=True))
+
+    out = []
+    for i, w in texts:
+        base = sum(math.log10((c1[x] + 1) / (n + v + 1)) for x in w)
+        out.append((i, test(i), len(w), sum(c1[x] > 0 for x in w), n, base, sum(math.log10(probability(a, x)) for a, x in zip([None, *w], w, strict=False))))
+    return out, probability, c1
+
+
+def rounded(rows):
+    return sorted(repr([round(x, 5) if isinstance(x, float) else x for x in r]) for r in rows)
+
+
+def scoring_rows():
+    rng = random.Random(12)
+    rows = [*messy()[:-5], (52, "a b c"), (52, "a b c"), (52, "other"), (None, "a b c"), (None, None), (None, None), (53, "A B C"), (54, "\r\n\x0b\x0c\x85 ")]
+    pick = lambda: "w" + str(int(rng.paretovariate(0.5)) % 3000)
+    return rows + [(100 + i, " ".join(pick() for _ in range(rng.randrange(300)))) for i in range(250)]
+
+
+@pytest.mark.parametrize("tier", [lm_scores.TIER, 900, 20, 0])
+def test_lm_scores(spark, tier):
+    rows = scoring_rows()
+    want, probability, counts = brute_scores(rows, 5)
+    got = lm_scores.scores(frame(spark, rows), tier, 5)
+    assert got.columns == ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    assert rounded(got.collect()) == rounded(want)
+    assert sum(r[-1] for r in want if r[1]) > sum(r[-2] for r in want if r[1])
+    if tier == 0:
+        for a in (None, "w1", "w2999", "never"):
+            assert abs(sum(probability(a, w) for w in counts) + probability(a, "never") - 1) < 1e-9
+
+
+@pytest.mark.parametrize("rows", [[], [(None, "a b")], [(1, None)], [(1, "a b a"), (2, "a")]])
+def test_lm_scores_of_few(spark, rows):
+    assert rounded(lm_scores.scores(frame(spark, rows)).collect()) == rounded(brute_scores(rows, lm_scores.FOLDS)[0])
