@@ -7,7 +7,8 @@ its end to finish the last one.  Files are reached through Arrow's file systems,
 Arrow knows will do, and executors share nothing but that store.
 
 The reader takes any record type and id, header names in any case, folded header lines, texts that
-aren't UTF-8 (undecodable bytes become U+FFFD), and records without digests.
+aren't UTF-8 (undecodable bytes become U+FFFD), and records without digests.  Of a repeated field the first
+counts.  A member that begins as a record but is cut off or damaged gives a row of type ``damaged``.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,6 +43,11 @@ _ARROW = pa.schema(
 )
 _HEAD = re.compile(rb"WARC/\d\.\d[ \t]*\r?\n")
 _END = re.compile(rb"\r?\n\r?\n")
+#: Characters of a URL that a header line can't hold or that a reader may strip; the writer percent-encodes them and
+#: adds the URL as it was in a field of its own, in base 64.
+_UNSAFE = re.compile("[\x00-\x20\x7f-\xa0<>\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
+_ORIGINAL = "X-Original-Target-URI"
+DAMAGED = "damaged"
 
 
 def _store(path: str):
@@ -55,32 +62,50 @@ def record_bytes(row: dict) -> bytes:
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {row['payload_bytes']}\r\n\r\n".encode()
     revisit = row["record_type"] == "revisit"
     block = http if revisit else http + (row["payload"] or b"")
-    lines = ["WARC/1.1", f"WARC-Type: {row['record_type']}", f"WARC-Record-ID: <{row['record_id'] or ''}>", "WARC-Date: 1970-01-01T00:00:00Z"]
+    encoded = lambda text: _UNSAFE.sub(lambda c: quote(c[0]), text or "")
+    lines = ["WARC/1.1", f"WARC-Type: {row['record_type']}", f"WARC-Record-ID: <{encoded(row['record_id'])}>", "WARC-Date: 1970-01-01T00:00:00Z"]
     if row["url"] is not None:
-        lines.append("WARC-Target-URI: " + row["url"].replace("\r", "%0D").replace("\n", "%0A"))
+        safe = encoded(row["url"])
+        lines.append(f"WARC-Target-URI: {safe}")
+        if safe != row["url"]:
+            lines.append(f"{_ORIGINAL}: {base64.b64encode(row['url'].encode()).decode()}")
     lines.append(f"WARC-Payload-Digest: sha1:{digest}")
     if revisit:
-        lines += [f"WARC-Profile: {_PROFILE}", f"WARC-Refers-To: <{row['refers_to'] or ''}>"]
+        lines += [f"WARC-Profile: {_PROFILE}", f"WARC-Refers-To: <{encoded(row['refers_to'])}>"]
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     packer = zlib.compressobj(6, zlib.DEFLATED, 31)
     return packer.compress("\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + packer.flush()
 
 
 def header_fields(head: bytes) -> dict[str, str]:
-    """Fields of header lines, names in lower case; a line that begins with white space goes on with the last one."""
+    """Fields of header lines, names in lower case; a line that begins with white space goes on with the last one.
+
+    Lines end at line feeds alone: other characters that some take for line ends are part of values.
+    """
     out: dict[str, str] = {}
-    name = ""
-    for line in head.decode("utf-8", "replace").splitlines()[1:]:
-        if line[:1] in (" ", "\t"):
-            if name:
-                out[name] += " " + line.strip()
-        elif ":" in line:
-            name, value = line.split(":", 1)
-            name = name.strip().lower()
-            out[name] = value.strip()
+    name, first = "", False
+    for line in re.split(rb"\r?\n", head)[1:]:
+        text = line.decode("utf-8", "replace")
+        if text[:1] in (" ", "\t"):
+            if first:
+                out[name] += " " + text.strip(" \t")
+        elif ":" in text:
+            name, value = text.split(":", 1)
+            name = name.strip(" \t").lower()
+            first = name not in out
+            out.setdefault(name, value.strip(" \t"))
+        else:
+            first = False
     return out
 
 
+def _original(code: str) -> str | None:
+    try:
+        return base64.b64decode(code, validate=True).decode()
+    except ValueError:
+        return None
+
+
 def digest_hex(value: str | None) -> str | None:
     """The hexadecimal SHA-1 of a digest field in base 32 or base 16; None for other kinds and forms."""
     kind, _, code = (value or "").partition(":")
@@ -92,14 +117,16 @@ def digest_hex(value: str | None) -> str | None:
     return base64.b32decode(code.upper()).hex() if re.fullmatch(r"[A-Za-z2-7]{32}", code) else None
 
 
-def parse_record(raw: bytes) -> dict:
-    """The columns of one decoded record.
+def parse_record(raw: bytes | None) -> dict:
+    """The columns of one decoded record; None stands for a damaged one.
 
     The payload is the block, without its HTTP header where it is an HTTP message; a revisit has none,
     and its ``payload_bytes`` are those that its HTTP header says, if any.  Without a SHA-1 in the record
     ``payload_digest`` is computed from the payload (null for a revisit).  ``digest_ok`` tells whether the
     record's digest is that of its payload, null if there is nothing to compare.
     """
+    if raw is None:
+        return dict.fromkeys(_ARROW.names) | {"record_type": DAMAGED}
     end = _END.search(raw)
     head, rest = (raw[: end.start()], raw[end.end() :]) if end else (raw, b"")
     fields = header_fields(head)
@@ -114,9 +141,15 @@ def parse_record(raw: bytes) -> dict:
     own = None if revisit else hashlib.sha1(payload).hexdigest()
     length = header_fields(http).get("content-length", "") if revisit else ""
     plain = lambda key: x.removeprefix("<").removesuffix(">") or None if (x := fields.get(key)) is not None else None
+    url = fields.get("warc-target-uri")
+    if url is not None:
+        # older archives write URLs in angle brackets
+        url = url[1:-1] if url[:1] == "<" and url[-1:] == ">" else url
+        original = _original(fields[_ORIGINAL.lower()]) if _ORIGINAL.lower() in fields else None
+        url = url if original is None else original
     return {
         "record_id": plain("warc-record-id"),
-        "url": plain("warc-target-uri"),
+        "url": url,
         "record_type": kind,
         "refers_to": plain("warc-refers-to"),
         "payload_bytes": int(length) if length.isdigit() else None if revisit else len(payload),
@@ -126,15 +159,18 @@ def parse_record(raw: bytes) -> dict:
     }
 
 
-def _member(f, at: int) -> tuple[bytes, int] | None:
-    """The decoded member that starts at ``at`` and the offset after it; None if no record starts there."""
+def _member(f, at: int) -> tuple[bytes | None, int] | None:
+    """The decoded member that starts at ``at`` and the offset after it; None if no record starts there.
+
+    A member that begins as a record but can't be decoded to its end is None, followed by the next byte.
+    """
     f.seek(at)
     decoder, out, taken, checked = zlib.decompressobj(31), bytearray(), 0, False
     try:
         while not decoder.eof:
             data = f.read(_READ)
             if not data:
-                return None
+                break
             out += decoder.decompress(data)
             taken += len(data)
             if not checked and (len(out) >= 4096 or decoder.eof):
@@ -142,17 +178,32 @@ def _member(f, at: int) -> tuple[bytes, int] | None:
                     return None
                 checked = True
     except zlib.error:
-        return None
-    return bytes(out), at + taken - len(decoder.unused_data)
+        # what was decoded before the damage isn't handed out: decode a little again
+        checked = checked or _begins(f, at)
+    if decoder.eof:
+        return bytes(out), at + taken - len(decoder.unused_data)
+    return (None, at + 1) if checked or _HEAD.match(out) else None
+
+
+def _begins(f, at: int) -> bool:
+    """Whether what can be decoded from ``at`` on begins as a record."""
+    f.seek(at)
+    decoder, out = zlib.decompressobj(31), bytearray()
+    try:
+        for byte in f.read(4096):
+            out += decoder.decompress(bytes([byte]))
+    except zlib.error:
+        pass
+    return bool(_HEAD.match(out))
 
 
-def records_from(f, start: int, end: int) -> Iterator[bytes]:
-    """Decoded records whose members start in ``[start, end)`` of the open file ``f``."""
+def records_from(f, start: int, end: int) -> Iterator[bytes | None]:
+    """Decoded records whose members start in ``[start, end)`` of the open file ``f``; None for a damaged one."""
     at, exact = start, False
     while at < end:
         if exact and (found := _member(f, at)):
             yield found[0]
-            at = found[1]
+            at, exact = found[1], found[0] is not None
             continue
         exact = False
         f.seek(at)
@@ -164,7 +215,7 @@ def records_from(f, start: int, end: int) -> Iterator[bytes]:
         at += hit
         if found := _member(f, at):
             yield found[0]
-            at, exact = found[1], True
+            at, exact = found[1], found[0] is not None
         else:
             at += 1
 
@@ -195,7 +246,7 @@ class _Reader(DataSourceReader):
         with store.open_input_file(partition.path) as f:
             for raw in records_from(f, partition.start, partition.end):
                 rows.append(parse_record(raw))
-                size += len(raw)
+                size += len(raw or b"")
                 if size >= _BATCH_BYTES or len(rows) >= _BATCH_ROWS:
                     yield pa.RecordBatch.from_pylist(rows, _ARROW)
                     rows, size = [], 0

@@ -34,7 +34,7 @@ def test_round_trip_in_splits_of_any_size(spark, tmp_path):
     assert kinds == {(1, "revisit", 9), (2, "revisit", 9), (9, "response", None), (-1, "revisit", 9), (3, "response", None), (4, "response", None), (5, "response", None), (6, "response", None)}
     texts = {number(r.record_id): r.payload.decode() for r in got if r.record_type == "response"}
     assert all(texts[i] == (h or "") for i, _, h in rows if i is not None and i not in (1, 2))
-    assert {r.url for r in got if number(r.record_id) == 2} == {"http://b%0D%0Ax"}
+    assert {r.url for r in got if number(r.record_id) == 2} == {"http://b\r\nx"}
 
 
 def test_payloads_beyond_one_read_and_one_batch(spark, tmp_path):
@@ -89,6 +89,33 @@ def test_archives_of_others(spark, tmp_path):
     assert {r.n for r in warc.read_archives(spark, f"file://{folder}").select(warc.page_number("record_id").alias("n")).collect()} == {None}
 
 
+def test_urls_come_back_as_they_went_in(spark, tmp_path):
+    """Characters that end lines for some readers, and that header values lose at their ends."""
+    odd = ["\u2028", "\u2029", "\x85", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\r", "\n", "\r\n", "\t", " ", "\xa0", "\x00", "\u3000", "<", ">", "%0A", "é", "\U0001f600"]
+    urls = [f"http://a/{c}WARC-Record-ID: <urn:page:9>{c}WARC-Type: metadata" for c in odd] + [f"{c}http://a/{c}" for c in odd] + ["<http://a/>", "", " ", None, "http://a/?x=1&y=%20"]
+    path = f"file://{tmp_path}/urls"
+    pages = spark.createDataFrame([(i, u, f"page {i}") for i, u in enumerate(urls)], "page_id bigint, url string, html string")
+    warc.write_archives(warc.deduplicated(pages.coalesce(1)), path)
+    got = warc.read_archives(spark, path, 500).collect()
+    assert sorted((int(r.record_id[9:]), r.url, r.record_type, r.payload.decode()) for r in got) == [(i, u, "response", f"page {i}") for i, u in enumerate(urls)]
+
+
+def test_damaged_members_are_reported():
+    row = {"url": "u", "record_type": "response", "refers_to": None, "payload_bytes": 9000, "payload_digest": "0" * 40}
+    whole = [warc.record_bytes(row | {"record_id": f"urn:page:{i}", "payload": random.Random(i).randbytes(4500).hex().encode()}) for i in range(4)]
+    broken = bytearray(whole[1])
+    broken[len(broken) // 2 :] = bytes(len(broken) - len(broken) // 2)
+    read = lambda raw: [(r["record_type"], r["record_id"]) for r in map(warc.parse_record, warc.records_from(io.BytesIO(raw), 0, len(raw)))]
+    good = lambda i: ("response", f"urn:page:{i}")
+    assert read(whole[0] + bytes(broken) + whole[2] + whole[3][:-9]) == [good(0), (warc.DAMAGED, None), good(2), (warc.DAMAGED, None)]
+    assert read(whole[0][:200]) == [(warc.DAMAGED, None)] and read(whole[0][:12]) == []
+
+
+def test_first_of_repeated_fields_counts():
+    head = b"WARC/1.0\r\nWARC-Type: response\r\n x\r\nWARC-Type: metadata\r\n y\r\nno field\r\n z\r\nA: b:c"
+    assert warc.header_fields(head) == {"warc-type": "response x", "a": "b:c"}
+
+
 def test_empty_pages(spark, tmp_path):
     pages, _ = pages_frame(spark)
     path = f"file://{tmp_path}/none"
