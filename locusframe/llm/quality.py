@@ -7,10 +7,13 @@ a quarter of a megabyte of texts at a time.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,16 +23,13 @@ from ._store import small_batches
 #: Fixed values of the contract.
 SYMBOLS = b"#*$%&|<>"
 WINDOW, MIN_WORDS, MAX_REPEAT_PERCENT = 5, 10, 20
-#: Line rules.  Punctuation: a line fails if symbols exceed this share of its word characters, if it has
-#: at least so many exclamation and question marks and over one for two words, or if so many words or
-#: more stand in it without one mark that ends or divides sentences.
-MAX_SYMBOL_PERCENT, MIN_SHOUTS, WORDS_A_SHOUT, MIN_UNMARKED_WORDS = 10, 3, 2, 20
-SENTENCE_MARKS = ".!?:;…。！？"
-#: Navigation: this many separators and one for each so many words.  Upper-case text: so many letters and share.
-SEPARATORS, MIN_SEPARATORS, WORDS_A_SEPARATOR = "|>»·•›→", 3, 5
-MIN_UPPER, UPPER_PERCENT = 20, 70
-#: Boilerplate: one of these phrases in a line of so many words at most.  Repeats of earlier lines fail too.
-MAX_BOILERPLATE_WORDS = 20
+#: Marks that end sentences in any script (a Unicode property), and some that divide them.
+SENTENCE_MARKS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if regex.match(r"\p{Sentence_Terminal}", c)) + ":;…"
+#: Scripts that are written without such marks: Thai, Lao and Tibetan.
+UNMARKED_SCRIPTS = (0x0E00, 0x0FFF)
+#: Separators of navigation bars.
+SEPARATORS = "|>»·•›→"
+#: Phrases of boilerplate in four languages, in lower case.
 BOILERPLATE = (
     # English
     "accept all cookies", "accept cookies", "all rights reserved", "cookie policy", "cookie settings", "enable javascript", "lorem ipsum", "powered by", "privacy policy", "read more", "share this", "sign up for", "skip to content", "subscribe to our", "terms of service", "terms of use",
@@ -40,8 +40,35 @@ BOILERPLATE = (
     # Spanish
     "aceptar cookies", "aceptar las cookies", "aviso legal", "habilitar javascript", "ir al contenido", "leer más", "política de privacidad", "suscríbete", "todos los derechos reservados", "términos de uso",
 )
-#: A document is rejected if its failing lines hold more than this share of its word characters.
-MAX_LOST_PERCENT = 50
+
+
+@dataclass(frozen=True)
+class Rules:
+    """Limits and phrases of the line rules.  Lines without words never fail; repeats of earlier lines always do."""
+
+    #: Symbols beyond this share of a line's word characters.
+    max_symbol_percent: int = 10
+    #: So many exclamation and question marks, and over one for so many words.
+    min_shouts: int = 3
+    words_a_shout: int = 2
+    #: So many words without a mark that ends or divides sentences, except in scripts that have none.
+    min_unmarked_words: int = 20
+    sentence_marks: str = SENTENCE_MARKS
+    #: Navigation: so many separators, and one for each so many words.
+    separators: str = SEPARATORS
+    min_separators: int = 3
+    words_a_separator: int = 5
+    #: Upper case: so many letters A-Z, and this share of the letters A-Z and a-z.
+    min_upper: int = 20
+    upper_percent: int = 70
+    #: One of these phrases (A-Z in lower case) in a line of so many words at most.
+    boilerplate: tuple[str, ...] = BOILERPLATE
+    max_boilerplate_words: int = 20
+    #: A document is rejected if its failing lines hold more than this share of its word characters.
+    max_lost_percent: int = 50
+
+
+RULES = Rules()
 
 _UPPER = np.array([0x41 <= b <= 0x5A for b in range(256)])
 _LETTER = _UPPER | np.array([0x61 <= b <= 0x7A for b in range(256)])
@@ -55,23 +82,33 @@ def _sums(mask: np.ndarray) -> np.ndarray:
     return out
 
 
-def _marks(buf: np.ndarray, characters: str) -> np.ndarray:
-    """For each byte, whether one of the characters starts there."""
-    out = np.zeros(len(buf), bool)
-    for c in characters:
-        raw = c.encode()
-        own = buf == raw[0]
-        for k, b in enumerate(raw[1:], 1):
-            own[: len(buf) - k] &= buf[k:] == b
-            own[max(0, len(buf) - k) :] = False
-        out |= own
+def _points(characters: str) -> np.ndarray:
+    out = np.zeros(sys.maxunicode + 1, bool)
+    out[[ord(c) for c in characters]] = True
+    return out
+
+
+def _marks(buf: np.ndarray, *tables: np.ndarray) -> list[np.ndarray]:
+    """For each table of code points, whether one of its characters starts at a byte."""
+    wide = np.flatnonzero(buf >= 0xC0)
+    lead = buf[wide].astype(np.int32)
+    size = 2 + (lead >= 0xE0) + (lead >= 0xF0)
+    point = lead & (0xFF >> (size + 1))
+    for k in range(1, 4):
+        more = size > k
+        point[more] = (point[more] << 6) | (buf[np.minimum(wide[more] + k, len(buf) - 1)] & 0x3F)
+    out = []
+    for table in tables:
+        own = table[:256][buf] & (buf < 0x80)
+        own[wide] = table[np.minimum(point, sys.maxunicode)]
+        out.append(own)
     return out
 
 
-def _with_phrase(text: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Lines that hold a boilerplate phrase; lines come in order."""
+def _with_phrase(phrases: tuple[str, ...], text: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Lines that hold one of the phrases; lines come in order."""
     out = np.zeros(len(start), bool)
-    for phrase in BOILERPLATE:
+    for phrase in phrases:
         raw = phrase.encode()
         at = text.find(raw)
         while at >= 0:
@@ -103,7 +140,7 @@ def _in_repeats(part: _text.Words, hashes: np.ndarray, row_of_word: np.ndarray)
     return np.cumsum(step)[:n] > 0
 
 
-def _judged(part: _text.Words) -> tuple[np.ndarray, ...]:
+def _judged(part: _text.Words, rules: Rules, tables: list[np.ndarray]) -> tuple[np.ndarray, ...]:
     buf, rows = part.buf, part.hi - part.lo
     n_words = part.last - part.first
     row_of_word = np.repeat(np.arange(rows), n_words)
@@ -128,7 +165,7 @@ def _judged(part: _text.Words) -> tuple[np.ndarray, ...]:
     chars, marks = inside[end] - inside[start], symbols[end] - symbols[start]
     upper, letters = _sums(_UPPER[buf]), _sums(_LETTER[buf])
     n_upper, n_letters = upper[end] - upper[start], letters[end] - letters[start]
-    n_separators, n_shouts, n_ends = (sums[end] - sums[start] for sums in (_sums(_marks(buf, c)) for c in (SEPARATORS, "!?", SENTENCE_MARKS)))
+    n_separators, n_shouts, n_ends, n_unmarked = (sums[end] - sums[start] for sums in map(_sums, _marks(buf, *tables)))
 
     up, down = _text._power_tables(len(buf) + 1)
     sums = np.zeros(len(buf) + 1, np.uint64)
@@ -141,11 +178,12 @@ def _judged(part: _text.Words) -> tuple[np.ndarray, ...]:
     dup[has] = True
     dup[has[first]] = False
 
-    bad = (100 * marks > MAX_SYMBOL_PERCENT * chars) | ((n_shouts >= MIN_SHOUTS) & (WORDS_A_SHOUT * n_shouts > words)) | ((words >= MIN_UNMARKED_WORDS) & (n_ends == 0))
-    bad |= (n_separators >= MIN_SEPARATORS) & (WORDS_A_SEPARATOR * n_separators >= words)
-    bad |= (n_upper >= MIN_UPPER) & (100 * n_upper > UPPER_PERCENT * n_letters)
+    bad = (100 * marks > rules.max_symbol_percent * chars) | ((n_shouts >= rules.min_shouts) & (rules.words_a_shout * n_shouts > words))
+    bad |= (words >= rules.min_unmarked_words) & (n_ends == 0) & (n_unmarked == 0)
+    bad |= (n_separators >= rules.min_separators) & (rules.words_a_separator * n_separators >= words)
+    bad |= (n_upper >= rules.min_upper) & (100 * n_upper > rules.upper_percent * n_letters)
     bad |= dup
-    bad |= (words <= MAX_BOILERPLATE_WORDS) & _with_phrase(_text.LOWER[buf].tobytes(), start, end)
+    bad |= (words <= rules.max_boilerplate_words) & _with_phrase(rules.boilerplate, _text.LOWER[buf].tobytes(), start, end)
     bad &= words > 0
     number = np.arange(len(row)) - np.searchsorted(row, np.arange(rows))[row]
     failed = [number[bad & (row == r)] for r in range(rows)] if bad.any() and rows < 64 else np.split(number[bad], np.searchsorted(row[bad], np.arange(1, rows)))
@@ -153,17 +191,23 @@ def _judged(part: _text.Words) -> tuple[np.ndarray, ...]:
     return n_words, whole(chars), symbols[part.row_end] - symbols[part.row_start], whole(dup), repeated, whole(chars * bad), failed
 
 
-def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in _text.chunks(batch.column(1), _text.NOT_SPACE):
-            *numbers, failed = _judged(part)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(part.lo, part.hi - part.lo), *(pa.array(x, pa.int64()) for x in numbers), pa.array([x.tolist() for x in failed], pa.list_(pa.int32()))],
-                ["lf_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lost_chars", "failed_lines"],
-            )
+def _measure(rules: Rules):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unmarked = np.zeros(sys.maxunicode + 1, bool)
+        unmarked[UNMARKED_SCRIPTS[0] : UNMARKED_SCRIPTS[1] + 1] = True
+        tables = [_points(rules.separators), _points("!?"), _points(rules.sentence_marks), unmarked]
+        for batch in batches:
+            for part in _text.chunks(batch.column(1), _text.NOT_SPACE):
+                *numbers, failed = _judged(part, rules, tables)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(part.lo, part.hi - part.lo), *(pa.array(x, pa.int64()) for x in numbers), pa.array([x.tolist() for x in failed], pa.list_(pa.int32()))],
+                    ["lf_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lost_chars", "failed_lines"],
+                )
+
+    return run
 
 
-def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Rules = RULES) -> DataFrame:
     """Measures and verdict for every row: ``id_col, n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, lost_chars, failed_lines, base_failed, kept``.
 
@@ -172,19 +216,19 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     repeated; each row has its own result.  Other columns are not read.
     """
     rows = small_batches(docs).select(F.col(id_col).alias("lf_id"), F.col(text_col).alias("lf_text"))
-    measured = rows.mapInArrow(_measure, _SCHEMA.format(kind=dict(rows.dtypes)["lf_id"]))
+    measured = rows.mapInArrow(_measure(rules), _SCHEMA.format(kind=dict(rows.dtypes)["lf_id"]))
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    lost = 100 * F.col("lost_chars") > MAX_LOST_PERCENT * F.col("word_chars")
+    lost = 100 * F.col("lost_chars") > rules.max_lost_percent * F.col("word_chars")
     return measured.withColumnRenamed("lf_id", id_col).withColumns({"base_failed": base, "kept": ~base & ~lost})
 
 
-def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Rules = RULES) -> DataFrame:
     """Rows that :func:`quality` keeps, without their failing lines; all columns stay.
 
     Rows are matched by id and text, so repeated ids with other texts keep their own verdicts.
     """
     key = F.xxhash64(text_col)
-    verdict = quality(docs.withColumn("lf_key", F.struct(F.col(id_col).alias("i"), key.alias("k"))), "lf_key", text_col)
+    verdict = quality(docs.withColumn("lf_key", F.struct(F.col(id_col).alias("i"), key.alias("k"))), "lf_key", text_col, rules)
     verdict = verdict.where("kept").select(F.col("lf_key.i").alias("lf_i"), F.col("lf_key.k").alias("lf_k"), F.col("failed_lines").alias("lf_gone")).dropDuplicates(["lf_i", "lf_k"])
     keyed = docs.withColumns({"lf_i": F.col(id_col), "lf_k": key})
     joined = keyed.join(verdict, keyed.lf_i.eqNullSafe(verdict.lf_i) & (keyed.lf_k == verdict.lf_k)).drop(keyed.lf_i, keyed.lf_k, verdict.lf_i, verdict.lf_k)
@@ -205,15 +249,15 @@ with lines as (
         from (select doc_id, string_split(coalesce(text, ''), chr(10)) as l from documents))
 ), judged as (
   select *, len(w) as words, coalesce(length(array_to_string(w, '')), 0)::bigint as chars,
-    len(regexp_extract_all(line, '[#*$%&|<>]')) as marks, len(regexp_extract_all(line, '[{SEPARATORS}]')) as separators, len(regexp_extract_all(line, '[!?]')) as shouts, len(regexp_extract_all(line, '[{SENTENCE_MARKS}]')) as ends,
+    len(regexp_extract_all(line, '[#*$%&|<>]')) as marks, len(regexp_extract_all(line, '[{SEPARATORS}]')) as separators, len(regexp_extract_all(line, '[!?]')) as shouts, len(regexp_extract_all(line, '[{SENTENCE_MARKS}]')) as ends, regexp_matches(line, '[{chr(UNMARKED_SCRIPTS[0])}-{chr(UNMARKED_SCRIPTS[1])}]') as unmarked,
     len(regexp_extract_all(line, '[A-Z]')) as uppers, len(regexp_extract_all(line, '[A-Za-z]')) as letters,
     row_number() over (partition by doc_id, line order by pos) > 1 and len(w) > 0 as dup,
     regexp_matches(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{"|".join(BOILERPLATE).replace("'", "''")}') as phrase
   from lines
 ), failed as (
-  select *, words > 0 and (100 * marks > {MAX_SYMBOL_PERCENT} * chars or (separators >= {MIN_SEPARATORS} and {WORDS_A_SEPARATOR} * separators >= words)
-    or (shouts >= {MIN_SHOUTS} and {WORDS_A_SHOUT} * shouts > words) or (words >= {MIN_UNMARKED_WORDS} and ends = 0)
-    or (uppers >= {MIN_UPPER} and 100 * uppers > {UPPER_PERCENT} * letters) or dup or (phrase and words <= {MAX_BOILERPLATE_WORDS})) as bad from judged
+  select *, words > 0 and (100 * marks > {RULES.max_symbol_percent} * chars or (separators >= {RULES.min_separators} and {RULES.words_a_separator} * separators >= words)
+    or (shouts >= {RULES.min_shouts} and {RULES.words_a_shout} * shouts > words) or (words >= {RULES.min_unmarked_words} and ends = 0 and not unmarked)
+    or (uppers >= {RULES.min_upper} and 100 * uppers > {RULES.upper_percent} * letters) or dup or (phrase and words <= {RULES.max_boilerplate_words})) as bad from judged
 ), by_line as (
   select doc_id, coalesce(sum(chars), 0)::bigint as word_chars, sum(marks)::bigint as n_symbols, count(*) filter (where dup) as n_dup_lines,
     coalesce(sum(chars) filter (where bad), 0)::bigint as lost_chars
@@ -231,6 +275,6 @@ with lines as (
   from words join by_line using (doc_id) left join repeats using (doc_id)
 )
 select *, n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words as base_failed,
-  not (n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words) and 100 * lost_chars <= {MAX_LOST_PERCENT} * word_chars as kept
+  not (n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words) and 100 * lost_chars <= {RULES.max_lost_percent} * word_chars as kept
 from whole
 """

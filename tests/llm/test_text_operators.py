@@ -78,6 +78,26 @@ def test_quality_matches_sql(spark):
     assert sum(i == 73 for i, _ in text) == 2
 
 
+def test_quality_in_other_scripts(spark):
+    """Each script's own sentence marks count; scripts without any aren't asked for them."""
+    rng = random.Random(21)
+    line = lambda lo, hi, n: " ".join("".join(chr(rng.randrange(lo, hi)) for _ in range(5)) for _ in range(n))
+    hindi, arabic, amharic, thai, khmer, armenian = ((0x0905, 0x0939), (0x0627, 0x064A), (0x1200, 0x1248), (0x0E01, 0x0E2E), (0x1780, 0x17B3), (0x0561, 0x0586))
+    rows = [(1, line(*hindi, 30) + "।"), (2, line(*arabic, 30) + "؟"), (3, line(*amharic, 24) + "።"), (4, line(*thai, 30)), (5, line(*khmer, 30) + "។"), (6, line(*armenian, 30) + "։"), (7, line(*hindi, 30)), (8, line(*amharic, 24)), (9, line(0x1F600, 0x1F640, 30)), (10, line(0x0F40, 0x0F68, 30))]
+    columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lost_chars", "base_failed", "kept")
+    got = quality.quality(frame(spark, rows)).select(*columns)
+    assert {r.doc_id for r in got.collect() if r.kept} == {1, 2, 3, 4, 5, 6, 10}
+    same(got, oracle(rows, None).sql(quality.OP3_SQL))
+
+
+def test_quality_rules_are_parameters(spark):
+    text = "eins zwei drei vier fünf sechs sieben acht neun zehn elf.\nKlicken Sie hier » a » b » c"
+    by = lambda **rules: quality.quality(frame(spark, [(1, text)]), rules=quality.Rules(**rules)).first()
+    assert by().failed_lines == [1] and by(separators="").failed_lines == []
+    assert by(boilerplate=("elf",)).failed_lines == [0, 1] and not by(boilerplate=("elf",)).kept and by(boilerplate=("elf",), max_lost_percent=100).kept
+    assert by(min_unmarked_words=11, sentence_marks="").failed_lines == [0, 1]
+
+
 def test_secrets_match_sql_and_live_values(spark):
     found = secrets.scan(frame(spark, SECRETS))
     assert found.columns == ["doc_id", "base", "added", "n_live", "n_copied"]
