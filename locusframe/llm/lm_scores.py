@@ -41,7 +41,7 @@ FILTER_BITS = 26
 #: Rounds of expectation-maximisation at most; it ends when the log-likelihood grows by less than this share.
 ROUNDS, ENOUGH = 30, 1e-6
 #: Different words or pairs that a task tallies before it passes them on.
-TALLY = 1 << 20
+TALLY = 1 << 19
 BUCKETS = 66
 _U = np.uint64
 _SIGN = _U(1 << 63)
@@ -102,7 +102,7 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fold = (batch.column(0).to_numpy() & 3) == _FOLD
         for part in _text.chunks(batch.column(1), _text.NOT_SPACE):
             _, w, row = _edges(part)
-            tally.add(w, np.ones(len(w)), fold[part.lo : part.hi][row])
+            tally.add(w, np.ones(len(w), bool), fold[part.lo : part.hi][row])
             for arrays in tally.drained():
                 yield pa.RecordBatch.from_arrays(arrays, names)
     for arrays in tally.drained(last=True):
@@ -110,20 +110,42 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Ranks:
-    """The most frequent words: their counts by rank."""
+    """The most frequent words: their counts by rank, and ranks by word.
+
+    Words are hashes, so sorted ones are evenly spread, and a table of their first bits says where to look.
+    """
 
     def __init__(self, words: np.ndarray, n: np.ndarray, n_fold: np.ndarray) -> None:
+        if not len(words):
+            # nothing was learned from: a boundary that was never seen
+            words, n, n_fold = np.array([EDGE]), np.zeros(1, np.int64), np.zeros(1, np.int64)
         order = np.lexsort((words, -n))
         self.n, self.n_fold = n[order], n_fold[order]
         by_word = np.argsort(words[order])
-        self.words, self.rank = words[order][by_word], by_word.astype(np.int64)
+        self.words, self.rank = words[order][by_word], by_word.astype(np.int32)
+        self.first = np.searchsorted(self._slot(self.words), np.arange(TIER + 1)).astype(np.int32)
+        self.longest = int(np.diff(self.first).max())
+
+    @staticmethod
+    def _slot(words: np.ndarray) -> np.ndarray:
+        return ((words.view(_U) & ~_SIGN) >> _U(63 - RANK_BITS)).astype(np.int32)
 
     def of(self, words: np.ndarray) -> np.ndarray:
         """Ranks of words, -1 for those without."""
-        if not len(self.words):
-            return np.full(len(words), -1)
-        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
-        return np.where(self.words[at] == words, self.rank[at], -1)
+        out = np.full(len(words), -1, np.int64)
+        slot = self._slot(words)
+        at, end = self.first[slot], self.first[slot + 1]
+        left = np.flatnonzero(at < end)
+        for _ in range(self.longest):
+            here = at[left]
+            hit = self.words[here] == words[left]
+            out[left[hit]] = self.rank[here[hit]]
+            left = left[~hit]
+            at[left] += 1
+            left = left[at[left] < end[left]]
+            if not len(left):
+                break
+        return out
 
 
 _row_of_cell = CELLS // np.arange(1, CELLS + 1)
@@ -212,7 +234,7 @@ def _expected(weights: np.ndarray, n: int, v: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((4, BUCKETS))
-        for batch in batches:
+        for batch in _joined(batches):
             x, y, z, times = (batch.column(c).to_numpy() for c in ("x", "y", "z", "times"))
             bucket = bucket_of(y)
             own = estimates(x, y, z, n, v) * weights[bucket].T
@@ -261,14 +283,26 @@ class Model:
     """What a task needs for scoring: totals, weights, ranks and the counters of frequent pairs."""
 
     def __init__(self, n: int, v: int, weights: np.ndarray, ranks: Ranks, cells: np.ndarray) -> None:
-        self.n, self.v, self.weights, self.ranks, self.cells = n, v, weights, ranks, cells
+        self.ranks, self.cells, self.base = ranks, cells, math.log10(n + v + 1)
+        self.pair, self.word, self.uniform = weights[:, 0].copy(), weights[:, 1] / max(n, 1), weights[:, 2] / (v + 1)
 
     def log10(self, x: np.ndarray, y: np.ndarray, z: np.ndarray) -> np.ndarray:
-        return np.log10((estimates(x, y, z, self.n, self.v) * self.weights[bucket_of(y)].T).sum(axis=0))
+        """Of words seen ``x`` times, after contexts seen ``y`` times, in pairs seen ``z`` times."""
+        bucket = bucket_of(y)
+        return np.log10(self.pair[bucket] * (z / np.maximum(y, 1)) + self.word[bucket] * x + self.uniform[bucket])
 
-    @property
-    def base(self) -> float:
-        return math.log10(self.n + self.v + 1)
+
+def _joined(batches: Iterator[pa.RecordBatch], rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """Batches of numbers put together to larger ones."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size >= rows:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
 _LOCAL = "key bigint, doc_id bigint, copies bigint, n_tokens bigint, n_known bigint, base_score double, score double"
@@ -287,13 +321,13 @@ def _local(broadcast):
                 known = np.flatnonzero(rw >= 0)
                 x = m.ranks.n[rw[known]]
                 tokens = np.bincount(row, minlength=rows)
-                base = add(known, np.log10(x + 1.0)) - tokens * m.base + 0.0
+                base = add(known, np.log10(x + 1.0)) - tokens * m.base
                 cell = cells_of(rv, rw)
                 own = np.flatnonzero(cell >= 0)
                 score = add(own, m.log10(m.ranks.n[rw[own]], m.ranks.n[rv[own]], m.cells[cell[own]])) if len(own) else np.zeros(rows)
                 ids = [batch.column(k).slice(part.lo, rows) for k in range(2)]
                 yield pa.RecordBatch.from_arrays(
-                    [*ids, pa.array(np.ones(rows, np.int64)), pa.array(tokens, pa.int64()), pa.array(np.bincount(row[known], minlength=rows), pa.int64()), pa.array(base), pa.array(score)],
+                    [*ids, pa.array(np.ones(rows, np.int64)), pa.array(tokens, pa.int64()), pa.array(np.bincount(row[known[x > 0]], minlength=rows), pa.int64()), pa.array(base), pa.array(score)],
                     ["key", "doc_id", "copies", "n_tokens", "n_known", "base_score", "score"],
                 )
 
@@ -338,7 +372,7 @@ def _rare_places(broadcast):
 def _ranked_scores(broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = broadcast.value
-        for batch in batches:
+        for batch in _joined(batches):
             pair, z = batch.column("pair").to_numpy(), batch.column("z").to_numpy()
             scores = m.log10(m.ranks.n[pair & _RANK], m.ranks.n[pair >> RANK_BITS], z)
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(scores)], ["key", "score"])
@@ -351,9 +385,9 @@ def _rare_scores(broadcast):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = broadcast.value
-        for batch in batches:
+        for batch in _joined(batches):
             other, after, c, z, y = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("other", "after", "c", "z", "y"))
-            ranked = m.ranks.n[np.maximum(other, 0)] if len(m.ranks.n) else np.zeros(len(other), np.int64)
+            ranked = m.ranks.n[np.where(other >= 0, other, 0)]
             x = np.where(after, ranked, c)
             before = np.where(after, c, np.where(other >= 0, ranked, y))
             yield pa.RecordBatch.from_arrays(
@@ -388,7 +422,7 @@ def _held_out(rows: DataFrame, words: DataFrame, ranks: Ranks) -> DataFrame:
 
     def of_ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = shared.value.n - shared.value.n_fold
-        for batch in batches:
+        for batch in _joined(batches):
             pair = batch.column("pair").to_numpy()
             yield pa.RecordBatch.from_arrays([pa.array(n[pair & _RANK]), pa.array(n[pair >> RANK_BITS]), batch.column("z"), batch.column("times")], ["x", "y", "z", "times"])
 
