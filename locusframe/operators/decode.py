@@ -41,6 +41,12 @@ class Model:
                 out.append(np.asarray(d)[:most])
         return out
 
+    def geometric(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """States of geometric length, with the log probabilities to go on and to stop."""
+        states = np.array([s for s, d in enumerate(self.duration) if isinstance(d, float)], int)
+        go = np.array([self.duration[s] for s in states], float)
+        return states, go, np.log1p(-np.exp(go))
+
 
 def encoded(bases: str) -> np.ndarray:
     """Bases as numbers 0..3, others 4."""
@@ -71,26 +77,20 @@ def viterbi(model: Model, x: np.ndarray, extra: np.ndarray | None = None) -> tup
     enter = np.full((n + 1, k), -np.inf)
     enter[0] = model.start
     came, size = np.full((n + 1, k), -1), np.zeros((n + 1, k), int)
-    plain = [isinstance(d, float) for d in model.duration]
-    run, since = np.full(k, -np.inf), np.zeros(k, int)
+    plain, go, stop = model.geometric()
+    run, since = np.full(len(plain), -np.inf), np.zeros(len(plain), int)
+    explicit = [(s, np.asarray(model.duration[s])) for s in range(k) if s not in set(plain.tolist())]
     for t in range(1, n + 1):
-        for s in range(k):
-            if plain[s]:
-                go, stop = model.duration[s], np.log1p(-np.exp(model.duration[s]))
-                fresh = enter[t - 1, s]
-                if run[s] + go >= fresh:
-                    run[s] += go
-                    since[s] += 1
-                else:
-                    run[s], since[s] = fresh, 1
-                run[s] += sums[t, s] - sums[t - 1, s]
-                # the last segment of the sequence needn't end
-                best[t, s], size[t, s] = run[s] + stop, since[s]
-            else:
-                d = np.asarray(model.duration[s])[: t]
-                back = enter[t - len(d) : t, s][::-1] + d + sums[t, s] - sums[t - len(d) : t, s][::-1]
-                at = int(back.argmax())
-                best[t, s], size[t, s] = back[at], at + 1
+        fresh, on = enter[t - 1, plain], run + go
+        since = np.where(on >= fresh, since + 1, 1)
+        run = np.maximum(on, fresh) + (sums[t, plain] - sums[t - 1, plain])
+        # the last segment of the sequence needn't end
+        best[t, plain], size[t, plain] = run + stop, since
+        for s, lengths in explicit:
+            d = lengths[:t]
+            back = enter[t - len(d) : t, s][::-1] + d + sums[t, s] - sums[t - len(d) : t, s][::-1]
+            at = int(back.argmax())
+            best[t, s], size[t, s] = back[at], at + 1
         paths = best[t][:, None] + model.step
         came[t] = paths.argmax(axis=0)
         enter[t] = paths.max(axis=0)
@@ -103,35 +103,58 @@ def viterbi(model: Model, x: np.ndarray, extra: np.ndarray | None = None) -> tup
     return total, out[::-1]
 
 
-def forward(model: Model, x: np.ndarray, extra: np.ndarray | None = None, longest: int = 2000) -> tuple[float, np.ndarray, np.ndarray]:
-    """Log probability of the sequence, and the log sums of paths in which a state ends at, or is entered at, each position."""
+def forward(model: Model, x: np.ndarray, extra: np.ndarray | None = None) -> tuple[float, np.ndarray, np.ndarray]:
+    """Log probability of the sequence, and the log sums of paths in which a state ends at, or is entered at, each position.
+
+    States of geometric length go on base by base, so segments of any length count.
+    """
     n, k = len(x), len(model.states)
-    sums, lengths = _tables(model, x, extra), model.lengths(min(longest, max(n, 1)))
+    sums = _tables(model, x, extra)
     ends, enter = np.full((n + 1, k), -np.inf), np.full((n + 1, k), -np.inf)
     enter[0] = model.start
+    plain, go, stop = model.geometric()
+    run = np.full(len(plain), -np.inf)
+    explicit = [(s, np.asarray(model.duration[s])) for s in range(k) if s not in set(plain.tolist())]
     for t in range(1, n + 1):
-        for s in range(k):
-            d = lengths[s][:t]
+        run = np.logaddexp(run + go, enter[t - 1, plain]) + (sums[t, plain] - sums[t - 1, plain])
+        ends[t, plain] = run + stop
+        for s, lengths in explicit:
+            d = lengths[:t]
             ends[t, s] = np.logaddexp.reduce(enter[t - len(d) : t, s][::-1] + d + sums[t, s] - sums[t - len(d) : t, s][::-1])
         enter[t] = np.logaddexp.reduce(ends[t][:, None] + model.step, axis=0)
     return float(np.logaddexp.reduce(ends[n])), ends, enter
 
 
-def sampled(model: Model, x: np.ndarray, rng: np.random.Generator, extra: np.ndarray | None = None, longest: int = 2000, tables=None) -> list[tuple[int, int, int]]:
+def sampled(model: Model, x: np.ndarray, rng: np.random.Generator, extra: np.ndarray | None = None, tables=None) -> list[tuple[int, int, int]]:
     """One path drawn with its probability given the sequence."""
-    _, ends, enter = tables or forward(model, x, extra, longest)
-    sums, lengths = _tables(model, x, extra), model.lengths(min(longest, max(len(x), 1)))
+    _, ends, enter = tables or forward(model, x, extra)
+    sums = _tables(model, x, extra)
+    plain, go, stop = model.geometric()
+    on = {s: (float(a), float(b)) for s, a, b in zip(plain.tolist(), go, stop, strict=True)}
 
     def draw(logs: np.ndarray) -> int:
         p = np.exp(logs - logs.max())
         return int(rng.choice(len(p), p=p / p.sum()))
 
+    def begin_of(t: int, s: int) -> int:
+        """Where the segment of state ``s`` that ends before ``t`` begins."""
+        if s not in on:
+            d = np.asarray(model.duration[s])[:t]
+            return t - draw(enter[t - len(d) : t, s][::-1] + d + sums[t, s] - sums[t - len(d) : t, s][::-1]) - 1
+        further, end = on[s]
+        u = t
+        # base by base: the segment was there already with this share of the sum
+        while u > 1:
+            both = ends[u, s] - end - (sums[u, s] - sums[u - 1, s])
+            if rng.random() >= np.exp(ends[u - 1, s] - end + further - both):
+                break
+            u -= 1
+        return u - 1
+
     t, out = len(x), []
     s = draw(ends[t]) if t else 0
     while t > 0:
-        d = lengths[s][:t]
-        back = enter[t - len(d) : t, s][::-1] + d + sums[t, s] - sums[t - len(d) : t, s][::-1]
-        begin = t - draw(back) - 1
+        begin = begin_of(t, s)
         out.append((begin, t - 1, s))
         if begin > 0:
             s = draw(ends[begin] + model.step[:, s])
@@ -184,7 +207,7 @@ def decoded(sequences: DataFrame, model: Model, hints: DataFrame | None = None,
     return grouped.cogroup(other).applyInPandas(lambda a, b: segments(a, b) if len(a) else empty, SEGMENTS)
 
 
-def sampled_paths(sequences: DataFrame, model: Model, n: int, seed: int = 1, longest: int = 2000) -> DataFrame:
+def sampled_paths(sequences: DataFrame, model: Model, n: int, seed: int = 1) -> DataFrame:
     """``n`` sampled paths of each sequence with the number ``sample``; the seed is that of sequence and number."""
     import zlib
 
@@ -192,10 +215,10 @@ def sampled_paths(sequences: DataFrame, model: Model, n: int, seed: int = 1, lon
         rows = []
         for name, bases in zip(frame["seq"], frame["bases"], strict=True):
             x = encoded(bases)
-            tables = forward(model, x, None, longest)
+            tables = forward(model, x)
             for k in range(n):
                 rng = np.random.default_rng([seed, k, zlib.crc32(str(name).encode())])
-                rows += [(name, k, b + 1, e + 1, model.states[s]) for b, e, s in sampled(model, x, rng, None, longest, tables)]
+                rows += [(name, k, b + 1, e + 1, model.states[s]) for b, e, s in sampled(model, x, rng, None, tables)]
         return pd.DataFrame(rows, columns=["seq", "sample", "begin", "end", "state"])
 
     return sequences.select("seq", "bases").groupBy("seq").applyInPandas(run, "seq string, sample bigint, begin bigint, end bigint, state string")

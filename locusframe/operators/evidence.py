@@ -316,3 +316,12 @@ def hinted_splice_sites(introns: DataFrame) -> DataFrame:
     right = F.struct(F.when(F.col("strand") == "-", "dss").otherwise("ass").alias("type"), (F.col("end") + 1).alias("start"))
     rows = introns.where("strand in ('+', '-')").select("seq", "strand", "mult", F.explode(F.array(left, right)).alias("s"))
     return rows.groupBy("seq", "s.type", "s.start", "strand").agg(F.sum("mult").cast("long").alias("mult")).withColumn("end", F.col("start"))
+
+
+def in_order(hints: DataFrame, ties: tuple[str, ...] = ()) -> DataFrame:
+    """``hints`` with ``place``, from 1: their order along a sequence by end, start, strand, frame and source, then ``ties``.
+
+    A sequence is in one window, sorted and numbered with spilling, so a place needs no collected group.
+    """
+    by = Window.partitionBy("seq").orderBy("end", "start", "strand", "frame", "source", *ties)
+    return hints.withColumn("place", F.row_number().over(by).cast("long"))

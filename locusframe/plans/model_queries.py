@@ -9,6 +9,7 @@ from ..operators import decode as D
 from ..operators import msa as M
 from ..operators import phylo as P
 from ..operators import training as T
+from ..operators.sequences import chunked
 from ..sources.readers import parse_newick
 from .registry import query
 from .views import IV, SEQ, intervals, sequences, table
@@ -77,8 +78,9 @@ MODEL = D.Model(["igenic", "gene"], np.log([0.9, 0.1]), np.array([[-np.inf, 0.0]
 
 @query("decoded_segments")
 def decoded_segments(spark, sf_dir):
+    """Whole sequences in pieces of 4000 bases, so that no task holds more than a piece."""
     s = sequences(spark, sf_dir).select(F.col("seq").cast("string").alias("seq"), "bases")
-    return D.decoded(s, MODEL).select("seq", "begin", "end", "state")
+    return D.decoded_in_pieces(chunked(s, 4000, 400), MODEL, 400, "igenic")
 
 
 @query("accurate_paths")

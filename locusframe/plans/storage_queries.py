@@ -8,7 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources import readers, writers
+from ..sources import read_bam, readers, write_bam, writers
+from ..operators.evidence import in_order
 from ..sources.store import GenomeStore
 from .registry import query
 from .views import IV, SEQ, SIGNAL, intervals, sequences, signal
@@ -147,15 +148,74 @@ def psl_read_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def sam_read_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks of mapped lines with clips, insertions and deletions; lines without a strand are unmapped."""
+    path = _lines(spark, "sam", _sam_lines(spark, sf_dir))
+    got = readers.sam_blocks(readers.read_sam(spark, path))
+    return got.select("seq", F.col("start").alias("start_pos"), F.col("end").alias("end_pos"), "q_start", "q_end")
+
+
+def _sam_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = _s(F.col("end") - F.col("start") + 1)
     cigar = F.concat(_s("priority"), F.lit("S"), m, F.lit("M"), _s("mult"), F.lit("I"), m, F.lit("M10D5M"))
     flag = F.when(F.col("strand") == "+", "0").when(F.col("strand") == "-", "16").otherwise("4")
     line = F.concat_ws("\t", _s("id"), flag, _s("seq"), _s(F.col("start") + 1), F.lit("60"), cigar, F.lit("*"), F.lit("0"), F.lit("0"), F.lit("*"), F.lit("*"), F.lit("NM:i:1"))
-    path = _lines(spark, "sam", intervals(spark, sf_dir).select(line.alias("value")))
-    got = readers.sam_blocks(readers.read_sam(spark, path))
+    return intervals(spark, sf_dir).select(line.alias("value"))
+
+
+def _through_bam(spark: SparkSession, sam: DataFrame) -> DataFrame:
+    """Alignments written as binary files and read in ranges of 100 kB."""
+    names = sam.select(F.col("rname").alias("seq")).where("seq <> '*'").distinct().withColumn("length", F.lit(1_000_000))
+    # a full URI, as Arrow's file systems ask for one
+    path = spark._jvm.org.apache.hadoop.fs.Path(_path(spark, "bam"))
+    path = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    write_bam(sam, path, names)
+    return read_bam(spark, path, 100_000)
+
+
+@query(
+    "bam_read_blocks",
+    f"""with {IV}, lines as (select id, seq, s + 1 as pos, e - s + 1 as m, mult as i, priority as clip from iv where strand <> '.'), blocks as (
+      select id, seq, unnest([{{'t': pos, 'q': clip + 1, 'n': m}}, {{'t': pos + m, 'q': clip + m + i + 1, 'n': m}}, {{'t': pos + 2 * m + 10, 'q': clip + 2 * m + i + 1, 'n': 5}}]) as b from lines)
+    select seq::varchar as seq, b.t::bigint as start_pos, (b.t + b.n - 1)::bigint as end_pos, b.q::bigint as q_start, (b.q + b.n - 1)::bigint as q_end from blocks""",
+)
+def bam_read_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The blocks of :func:`sam_read_blocks` through binary files."""
+    text = _lines(spark, "sam", _sam_lines(spark, sf_dir))
+    got = readers.sam_blocks(_through_bam(spark, readers.read_sam(spark, text)))
     return got.select("seq", F.col("start").alias("start_pos"), F.col("end").alias("end_pos"), "q_start", "q_end")
 
 
+@query(
+    "paired_filter",
+    f"""with {IV}, reads as (
+      select id, id % 16 as flag, seq, id % 5 as away, e - s + 1 as m, mult as i, priority as clip, id % 4 as d, id % 9 as edits from iv
+    ), measured as (
+      select *, m + i + clip as q from reads
+    ), judged as (
+      select *, 100.0 * (q - edits - clip) / q as identity, 100.0 * (m + i) / q as cover from measured
+    )
+    select case when flag & 4 <> 0 then 'unmapped' when flag & 1 = 0 then 'not paired' when flag & 8 <> 0 then 'mate unmapped' when away not in (0, 1) then 'other target'
+      when identity < 70 then 'identity' when cover < 85 then 'cover' when i + d > 4 then 'insert' else 'kept' end as reason,
+      count(*) as n, sum(m)::bigint as matched, sum(i)::bigint as inserted, sum(d)::bigint as deleted, round(sum(identity), 3) as identity, round(sum(cover), 3) as cover
+    from judged group by reason""",
+)
+def paired_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why alignments, read from binary files with their bases, fail the filters of pairs."""
+    from ..operators.alignments import judged
+
+    iv = intervals(spark, sf_dir)
+    size = (F.col("end") - F.col("start") + 1 + F.col("mult") + F.col("priority")).cast("int")
+    cigar = F.concat(_s("priority"), F.lit("S"), _s(F.col("end") - F.col("start")), F.lit("M"), _s("mult"), F.lit("I"), F.when(F.col("id") % 4 > 0, F.concat(_s(F.col("id") % 4), F.lit("D"))).otherwise(""), F.lit("1M"))
+    away = F.col("id") % 5
+    rnext = F.when(away == 0, "=").when(away == 1, _s("seq")).when(away == 2, "*").otherwise("elsewhere")
+    sam = iv.select(
+        _s("id").alias("qname"), (F.col("id") % 16).cast("int").alias("flag"), _s("seq").alias("rname"), (F.col("start") + 1).alias("pos"), F.lit(60).alias("mapq"), cigar.alias("cigar"), rnext.alias("rnext"), F.lit(1).cast("long").alias("pnext"),
+        F.lit(0).alias("tlen"), F.repeat(F.lit("A"), size).alias("seq"), F.lit("*").alias("qual"), F.create_map(F.lit("NM"), _s(F.col("id") % 9)).alias("tags"),
+    )
+    out = judged(_through_bam(spark, sam), paired=True, no_introns=True, identity=70.0, cover=85.0, insert=4)
+    sums = [F.sum(c).alias(c) for c in ("matched", "inserted", "deleted")] + [F.round(F.sum(c), 3).alias(c) for c in ("identity", "cover")]
+    return out.groupBy(F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count(F.lit(1)).alias("n"), *sums)
+
+
 @query(
     "maf_read_fragments",
     f"""with {IV}, runs as (
@@ -173,17 +233,19 @@ def maf_read_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "store_bases",
-    f"with {SEQ} select seq as rid, md5(substr(bases, (length(bases) // 2 + 1)::bigint)) as digest from sequences where length(bases) > 0",
+    f"""with {SEQ} select seq as rid, 1 as half, md5(substr(bases, 1, (length(bases) // 2)::bigint)) as digest from sequences where length(bases) > 1
+    union all select seq, 2, md5(substr(bases, (length(bases) // 2 + 1)::bigint)) from sequences where length(bases) > 0""",
 )
 def store_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The second half of each sequence, from a store in chunks of 1000 bases; another species was deleted."""
+    """Both halves of each sequence, from a store in chunks of 1000 bases; another species was deleted."""
     store, seqs = GenomeStore(spark, _path(spark, "store")), sequences(spark, sf_dir)
     for species in ("kept", "gone"):
         store.load_genome(species, seqs, size=1000)
     store.delete("gone")
     n = F.length("bases").cast("long")
-    regions = seqs.where(n > 0).select(F.col("seq").alias("rid"), "seq", (F.floor(n / 2) + 1).alias("start"), n.alias("end"))
-    return store.bases("kept", regions).select("rid", F.md5("bases").alias("digest"))
+    half = F.explode(F.array(F.struct(F.lit(1).alias("half"), F.lit(1).cast("long").alias("start"), F.floor(n / 2).alias("end")), F.struct(F.lit(2).alias("half"), (F.floor(n / 2) + 1).alias("start"), n.alias("end"))))
+    regions = seqs.select("seq", half.alias("h")).where("h.start <= h.end").select((F.col("seq") * 2 + F.col("h.half") - 1).alias("rid"), "seq", "h.start", "h.end")
+    return store.bases("kept", regions).select(F.floor(F.col("rid") / 2).alias("rid"), (F.col("rid") % 2 + 1).cast("int").alias("half"), F.md5("bases").alias("digest"))
 
 
 @query(
@@ -197,10 +259,8 @@ def store_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.table("hints").groupBy("seq", "type", F.col("start").alias("start_pos"), F.col("end").alias("end_pos"), "strand", "priority", "mult").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("hint_order", f"with {IV} select id, seq, row_number() over (partition by seq order by e, s, strand, src, id) as place from iv")
+@query("hint_order", f"with {IV} select id, seq, row_number() over (partition by seq order by e, s, strand, mult, src, id) as place from iv")
 def hint_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Place of each hint of a sequence by end, start, strand and source."""
-    from pyspark.sql import Window
-
-    by = Window.partitionBy("seq").orderBy("end", "start", "strand", "src", "id")
-    return intervals(spark, sf_dir).select("id", "seq", F.row_number().over(by).cast("long").alias("place"))
+    """Place of each hint of a sequence by end, start, strand, frame (the stand-in has multiplicities) and source."""
+    hints = intervals(spark, sf_dir).select("id", "seq", "end", "start", "strand", F.col("mult").alias("frame"), F.col("src").alias("source"))
+    return in_order(hints, ("id",)).select("id", "seq", "place")

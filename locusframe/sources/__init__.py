@@ -4,6 +4,7 @@ Readers split files by record where the format allows it, so that large files ar
 tasks, and have fixed schemas.
 """
 
+from .bam import read_bam, write_bam
 from .readers import (
     read_bedgraph,
     read_config,
@@ -21,6 +22,6 @@ from .readers import (
 from .writers import write_bed12, write_bedgraph, write_fasta, write_genbank, write_gff, write_gtf, write_wiggle
 
 __all__ = [
-    "read_bedgraph", "read_config", "read_fasta", "read_genbank", "read_gff", "read_gtf", "read_maf", "read_newick", "read_profile", "read_psl", "read_sam", "read_wiggle",
-    "write_bed12", "write_bedgraph", "write_fasta", "write_genbank", "write_gff", "write_gtf", "write_wiggle",
+    "read_bam", "read_bedgraph", "read_config", "read_fasta", "read_genbank", "read_gff", "read_gtf", "read_maf", "read_newick", "read_profile", "read_psl", "read_sam", "read_wiggle",
+    "write_bam", "write_bed12", "write_bedgraph", "write_fasta", "write_genbank", "write_gff", "write_gtf", "write_wiggle",
 ]

@@ -127,6 +127,35 @@ def small_model():
         return decode.Model(["n", "e"], np.log([0.7, 0.3]), np.log([[0.0, 1.0], [1.0, 0.0]]), np.log([[0.3, 0.2, 0.2, 0.3, 0.1], [0.1, 0.4, 0.4, 0.1, 0.1]]), [float(np.log(0.6)), np.log([0.1, 0.5, 0.4])])
 
 
+def test_forward_counts_segments_of_any_length():
+    """Sequences longer than 2000 bases, where one geometric segment may hold them all."""
+    with np.errstate(divide="ignore"):
+        model = decode.Model(["n", "e"], np.log([0.9, 0.1]), np.log([[0.0, 1.0], [1.0, 0.0]]), np.log([[0.3, 0.2, 0.2, 0.3, 0.1], [0.25, 0.25, 0.25, 0.25, 0.1]]), [float(np.log(0.9999)), float(np.log(0.999))])
+    for n in (2100, 5000):
+        x = decode.encoded("".join(random.Random(n).choices("AATTCG", k=n)))
+        best, path = decode.viterbi(model, x)
+        total, _, _ = decode.forward(model, x)
+        assert total >= best and max(e - b + 1 for b, e, _ in path) > 2000
+        tables = decode.forward(model, x)
+        assert max(e - b + 1 for i in range(20) for b, e, _ in decode.sampled(model, x, np.random.default_rng(i), tables=tables)) > 2000
+
+
+def test_sampled_segments_have_their_probability():
+    """Shares of the first segment's length among samples against its exact distribution."""
+    model = small_model()
+    x = decode.encoded("ACGGCATT")
+    tables = decode.forward(model, x)
+    draws = [decode.sampled(model, x, np.random.default_rng(i), tables=tables)[0] for i in range(3000)]
+    exact = {}
+    for b, e, s in set(draws):
+        rest = decode.Model(model.states, model.step[s], model.step, model.emit, model.duration)
+        tail = decode.forward(rest, x[e + 1 :])[0] if e + 1 < len(x) else 0.0
+        exact[b, e, s] = math.exp(decode.path_logp(model, x[: e + 1], [(b, e, s)]) + tail - tables[0])
+    assert abs(sum(exact.values()) - 1) < 0.02
+    for first, p in exact.items():
+        assert abs(draws.count(first) / 3000 - p) < 0.03
+
+
 def test_viterbi_forward_and_samples():
     model = small_model()
     rng = random.Random(1)
