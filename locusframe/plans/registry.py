@@ -31,4 +31,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["evidence_by_region"](spark, sf_dir)
 
 
-from . import alignment_queries, evidence_queries, gene_queries, interval_queries, model_queries, sequence_queries, storage_queries  # noqa: E402, F401
+from . import alignment_queries, evidence_queries, gene_queries, interval_queries, model_queries, range_queries, sequence_queries, storage_queries  # noqa: E402, F401
