@@ -291,22 +291,13 @@ def majority(votes: DataFrame, by: str = "record", choice: str = "choice", score
     return best.groupBy(choice).agg(F.count(F.lit(1)).alias("votes")).orderBy(F.desc("votes"), choice).limit(1)
 
 
-def dedup_by_identity(members: DataFrame, pairs: DataFrame, limit: float = 0.8, by: str = "component") -> DataFrame:
+def dedup_by_identity(members: DataFrame, pairs: DataFrame, limit: float = 0.8) -> DataFrame:
     """Items left when of each pair more alike than ``limit`` the earlier one goes while both are there.
 
-    ``pairs``: ``a, b, identity`` with ``a`` before ``b``, and their connected component in ``by``.
+    ``pairs``: ``a, b, identity`` with ``a`` before ``b``.  Taken in order, an item meets its later partners while they
+    are there, so what goes is what has one: the order decides nothing, and no group is formed.
     """
-    import pandas as pd
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        gone: set = set()
-        for r in frame.sort_values(["a", "b"]).itertuples():
-            if r.identity > limit and r.a not in gone and r.b not in gone:
-                gone.add(r.a)
-        return pd.DataFrame({"item": sorted(gone)})
-
-    lost = pairs.groupBy(by).applyInPandas(run, "item bigint")
-    return members.join(lost, "item", "left_anti")
+    return members.join(pairs.where(F.col("identity") > limit).select(F.col("a").alias("item")).distinct(), "item", "left_anti")
 
 
 def packed_chunks(clusters: DataFrame, size: int) -> DataFrame:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.sequence import translate
 from ..operators import evaluation as V
 from ..operators import genes as G
 from ..operators.graphs import connected
 from .registry import query
-from .views import CHUNK, IV, WIDTH, intervals, table
+from .views import CHUNK, IV, WIDTH, intervals, sequences, table
 
 
 def segments(spark, sf_dir):
@@ -269,10 +270,11 @@ def cluster_chunks(spark, sf_dir):
 
 @query("identity_dedup")
 def identity_dedup(spark, sf_dir):
-    t = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("grp"), F.col("l_partkey").alias("item"))
-    pairs = G.cooccurrence(t).withColumn("identity", (F.col("a") * 31 + F.col("b")) % 100 / 100.0)
-    found = connected(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    return G.dedup_by_identity(t.select("item").distinct(), pairs.join(found.withColumnRenamed("node", "a"), "a"))
+    """Translated sequences that no later one is like, at 90 % identity of the shorter."""
+    from ..operators.proteins import nonredundant
+
+    proteins = sequences(spark, sf_dir).select(F.col("seq").alias("id"), translate(F.upper("bases")).alias("seq"))
+    return nonredundant(proteins, 0.9).select("id", F.length("seq").alias("length"))
 
 
 @query("complete_in_region", f"""with {_TX}, r as (select s_suppkey as seq, 800 as lo, 2400 as hi from supplier) select tid from tx join r using (seq) where lo <= s and e <= hi""")

@@ -264,3 +264,44 @@ def hint_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place of each hint of a sequence by end, start, strand, frame (the stand-in has multiplicities) and source."""
     hints = intervals(spark, sf_dir).select("id", "seq", "end", "start", "strand", F.col("mult").alias("frame"), F.col("src").alias("source"))
     return in_order(hints, ("id",)).select("id", "seq", "place")
+
+
+GENES = f"""{SEQ}, genes as (
+  select seq, 'g' || seq || '.' || k as gid, k, k * 400 + 31 as s, k * 400 + 230 as e, case when k % 2 = 0 then '+' else '-' end as strand
+    from (select seq, unnest(range(0, length(bases) // 400)) as k from sequences)
+  union all select seq, 'h' || seq || '.' || k, k, k * 400 + 200, k * 400 + 260 + k % 7 * 20, '+' from (select seq, unnest(range(0, length(bases) // 400)) as k from sequences) where k % 3 = 0
+), parts as (select seq, gid, strand, s as p, s + 49 as q from genes union all select seq, gid, strand, e - 9, e from genes)"""
+
+
+@query(
+    "genbank_round_trip",
+    f"""with {GENES}, clusters as (
+      select seq, k, min(s) as lo, max(e) as hi from genes group by seq, k
+    ), loci as (
+      select seq, k, greatest(1, lo - 120, coalesce((lag(hi) over w + lo) // 2 + 1, 1)) as lo, least(length(bases), hi + 120, coalesce((hi + lead(lo) over w) // 2, length(bases))) as hi, bases
+      from clusters join sequences using (seq) window w as (partition by seq order by lo)
+    )
+    select g.gid, g.seq::varchar as seq, g.strand, x.p as start_pos, x.q as end_pos, (hi - lo + 1)::bigint as n_bases, md5(lower(substr(bases, lo::bigint, (hi - lo + 1)::bigint))) as digest
+    from genes g join parts x using (seq, gid) join loci l on l.seq = g.seq and l.k = g.k""",
+)
+def genbank_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Genes of every sequence with their flanks through GenBank records, and back to the sequence's coordinates."""
+    from ..operators.loci import flanked_loci, gene_parts, with_bases
+    from ..operators.sequences import chunked
+
+    seqs = sequences(spark, sf_dir).withColumn("seq", _s("seq"))
+    n = F.floor(F.length("bases") / 400).cast("int")
+    rows = seqs.where(n > 0).select("seq", F.explode(F.sequence(F.lit(0), n - 1)).alias("k"))
+    at = F.col("k").cast("long") * 400
+    genes = rows.select("seq", F.concat(F.lit("g"), "seq", F.lit("."), _s("k")).alias("gid"), (at + 31).alias("s"), (at + 230).alias("e"), F.when(F.col("k") % 2 == 0, "+").otherwise("-").alias("strand"))
+    more = rows.where("k % 3 = 0").select("seq", F.concat(F.lit("h"), "seq", F.lit("."), _s("k")).alias("gid"), (at + 200).alias("s"), (at + 260 + F.col("k") % 7 * 20).alias("e"), F.lit("+").alias("strand"))
+    part = F.explode(F.array(F.struct(F.col("s").alias("start"), (F.col("s") + 49).alias("end")), F.struct((F.col("e") - 9).alias("start"), F.col("e").alias("end"))))
+    parts = genes.unionByName(more).select("gid", "seq", "strand", part.alias("p")).select("gid", "seq", "strand", "p.start", "p.end")
+    lengths = seqs.select("seq", F.length("bases").cast("long").alias("length"))
+    path = _path(spark, "genbank")
+    writers.write_loci(with_bases(flanked_loci(parts, lengths, 120), chunked(seqs, 1000)), path)
+    records = readers.read_genbank(spark, path)
+    digest = records.select("seq", F.md5("bases").alias("digest"), "features", "length")
+    found = gene_parts(digest.select(F.col("seq"), "length", F.transform("features", lambda f: f.withField("gene", F.concat_ws("|", f["gene"], F.col("digest")))).alias("features")))
+    name = F.split("gid", "\\|")
+    return found.select(F.get(name, F.lit(0)).alias("gid"), "seq", "strand", F.col("start").alias("start_pos"), F.col("end").alias("end_pos"), F.col("length").alias("n_bases"), F.get(name, F.lit(1)).alias("digest"))

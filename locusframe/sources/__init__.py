@@ -19,9 +19,9 @@ from .readers import (
     read_sam,
     read_wiggle,
 )
-from .writers import write_bed12, write_bedgraph, write_fasta, write_genbank, write_gff, write_gtf, write_wiggle
+from .writers import write_bed12, write_bedgraph, write_fasta, write_genbank, write_gff, write_gtf, write_loci, write_wiggle
 
 __all__ = [
     "read_bam", "read_bedgraph", "read_config", "read_fasta", "read_genbank", "read_gff", "read_gtf", "read_maf", "read_newick", "read_profile", "read_psl", "read_sam", "read_wiggle",
-    "write_bam", "write_bed12", "write_bedgraph", "write_fasta", "write_genbank", "write_gff", "write_gtf", "write_wiggle",
+    "write_bam", "write_bed12", "write_bedgraph", "write_fasta", "write_genbank", "write_gff", "write_gtf", "write_loci", "write_wiggle",
 ]

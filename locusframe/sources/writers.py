@@ -93,3 +93,21 @@ def write_genbank(genes: DataFrame, sequences: DataFrame, path: str, flank: int
     name = F.concat_ws("_", F.col("seq").cast("string"), F.col("_lo").cast("string"), F.col("_hi").cast("string"))
     line = F.concat(F.lit("LOCUS       "), name, F.lit("   "), F.length(piece).cast("string"), F.lit(" bp  DNA\nFEATURES             Location/Qualifiers\n     source          1.."), F.length(piece).cast("string"), F.lit("\n     CDS             "), place, F.lit('\n                     /gene="'), F.col("gid").cast("string"), F.lit('"\nORIGIN\n'), body, F.lit("\n//"))
     _lines(rows, line, path)
+
+
+def write_loci(loci: DataFrame, path: str) -> None:
+    """Loci with bases (``locus, genes, bases``, see ``operators.loci``) as GenBank records with a CDS for each gene."""
+    from ..functions.sequence import pieces
+
+    span = lambda p: F.concat(p["start"].cast("string"), F.lit(".."), p["end"].cast("string"))
+
+    def feature(g):
+        place = F.array_join(F.transform(g["parts"], span), ",")
+        place = F.when(F.size(g["parts"]) > 1, F.concat(F.lit("join("), place, F.lit(")"))).otherwise(place)
+        place = F.when(g["strand"] == "-", F.concat(F.lit("complement("), place, F.lit(")"))).otherwise(place)
+        return F.concat(F.lit("     CDS             "), place, F.lit('\n                     /gene="'), g["gid"], F.lit('"\n'))
+
+    size = F.length("bases").cast("string")
+    body = F.array_join(F.transform(pieces(F.lower("bases"), 60), lambda x, i: F.concat(F.lpad((i * 60 + 1).cast("string"), 9, " "), F.lit(" "), x)), "\n")
+    head = F.concat(F.lit("LOCUS       "), F.col("locus"), F.lit("   "), size, F.lit(" bp  DNA\nFEATURES             Location/Qualifiers\n     source          1.."), size, F.lit("\n"))
+    _lines(loci, F.concat(head, F.array_join(F.transform("genes", feature), ""), F.lit("ORIGIN\n"), body, F.lit("\n//")), path)
