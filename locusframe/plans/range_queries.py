@@ -6,7 +6,9 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import codon_classes as C
 from ..operators import junctions as J
+from ..operators import orthoexons as O
 from ..operators import ranges as R
 from ..operators import simulate as X
 from .registry import query
@@ -140,3 +142,44 @@ def sampled_cds(spark, sf_dir):
     rng = np.random.default_rng(7)
     rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 90 + 10).alias("n_codons"))
     return X.sampled_cds(rows, rng.dirichlet(np.ones(4), (3, 4**3)))
+
+
+@query(
+    "ortho_features",
+    f"""with {IV}, exons as (
+      select seq, s, e, case strand when '-' then '-' else '+' end as strand, mult % 3 as frame, score, 'cons=' || (id % 10) / 10.0 || ';n=' || priority || ';PMomega=' || (id % 7) / 4.0 || ';' as attributes, priority as n, (id % 10) / 10.0 as cons, (id % 7) / 4.0 as omega
+      from iv where src = 'O'
+    ), best as (
+      select seq, s, e, strand, frame, min({{'n': -n, 'attributes': attributes, 'cons': cons, 'omega': omega}}) as b, count(*) as copies from exons group by all having true
+    ), ref as (
+      select distinct seq, s, e, case strand when '-' then '-' else '+' end as strand, mult % 3 as frame from iv where src = 'F'
+    ), met as (
+      select x.seq, x.s, x.e, x.strand, x.frame, r.s as rs, r.e as re,
+        x.strand = r.strand and ((x.strand = '+' and (x.frame - r.frame + x.s - r.s) % 3 = 0) or (x.strand = '-' and (r.e - x.e + x.frame - r.frame) % 3 = 0)) as fits, r.frame as rf
+      from best x join ref r on x.seq = r.seq and x.s <= r.e and r.s <= x.e
+    ), found as (
+      select seq, s, e, strand, frame, bool_or(fits and s = rs and e = re and frame = rf) as real, bool_or(fits) as half, max({{'same': fits and s = rs and e = re and frame = rf, 'rs': rs, 're': re}}) as ref from met group by seq, s, e, strand, frame
+    )
+    select seq, s as start_pos, e as end_pos, strand, frame, copies, e - s + 1 as length, (-b.n)::double as n, b.cons::double as cons, b.omega::double as omega, case when real then 1 when half then -1 else 0 end as class,
+      case when ref is null then 0 when s = ref.rs then 1 when s < ref.rs then 2 else 3 end as left_code, case when ref is null then 0 when e = ref.re then 1 when e > ref.re then 2 else 3 end as right_code
+    from best left join found using (seq, s, e, strand, frame)""".replace(" group by all having true", " group by seq, s, e, strand, frame"),
+)
+def ortho_features(spark, sf_dir):
+    """Lines of open orders as exons with features, against those of filled ones."""
+    iv = intervals(spark, sf_dir).withColumns({"strand": F.when(F.col("strand") == "-", "-").otherwise("+"), "frame": F.col("mult") % 3})
+    text = lambda c: c.cast("string")
+    attributes = F.concat(F.lit("cons="), text((F.col("id") % 10) / 10), F.lit(";n="), text(F.col("priority")), F.lit(";PMomega="), text((F.col("id") % 7) / 4), F.lit(";"))
+    exons = iv.where("src = 'O'").select("seq", "start", "end", "strand", "frame", "score", attributes.alias("attributes"))
+    rows = O.feature_table(exons, iv.where("src = 'F'"), width=64)
+    return rows.select("seq", F.col("start").alias("start_pos"), F.col("end").alias("end_pos"), "strand", "frame", "copies", "length", "n", "cons", F.col("PMomega").alias("omega"), "class", "left_code", "right_code")
+
+
+@query("codon_class_ratios")
+def codon_class_ratios(spark, sf_dir):
+    """Log ratios of two fitted classes of codon columns, summed over each block; blocks of even numbers teach one class."""
+    from ..tables import written
+    from .model_queries import TREE, codon_columns
+
+    columns = written(codon_columns(spark, sf_dir), "codon-columns")
+    model = C.fitted_classes(columns.select("pattern", (F.col("exon") % 2 == 0).alias("coding")), TREE, omegas=(0.2, 1.0), paces=(1.0,))
+    return C.exon_ratios(columns, TREE, model).select("exon", F.round("ratio", 4).alias("ratio"), "columns", "coding")
