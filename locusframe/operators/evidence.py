@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scores import grade_class
 from .intervals import BIN, overlap_join
 
 #: The hint types in their order, which has a meaning, and short names of some.
@@ -325,3 +326,16 @@ def in_order(hints: DataFrame, ties: tuple[str, ...] = ()) -> DataFrame:
     """
     by = Window.partitionBy("seq").orderBy("end", "start", "strand", "frame", "source", *ties)
     return hints.withColumn("place", F.row_number().over(by).cast("long"))
+
+
+def configured(hints: DataFrame, config: DataFrame) -> DataFrame:
+    """``hints`` (``type, source, score`` and others) with ``bonus, malus, local_malus, quotient, grade``, as a configuration weighs them.
+
+    ``config`` is what ``read_config`` gives: for each type and source the bounds between grades and a factor for each.
+    The grade is the number of bounds that the score reaches; a hint without a score has the grade 0.  Hints of a type
+    or source that the configuration doesn't name are dropped.  The configuration is a row for each type and source, by its format, and
+    is joined like any table.
+    """
+    rows = hints.join(config, ["type", "source"])
+    grade = grade_class("score", "bounds")
+    return rows.withColumns({"grade": grade, "quotient": F.coalesce(F.get("quots", grade), F.lit(1.0))}).drop("bounds", "quots")

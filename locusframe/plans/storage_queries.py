@@ -126,7 +126,7 @@ def bedgraph_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     "psl_read_blocks",
     f"""with {IV}, blocks as (
       select id, seq, unnest([{{'q': 0, 't': s, 'n': e - s + 1}}, {{'q': e - s + 3, 't': e + 11, 'n': mult}}]) as b from iv)
-    select id::varchar as q, b.q::bigint as q_start, seq::varchar as t, b.t::bigint as t_start, b.n::bigint as size from blocks""",
+    select id::varchar as q, b.q::bigint as q_start, seq::varchar as t, b.t::bigint as t_start, b.n::bigint as size, '+' as strand from blocks""",
 )
 def psl_read_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks of alignments of two blocks each."""
@@ -305,3 +305,59 @@ def genbank_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = gene_parts(digest.select(F.col("seq"), "length", F.transform("features", lambda f: f.withField("gene", F.concat_ws("|", f["gene"], F.col("digest")))).alias("features")))
     name = F.split("gid", "\\|")
     return found.select(F.get(name, F.lit(0)).alias("gid"), "seq", "strand", F.col("start").alias("start_pos"), F.col("end").alias("end_pos"), F.col("length").alias("n_bases"), F.get(name, F.lit(1)).alias("digest"))
+
+
+@query(
+    "genepred_round_trip",
+    f"""with {SEGMENTS}, parts as (select distinct gid, seq, strand, s, e, case when s % 3 = 0 then 'CDS' else 'exon' end as type from segments where strand <> '.'), kinds as (
+      select gid, seq, strand, list(distinct {{'s': s, 'e': e}}) filter (where type = 'exon') as x, list(distinct {{'s': s, 'e': e}}) filter (where type = 'CDS') as c from parts group by all
+    )
+    select gid || '.t1' as tid, seq, strand, list_min(list_transform(coalesce(x, c), lambda v: v.s)) as start_pos, list_max(list_transform(coalesce(x, c), lambda v: v.e)) as end_pos,
+      list_min(list_transform(c, lambda v: v.s)) as cds_start, list_max(list_transform(c, lambda v: v.e)) as cds_end, len(coalesce(x, c))::int as n_exons, list_sum(list_transform(coalesce(x, c), lambda v: v.e - v.s + 1))::bigint as bases
+    from kinds""",
+)
+def genepred_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transcripts with exons and coding parts through genePred."""
+    path = _path(spark, "genepred")
+    kind = F.when(F.col("start") % 3 == 0, "CDS").otherwise("exon")
+    writers.write_genepred(_segments(spark, sf_dir).where("strand <> '.'").withColumn("type", kind), path)
+    bases = F.aggregate("exons", F.lit(0).cast("long"), lambda got, x: got + x["end"] - x["start"] + 1)
+    return readers.read_genepred(spark, path).select("tid", "seq", "strand", F.col("start").alias("start_pos"), F.col("end").alias("end_pos"), "cds_start", "cds_end", F.size("exons").alias("n_exons"), bases.alias("bases"))
+
+
+#: A configuration of weights in the usual sections.
+CONFIG = """# weights of the stand-in's hints
+[SOURCES]
+F O   # two sources
+[SOURCE-PARAMETERS]
+O 1group1gene individual_liability
+[GENERAL]
+exon 1.5 .9 F 1 1e+3 O 3 20000 60000 1 2 4.5
+intron 1 .34 F 2 30000 1 10 O 1 1
+CDSpart 1 .985 .97 F 1 1 O 2 40000 .5 2
+"""
+
+
+@query(
+    "configured_hints",
+    f"""with {IV}, weights as (
+      select *, case type when 'exon' then 1.5 else 1.0 end as bonus, case type when 'exon' then .9 when 'intron' then .34 else .985 end as malus, case type when 'CDSpart' then .97 end as local_malus,
+        case when type = 'exon' and src = 'O' then (score >= 20000)::int + (score >= 60000)::int when type = 'intron' and src = 'F' then (score >= 30000)::int when type = 'CDSpart' and src = 'O' then (score >= 40000)::int else 0 end as grade
+      from iv where type in ('exon', 'intron', 'CDSpart')
+    )
+    select type, src as source, grade, count(*) as n, bonus::double as bonus, malus::double as malus, local_malus::double as local_malus,
+      (case when type = 'exon' and src = 'F' then 1000 when type = 'exon' then [1, 2, 4.5][grade + 1] when type = 'intron' and src = 'F' then [1, 10][grade + 1] when type = 'CDSpart' and src = 'O' then [.5, 2][grade + 1] else 1 end)::double as quotient,
+      case src when 'O' then '1group1gene individual_liability' else '' end as parameters
+    from weights group by all""",
+)
+def configured_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hints by type, source and grade with the weights and parameters of a configuration that was written and read."""
+    from ..operators.evidence import configured
+
+    path = _lines(spark, "config", spark.createDataFrame([(CONFIG,)], "value string"))
+    iv = intervals(spark, sf_dir).withColumnRenamed("src", "source")
+    sections = readers.read_sections(spark, path)
+    told = sections.where("section = 'SOURCE-PARAMETERS'").select(F.col("name").alias("source"), F.array_join("values", " ").alias("parameters"))
+    known = sections.where("section = 'SOURCES'").select(F.col("name").alias("source")).join(told, "source", "left")
+    rows = configured(iv, readers.read_config(spark, path)).join(known, "source")
+    return rows.groupBy("type", "source", "grade", "bonus", "malus", "local_malus", "quotient", F.coalesce("parameters", F.lit("")).alias("parameters")).agg(F.count(F.lit(1)).alias("n"))

@@ -10,6 +10,7 @@ from .readers import (
     read_config,
     read_fasta,
     read_genbank,
+    read_genepred,
     read_gff,
     read_gtf,
     read_maf,
@@ -17,11 +18,12 @@ from .readers import (
     read_profile,
     read_psl,
     read_sam,
+    read_sections,
     read_wiggle,
 )
-from .writers import write_bed12, write_bedgraph, write_fasta, write_genbank, write_gff, write_gtf, write_loci, write_wiggle
+from .writers import write_bed12, write_bedgraph, write_fasta, write_genbank, write_genepred, write_gff, write_gtf, write_loci, write_wiggle
 
 __all__ = [
-    "read_bam", "read_bedgraph", "read_config", "read_fasta", "read_genbank", "read_gff", "read_gtf", "read_maf", "read_newick", "read_profile", "read_psl", "read_sam", "read_wiggle",
-    "write_bam", "write_bed12", "write_bedgraph", "write_fasta", "write_genbank", "write_gff", "write_gtf", "write_loci", "write_wiggle",
+    "read_bam", "read_bedgraph", "read_config", "read_fasta", "read_genbank", "read_genepred", "read_gff", "read_gtf", "read_maf", "read_newick", "read_profile", "read_psl", "read_sam", "read_sections", "read_wiggle",
+    "write_bam", "write_bed12", "write_bedgraph", "write_fasta", "write_genbank", "write_genepred", "write_gff", "write_gtf", "write_loci", "write_wiggle",
 ]

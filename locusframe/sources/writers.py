@@ -111,3 +111,24 @@ def write_loci(loci: DataFrame, path: str) -> None:
     body = F.array_join(F.transform(pieces(F.lower("bases"), 60), lambda x, i: F.concat(F.lpad((i * 60 + 1).cast("string"), 9, " "), F.lit(" "), x)), "\n")
     head = F.concat(F.lit("LOCUS       "), F.col("locus"), F.lit("   "), size, F.lit(" bp  DNA\nFEATURES             Location/Qualifiers\n     source          1.."), size, F.lit("\n"))
     _lines(loci, F.concat(head, F.array_join(F.transform("genes", feature), ""), F.lit("ORIGIN\n"), body, F.lit("\n//")), path)
+
+
+def write_genepred(parts: DataFrame, path: str) -> None:
+    """Transcripts of gene set rows (``tid, seq, strand, type, start, end``) in genePred's 10 columns.
+
+    Exons are those of type ``exon``, or the ``CDS`` parts of a transcript without any.  Without coding parts the coding range is empty at
+    the transcript's end.
+    """
+    span = F.struct("start", "end")
+    only = lambda kind: F.array_sort(F.array_distinct(F.collect_list(F.when(F.col("type") == kind, span))))
+    rows = parts.where(F.col("type").isin("exon", "CDS") & F.col("tid").isNotNull()).groupBy("tid", "seq", "strand").agg(only("exon").alias("exon"), only("CDS").alias("cds"))
+    rows = rows.withColumn("exons", F.when(F.size("exon") > 0, F.col("exon")).otherwise(F.col("cds")))
+    text = lambda c: c.cast("string")
+    joined = lambda f: F.concat(F.array_join(F.transform("exons", f), ","), F.lit(","))
+    end = F.array_max(F.transform("exons", lambda x: x["end"]))
+    coding = F.size("cds") > 0
+    low, high = F.when(coding, F.get("cds", F.lit(0))["start"] - 1).otherwise(end), F.when(coding, F.array_max(F.transform("cds", lambda x: x["end"]))).otherwise(end)
+    line = F.concat_ws(
+        "\t", "tid", F.col("seq").cast("string"), "strand", text(F.get("exons", F.lit(0))["start"] - 1), text(end), text(low), text(high), text(F.size("exons")), joined(lambda x: text(x["start"] - 1)), joined(lambda x: text(x["end"])),
+    )
+    _lines(rows, line, path)
