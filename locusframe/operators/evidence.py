@@ -271,13 +271,14 @@ def frame_congruent(start: Column, end: Column, frame: Column, strand: Column, r
 def splice_filtered(introns: DataFrame, sequences: DataFrame, patterns: tuple[str, ...] = ("GTAG",)) -> DataFrame:
     """Introns whose ends have an allowed motif, with ``strand`` as the motif says.
 
-    Sequences are joined on ``seq``, so a long sequence and its introns meet without a copy a row.
+    ``sequences`` are whole texts or chunks: only the four bases at an intron's ends are fetched (``sequences.fetched``).
     """
-    from ..functions.sequence import motif_strand, splice_motif
+    from ..functions.sequence import motif_strand
+    from .sequences import fetched
 
-    ends = introns.join(sequences.select("seq", "bases"), "seq")
-    found = ends.withColumn("strand", motif_strand(splice_motif("bases", "start", "end"), patterns))
-    return found.where("strand is not null").drop("bases")
+    ends = fetched(introns, sequences, {"_a": (F.col("start"), F.col("start") + 1), "_z": (F.col("end") - 1, F.col("end"))})
+    found = ends.withColumn("strand", motif_strand(F.upper(F.concat("_a", "_z")), patterns))
+    return found.where("strand is not null").select(*introns.columns, *([] if "strand" in introns.columns else ["strand"]))
 
 
 def attach_hints(features: DataFrame, hints: DataFrame) -> DataFrame:
@@ -294,21 +295,31 @@ SIGNAL_BASES = {"start": ("ATG",), "stop": ("TAA", "TAG", "TGA"), "dss": ("GT",
 
 def consistent_with_sequence(hints: DataFrame, sequences: DataFrame) -> DataFrame:
     """``hints`` with ``consistent``: signals have their bases, introns their splice sites; null if the
-    type has no such rule.  Without a strand either strand will do."""
-    from ..functions.sequence import reverse_complement, splice_motif, subsequence
+    type has no such rule.  Without a strand either strand will do.
 
-    rows = hints.join(sequences.select("seq", F.col("bases").alias("_b")), "seq")
-    own = F.upper(F.when(F.col("end") - F.col("start") < 3, subsequence("_b", "start", "end")).otherwise(F.lit("")))
-    back = reverse_complement(own)
-
-    def on(forward: Column, reverse: Column, wanted: tuple[str, ...]) -> Column:
-        plus, minus = forward.isin(*wanted), reverse.isin(*wanted)
+    ``sequences`` are whole texts or chunks: only signals and the ends of introns are fetched (``sequences.fetched``).
+    Hints of unknown sequences are dropped.
+    """
+    from ..functions.sequence import reverse_complement
+    from .sequences import fetched
+
+    start, end = F.col("start"), F.col("end")
+    short = end - start < 3
+    none = F.lit(0).cast("long")
+    intron = F.col("type") == "intron"
+    at = lambda test, c: F.when(test, c)
+    spans = {"_own": (at(short & ~intron, start), F.when(short & ~intron, end).otherwise(none)), "_a": (at(intron, start), at(intron, start + 1)), "_z": (at(intron, end - 1), at(intron, end))}
+    rows = fetched(hints, sequences, spans)
+    own, motif = F.upper("_own"), F.upper(F.concat("_a", "_z"))
+
+    def on(text: Column, wanted: tuple[str, ...]) -> Column:
+        plus, minus = text.isin(*wanted), reverse_complement(text).isin(*wanted)
         return F.when(F.col("strand") == "+", plus).when(F.col("strand") == "-", minus).otherwise(plus | minus)
 
-    rule = F.when(F.col("type") == "intron", on(splice_motif("_b", "start", "end"), reverse_complement(splice_motif("_b", "start", "end")), ("GTAG", "GCAG", "ATAC")))
+    rule = F.when(intron, on(motif, ("GTAG", "GCAG", "ATAC")))
     for kind, wanted in SIGNAL_BASES.items():
-        rule = rule.when(F.col("type") == kind, on(own, back, wanted))
-    return rows.withColumn("consistent", rule).drop("_b")
+        rule = rule.when(F.col("type") == kind, on(own, wanted))
+    return rows.withColumn("consistent", rule).select(*hints.columns, "consistent")
 
 
 def hinted_splice_sites(introns: DataFrame) -> DataFrame:

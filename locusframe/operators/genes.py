@@ -111,10 +111,11 @@ def top_transcripts(transcripts: DataFrame, k: int, supported: str = "supported"
 def undominated(transcripts: DataFrame, ratio: float = SUBOPTIMAL) -> DataFrame:
     """Transcripts without a better one in their gene: dominated is one whose support is below
     ``ratio`` of another's, or that has the coding chain of another which ranks before it."""
-    b = transcripts.select("gid", *[F.col(c).alias(c + "_b") for c in ("tid", "supported", "mean_post", "chain")])
-    before = (F.col("supported_b") > F.col("supported")) | ((F.col("supported_b") == F.col("supported")) & ((F.col("mean_post_b") > F.col("mean_post")) | ((F.col("mean_post_b") == F.col("mean_post")) & (F.col("tid_b") < F.col("tid")))))
-    lost = transcripts.join(b, "gid").where("tid <> tid_b").where((F.col("supported") < ratio * F.col("supported_b")) | ((F.col("chain") == F.col("chain_b")) & before))
-    return transcripts.join(lost.select("tid").distinct(), "tid", "left_anti")
+    best = transcripts.groupBy("gid").agg(F.max("supported").alias("_top"))
+    by = Window.partitionBy("gid", "chain").orderBy(F.desc("supported"), F.desc("mean_post"), "tid")
+    ranked = transcripts.withColumn("_rank", F.rank().over(by)).join(best, "gid")
+    weak, later = F.col("supported") < ratio * F.col("_top"), F.col("chain").isNotNull() & (F.col("_rank") > 1)
+    return ranked.where(~(F.coalesce(weak, F.lit(False)) | later)).select(*transcripts.columns)
 
 
 def set_compare(left: DataFrame, right: DataFrame, width: int = BIN) -> DataFrame:
@@ -228,10 +229,15 @@ def flank(segments: DataFrame, most: int = 10_000) -> DataFrame:
 
 
 def spliced(segments: DataFrame, sequences: DataFrame, types: tuple[str, ...] = ("CDS",)) -> DataFrame:
-    """``tid, bases``: a transcript's parts cut from its sequence, in order, as read on its strand."""
-    from ..functions.sequence import on_strand, subsequence
+    """``tid, bases``: a transcript's parts cut from its sequence, in order, as read on its strand.
 
-    cut = segments.where(F.col("type").isin(*types)).join(sequences.select("seq", "bases"), "seq").select("tid", "strand", "start", subsequence("bases", "start", "end").alias("part"))
+    ``sequences`` are whole texts or chunks; only the parts are fetched (``sequences.fetched``).
+    """
+    from ..functions.sequence import on_strand
+    from .sequences import fetched
+
+    parts = segments.where(F.col("type").isin(*types)).select("tid", "seq", "strand", "start", "end")
+    cut = fetched(parts, sequences, {"part": (F.col("start"), F.col("end"))})
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "part"))), lambda x: x["part"]), "")
     return cut.groupBy("tid", "strand").agg(whole.alias("bases")).select("tid", on_strand("bases", "strand").alias("bases"))
 

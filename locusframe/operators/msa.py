@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequence import let
+from .intervals import overlap_join
 
 
 def filtered(maf: DataFrame, species: list[str] | None = None, least_rows: int = 2, regions: DataFrame | None = None) -> DataFrame:
@@ -19,7 +20,8 @@ def filtered(maf: DataFrame, species: list[str] | None = None, least_rows: int =
     if regions is None:
         return rows
     lo = F.when(F.col("strand") == "-", F.col("src_size") - F.col("start") - F.col("size")).otherwise(F.col("start"))
-    hit = rows.withColumn("_lo", lo).join(regions, ["species", "seq"]).where((F.col("_lo") < F.col("hi")) & (F.col("lo") < F.col("_lo") + F.col("size")))
+    spans = rows.select("block", "species", "seq", lo.alias("start"), (lo + F.col("size") - 1).alias("end"))
+    hit = overlap_join(spans, regions.select("species", "seq", F.col("lo").alias("start"), (F.col("hi") - 1).alias("end")), ("species", "seq"))
     return rows.join(hit.select("block").distinct(), "block", "left_semi")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
@@ -125,6 +125,28 @@ def fetch_chunks(chunks: DataFrame, regions: DataFrame, width: int = 1 << 16) ->
     return part.groupBy("rid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("offset", "part"))), lambda x: x["part"]), "").alias("bases"))
 
 
+def fetched(rows: DataFrame, sequences: DataFrame, spans: dict[str, tuple[Column, Column]], width: int = 1 << 16) -> DataFrame:
+    """``rows`` of known sequences with a column of bases for each span, a name with its first and last base (1-based).
+
+    ``sequences`` are chunks (``seq, offset, bases``), or whole texts (``seq, bases``), which are cut into chunks first.  Only chunks that a
+    span touches are read of, and what is joined back to the rows are the spans' few bases.  Bases outside the sequence are missing;
+    a span with none of them is empty.
+    """
+    chunks = sequences if "offset" in sequences.columns else chunked(sequences, width)
+    known = chunks.select("seq").distinct()
+    out = rows.join(known, "seq", "left_semi").withColumns({f"_{n}{k}": c for n, ends in spans.items() for k, c in enumerate(ends)})
+    wanted = None
+    for n in spans:
+        own = out.select("seq", F.col(f"_{n}0").alias("start"), F.col(f"_{n}1").alias("end"))
+        wanted = own if wanted is None else wanted.unionByName(own)
+    wanted = wanted.where("start <= end").distinct().withColumn("rid", F.struct("seq", "start", "end"))
+    got = fetch_chunks(chunks, wanted.select("rid", "seq", "start", "end"), width).select("rid.*", "bases")
+    for n in spans:
+        own = got.select("seq", F.col("start").alias(f"_{n}0"), F.col("end").alias(f"_{n}1"), F.col("bases").alias(n))
+        out = out.join(own, ["seq", f"_{n}0", f"_{n}1"], "left").withColumn(n, F.coalesce(n, F.lit(""))).drop(f"_{n}0", f"_{n}1")
+    return out
+
+
 def position_weights(sites: DataFrame, pseudo: float = 1.0) -> DataFrame:
     """``pos, letter, logp`` of aligned sites (``bases`` of one length)."""
     counts = sites.select(F.posexplode(S.kmers(F.upper("bases"), 1)).alias("pos", "letter")).where(F.col("letter").rlike("[ACGT]")).groupBy("pos", "letter").agg(F.count(F.lit(1)).alias("n"))

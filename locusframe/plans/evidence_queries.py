@@ -262,15 +262,15 @@ def hinted_splice_sites(spark, sf_dir):
 
 
 @query("signal_consistency", """with s as (select doc_id as seq, translate(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ', 'acgtacgtacgtacgtacgtacgtacACGTACGTACGTACGTACGTACGTAC') as bases from documents),
-h as (select seq, p as s, case p % 3 when 0 then 'start' when 1 then 'stop' else 'intron' end as type, case p % 2 when 0 then '+' else '-' end as strand, bases from s, (select unnest(range(10, 40)) as p) where length(bases) >= 100),
+h as (select seq, p as s, case p % 3 when 0 then 'start' when 1 then 'stop' else 'intron' end as type, case p % 2 when 0 then '+' else '-' end as strand, bases from (select *, unnest(range(1, length(bases) - 29, 7)) as p from s)),
 m as (select *, upper(case type when 'intron' then substring(bases, s, 2) || substring(bases, s + 29, 2) else substring(bases, s, 3) end) as f from h), r as (select *, case strand when '+' then f else reverse(translate(f, 'ACGT', 'TGCA')) end as x from m)
 select type, strand, case type when 'start' then x = 'ATG' when 'stop' then x in ('TAA', 'TAG', 'TGA') else x in ('GTAG', 'GCAG', 'ATAC') end as consistent, count(*) as n from r group by all""")
 def signal_consistency(spark, sf_dir):
     from .views import sequences
 
-    s = sequences(spark, sf_dir).where("length(bases) >= 100")
-    p = F.explode(F.sequence(F.lit(10), F.lit(39)))
-    h = s.select("seq", p.alias("start")).select("seq", F.col("start").cast("long").alias("start"), F.when(F.col("start") % 3 == 0, "start").when(F.col("start") % 3 == 1, "stop").otherwise("intron").alias("type"), F.when(F.col("start") % 2 == 0, "+").otherwise("-").alias("strand"))
+    s = sequences(spark, sf_dir)
+    p = F.explode(F.sequence(F.lit(1), F.length("bases") - 30, F.lit(7)))
+    h = s.where("length(bases) > 30").select("seq", p.alias("start")).select("seq", F.col("start").cast("long").alias("start"), F.when(F.col("start") % 3 == 0, "start").when(F.col("start") % 3 == 1, "stop").otherwise("intron").alias("type"), F.when(F.col("start") % 2 == 0, "+").otherwise("-").alias("strand"))
     h = h.withColumn("end", F.col("start") + F.when(F.col("type") == "intron", 30).otherwise(2))
     return E.consistent_with_sequence(h, s).groupBy("type", "strand", "consistent").agg(F.count(F.lit(1)).alias("n"))
 

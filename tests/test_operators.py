@@ -334,3 +334,39 @@ def test_streams(spark, tmp_path):
         q.awaitTermination()
     assert sorted((r.start, r.mult) for r in spark.table("hints").collect()) == [(1, 3), (2, 1)]
     assert sorted((r.pos, r.d) for r in spark.table("cover").collect()) == [(1, 2), (2, 1), (6, -3)]
+
+
+def test_fetched_spans_and_what_uses_them(spark):
+    """Bases by chunks equal those cut from whole texts, for spans across chunks and beyond the ends."""
+    from locusframe.operators import evidence, genes
+    from locusframe.operators.sequences import chunked, fetched
+
+    rng = random.Random(11)
+    texts = {f"c{k}": "".join(rng.choice("acgtACGTn") for _ in range(rng.randrange(20, 300))) for k in range(4)}
+    seqs = spark.createDataFrame(list(texts.items()), "seq string, bases string")
+    rows = [(k, f"c{rng.randrange(5)}", rng.randrange(1, 280), rng.randrange(0, 60), rng.choice("+-."), rng.choice(["intron", "start", "stop", "dss", "ass", "exon"])) for k in range(400)]
+    frame = spark.createDataFrame([(k, c, s, s + n, d, t) for k, c, s, n, d, t in rows], "id int, seq string, start bigint, end bigint, strand string, type string")
+    small = frame.where("type <> 'intron'").withColumn("end", F.col("start") + F.when(F.col("type").isin("dss", "ass"), 1).otherwise(2)).unionByName(frame.where("type = 'intron'"))
+    for source in (seqs, chunked(seqs, 50)):
+        got = {r.id: r.x for r in fetched(frame, source, {"x": (F.col("start"), F.col("end"))}, 64).collect()}
+        assert got == {k: texts[c][s - 1 : s + n] for k, c, s, n, *_ in rows if c in texts}
+        flip = str.maketrans("ACGT", "TGCA")
+        found = {r.id: (r.start, r.end, r.strand, r.type, r.consistent) for r in evidence.consistent_with_sequence(small, source).collect()}
+        assert set(found) == {k for k, c, *_ in rows if c in texts}
+        for k, c, *_ in rows:
+            if c in texts:
+                s, e, d, t, ok = found[k]
+                text = texts[c][s - 1 : e].upper() if t != "intron" else (texts[c][s - 1 : s + 1] + (texts[c][e - 2 : e] if e > 1 else texts[c][:e])).upper()
+                wanted = {"intron": ("GTAG", "GCAG", "ATAC"), **evidence.SIGNAL_BASES}.get(t)
+                own = {"+": [text], "-": [text[::-1].translate(flip)]}.get(d, [text, text[::-1].translate(flip)])
+                assert ok == (None if wanted is None else any(x in wanted for x in own)), (t, text, d)
+        parts = frame.select(F.concat("seq", F.lit("."), "strand", (F.col("id") % 9).cast("string")).alias("tid"), "seq", "strand", "start", "end", F.lit("CDS").alias("type")).dropDuplicates(["tid", "start"])
+        spliced = {r.tid: r.bases for r in genes.spliced(parts, source).collect()}
+        want = {}
+        for r in sorted(parts.collect(), key=lambda r: r.start):
+            if r.seq in texts:
+                want.setdefault(r.tid, [r.strand, ""])[1] += texts[r.seq][r.start - 1 : r.end]
+        both = str.maketrans("ACGTacgt", "TGCAtgca")
+        assert spliced == {k: t[::-1].translate(both) if d == "-" else t for k, (d, t) in want.items()}
+        motifs = evidence.splice_filtered(frame.where("type = 'intron'").drop("strand"), source, ("GTAG", "GCAG")).count()
+        assert motifs == sum(any(p in (x, x[::-1].translate(flip)) for p in ("GTAG", "GCAG")) for k, c, s, n, _, t in rows if t == "intron" and c in texts for x in [(texts[c][s - 1 : s + 1] + (texts[c][s + n - 2 : s + n] if s + n > 1 else "")).upper()])
