@@ -332,14 +332,19 @@ def exon_candidates(signals: DataFrame, stops: DataFrame, least: int = 1, longes
     """Pairs of an opening and a closing signal with no stop in the frame between: ``seq, start, end, frame, open, close``.
 
     ``signals``: ``seq, pos, kind (open or close), name, score``; ``stops``: ``seq, pos`` of stop codons' first bases.
+    The next stop in each frame is looked up once for an opening, so that a pair needs one comparison a frame.
     """
+    from .intervals import nearest_after
+
     a = signals.where("kind = 'open'").select("seq", F.col("pos").alias("start"), F.col("name").alias("open"), F.col("score").alias("open_score"))
+    frames = F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("frame")
+    points = a.select("seq", "start").distinct().select("seq", "start", frames).withColumns({"at": F.col("start").cast("long") - 1, "phase": F.pmod(F.col("start") + F.col("frame"), F.lit(3)).cast("long")})
+    marks = stops.select("seq", F.pmod(F.col("pos"), F.lit(3)).cast("long").alias("phase"), F.col("pos").alias("mark"))
+    near = nearest_after(points, marks, ("seq", "phase"), "at", "mark")
+    near = near.groupBy("seq", "start").agg(*(F.max(F.when(F.col("frame") == k, F.col("next_mark"))).alias(f"_stop{k}") for k in range(3)))
+    a = a.join(near, ["seq", "start"])
     a = a.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((F.col("start") + longest) / width))))
     b = signals.where("kind = 'close'").select("seq", F.col("pos").alias("end"), F.col("name").alias("close"), F.col("score").alias("close_score")).withColumn("_bin", F.floor(F.col("end") / width))
     pairs = a.join(b, ["seq", "_bin"]).where((F.col("end") - F.col("start") + 1).between(least, longest)).drop("_bin")
-    framed = pairs.withColumn("frame", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
-    s = stops.select("seq", F.col("pos").alias("_stop")).withColumn("_bin", F.floor(F.col("_stop") / width))
-    probe = framed.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width))))
-    hit = probe.join(s, ["seq", "_bin"]).where((F.col("_stop") >= F.col("start")) & (F.col("_stop") + 2 <= F.col("end")) & (F.pmod(F.col("_stop") - F.col("start") - F.col("frame"), F.lit(3)) == 0))
-    key = ["seq", "start", "end", "frame", "open", "close"]
-    return framed.join(hit.select(*key).distinct(), key, "left_anti")
+    free = F.array_compact(F.array(*(F.when(F.col(f"_stop{k}").isNull() | (F.col(f"_stop{k}") + 2 > F.col("end")), F.lit(k)) for k in range(3))))
+    return pairs.select("seq", "start", "open", "open_score", "end", "close", "close_score", F.explode(free).alias("frame"))
