@@ -9,7 +9,8 @@ Words are 64-bit hashes.  An automaton takes at most some 870 bytes a window in
 windows with few common beginnings: 19 nodes of 32 bytes and their edges), so one of
 ``BLOCK_WINDOWS`` takes up to 220 MB.  A benchmark of more windows than that is scanned for one block
 of windows after the other, each scan in a job of its own, so that neither a worker nor the driver
-holds more than a block.
+holds more than a block.  A scan's table is deleted once the next one is written; the last of them is
+what the result reads.
 """
 
 from __future__ import annotations
@@ -186,14 +187,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
         none.alias("lf_to"),
         F.array().cast("array<string>").alias("lf_items"),
     )
-    schema = out.schema
+    schema, before = out.schema, None
     for b in range(blocks):
         block = _block(table.where(F.pmod(F.xxhash64("words"), F.lit(blocks)) == b).toArrow())
         if not len(block.words):
             # nothing to find: a window of two words that no text has
             block = Block(np.zeros(1, np.int64), np.zeros(2, np.int32), np.array([0, 2]), [], np.zeros(0, np.int32), np.zeros(2, np.int64))
         scanned = out.mapInArrow(_scan(docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex), schema)
-        out = written(scanned, "benchmark-scanned") if b + 1 < blocks else scanned
+        if b + 1 == blocks:
+            out = scanned
+            break
+        out = written(scanned, "benchmark-scanned")
+        if before is not None:
+            dropped(before)
+        before = out
     dropped(table)
     found = StructType([schema["lf_row"]])
     for name, kind in (("lf_n_words", "bigint"), ("lf_n_hit", "bigint"), ("lf_items", "array<string>"), ("lf_n_items", "bigint"), ("lf_items_sha256", "string"), ("lf_spans", "array<struct<start:bigint,end:bigint>>")):
