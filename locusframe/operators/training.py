@@ -41,7 +41,8 @@ def content_clusters(counts: DataFrame, k: int, rounds: int = 20, seed: int = 1)
     models = [{x: 1 + rng.random() for x in kmers} for _ in range(k)]
     resp = None
     for _ in range(rounds):
-        rows = [(x, [math.log(m[x] / sum(m.values())) for m in models]) for x in kmers]
+        totals = [math.log(sum(m.values())) for m in models]
+        rows = [(x, [math.log(m[x]) - t for m, t in zip(models, totals, strict=True)]) for x in kmers]
         table = F.broadcast(spark.createDataFrame(rows, "kmer string, logs array<double>"))
         sums = counts.join(table, "kmer").groupBy("seq").agg(*[F.sum(F.col("n") * F.get("logs", F.lit(i))).alias(f"_{i}") for i in range(k)])
         logs = [F.col(f"_{i}") + math.log(max(mixture[i], 1e-12)) for i in range(k)]

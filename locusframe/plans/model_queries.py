@@ -106,4 +106,4 @@ def exon_candidates(spark, sf_dir):
 def fold_means(spark, sf_dir):
     o = T.folds(table(spark, sf_dir, "orders"), 5, "o_orderkey", 3)
     scores = o.groupBy("o_orderpriority", "fold").agg(F.avg("o_totalprice").alias("score"))
-    return T.best_parameters(scores, "o_orderpriority").select(F.col("o_orderpriority").alias("parameters"), "folds")
+    return T.best_parameters(scores, "o_orderpriority").select(F.col("o_orderpriority").alias("parameters"), "folds", F.round("mean", 6).alias("mean"))
