@@ -70,7 +70,11 @@ def joined_neighbours(blocks: DataFrame, most: int = 9) -> DataFrame:
     return numbered.select("ref", "block", "joined")
 
 
-def profile(alignment: DataFrame, pseudo: float = 1.0, letters: str = "GDERKNQSTAVLIFYWHMCP", most_gaps: float = 0.5) -> DataFrame:
+#: Fixed value: the order of residues in profiles.
+RESIDUES = "GDERKNQSTAVLIFYWHMCP"
+
+
+def profile(alignment: DataFrame, pseudo: float = 1.0, letters: str = RESIDUES, most_gaps: float = 0.5) -> DataFrame:
     """Protein alignment rows (``text``) as a profile: ``block, col, aa, prob``.
 
     Columns with a larger share of gaps than ``most_gaps`` part the blocks; pseudocounts are spread evenly.

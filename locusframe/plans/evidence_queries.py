@@ -237,9 +237,10 @@ def attach_hints(spark, sf_dir):
 
 @query("hint_type_join", f"with {HINTS} select t.name, count(*) as n from (values (0, 'CDS'), (1, 'exon'), (2, 'intron')) t(id, name) join hints h on h.type = t.name join (select distinct s_suppkey from supplier) q on q.s_suppkey = h.seq group by t.name")
 def hint_type_join(spark, sf_dir):
-    hints(spark, sf_dir).createOrReplaceTempView("lf_hints")
-    table(spark, sf_dir, "supplier").select("s_suppkey").createOrReplaceTempView("lf_seqnames")
-    return spark.sql("select t.name, count(*) as n from (values (0, 'CDS'), (1, 'exon'), (2, 'intron')) t(id, name) join lf_hints h on h.type = t.name join lf_seqnames q on q.s_suppkey = h.seq group by t.name")
+    """Hints by a list of types and a list of sequences: tables are named in the text, and no views are left behind."""
+    names = table(spark, sf_dir, "supplier").select("s_suppkey")
+    text = "select t.name, count(*) as n from (values (0, 'CDS'), (1, 'exon'), (2, 'intron')) t(id, name) join {h} h on h.type = t.name join {q} q on q.s_suppkey = h.seq group by t.name"
+    return spark.sql(text, h=hints(spark, sf_dir), q=names)
 
 
 @query("anti_names", "select distinct l_suppkey as seq from lineitem where not exists (select 1 from supplier where s_suppkey = l_suppkey and s_suppkey % 2 = 0)")

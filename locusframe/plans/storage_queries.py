@@ -2,27 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import read_bam, readers, write_bam, writers
 from ..operators.evidence import in_order
 from ..sources.store import GenomeStore
+from ..tables import shared_path
 from .registry import query
 from .views import IV, SEQ, SIGNAL, intervals, sequences, signal
 
 
 def _path(spark: SparkSession, name: str) -> str:
-    """A new folder in the session's shared one; a temporary one only where the master is local."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="locusframe-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return shared_path(spark, name)
 
 
 def _s(c: str | Column) -> Column:

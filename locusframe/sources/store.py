@@ -13,21 +13,27 @@ from pyspark.sql import functions as F
 
 from ..operators.evidence import in_region
 from ..operators.sequences import chunked, fetch_chunks
+from ..tables import written
 
 CHUNK_BASES = 50_000
 
 
 def dimension(values: DataFrame, column: str, known: DataFrame | None = None) -> DataFrame:
-    """``column, key``: surrogate keys of the distinct values, new ones after those ``known`` (same columns).
+    """``column, key``: surrogate keys of the distinct values, new ones, in order, after those ``known`` (same columns).
 
-    Names are few against the rows they stand for, so one task numbers them.
+    Values are dealt by ranges, numbered inside each, and moved on by what the ranges before hold, so that no
+    task has all of them; what one window orders is a row for each range.
     """
     from pyspark.sql import Window
 
     new = values.select(column).where(F.col(column).isNotNull()).distinct()
     if known is not None:
         new = new.join(known, column, "left_anti")
-    numbered = new.withColumn("key", F.row_number().over(Window.orderBy(column)).cast("long"))
+    new = written(new.repartitionByRange(column).withColumn("_range", F.spark_partition_id()), "dimension")
+    sizes = new.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(column))
+    numbered = new.withColumn("_place", inside).join(before, "_range").select(column, (F.col("_place") + F.col("_before")).cast("long").alias("key"))
     if known is None:
         return numbered
     top = known.agg(F.coalesce(F.max("key"), F.lit(0)).alias("_top"))
