@@ -5,7 +5,8 @@ Exact: two documents link when their sets of word shingles have a Jaccard simila
 
 1. A sketch of shingle counts (fixed size) gives a global order, rare first.  Sets that link share a
    shingle among the first ``n - ceil(t n) + 1`` of either, so only these prefixes are indexed.
-2. Index lists with a single class are dropped.  Each class takes as its pivot the class that leads
+2. Index lists with a single class are dropped: bits of shingles seen twice, summed over all tasks, leave
+   out most of them before anything is shuffled, and counting drops the rest.  Each class takes as its pivot the class that leads
    most of its lists, and pivots of pivots lead families of highly similar sets.
 3. A pivot's answers are its overlaps with the members of its family, ``|P & T| = |P| - |Dt|``, where a
    member T is stored as its difference from the pivot: Dt removed and At added.  A follower S derives
@@ -15,8 +16,8 @@ Exact: two documents link when their sets of word shingles have a Jaccard simila
    stay open.  Of those, only the shared differences are counted.
 4. Lists that mix families are joined for pairs across families.  A list is cut into blocks by set
    size and position, and a block meets only those blocks of its list whose sizes and remaining
-   shingles let some pair link; the others are skipped before any pair is formed.  A pair is formed only
-   in the first list it shares.  The pairs that are left are verified on whole sets.
+   shingles let some pair link; the others are skipped before any pair is formed.  The pairs that are
+   left are verified on whole sets.
 
 Shingles are 64-bit hashes, and a class is named by a 64-bit hash of its set.
 """
@@ -37,8 +38,8 @@ from .components import components
 
 SHINGLE_WORDS, PERCENT = 4, 85
 #: Counters of the sketch that orders shingles, bits of the filter of wanted documents and classes,
-#: and of that of shingles which several classes have.
-SKETCH_BITS, FILTER_BITS, TOKEN_BITS = 22, 24, 26
+#: of that of shingles which several classes have, and of that of shingles seen twice in prefixes.
+SKETCH_BITS, FILTER_BITS, TOKEN_BITS, TWICE_BITS = 22, 24, 26, 27
 #: Members of a family in one block, about.
 BLOCK = 256
 #: Bands of set sizes in a list: so many within the range of sizes that can link.
@@ -153,7 +154,25 @@ def _with_bit(broadcast):
     return run
 
 
-def _repeated(broadcast):
+def seen_twice(lists: DataFrame) -> np.ndarray:
+    """Bits of the shingles that occur twice or more in the one column of lists; others may share a bit with one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one, two = np.zeros(1 << (TWICE_BITS - 3), np.uint8), np.zeros(1 << (TWICE_BITS - 3), np.uint8)
+        for batch in batches:
+            at = np.sort(_bit_of(np.asarray(batch.column(0).flatten()), TWICE_BITS))
+            new = np.ones(len(at), bool)
+            new[1:] = at[1:] != at[:-1]
+            bit = np.uint8(128) >> (at & 7).astype(np.uint8)
+            again = ~new | (one[at >> 3] & bit > 0)
+            np.bitwise_or.at(two, at[again] >> 3, bit[again])
+            np.bitwise_or.at(one, at >> 3, bit)
+        yield _bins.twice_parts(one.view(np.int64), two.view(np.int64))
+
+    return _bins.merged(lists.mapInArrow(run, _bins.PARTS), _bins.tasks_of(lists), (1 << TWICE_BITS) // 64, twice=True)
+
+
+def _repeated(broadcast, width: int):
     """Entries of the shingles that the filter has: the others are surely a single class's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,7 +180,7 @@ def _repeated(broadcast):
             tokens = batch.column("tokens")
             sizes = np.diff(np.asarray(tokens.offsets))
             flat = np.asarray(tokens.flatten())
-            keep = np.flatnonzero(has_bit(broadcast.value, flat, TOKEN_BITS))
+            keep = np.flatnonzero(has_bit(broadcast.value, flat, width))
             row = np.repeat(np.arange(len(sizes)), sizes)
             pos = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             own = pa.array(row[keep])
@@ -287,10 +306,12 @@ def jaccard_join(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = PERC
     prefixes = written(rows.mapInArrow(_prefixes(rank, size, percent), "doc_id bigint, cid bigint, n bigint, tokens array<bigint>"), "jaccard-prefixes")
     named = prefixes.where("doc_id is not null and cid is not null")
 
-    tokens = named.select("cid", F.explode("tokens").alias("token")).groupBy("token").agg(F.min("cid").alias("first"), F.max("cid").alias("last"))
+    entry = "token bigint, cid bigint, n bigint, pos int"
+    twice = spark.sparkContext.broadcast(seen_twice(named.select("tokens")))
+    tokens = named.select("cid", "n", "tokens").mapInArrow(_repeated(twice, TWICE_BITS), entry).groupBy("token").agg(F.min("cid").alias("first"), F.max("cid").alias("last"))
     listed = written(tokens.where("first < last").drop("last"), "jaccard-lists")
     repeated = spark.sparkContext.broadcast(bit_filter(listed.select("token"), TOKEN_BITS))
-    entries = named.select("cid", "n", "tokens").mapInArrow(_repeated(repeated), "token bigint, cid bigint, n bigint, pos int")
+    entries = named.select("cid", "n", "tokens").mapInArrow(_repeated(repeated, TOKEN_BITS), entry)
     lists = written(entries.join(listed, "token").groupBy("token", "cid", "n", "pos", "first").agg(F.lit(1).alias("one")).drop("one"), "jaccard-entries")
 
     votes = lists.groupBy("cid", "first", "n").agg(F.count(F.lit(1)).alias("votes"))
@@ -354,7 +375,7 @@ def _near(n: Column, lo: Column, hi: Column, shared: Column, percent: int) -> Co
 
 
 def _across(lists: DataFrame, family: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs ``a, b`` of different families, each formed in the first list that both are in."""
+    """Candidate pairs ``a, b`` of different families, formed in lists that both are in."""
     owned = written(lists.drop("first").join(family, "cid"), "jaccard-owned")
     bounds = owned.groupBy("token").agg(F.min("lead").alias("one"), F.max("lead").alias("two"), F.min("n").alias("lo"), F.max("n").alias("hi")).where("one < two").select("token", "lo", "hi")
     mixed = written(bounds, "jaccard-mixed")
@@ -373,20 +394,23 @@ def _across(lists: DataFrame, family: DataFrame, percent: int) -> DataFrame:
     spots = meeting.select(spot("token", "band", "place")).unionByName(meeting.select(spot("token", "band_y", "place_y"))).distinct()
     met = entry.sparkSession.sparkContext.broadcast(bit_filter(spots, TOKEN_BITS))
     kept = by_class.mapInArrow(_meeting_spots(met), "cid bigint, n bigint, lead bigint, own array<struct<pos:int,token:bigint,lo:bigint,hi:bigint>>, keep array<int>")
-    kept = kept.select("cid", "n", "lead", "own", F.explode("keep").alias("at")).withColumn("here", F.get("own", F.col("at"))).where(open_list)
-    kept = kept.select("cid", "n", "lead", *place, F.transform("own", lambda e: e["token"]).alias("own"), "at").withColumns(_block(F.col("n"), F.col("pos"), percent))
+    # two bytes of each shingle bound what two classes share, and are a fraction of what whole ones would shuffle
+    marks = F.transform("own", lambda e: F.shiftright(e["token"], 48).cast("short"))
+    kept = kept.withColumn("marks", marks).withColumn("extra", F.size("marks") - F.size(F.array_distinct("marks")))
+    kept = kept.select("cid", "n", "lead", "own", "marks", "extra", F.explode("keep").alias("at")).withColumn("here", F.get("own", F.col("at"))).where(open_list)
+    kept = kept.select("cid", "n", "lead", *place, "marks", "extra").withColumns(_block(F.col("n"), F.col("pos"), percent))
     x = kept.join(meeting, ["token", "band", "place"]).alias("x")
     y = kept.alias("y")
     smaller = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.cid") < F.col("y.cid")))
     left = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
     reach = (100 * F.col("x.n") >= percent * F.col("y.n")) & ((100 + percent) * left >= percent * (F.col("x.n") + F.col("y.n")))
-    first = ~F.arrays_overlap(F.slice("x.own", F.lit(1), F.col("x.at")), F.slice("y.own", F.lit(1), F.col("y.at")))
-    count = _enough(F.col("x.n"), F.col("y.n"), F.size(F.array_intersect("x.own", "y.own")), percent)
+    count = _enough(F.col("x.n"), F.col("y.n"), F.size(F.array_intersect("x.marks", "y.marks")) + F.col("x.extra"), percent)
     # a pivot that follows another is also a member of its own family, where it has met its followers
     apart = (F.col("x.lead") != F.col("y.lead")) & (F.col("x.lead") != F.col("y.cid")) & (F.col("y.lead") != F.col("x.cid"))
     block = (F.col("x.token") == F.col("y.token")) & (F.col("x.band_y") == F.col("y.band")) & (F.col("x.place_y") == F.col("y.place"))
-    joined = x.join(y, block & apart & smaller & reach & first & count)
-    pairs = written(joined.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")), "jaccard-pairs")
+    joined = x.join(y, block & apart & smaller & reach & count)
+    # a pair may be formed in several of the lists that both are in
+    pairs = written(joined.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct(), "jaccard-pairs")
     dropped(owned, mixed, by_class, meeting)
     return pairs
 
