@@ -190,7 +190,7 @@ def test_near_duplicates_at_five_words_and_80_percent(spark):
 
 
 def test_every_contract_has_a_query():
-    assert [n.split("_")[0] for n in QUERIES] == [f"op{k}" for k in range(1, 11)]
+    assert [n.split("_")[0] for n in QUERIES] == [f"op{k}" for k in range(1, 14)]
     assert set(SQL) <= set(QUERIES)
 
 
