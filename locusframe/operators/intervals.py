@@ -77,18 +77,19 @@ def overlap_anti(left: DataFrame, right: DataFrame, on: Sequence[str] = ("seq",)
     return keyed.join(met, "_key", "left_anti").drop("_key")
 
 
-def clustered(df: DataFrame, on: Sequence[str] = ("seq",), touching: bool = False, gap: int = 0, out: str = "cluster", chunk: int = CHUNK) -> DataFrame:
+def clustered(df: DataFrame, on: Sequence[str] = ("seq",), touching: bool = False, gap: int = 0, out: str = "cluster", chunk: int = CHUNK, ties: Sequence[str] = ()) -> DataFrame:
     """``df`` with the number, from 1, of each interval's overlap cluster along its sequence.
 
     A cluster ends where the next start is beyond the largest end so far: with ``touching`` adjacent
-    intervals join (start = end + 1), with ``gap`` also those up to so many bases apart.
+    intervals join (start = end + 1), with ``gap`` also those up to so many bases apart.  ``ties`` order
+    intervals of equal start and end, which matters only where they don't join.
     """
     reach = gap + (1 if touching else 0)
-    order = ["start", "end"]
+    order = ["start", "end", *ties]
     seen = max_before(df, on, "start", order, "end", "_reach", chunk)
     fresh = seen.withColumn("_new", F.when(F.col("_reach").isNull() | (F.col("start") > F.col("_reach") + reach), 1).otherwise(0)).drop("_reach")
     # rows with equal start and end are alike here but for the first of them, which comes first
-    return running_sum(fresh, on, "start", ["start", "end", F.desc("_new")], "_new", out, chunk).drop("_new")
+    return running_sum(fresh, on, "start", [*order, F.desc("_new")], "_new", out, chunk).drop("_new")
 
 
 def merged(df: DataFrame, on: Sequence[str] = ("seq",), touching: bool = False, gap: int = 0, chunk: int = CHUNK) -> DataFrame:

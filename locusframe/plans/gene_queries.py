@@ -160,7 +160,7 @@ def geneset_clusters(spark, sf_dir):
 
 
 @query("geneset_slack_clusters", f"""with recursive {_TX}, flagged as (select *, tid % 3 = 0 as open, case when s < max(e) over (partition by seq order by s, e, (tid % 3 <> 0)::int, tid rows between unbounded preceding and 1 preceding) then 0 else 1 end as fresh from tx),
-numbered as (select *, sum(fresh) over (partition by seq order by s, e, fresh desc rows unbounded preceding) as unit from flagged),
+numbered as (select *, sum(fresh) over (partition by seq order by s, e, (not open)::int, tid rows unbounded preceding) as unit from flagged),
 units as (select seq, unit, min(s) as s, max(e) as e, count(*) as n, arg_min(open, (s, e, (not open)::int)) as open from numbered group by seq, unit),
 linked as (select *, coalesce(open and s < lag(e) over (partition by seq order by unit) + 40, false) as link from units),
 walk as (
