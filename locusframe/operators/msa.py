@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.sequence import let
 from .intervals import overlap_join
 
+#: Fixed value: code point of a gap.
+GAP = ord("-")
+
 
 def filtered(maf: DataFrame, species: list[str] | None = None, least_rows: int = 2, regions: DataFrame | None = None) -> DataFrame:
     """Blocks with at least ``least_rows`` rows of ``species`` that (their forward span) overlap a region.
@@ -27,10 +33,26 @@ def filtered(maf: DataFrame, species: list[str] | None = None, least_rows: int =
 
 def without_gap_columns(maf: DataFrame) -> DataFrame:
     """Rows without the columns in which all rows of their block have gaps."""
-    letters = maf.select("block", F.posexplode(F.split("text", "")).alias("i", "c"))
-    full = letters.where("c <> '-'").select("block", "i").distinct().groupBy("block").agg(F.array_sort(F.collect_list("i")).alias("_keep"))
-    kept = let(F.split("text", ""), lambda x: F.array_join(F.transform("_keep", lambda i: F.get(x, i)), ""))
-    return maf.join(full, "block").withColumn("text", kept).drop("_keep")
+    rows = maf.where("block is not null").groupBy("block").agg(F.collect_list(F.struct(*maf.columns)).alias("rows"))
+    names, at = maf.columns, maf.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            blocks = batch.column(0)
+            for k in range(len(blocks)):
+                own = blocks[k].values
+                texts = [None if t is None else _letters(t) for t in own.field(at).to_pylist()]
+                width = max((len(t) for t in texts if t is not None), default=0)
+                keep = np.zeros(width, bool)
+                for t in texts:
+                    if t is not None:
+                        keep[: len(t)] |= t != GAP
+                if keep.any():
+                    cut = [None if t is None else t[keep[: len(t)]].tobytes().decode("utf-32-le") for t in texts]
+                    columns = [pa.array(cut, pa.string()) if i == at else own.field(i) for i in range(len(names))]
+                    yield pa.RecordBatch.from_arrays(columns, names)
+
+    return rows.select("rows").mapInArrow(run, maf.schema)
 
 
 def conservation(maf: DataFrame, n_species: int) -> DataFrame:
@@ -38,11 +60,31 @@ def conservation(maf: DataFrame, n_species: int) -> DataFrame:
 
     Absent rows count in the divisor.
     """
-    letters = maf.select("block", F.posexplode(F.split(F.upper("text"), "")).alias("i", "c")).where("c in ('A', 'C', 'G', 'T')")
-    counts = letters.groupBy("block", "i", "c").agg(F.count(F.lit(1)).alias("n"))
-    sums = counts.groupBy("block", "i").agg(F.sum("n").alias("t"), F.sum(F.col("n") * F.log2(F.col("n").cast("double"))).alias("s"))
-    entropy = F.log2(F.col("t").cast("double")) - F.col("s") / F.col("t")
-    return sums.select("block", "i", ((1 - entropy / 2) * F.col("t") / n_species).alias("score"))
+    rows = maf.where("text is not null").groupBy("block").agg(F.collect_list(F.upper("text")).alias("texts"))
+    kind = dict(maf.dtypes)["block"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, blocks = batch.column(0), batch.column(1)
+            for k in range(len(blocks)):
+                texts = [_letters(t) for t in blocks[k].as_py()]
+                counts = np.zeros((4, max(len(t) for t in texts)))
+                for t in texts:
+                    for c, letter in enumerate(b"ACGT"):
+                        counts[c, : len(t)] += t == letter
+                total = counts.sum(axis=0)
+                at = np.flatnonzero(total)
+                n, t = counts[:, at], total[at]
+                entropy = np.log2(t) - (n * np.log2(np.maximum(n, 1))).sum(axis=0) / t
+                score = (1 - entropy / 2) * t / n_species
+                yield pa.RecordBatch.from_arrays([pa.repeat(names[k], len(at)), pa.array(at, pa.int32()), pa.array(score)], ["block", "i", "score"])
+
+    return rows.mapInArrow(run, f"block {kind}, i int, score double")
+
+
+def _letters(text: str) -> np.ndarray:
+    """Code points of a text."""
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32)
 
 
 def ortho_tuples(candidates: DataFrame, least: int = 2) -> DataFrame:
