@@ -54,3 +54,26 @@ def test_alignment_columns_stay_in_their_block(spark):
     cut = msa.without_gap_columns(maf)
     assert {(r.block, r.species): r.text for r in cut.collect()} == kept
     assert "Generate" not in plan(got) and "Generate" not in plan(cut)
+
+
+def test_codon_columns_are_summed_without_a_join(spark):
+    """Tables of leaves and pairs of leaves give the likelihoods of pruning, on trees of both shapes."""
+    rng = random.Random(7)
+    for newick, n in (("((a:0.2,b:0.3):0.1,(c:0.15,d:0.4):0.2);", 4), ("(a:0.2,(b:0.3,(c:0.1,d:0.4):0.2):0.5,e:0.3);", 5)):
+        tree = parse_newick(newick)
+        labels = np.array([[rng.randrange(-1, 61) for _ in range(n)] for _ in range(300)])
+        q, f = phylo.codon_matrix(0.4, 4.0)
+        matrices = [phylo.transition(q, f, t) for t in tree.length]
+        assert np.allclose(phylo.Pruner(tree, matrices, f)(labels), phylo.pruned_likelihoods(tree, matrices, f, labels), rtol=1e-12)
+    tree = parse_newick("((a:0.2,b:0.3):0.1,(c:0.15,d:0.4):0.2);")
+    rows = [(k % 3, ",".join(rng.choice([*phylo.CODONS[:9], "---", "nnn", "tga", "acg"]) for _ in range(4))) for k in range(200)]
+    frame = spark.createDataFrame(rows, "exon bigint, pattern string")
+    out = phylo.omega(frame, tree)
+    assert "Join" not in plan(out)
+    each = {r.pattern: (r.loglik, r.changes) for r in phylo.column_scores(frame, tree).collect()}
+    for r in out.collect():
+        own = [each[p] for e, p in rows if e == r.exon]
+        sums = np.sum([x for x, _ in own], axis=0)
+        weight = np.exp(sums - sums.max())
+        assert abs(r.omega - (weight * phylo.OMEGAS).sum() / weight.sum()) < 1e-9
+        assert (r.columns, r.changes) == (len(own), sum(c for _, c in own))
