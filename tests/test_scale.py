@@ -88,3 +88,22 @@ def test_many_sequences_are_decoded_side_by_side(monkeypatch):
     assert decode.viterbi_many(model, texts) == want
     monkeypatch.setattr(decode, "CELLS", 700)
     assert decode.viterbi_many(model, texts) == want
+
+
+def test_header_is_read_once_for_all_ranges_of_a_file(tmp_path, monkeypatch):
+    """Ranges of a file share its header, and records are still each given once; a file written anew is read anew."""
+    from locusframe.sources import bam
+
+    calls, read = [], bam.read_header
+    monkeypatch.setattr(bam, "read_header", lambda f: calls.append(1) or read(f))
+    refs = [(f"c{k}", 1000) for k in range(500)]
+    for n in (300, 301):
+        rows = [{"qname": f"r{k}", "flag": 0, "rname": f"c{k % 500}", "pos": k + 1, "mapq": 9, "cigar": "4M", "rnext": "=", "pnext": 5, "tlen": 0, "seq": "ACGT", "qual": "*", "tags": []} for k in range(n)]
+        data = bam.header_bytes(refs) + b"".join(bam.record_bytes(r, {x: i for i, (x, _) in enumerate(refs)}) for r in rows)
+        (tmp_path / "a.bam").write_bytes(b"".join(bam.block_bytes(data[i : i + 700]) for i in range(0, len(data), 700)) + bam._EOF)
+        calls.clear()
+        reader = bam._Reader({"path": tmp_path.as_uri(), "splitBytes": "2000"})
+        parts = reader.partitions()
+        got = [r for p in parts for batch in reader.read(p) for r in batch.to_pylist()]
+        assert len(parts) > 3 and len(calls) == 1
+        assert sorted((r["qname"], r["rname"], r["rnext"]) for r in got) == sorted((r["qname"], r["rname"], "=") for r in rows)
