@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import grade_class
+from ..tables import written
 from .intervals import BIN, overlap_join
 
 #: The hint types in their order, which has a meaning, and short names of some.
@@ -89,60 +90,70 @@ def compatible(t1: Column, s1: Column, e1: Column, st1: Column, t2: Column, s2:
     ``own`` is the strand of the hint that asks, which decides at what end a signal belongs: by default
     that of the first.  It matters only where one of the two has no strand.
     """
-    own = st1 if own is None else own
+    return _compatible(_rule_of(type_id(t1), type_id(t2), t1 == t2), type_id(t1), s1, e1, st1, type_id(t2), s2, e2, st2, st1 if own is None else own)
+
+
+def _rule(p: str, q: str) -> str:
+    """The name of the rule for overlapping hints of types ``p`` and ``q`` on one strand, ``p`` not after ``q`` in their order."""
+    if p == q:
+        return "equal" if p in ("exon", "intron", "CDS", "UTR") else "yes"
+    if p in ("start", "stop"):
+        if q in ("intronpart", "intron", "irpart", "nonexonpart", "UTR", "UTRpart"):
+            return "out"
+        return {"CDS": "codon", "CDSpart": "end"}.get(q, "yes")
+    if p in ("ass", "dss"):
+        return "out" if q in ("irpart", "UTR", "UTRpart", "exonpart", "exon", "CDS", "CDSpart") else "end" if q in ("intron", "intronpart") else "yes"
+    if p in ("tss", "tts"):
+        return "out" if q in ("irpart", "intron", "intronpart", "nonexonpart", "CDS", "CDSpart") else "margin" if q in ("UTR", "UTRpart", "exon", "exonpart") else "yes"
+    if p in ("exonpart", "exon") and q in ("intronpart", "intron", "irpart", "nonexonpart"):
+        return "no"
+    if p == "exonpart":
+        return {"exon": "inside", "UTR": "bare"}.get(q, "yes")
+    if p == "exon":
+        return "contains" if q in ("CDS", "CDSpart", "UTRpart") else "side" if q == "UTR" else "yes"
+    if p in ("intronpart", "intron"):
+        return "inside" if q == "intron" else "no" if q in ("irpart", "CDS", "CDSpart", "UTR", "UTRpart") else "yes"
+    if p == "irpart":
+        return "yes" if q == "nonexonpart" else "no"
+    return "contains" if (p, q) in (("CDS", "CDSpart"), ("UTR", "UTRpart")) else "no"
+
+
+_RULES = ("no", "yes", "equal", "out", "inside", "contains", "end", "codon", "margin", "bare", "side")
+
+
+def _rule_of(i1: Column, i2: Column, same: Column) -> Column:
+    """The place in ``_RULES`` for two type ids, the smaller first: one look-up in a fixed table.  Unknown types agree with themselves alone."""
+    codes = F.array(*[F.lit(_RULES.index(_rule(p, q))) for p in TYPES for q in TYPES])
+    return F.coalesce(F.get(codes, F.when((i1 >= 0) & (i2 >= 0), i1 * len(TYPES) + i2)), F.when(same, 1).otherwise(0))
+
+
+def _compatible(rule: Column, i1: Column, s1: Column, e1: Column, st1: Column, i2: Column, s2: Column, e2: Column, st2: Column, own: Column) -> Column:
+    """:func:`compatible` by type ids and the pair's rule (:func:`_rule_of`)."""
     overlap = (s1 <= e2) & (s2 <= e1)
     inside = (s2 <= s1) & (e1 <= e2)
     strict = (s2 < s1) & (e1 < e2)
-    equal = (s1 == s2) & (e1 == e2)
     contains = (s1 <= s2) & (e2 <= e1)
-    signal1, signal2 = t1.isin(*SIGNALS), t2.isin(*SIGNALS)
+    signals = [i.between(0, len(SIGNALS) - 1) for i in (i1, i2)]
     middle = F.floor(F.abs((e1 + s1) - (e2 + s2)) / 2)
-    near = F.when(t1 == "tts", middle <= TTS_DISTANCE).when(t1 == "tss", middle <= TSS_DISTANCE).otherwise(False)
-    apart = ~((t1 == t2) & (st1 == st2) & near)
-
-    sticks_out = ((signal1 & ~inside) | (signal2 & ~((s1 <= s2) & (e2 <= e1))))
-    opposite = (signal1 & signal2) | ((signal1 | signal2) & sticks_out)
-    same = equal | ~t1.isin("exon", "intron", "CDS", "UTR")
-
-    # a start on + or a stop on - belongs to the left end of what is coding, the others to the right
-    left_end = F.when(t1 == "start", own == "+").otherwise(own == "-")
-    wrong_end = F.when(own.isin("+", "-"), F.when(left_end, s1 > s2).otherwise(e1 < e2)).otherwise(False)
+    tts, tss = TYPES.index("tts"), TYPES.index("tss")
+    near = F.when(i1 == tts, middle <= TTS_DISTANCE).when(i1 == tss, middle <= TSS_DISTANCE).otherwise(False)
+    apart = ~((i1 == i2) & (st1 == st2) & near)
+    opposite = (signals[0] & signals[1]) | (signals[0] & ~inside) | (signals[1] & ~contains)
+
+    # start, dss and tss on + stand at the left end of what they belong to, the others at the right; on - the other way round
+    left = i1.isin(*[TYPES.index(t) for t in ("start", "dss", "tss")]) == (own == "+")
+    known = own.isin("+", "-")
+    off = strict | F.when(known, F.when(left, s1 > s2).otherwise(e1 < e2)).otherwise(False)
     short = (e1 < s2 + 2) | (s1 > e2 - 2)
-    codon = F.when(t2.isin("intronpart", "intron", "irpart", "nonexonpart", "UTR", "UTRpart"), ~inside).when(t2.isin("CDS", "CDSpart"), ~(strict | wrong_end | ((t2 == "CDS") & short))).otherwise(True)
-
-    # a dss on + or an ass on - stands at the left end of an intron
-    left_site = F.when(t1 == "dss", own == "+").otherwise(own == "-")
-    wrong_site = F.when(own.isin("+", "-"), F.when(left_site, s1 > s2).otherwise(e1 < e2)).otherwise(False)
-    splice = F.when(t2.isin("irpart", "UTR", "UTRpart", "exonpart", "exon", "CDS", "CDSpart"), ~inside).when(t2.isin("intron", "intronpart"), ~(strict | wrong_site)).otherwise(True)
-
     to_left, to_right = F.greatest(s1 - s2, s2 - e1) <= UTR_MARGIN, F.greatest(e2 - e1, s1 - e2) <= UTR_MARGIN
-    left_utr = F.when(t1 == "tss", own == "+").otherwise(own == "-")
-    at_end = F.when(own.isin("+", "-"),F.when(left_utr, to_left).otherwise(to_right)).otherwise(to_left | to_right)
-    utr_end = F.when(t2.isin("irpart", "intron", "intronpart", "nonexonpart", "CDS", "CDSpart"), ~inside).when(t2.isin("UTR", "UTRpart", "exon", "exonpart"), at_end).otherwise(True)
-
-    exonpart = F.when(t2.isin("intronpart", "intron", "irpart", "nonexonpart"), False).when(t2 == "exon", inside).when(t2 == "UTR", ~((s1 < s2) & (e1 > e2))).otherwise(True)
-    exon = (
-        F.when(t2.isin("intronpart", "intron", "irpart", "nonexonpart"), False)
-        .when(t2.isin("CDS", "CDSpart", "UTRpart"), contains)
-        .when(t2 == "UTR", ((s1 == s2) & (e1 >= e2)) | ((e1 == e2) & (s1 <= e2)))
-        .otherwise(True)
-    )
-    intronpart = F.when(t2 == "intron", inside).when(t2.isin("irpart", "CDS", "CDSpart", "UTR", "UTRpart"), False).otherwise(True)
-    intron = F.when(t2.isin("irpart", "CDS", "CDSpart", "UTR", "UTRpart"), False).otherwise(True)
-    rules = (
-        F.when(t1.isin("start", "stop"), codon)
-        .when(t1.isin("ass", "dss"), splice)
-        .when(t1.isin("tss", "tts"), utr_end)
-        .when(t1 == "exonpart", exonpart)
-        .when(t1 == "exon", exon)
-        .when(t1 == "intronpart", intronpart)
-        .when(t1 == "intron", intron)
-        .when(t1 == "irpart", t2 == "nonexonpart")
-        .when(t1 == "CDS", (t2 == "CDSpart") & contains)
-        .when(t1 == "UTR", (t2 == "UTRpart") & contains)
-        .otherwise(False)
-    )
-    return F.when(~overlap, apart).when(_strands_differ(st1, st2), opposite).when(t1 == t2, same).otherwise(rules)
+    tests = {
+        "no": F.lit(False), "yes": F.lit(True), "equal": (s1 == s2) & (e1 == e2), "out": ~inside, "inside": inside, "contains": contains, "end": ~off, "codon": ~(off | short),
+        "margin": F.when(known, F.when(left, to_left).otherwise(to_right)).otherwise(to_left | to_right), "bare": ~((s1 < s2) & (e1 > e2)), "side": ((s1 == s2) & (e1 >= e2)) | ((e1 == e2) & (s1 <= e2)),
+    }
+    out = F.when(~overlap, apart).when(_strands_differ(st1, st2), opposite)
+    for k, name in enumerate(_RULES):
+        out = out.when(rule == k, tests[name])
+    return out.otherwise(False)
 
 
 def weaker(t1: Column, s1: Column, e1: Column, t2: Column, s2: Column, e2: Column) -> Column:
@@ -168,22 +179,27 @@ def _close_ends(hints: DataFrame, other: DataFrame) -> DataFrame:
     return a.join(b, ["seq", "_cell"]).where((F.col("type") == F.col("type_r")) & (F.col("strand") == F.col("strand_r")) & near & apart).drop("_cell")
 
 
-def hint_pairs(hints: DataFrame, other: DataFrame | None = None, width: int = BIN) -> DataFrame:
+def hint_pairs(hints: DataFrame, other: DataFrame | None = None, width: int = BIN, apart: bool = True) -> DataFrame:
     """Pairs of hints that can bear on each other, with ``compatible``, ``weaker`` (first than second) and ``strict``.
 
-    These are the overlapping ones, and tss or tts hints of one strand that are close without overlap.
+    These are the overlapping ones, and with ``apart`` tss or tts hints of one strand that are close without overlap.
     """
     other = hints if other is None else other
-    met = overlap_join(hints, other, ("seq",), width).unionByName(_close_ends(hints, other))
+    # types are numbered once a hint, so that a pair compares numbers and looks its rule up
+    numbered = lambda df: df.withColumn("_tid", type_id(F.col("type")))
+    met = overlap_join(numbered(hints), numbered(other), ("seq",), width)
+    if apart:
+        met = met.unionByName(_close_ends(numbered(hints), numbered(other)))
     c = F.col
-    x, y = ("type", "start", "end", "strand"), ("type_r", "start_r", "end_r", "strand_r")
+    x, y = ("_tid", "start", "end", "strand"), ("_tid_r", "start_r", "end_r", "strand_r")
     # the pair in the order of types, as columns, so that the rules stand in the plan once
-    first = type_id(c("type")) <= type_id(c("type_r"))
+    first = c("_tid") <= c("_tid_r")
     ordered = {f"_a_{k}": F.when(first, c(k)).otherwise(c(r)) for k, r in zip(x, y, strict=True)} | {f"_b_{k}": F.when(first, c(r)).otherwise(c(k)) for k, r in zip(x, y, strict=True)}
+    ordered["_rule"] = _rule_of(F.least("_tid", "_tid_r"), F.greatest("_tid", "_tid_r"), c("type") == c("type_r"))
     strict = ~((c("start") == c("start_r")) & (c("end") == c("end_r")))
-    fits = compatible(*[c(k) for k in ordered], own=c("strand"))
-    out = met.withColumns(ordered).withColumns({"compatible": fits, "weaker": weaker(*[c(k) for k in x[:3]], *[c(k) for k in y[:3]]), "strict": strict})
-    return out.drop(*ordered)
+    fits = _compatible(c("_rule"), *[c(k) for k in ordered if k != "_rule"], own=c("strand"))
+    out = met.withColumns(ordered).withColumns({"compatible": fits, "weaker": weaker(c("type"), c("start"), c("end"), c("type_r"), c("start_r"), c("end_r")), "strict": strict})
+    return out.drop(*ordered, "_tid", "_tid_r")
 
 
 def grouped(hints: DataFrame, key: str = "hint_id") -> DataFrame:
@@ -201,16 +217,25 @@ def group_relations(hints: DataFrame, key: str = "hint_id", width: int = BIN) ->
     """For overlapping groups: ``compatible`` (all pairs of hints are) and ``weaker``.
 
     The first group is weaker if each of its hints is weaker than one of the second, and one of them
-    strictly or the second has a hint beyond the first's range.
+    strictly or the second has a hint beyond the first's range.  Groups of one hint are compared where they
+    meet; only pairs with a larger group are gathered from pairs of hints.
     """
-    ranges = group_ranges(hints).select("seq", "gid", "start", "end", "n")
-    pairs = overlap_join(ranges, ranges, ("seq",), width).where("gid <> gid_r")
-    met = hint_pairs(hints.select("seq", "gid", key, "type", "start", "end", "strand"), None, width).where("gid <> gid_r")
+    own = Window.partitionBy("seq", "gid")
+    rows = written(hints.select("seq", "gid", key, "type", "start", "end", "strand").withColumn("_n", F.count(F.lit(1)).over(own)), "groups-hints")
+    # the hints of larger groups as a table of their own: where it is small it is broadcast, and the others stay where they are
+    one, more = rows.where("_n = 1").drop("_n"), written(rows.where("_n > 1").drop("_n"), "groups-larger")
+    beyond = (F.col("start_r") < F.col("start")) | (F.col("end_r") > F.col("end"))
+    relation = lambda fits, under: ("seq", "gid", "gid_r", F.coalesce(fits, F.lit(True)).alias("compatible"), F.coalesce(under, F.lit(False)).alias("weaker"))
+    alone = hint_pairs(one, None, width, apart=False).where("gid <> gid_r").select(*relation(F.col("compatible"), F.col("weaker") & (F.col("strict") | beyond)))
+
+    small = one.select("seq", "gid", "start", "end", F.lit(1).cast("long").alias("n"))
+    large = written(more.groupBy("seq", "gid").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("n")), "groups-ranges")
+    pairs = overlap_join(large, small.unionByName(large), ("seq",), width).unionByName(overlap_join(small, large, ("seq",), width)).where("gid <> gid_r")
+    met = hint_pairs(more, rows.drop("_n"), width).unionByName(hint_pairs(one, more, width)).where("gid <> gid_r")
     by_hint = met.groupBy("seq", "gid", "gid_r", key).agg(F.every("compatible").alias("fits"), F.max(F.col("weaker").cast("int")).alias("under"), F.max((F.col("weaker") & F.col("strict")).cast("int")).alias("strictly"))
     by_group = by_hint.groupBy("seq", "gid", "gid_r").agg(F.every("fits").alias("fits"), F.sum("under").alias("under"), F.max("strictly").alias("strictly"))
-    out = pairs.join(by_group, ["seq", "gid", "gid_r"], "left")
-    beyond = (F.col("start_r") < F.col("start")) | (F.col("end_r") > F.col("end"))
-    return out.select("seq", "gid", "gid_r", F.coalesce("fits", F.lit(True)).alias("compatible"), F.coalesce((F.col("under") == F.col("n")) & ((F.col("strictly") == 1) | beyond), F.lit(False)).alias("weaker"))
+    gathered = pairs.join(by_group, ["seq", "gid", "gid_r"], "left")
+    return alone.unionByName(gathered.select(*relation(F.col("fits"), (F.col("under") == F.col("n")) & ((F.col("strictly") == 1) | beyond))))
 
 
 def conformance_counts(hints: DataFrame, key: str = "hint_id", width: int = BIN) -> DataFrame:

@@ -5,7 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from locusframe.operators import alignments, decode, msa, phylo, ranges
+from locusframe.operators import alignments, decode, evidence, msa, phylo, ranges
 from locusframe.operators.sequences import fetched
 from locusframe.sources.readers import parse_newick
 
@@ -107,3 +107,38 @@ def test_header_is_read_once_for_all_ranges_of_a_file(tmp_path, monkeypatch):
         got = [r for p in parts for batch in reader.read(p) for r in batch.to_pylist()]
         assert len(parts) > 3 and len(calls) == 1
         assert sorted((r["qname"], r["rname"], r["rnext"]) for r in got) == sorted((r["qname"], r["rname"], "=") for r in rows)
+
+
+def test_groups_of_one_hint_are_compared_where_they_meet(spark):
+    """Relations of groups by their definition; pairs of single hints, which are nearly all, pass no grouping."""
+    rng = random.Random(9)
+    rows = []
+    for i in range(220):
+        a = rng.randrange(300)
+        rows.append((i, rng.choice("xy"), f"g{i}" if i % 10 else f"m{i % 30}", rng.choice(evidence.TYPES), a, a + rng.randrange(40), rng.choice("+-.")))
+    hints = spark.createDataFrame(rows, "hint_id bigint, seq string, gid string, type string, start bigint, end bigint, strand string")
+    sides = (("type", "string"), ("start", "bigint"), ("end", "bigint"), ("strand", "string"))
+    groups = {}
+    for r in rows:
+        groups.setdefault((r[1], r[2]), []).append(r)
+    order = evidence.TYPES.index
+    pairs = [(x[0], y[0], *(z for h in sorted((x, y), key=lambda h: order(h[3])) for z in h[3:]), x[6]) for x in rows for y in rows if x[1] == y[1] and x[0] != y[0]]
+    df = spark.createDataFrame(pairs, ", ".join(["i bigint", "j bigint", *[f"{name}{k} {kind}" for k in (1, 2) for name, kind in sides], "own string"]))
+    c = F.col
+    fits = {(r.i, r.j): r.fits for r in df.select("i", "j", evidence.compatible(*[c(f"{k}1") for k in ("type", "start", "end", "strand")], *[c(f"{k}2") for k in ("type", "start", "end", "strand")], own=c("own")).alias("fits")).collect()}
+    both = spark.createDataFrame([(x[0], y[0], x[3], x[4], x[5], y[3], y[4], y[5]) for x in rows for y in rows if x[1] == y[1]], "i bigint, j bigint, t1 string, s1 bigint, e1 bigint, t2 string, s2 bigint, e2 bigint")
+    weak = {(r.i, r.j): r.w for r in both.select("i", "j", evidence.weaker(*[c(k) for k in ("t1", "s1", "e1", "t2", "s2", "e2")]).alias("w")).collect()}
+    want = {}
+    for (seq, g), own in groups.items():
+        for (other, k), theirs in groups.items():
+            lo, hi, lo2, hi2 = min(r[4] for r in own), max(r[5] for r in own), min(r[4] for r in theirs), max(r[5] for r in theirs)
+            if seq != other or g == k or lo > hi2 or lo2 > hi:
+                continue
+            under = [any(weak[x[0], y[0]] for y in theirs) for x in own]
+            strictly = any(weak[x[0], y[0]] and x[4:6] != y[4:6] for x in own for y in theirs)
+            want[seq, g, k] = (all(fits[x[0], y[0]] for x in own for y in theirs), all(under) and (strictly or lo2 < lo or hi2 > hi))
+    got = evidence.group_relations(hints, width=64)
+    assert {(r.seq, r.gid, r.gid_r): (r.compatible, r.weaker) for r in got.collect()} == want
+    # one branch of the union has no aggregate at all: that of single hints
+    branches = got._jdf.queryExecution().optimizedPlan().children()
+    assert "Aggregate" not in branches.apply(0).toString() and "Window" not in branches.apply(0).toString()
