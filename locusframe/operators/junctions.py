@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -82,45 +87,77 @@ def junctions_on_genome(sam: DataFrame, junctions: DataFrame, only_spliced: bool
     return rows.select(*sam.columns)
 
 
-def motif_pairs(spots: DataFrame, motifs: DataFrame, longest: int, shortest: int = 0, width: int = 1 << 14) -> DataFrame:
+def motif_places(sequences: DataFrame, motifs: Sequence[str]) -> DataFrame:
+    """``seq, pos, motif``: every place (1-based, its first base) of each of ``motifs`` (ASCII, by number) in the texts ``seq, bases``.
+
+    A batch of texts is searched at once, as bytes; places that overlap count, and none reaches over a text's end.
+    """
+    wanted = [np.frombuffer(m.encode("ascii"), np.uint8) for m in motifs]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = pc.fill_null(batch.column("bases").cast(pa.large_string()), "")
+            edges = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+            data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[: edges[-1]]
+            # number of the letter that a byte belongs to
+            letter = np.cumsum((data & 0xC0) != 0x80)
+            for k, m in enumerate(wanted):
+                n = len(m)
+                if len(data) < n:
+                    continue
+                fits = np.ones(len(data) - n + 1, bool)
+                for j, b in enumerate(m):
+                    fits &= data[j : len(data) - n + 1 + j] == b
+                at = np.flatnonzero(fits)
+                at = at[at >= edges[0]]
+                row = np.searchsorted(edges, at, "right") - 1
+                inside = at + n <= edges[row + 1]
+                at, row = at[inside], row[inside]
+                pos = letter[at] - letter[edges[row]] + 1
+                yield pa.RecordBatch.from_arrays([batch.column("seq").take(pa.array(row)), pa.array(pos, pa.int64()), pa.array(np.full(len(at), k, np.int32))], ["seq", "pos", "motif"])
+
+    return sequences.select("seq", "bases").mapInArrow(run, f"seq {dict(sequences.dtypes)['seq']}, pos bigint, motif int")
+
+
+def motif_pairs(spots: DataFrame, motifs: DataFrame, longest: int, shortest: int = 0, width: int = 1 << 14, by: Sequence[str] = ("seq",), keep: Sequence[str] = ()) -> DataFrame:
     """``spot, seq, start, end``: pairs of an opening and a closing motif in the two ranges of a spot.
 
-    ``spots``: ``spot, seq, left_start, left_end, right_start, right_end`` (closed); ``motifs``: ``seq, pos, opening`` (boolean).  The
+    ``spots``: ``spot, seq, left_start, left_end, right_start, right_end`` (closed); ``motifs``: ``seq, pos, opening`` (boolean).  Both
+    agree in the columns ``by``, and those in ``keep`` come along from the spots.  The
     distance ``end - start`` is from ``shortest`` to ``longest``.  Positions stay rows: each range is joined with its
     motifs by bins, and both lists are joined by spot and a bin of ``longest`` bases, so that a spot with
-    thousands of motifs is spread over its bins and pairs too far apart are never formed.
+    thousands of motifs is spread over its bins and pairs too far apart are never formed.  Bins of ``width`` should be about as long as
+    the ranges: all ranges of a bin are compared with all of its motifs.
     """
     longest = max(1, longest)
-    points = motifs.select("seq", "pos", "opening").where("pos is not null").distinct()
+    points = motifs.select(*by, "pos", "opening").where("pos is not null").distinct()
 
-    def inside(side: str, opening: bool) -> DataFrame:
-        ranges = spots.select("spot", "seq", F.col(f"{side}_start").alias("start"), F.col(f"{side}_end").alias("end"))
-        met = containing_points(points.where(F.col("opening") == opening).select("seq", "pos"), ranges, width=width)
-        return met.select(F.col("spot_r").alias("spot"), "seq", "pos")
+    def inside(side: str, opening: bool, more: Sequence[str]) -> DataFrame:
+        ranges = spots.select("spot", *by, *more, F.col(f"{side}_start").alias("start"), F.col(f"{side}_end").alias("end"))
+        met = containing_points(points.where(F.col("opening") == opening).select(*by, "pos"), ranges, on=by, width=width)
+        return met.select(F.col("spot_r").alias("spot"), *by, "pos", *[F.col(c + "_r").alias(c) for c in more])
 
     # as tables, so that a hot spot can be split over tasks
-    first, last = (written(inside(side, opening), "motifs") for side, opening in (("left", True), ("right", False)))
+    first, last = (written(inside(side, opening, more), "motifs") for side, opening, more in (("left", True, keep), ("right", False, ())))
     bins = F.sequence(F.floor((F.col("pos") + shortest) / longest), F.floor((F.col("pos") + longest) / longest))
-    near = first.select("spot", "seq", F.col("pos").alias("start"), F.explode(bins).alias("bin"))
-    far = last.select("spot", "seq", F.col("pos").alias("end"), F.floor(F.col("pos") / longest).alias("bin"))
-    return near.join(far, ["spot", "seq", "bin"]).where((F.col("end") - F.col("start")).between(shortest, longest)).drop("bin")
+    near = first.select("spot", *by, *keep, F.col("pos").alias("start"), F.explode(bins).alias("bin"))
+    far = last.select("spot", *by, F.col("pos").alias("end"), F.floor(F.col("pos") / longest).alias("bin"))
+    return near.join(far, ["spot", *by, "bin"]).where((F.col("end") - F.col("start")).between(shortest, longest)).drop("bin")
 
 
-def splice_candidates(jumps: DataFrame, motifs: DataFrame, reach: int, longest: int) -> DataFrame:
-    """``seq, start, end, strand``: introns between the motifs around two neighbouring segments of coverage.
+def splice_candidates(jumps: DataFrame, motifs: DataFrame, reach: int, longest: int, width: int = 1 << 14) -> DataFrame:
+    """``seq, start, end, strand, sign``: introns between the motifs around two neighbouring segments of coverage.
 
     ``jumps``: ``spot, seq, start, end, strand, start_next, end_next, strand_next`` (see ``signals.coverage_jumps``); strands must agree
     or be ``.``, and the intron has the strand of both or ``.``.  ``motifs``: ``seq, pos, opening, strand``, first base of opening and
     last base of closing motifs in reading direction of the sequence.  Openings are looked for up to ``reach`` bases around
     the first segment, closings around the start of the next; forward motifs if a strand is ``+`` or both are ``.``, reverse ones likewise.
+    ``sign`` is the motifs' strand, ``width`` as in :func:`motif_pairs`.
     """
     a, b = F.col("strand"), F.col("strand_next")
     agree = jumps.where((a == b) | (a == ".") | (b == ".")).withColumn("own", F.when(a == b, a).otherwise(F.lit(".")))
     ranges = [(F.col("start") - reach).alias("left_start"), (F.col("end") + reach).alias("left_end"), (F.col("start_next") - reach).alias("right_start"), (F.col("start_next") + reach).alias("right_end")]
-    out = None
-    for sign in "+-":
-        spots = agree.where((a == sign) | (b == sign) | ((a == ".") & (b == ".")))
-        found = motif_pairs(spots.select("spot", "seq", *ranges), motifs.where(F.col("strand") == sign), longest)
-        found = found.join(spots.select("spot", F.col("own").alias("strand")), "spot")
-        out = found if out is None else out.unionByName(found)
-    return out.select("spot", "seq", "start", "end", "strand")
+    signs = F.filter(F.array(F.lit("+"), F.lit("-")), lambda x: (a == x) | (b == x) | ((a == ".") & (b == ".")))
+    spots = agree.select("spot", "seq", *ranges, "own", F.explode(signs).alias("sign"))
+    found = motif_pairs(spots, motifs.select("seq", "pos", "opening", F.col("strand").alias("sign")), longest, width=width, by=("seq", "sign"), keep=("own",))
+    return found.select("spot", "seq", "start", "end", F.col("own").alias("strand"), "sign")

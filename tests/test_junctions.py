@@ -100,3 +100,19 @@ def test_a_model_is_learned_and_checked(spark):
     assert model.sum() == 9 and model[2, 3, 2] == 2
     with pytest.raises(ValueError):
         simulate.sampled_cds(spark.range(1), np.ones((3, 4, 4)))
+
+
+def test_motif_places(spark):
+    """Each place of a motif, overlapping ones and those behind wide letters too, and none over a text's end."""
+    rng = random.Random(5)
+    texts = {k: "".join(rng.choice("actgé") for _ in range(rng.randrange(0, 90))) for k in range(60)} | {60: "aaa", 61: "c", 62: "t", 63: None}
+    places = junctions.motif_places(spark.createDataFrame(list(texts.items()), "seq bigint, bases string"), ("ct", "aa", "t"))
+    got = sorted(tuple(r) for r in places.collect())
+    assert got == sorted((k, i + 1, j) for k, x in texts.items() for j, m in enumerate(("ct", "aa", "t")) for i in range(len(x or "")) if x[i : i + len(m)] == m)
+
+
+def test_splice_candidates_keep_the_motifs_strand(spark):
+    jumps = spark.createDataFrame([(1, "c", 1, 10, ".", 11, 20, "."), (2, "c", 1, 10, "+", 11, 20, "-"), (3, "c", 1, 10, "-", 11, 20, ".")], "spot bigint, seq string, start bigint, end bigint, strand string, start_next bigint, end_next bigint, strand_next string")
+    motifs = spark.createDataFrame([("c", 3, True, "+"), ("c", 12, False, "+"), ("c", 4, True, "-"), ("c", 13, False, "-")], "seq string, pos bigint, opening boolean, strand string")
+    got = sorted(tuple(r) for r in junctions.splice_candidates(jumps, motifs, 2, 50, 16).select("spot", "start", "end", "strand", "sign").collect())
+    assert got == [(1, 3, 12, ".", "+"), (1, 4, 13, ".", "-"), (3, 4, 13, ".", "-")]
