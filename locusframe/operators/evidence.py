@@ -90,7 +90,11 @@ def compatible(t1: Column, s1: Column, e1: Column, st1: Column, t2: Column, s2:
     ``own`` is the strand of the hint that asks, which decides at what end a signal belongs: by default
     that of the first.  It matters only where one of the two has no strand.
     """
-    return _compatible(_rule_of(type_id(t1), type_id(t2), t1 == t2), type_id(t1), s1, e1, st1, type_id(t2), s2, e2, st2, st1 if own is None else own)
+    middle = F.floor(F.abs((e1 + s1) - (e2 + s2)) / 2)
+    near = F.when(t1 == "tts", middle <= TTS_DISTANCE).when(t1 == "tss", middle <= TSS_DISTANCE).otherwise(False)
+    apart = ~((t1 == t2) & (st1 == st2) & near)
+    met = _compatible(_rule_of(type_id(t1), type_id(t2), t1 == t2), type_id(t1), s1, e1, st1, type_id(t2), s2, e2, st2, st1 if own is None else own)
+    return F.when((s1 <= e2) & (s2 <= e1), met).otherwise(apart)
 
 
 def _rule(p: str, q: str) -> str:
@@ -128,16 +132,11 @@ def _rule_of(i1: Column, i2: Column, same: Column) -> Column:
 
 
 def _compatible(rule: Column, i1: Column, s1: Column, e1: Column, st1: Column, i2: Column, s2: Column, e2: Column, st2: Column, own: Column) -> Column:
-    """:func:`compatible` by type ids and the pair's rule (:func:`_rule_of`)."""
-    overlap = (s1 <= e2) & (s2 <= e1)
+    """:func:`compatible` of hints that overlap, by type ids and the pair's rule (:func:`_rule_of`)."""
     inside = (s2 <= s1) & (e1 <= e2)
     strict = (s2 < s1) & (e1 < e2)
     contains = (s1 <= s2) & (e2 <= e1)
     signals = [i.between(0, len(SIGNALS) - 1) for i in (i1, i2)]
-    middle = F.floor(F.abs((e1 + s1) - (e2 + s2)) / 2)
-    tts, tss = TYPES.index("tts"), TYPES.index("tss")
-    near = F.when(i1 == tts, middle <= TTS_DISTANCE).when(i1 == tss, middle <= TSS_DISTANCE).otherwise(False)
-    apart = ~((i1 == i2) & (st1 == st2) & near)
     opposite = (signals[0] & signals[1]) | (signals[0] & ~inside) | (signals[1] & ~contains)
 
     # start, dss and tss on + stand at the left end of what they belong to, the others at the right; on - the other way round
@@ -150,7 +149,7 @@ def _compatible(rule: Column, i1: Column, s1: Column, e1: Column, st1: Column, i
         "no": F.lit(False), "yes": F.lit(True), "equal": (s1 == s2) & (e1 == e2), "out": ~inside, "inside": inside, "contains": contains, "end": ~off, "codon": ~(off | short),
         "margin": F.when(known, F.when(left, to_left).otherwise(to_right)).otherwise(to_left | to_right), "bare": ~((s1 < s2) & (e1 > e2)), "side": ((s1 == s2) & (e1 >= e2)) | ((e1 == e2) & (s1 <= e2)),
     }
-    out = F.when(~overlap, apart).when(_strands_differ(st1, st2), opposite)
+    out = F.when(_strands_differ(st1, st2), opposite)
     for k, name in enumerate(_RULES):
         out = out.when(rule == k, tests[name])
     return out.otherwise(False)
@@ -167,6 +166,29 @@ def weaker(t1: Column, s1: Column, e1: Column, t2: Column, s2: Column, e2: Colum
     return overlap & rule.when(t1 == "nonirpart", (t2 != "irpart") & inside).otherwise(False)
 
 
+#: What a hint needs to be weaker than one of the second type: nothing will do, equal, around it, or inside it.
+_WEAKER = ("no", "equal", "contains", "inside")
+
+
+def _weaker_rule(p: str, q: str) -> str:
+    """The name in ``_WEAKER`` for a hint of type ``p`` against one of type ``q``."""
+    if p in SIGNALS:
+        return "contains" if p == q else "no"
+    if p == "nonirpart":
+        return "no" if q == "irpart" else "inside"
+    if p.endswith("part") and q in (p, p.removesuffix("part")) and not (p == "irpart" and q != p) and not (p == "nonexonpart" and q != p):
+        return "inside"
+    return "equal" if p == q else "no"
+
+
+def _weaker(i1: Column, s1: Column, e1: Column, i2: Column, s2: Column, e2: Column, same: Column) -> Column:
+    """:func:`weaker` of hints that overlap, by type ids (-1 for unknown types, which ``same`` compares): one look-up in a fixed table."""
+    codes = F.array(*[F.lit(_WEAKER.index(_weaker_rule(p, q))) for p in TYPES for q in TYPES])
+    unknown = F.when(i1 == TYPES.index("nonirpart"), 3).when(same, 1).otherwise(0)
+    rule = F.when((i1 >= 0) & (i2 >= 0), F.get(codes, i1 * len(TYPES) + i2)).otherwise(unknown)
+    return F.when(rule == 1, (s1 == s2) & (e1 == e2)).when(rule == 2, (s1 <= s2) & (e2 <= e1)).when(rule == 3, (s2 <= s1) & (e1 <= e2)).otherwise(False)
+
+
 def _close_ends(hints: DataFrame, other: DataFrame) -> DataFrame:
     """Pairs of transcript end hints of one type and strand with near middles and no overlap, as an overlap join gives them."""
     reach = max(TTS_DISTANCE, TSS_DISTANCE) + 1
@@ -188,18 +210,21 @@ def hint_pairs(hints: DataFrame, other: DataFrame | None = None, width: int = BI
     # types are numbered once a hint, so that a pair compares numbers and looks its rule up
     numbered = lambda df: df.withColumn("_tid", type_id(F.col("type")))
     met = overlap_join(numbered(hints), numbered(other), ("seq",), width)
-    if apart:
-        met = met.unionByName(_close_ends(numbered(hints), numbered(other)))
     c = F.col
     x, y = ("_tid", "start", "end", "strand"), ("_tid_r", "start_r", "end_r", "strand_r")
-    # the pair in the order of types, as columns, so that the rules stand in the plan once
+    # the pair in the order of types, as columns, so that the rules stand in the plan once; they are looked up by numbers, because
+    # the code that Spark makes of a pair's rules is interpreted, not compiled, from 8000 bytes on
     first = c("_tid") <= c("_tid_r")
     ordered = {f"_a_{k}": F.when(first, c(k)).otherwise(c(r)) for k, r in zip(x, y, strict=True)} | {f"_b_{k}": F.when(first, c(r)).otherwise(c(k)) for k, r in zip(x, y, strict=True)}
     ordered["_rule"] = _rule_of(F.least("_tid", "_tid_r"), F.greatest("_tid", "_tid_r"), c("type") == c("type_r"))
     strict = ~((c("start") == c("start_r")) & (c("end") == c("end_r")))
     fits = _compatible(c("_rule"), *[c(k) for k in ordered if k != "_rule"], own=c("strand"))
-    out = met.withColumns(ordered).withColumns({"compatible": fits, "weaker": weaker(c("type"), c("start"), c("end"), c("type_r"), c("start_r"), c("end_r")), "strict": strict})
-    return out.drop(*ordered, "_tid", "_tid_r")
+    out = met.withColumns(ordered).withColumns({"compatible": fits, "weaker": _weaker(c("_tid"), c("start"), c("end"), c("_tid_r"), c("start_r"), c("end_r"), c("type") == c("type_r")), "strict": strict})
+    out = out.drop(*ordered, "_tid", "_tid_r")
+    if apart:
+        # transcript ends that are close without overlap never agree
+        out = out.unionByName(_close_ends(hints, other).withColumns({"compatible": F.lit(False), "weaker": F.lit(False), "strict": F.lit(True)}))
+    return out
 
 
 def grouped(hints: DataFrame, key: str = "hint_id") -> DataFrame:

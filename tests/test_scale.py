@@ -213,3 +213,25 @@ def test_items_of_a_group_are_paired_without_a_join(spark):
     got = genes.cooccurrence(spark.createDataFrame(rows, "grp bigint, item bigint"))
     assert sorted(map(tuple, got.collect())) == [(3, 5, 2), (3, 9, 1), (5, 9, 1)]
     assert "Join" not in plan(got)
+
+
+def test_code_of_hint_pairs_is_short_enough_to_be_compiled(spark):
+    """From 8000 bytes on the virtual machine only interprets a method; pairs are judged as by the rules in the open."""
+    import re
+
+    rng = random.Random(4)
+    kinds = [*evidence.TYPES, "tss", "tts", "odd", "other", None]
+    rows = [(i, "x", kinds[i % len(kinds)], a, a + rng.choice((0, 2, rng.randrange(40))), rng.choice(["+", "-", ".", None]), i % 5) for i in range(200) for a in [rng.randrange(200)]]
+    hints = spark.createDataFrame(rows, "hint_id bigint, seq string, type string, start bigint, end bigint, strand string, priority int")
+    met = evidence.hint_pairs(hints, None, 64)
+    c = F.col
+    open_rule = evidence.weaker(*[c(k) for k in ("type", "start", "end", "type_r", "start_r", "end_r")])
+    assert met.count() > 2000 and met.where(~F.col("weaker").eqNullSafe(F.coalesce(open_rule, F.lit(False)))).count() == 0
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        counts = evidence.conformance_counts(hints.withColumn("gid", F.concat(F.lit("g"), c("hint_id"))), width=64)
+        sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", counts._jdf.queryExecution().explainString(mode))]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sizes and max(sizes) < 8000
