@@ -235,3 +235,22 @@ def test_code_of_hint_pairs_is_short_enough_to_be_compiled(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
     assert sizes and max(sizes) < 8000
+
+
+def test_larger_alignments_are_cut_row_by_row(spark):
+    """No group for each alignment, and an alignment may be spread over batches."""
+    rng = random.Random(6)
+    rows = [(a, sp, "c", "+", 40 * k + rng.randrange(10) + 1, 30 * k, rng.randrange(1, 30)) for a in range(30) for sp in ("x", "y") for k in range(rng.randrange(1, 12))]
+    frame = spark.createDataFrame(rows, "ali bigint, species string, seq string, strand string, chr_pos bigint, ali_pos bigint, len bigint")
+    cuts = {a: ranges.cut_columns([(r[1], *r[4:]) for r in rows if r[0] == a], 60) for a in range(30)}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    seen = []
+    own = ranges.written
+    try:
+        ranges.written = lambda df, name: (seen.append(plan(df)), own(df, name))[1]
+        got = ranges.capped_alignments(frame, 60).collect()
+    finally:
+        ranges.written = own
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(seen) == 1 and "FlatMapGroups" not in seen[0]
+    assert {(r.ali, r.piece) for r in got} == {(r[0], sum(c <= x for c in cuts[r[0]])) for r in rows for x in range(r[5], r[5] + r[6])}
