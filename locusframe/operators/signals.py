@@ -56,18 +56,25 @@ def island_hints(signal: DataFrame, threshold: float = 0.4, margin: int = 20, wi
     """Evenly spaced hints inside islands: ``seq, start, end, score``.
 
     An island loses ``margin`` at both ends, is cut into ``int(length / width)`` pieces, at least one,
-    and each piece whose mean signal is above ``least`` is a hint.  Positions and pieces, which are
+    and each piece whose mean signal is above ``least`` is a hint.  ``signal`` has a row for each position (``seq, pos, value``) or disjoint
+    spans of equal value (``seq, start, end, value``), which stay whole: spans and pieces, which are
     under twice ``width`` long, meet by bins of ``bin_width``.
     """
-    trimmed = islands(signal, threshold).select("seq", (F.col("start") + margin).alias("s"), (F.col("end") - margin).alias("e")).where("s <= e")
+    from ..tables import written
+    from .intervals import merged, overlap_join
+
+    spans = signal if "pos" not in signal.columns else signal.withColumns({"start": F.col("pos"), "end": F.col("pos")})
+    # read by islands and by their pieces
+    spans = written(spans.select("seq", "start", "end", "value"), "island-spans")
+    islands_ = merged(spans.where(F.col("value") >= threshold), ("seq",), touching=True)
+    trimmed = islands_.select("seq", (F.col("start") + margin).alias("s"), (F.col("end") - margin).alias("e")).where("s <= e")
     n = F.greatest(F.floor((F.col("e") - F.col("s") + 1) / width), F.lit(1)).cast("int")
     piece = trimmed.withColumn("n", n).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     size = (F.col("e") - F.col("s") + 1) / F.col("n")
     piece = piece.select("seq", (F.col("s") + F.floor(F.col("i") * size)).cast("long").alias("start"), (F.col("s") + F.floor((F.col("i") + 1) * size) - 1).cast("long").alias("end"))
-    from .intervals import containing_points
-
-    met = containing_points(signal, piece, width=bin_width)
-    return met.groupBy("seq", F.col("start_r").alias("start"), F.col("end_r").alias("end")).agg((F.sum("value") / (F.max("end_r") - F.max("start_r") + 1)).alias("score")).where(F.col("score") > least)
+    met = overlap_join(piece, spans, ("seq",), bin_width)
+    total = F.sum(F.col("value_r") * (F.least("end", "end_r") - F.greatest("start", "start_r") + 1))
+    return met.groupBy("seq", "start", "end").agg((total / (F.max("end") - F.max("start") + 1)).alias("score")).where(F.col("score") > least)
 
 
 def steepest_decline(signal: DataFrame, window: int, by: str = "tid") -> DataFrame:

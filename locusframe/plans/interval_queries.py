@@ -170,8 +170,8 @@ cut as (select seq, s, e, greatest((e - s + 1) // 10, 1) as n from islands),
 pieces as (select seq, (s + floor(i * ((e - s + 1) / n::double)))::bigint as a, (s + floor((i + 1) * ((e - s + 1) / n::double)) - 1)::bigint as b from (select *, unnest(range(n)) as i from cut))
 select p.seq, a as start, b as "end", round(sum(value) / (b - a + 1)::double, 9) as score from pieces p join dense d on d.seq = p.seq and pos between a and b group by p.seq, a, b having sum(value) / (b - a + 1)::double > 3.5""")
 def island_hints(spark, sf_dir):
-    dense = G.spread(I.coverage(intervals(spark, sf_dir), chunk=CHUNK).withColumnRenamed("cov", "value"))
-    return G.island_hints(dense, 3, 5, 10, 3.5, WIDTH).withColumn("score", F.round("score", 9))
+    steps = I.coverage(intervals(spark, sf_dir), chunk=CHUNK).withColumnRenamed("cov", "value")
+    return G.island_hints(steps, 3, 5, 10, 3.5, WIDTH).withColumn("score", F.round("score", 9))
 
 
 @query("coverage_jumps", f"""with {IV}, events as (select seq, pos, sum(d) as d from (select seq, s as pos, 1 as d from iv union all select seq, e + 1, -1 from iv) group by seq, pos having sum(d) <> 0),

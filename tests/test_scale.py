@@ -254,3 +254,21 @@ def test_larger_alignments_are_cut_row_by_row(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert len(seen) == 1 and "FlatMapGroups" not in seen[0]
     assert {(r.ali, r.piece) for r in got} == {(r[0], sum(c <= x for c in cuts[r[0]])) for r in rows for x in range(r[5], r[5] + r[6])}
+
+
+def test_island_hints_take_spans_as_they_take_positions(spark):
+    from locusframe.operators import signals
+
+    rng = random.Random(8)
+    spans, at = [], 1
+    for _ in range(120):
+        n = rng.randrange(1, 40)
+        if rng.random() < 0.85:
+            spans.append(("c", at, at + n - 1, rng.randrange(1, 9)))
+        at += n
+    steps = spark.createDataFrame(spans, "seq string, start bigint, end bigint, value bigint")
+    dense = spark.createDataFrame([("c", p, v) for _, s, e, v in spans for p in range(s, e + 1)], "seq string, pos bigint, value bigint")
+    one, two = (sorted(tuple(r) for r in signals.island_hints(df, 3, 5, 10, 3.5, 64).collect()) for df in (steps, dense))
+    assert one == two and len(one) > 30
+    for _, s, e, score in one:
+        assert abs(score - sum(v * (min(e, b) - max(s, a) + 1) for _, a, b, v in spans if a <= e and s <= b) / (e - s + 1)) < 1e-9
