@@ -197,8 +197,9 @@ def limited_tracks(spark, sf_dir):
 
 @query("geneset_selection")
 def geneset_selection(spark, sf_dir):
-    t = transcripts(spark, sf_dir)
-    t = t.select("tid", "seq", "strand", "start", "end", F.col("gid").alias("cluster"), "gid", (F.col("start") % 50).cast("string").alias("chain"), (F.col("tid") % 3 > 0).alias("start_complete"), (F.col("tid") % 2 == 1).alias("end_complete"), (F.col("tid") % 5 == 0).alias("boundary_problem"), F.col("supported").alias("priority"), F.col("mean_post").alias("score"))
+    """Transcripts chosen from overlap clusters, which hold several genes; equal chains are those of one place."""
+    t = G.overlap_clusters(transcripts(spark, sf_dir), CHUNK)
+    t = t.select("tid", "seq", "strand", "start", "end", "cluster", "gid", F.concat_ws("-", F.col("start").cast("string"), F.col("end").cast("string")).alias("chain"), (F.col("tid") % 3 > 0).alias("start_complete"), (F.col("tid") % 2 == 1).alias("end_complete"), (F.col("tid") % 5 == 0).alias("boundary_problem"), F.col("supported").alias("priority"), F.col("mean_post").alias("score"))
     return G.selected(t).select("tid", "quality_rank")
 
 
