@@ -270,3 +270,21 @@ def test_thinned_ranges(spark):
     got = sorted(tuple(r) for r in ranges.thinned_ranges(frame, 3, 0.2, 64).collect())
     assert got == brute_thinned(rows, 3, 0.2) and len(got) < len(rows)
     assert ranges.thinned_ranges(frame.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("steps, most_pieces, width", [(1, 0, 16), (3, 0, 64), (2, 150, 1 << 14)])
+def test_thinned_ranges_in_steps_of_bounds(spark, monkeypatch, steps, most_pieces, width):
+    """Steps through bins and paths leave what the rounds leave, wherever one task takes over, and write no table for each round."""
+    rng = random.Random(steps)
+    rows = [(p, f"s{k}", f"c{rng.randrange(3)}", s, s + rng.randrange(90)) for p in range(-30, 60) for k in range(rng.randrange(1, 4)) for s in [rng.randrange(-100, 250)]]
+    # equal ranges, ranges of one path that overlap, and one alone
+    rows += [(p, "s0", "c0", 10, 60) for p in range(100, 108)] + [(7, "s0", "c1", 0, 40), (7, "s0", "c1", 20, 60), (200, "s9", "c0", 1, 5)]
+    frame = spark.createDataFrame(rows, "path bigint, species string, seq string, start bigint, end bigint")
+    names, keep = [], ranges.written
+    monkeypatch.setattr(ranges, "written", lambda df, name: names.append(name) or keep(df, name))
+    got = sorted(tuple(r) for r in ranges.thinned_ranges(frame, 3, 0.2, width, steps, most_pieces).collect())
+    assert got == brute_thinned(rows, 3, 0.2) and len(got) < len(rows)
+    assert "thinned-depth" not in names
+    # ranges without a path stay, and count for the depth of others
+    loose = spark.createDataFrame([(None, "s0", "c0", 1, 50)] * 3 + [(0, "s0", "c0", 1, 50)], frame.schema)
+    assert sorted(r.path is None for r in ranges.thinned_ranges(loose, 3, 0.2, width, steps, most_pieces).collect()) == [True] * 3
