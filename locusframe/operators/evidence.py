@@ -276,8 +276,15 @@ def conformance_counts(hints: DataFrame, key: str = "hint_id", width: int = BIN)
     length = F.least(F.greatest(F.col("end") - F.col("start") + 1, F.lit(1)), F.lit(2000))
     share = F.when((F.col("type") == "intron") & part, F.least(F.col("end_r") - F.col("start_r") + 1, length) / length).otherwise(1.0)
     bad = ~F.col("compatible") & ~lower
-    by_group = met.groupBy(key, "gid_r").agg(F.max(F.col("weaker").cast("int")).alias("supports"), F.max(F.when(bad, share).otherwise(0.0)).alias("against"))
-    return by_group.groupBy(key).agg(F.sum("supports").cast("long").alias("support"), F.sum("against").alias("contradict"))
+    # a hint's groups are sets of numbers in one row, so a pair is shuffled once, as a number, and pairs that do neither not at all
+    group = F.xxhash64("gid_r")
+    named = lambda test, value: F.collect_set(F.when(test, value))
+    sets = met.groupBy(key).agg(named(F.col("weaker"), group).alias("for"), named(bad & (share >= 1.0), group).alias("against"), named(bad & (share < 1.0), F.struct(group.alias("g"), share.alias("share"))).alias("parts"))
+    # of the parts of a group the largest counts, the last of it in order, unless all of it is against the hint
+    parts = sets.withColumn("parts", F.array_sort(F.filter("parts", lambda x: ~F.array_contains("against", x["g"]))))
+    largest = F.filter("parts", lambda x, i: F.coalesce(F.get("parts", i + 1)["g"] != x["g"], F.lit(True)))
+    total = F.size("against") + F.aggregate(largest, F.lit(0.0), lambda a, x: a + x["share"])
+    return parts.select(key, F.size("for").cast("long").alias("support"), total.alias("contradict"))
 
 
 def trashy_groups(hints: DataFrame, limit: float = MAX_CONTRADICTION) -> DataFrame:

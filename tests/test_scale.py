@@ -296,3 +296,24 @@ def test_accurate_paths_form_no_group_for_each_block(spark):
     for key, own in stretches.items():
         best = max(sum((e - s + 1) * (p - 0.5) for s, e, p in c) for n in range(len(own) + 1) for c in combinations(own, n) if all(a[1] < b[0] or b[1] < a[0] for a, b in combinations(c, 2)))
         assert abs(sums.get(key, 0) - best) < 1e-9
+
+
+def test_conformance_shuffles_no_pair_of_hint_and_group(spark):
+    """Ids on several sequences count a group once, the largest part of a group counts, and pairs aren't dealt by hint and group."""
+    rng = random.Random(12)
+    rows = [(rng.randrange(120), f"c{rng.randrange(2)}", f"g:{rng.randrange(25)}", rng.choice(["intron", "exonpart", "exon", "CDSpart", "intronpart", "start"]), s, s + rng.randrange(1, 40), rng.choice("+-."), rng.randrange(-1, 4)) for _ in range(220) for s in [rng.randrange(150)]]
+    hints = spark.createDataFrame(rows, "hint_id bigint, seq string, gid string, type string, start bigint, end bigint, strand string, priority int")
+    want = {}
+    for r in evidence.hint_pairs(hints, None, 64).where("gid <> gid_r").collect():
+        own = want.setdefault(r.hint_id, {}).setdefault(r.gid_r, [0, 0.0])
+        own[0] = max(own[0], int(r.weaker))
+        if not r.compatible and not 0 <= r.priority_r < r.priority:
+            size = r.end - r.start + 1
+            own[1] = max(own[1], min(r.end_r - r.start_r + 1, size) / size if r.type == "intron" and r.type_r.endswith("part") else 1.0)
+    out = evidence.conformance_counts(hints, width=64)
+    got = {r.hint_id: (r.support, round(r.contradict, 9)) for r in out.collect()}
+    assert got == {h: (sum(x[0] for x in own.values()), round(sum(x[1] for x in own.values()), 9)) for h, own in want.items()}
+    assert any(c % 1 for _, c in got.values()) and any(s for s, _ in got.values())
+    text = out._jdf.queryExecution().executedPlan().toString()
+    # each pair was a row of an exchange by hint and group before, and another by hint came behind it
+    assert "hashpartitioning(hint_id#" in text and not any("hashpartitioning(hint_id#" in line and "gid_r#" in line for line in text.splitlines())
