@@ -346,6 +346,8 @@ def attach_hints(features: DataFrame, hints: DataFrame) -> DataFrame:
     return out.withColumn("has_feature", F.col("feature_id").isNotNull())
 
 
+#: Bases of a hint that is read whole where its consistency with a sequence is tested.
+NEAR_BASES = 64
 #: Fixed value: what of a signal hint's bases is mandatory, as read on its strand.
 SIGNAL_BASES = {"start": ("ATG",), "stop": ("TAA", "TAG", "TGA"), "dss": ("GT", "GC"), "ass": ("AG",)}
 
@@ -358,7 +360,7 @@ def consistent_with_sequence(hints: DataFrame, sequences: DataFrame) -> DataFram
     Hints of unknown sequences are dropped.
     """
     from ..functions.sequence import reverse_complement
-    from .sequences import fetched
+    from .sequences import fetched, fetched_near
 
     start, end = F.col("start"), F.col("end")
     short = end - start < 3
@@ -366,7 +368,16 @@ def consistent_with_sequence(hints: DataFrame, sequences: DataFrame) -> DataFram
     intron = F.col("type") == "intron"
     at = lambda test, c: F.when(test, c)
     spans = {"_own": (at(short & ~intron, start), F.when(short & ~intron, end).otherwise(none)), "_a": (at(intron, start), at(intron, start + 1)), "_z": (at(intron, end - 1), at(intron, end))}
-    rows = fetched(hints, sequences, spans)
+    # hints of some bases are read whole, from one place; those of whole texts only, which can be cut with a margin
+    near = F.coalesce((start >= 1) & (end > start) & (end - start < NEAR_BASES), F.lit(False)) & F.lit("offset" not in sequences.columns)
+    far = hints.where(~near)
+    rows = None if "offset" not in sequences.columns and far.isEmpty() else fetched(far, sequences, spans)
+    if "offset" not in sequences.columns:
+        last = F.substring("_text", (end - start).cast("int"), F.lit(2))
+        cut = fetched_near(hints.where(near), sequences, "_text", margin=NEAR_BASES)
+        cut = cut.select(*hints.columns, at(short & ~intron, F.col("_text")).alias("_own"), at(intron, F.substring("_text", 1, 2)).alias("_a"), at(intron, last).alias("_z"))
+        cut = cut.fillna("", ["_own", "_a", "_z"])
+        rows = cut if rows is None else cut.unionByName(rows.select(*cut.columns))
     own, motif = F.upper("_own"), F.upper(F.concat("_a", "_z"))
 
     def on(text: Column, wanted: tuple[str, ...]) -> Column:

@@ -298,6 +298,24 @@ def test_accurate_paths_form_no_group_for_each_block(spark):
         assert abs(sums.get(key, 0) - best) < 1e-9
 
 
+def test_short_hints_meet_one_piece_and_are_not_joined_back(spark, monkeypatch):
+    """Hints of some bases are read whole from one piece, across the pieces' ends and behind the sequence's, and only others span by span."""
+    rng = random.Random(13)
+    texts = {k: "".join(rng.choice("acgtACGT") for _ in range(n)) for k, n in enumerate((3000, 1024, 1025, 40, 0))}
+    seqs = spark.createDataFrame(list(texts.items()), "seq int, bases string")
+    rows = [(i, rng.randrange(6), s, s + rng.choice([1, 2, 30, 63, 64, 0]), rng.choice(["intron", "start", "stop", "dss", "exon"]), rng.choice("+-.")) for i in range(1500) for s in [rng.choice([rng.randrange(-3, 3100), rng.randrange(1000, 1030)])]]
+    hints = spark.createDataFrame(rows, "id int, seq int, start bigint, end bigint, type string, strand string")
+    by_chunks = evidence.consistent_with_sequence(hints, sequences.chunked(seqs, 500))
+    seen, keep = [], sequences.fetched
+    monkeypatch.setattr(sequences, "fetched", lambda far, *a: seen.append(far.count()) or keep(far, *a))
+    got = evidence.consistent_with_sequence(hints, seqs)
+    assert sorted(map(str, got.collect())) == sorted(map(str, by_chunks.collect())) and 500 < got.count() < 1500
+    assert seen == [sum(not (s >= 1 and 0 < e - s < 64) for _, _, s, e, _, _ in rows)]
+    short = hints.where("start >= 1 and end > start and end < start + 64")
+    evidence.consistent_with_sequence(short, seqs).collect()
+    assert len(seen) == 1
+
+
 def test_conformance_shuffles_no_pair_of_hint_and_group(spark):
     """Ids on several sequences count a group once, the largest part of a group counts, and pairs aren't dealt by hint and group."""
     rng = random.Random(12)
